@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, cap: f
     ids = F.broadcast(table.select("sid", F.col("source").alias("_src")))  # at most MAX_SOURCES rows
 
     rows = sum(r["rows"] for r in stats)
-    per_chunk = max(8192, math.isqrt(rows))
+    per_chunk = max(1024, math.isqrt(rows))
     chunks = max(1, math.ceil(rows / per_chunk))
     order = F.xxhash64(F.lit(seed), "doc_id", "_t")
     placed = base.join(ids, F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_h", order).withColumn("_chunk", F.pmod("_h", F.lit(chunks)))

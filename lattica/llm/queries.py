@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
-from .common import load
+from pyspark.sql import functions as F
+
+from . import chat, mixing, sharding, url_filter
+from .common import literal_table, load
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,86 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mix)
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = literal_table(spark, [dict(zip(("verdict", "host", "path"), r)) for r in URL_RULES], "verdict string, host string, path string")
+    judged = url_filter.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url"), rules, default="allow")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS h FROM u),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM h),
+rules(v, rh, rp) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+hit AS (SELECT page_id, host, path, max_by(struct_pack(rule := rh || rp, v := v), length(rh || rp)) AS b
+        FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, hit.b.rule AS rule, coalesce(hit.b.v, 'allow') AS verdict
+FROM p LEFT JOIN hit USING (page_id)
+"""
+
+#: The tools whose calls op9 reads from conversations.
+TOOLS = [("reply", "text", "string", True), ("reply", "turn", "integer", True), ("configure", "text", "string", True), ("configure", "turn", "integer", True)]
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool calls: a user's turn calls ``reply``, a system's ``configure``; the assistant's next turn is the result; each call needs the one two turns before it."""
+    turns = load(spark, sf_dir, "conversations")
+    name = F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure")
+    call_id = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    arguments = F.to_json(F.struct("turn", "text"), {"ignoreNullFields": "false"})
+    calls = turns.where(name.isNotNull()).select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), F.array(call_id(F.col("turn") - 2)).alias("depends_on"))
+    results = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    tools = literal_table(spark, [dict(zip(("name", "param", "kind", "required"), t)) for t in TOOLS], "name string, param string, kind string, required boolean")
+    linked = chat.link_calls(calls, results, tools)
+    return linked.select("conv_id", "call_id", "turn", "name", "n_calls", "n_results", "ready", F.col("depth").cast("long").alias("depth"), F.array_join("errors", ",").alias("errors"), "status", "record")
+
+
+OP9_SQL = """
+WITH c AS (SELECT conv_id, 'c' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text, count(*) AS n_calls
+           FROM conversations WHERE role IN ('user', 'system') GROUP BY ALL),
+r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min(struct_pack(turn := turn, text := text)).text AS result, count(*) AS n_results
+      FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.text, c.n_calls, r.n_results, r.result, r.call_id IS NOT NULL AS has
+      FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+SELECT conv_id, call_id, turn, name, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, turn AS ready, CASE WHEN name IS NOT NULL THEN 0 END AS depth,
+       CASE WHEN name IS NULL THEN NULL WHEN text IS NULL THEN 'kind:text' ELSE '' END AS errors,
+       CASE WHEN name IS NULL THEN 'orphan_result' WHEN text IS NULL THEN 'invalid' WHEN has THEN 'linked' ELSE 'no_result' END AS status,
+       '{"arguments":' || CASE WHEN name IS NULL THEN 'null' ELSE '{"text":' || coalesce(to_json(text), 'null') || ',"turn":' || turn || '}' END
+       || ',"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id || ',"name":' || coalesce(to_json(name), 'null') || ',"result":' || coalesce(to_json(result), 'null') || '}' AS record
+FROM j
+"""
+
+SHARD_BYTES = 1 << 20
+
+
+def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_rows(load(spark, sf_dir, "documents"), SHARD_BYTES).rows
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "page", "shard_bytes")
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS b,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 10) || substr(md5(coalesce(text, '')), 1, 5))::BIGINT AS h FROM documents),
+n AS (SELECT k AS depth, h >> (60 - k) AS prefix, sum(b) AS bytes, count(*) AS n FROM d, range(0, 31) t(k) GROUP BY ALL),
+leaf AS (SELECT c.depth, c.prefix, c.bytes FROM n c LEFT JOIN n p ON p.depth = c.depth - 1 AND p.prefix = c.prefix >> 1
+         WHERE (c.bytes <= {SHARD_BYTES} OR c.n <= 1) AND (c.depth = 0 OR (p.bytes > {SHARD_BYTES} AND p.n > 1)))
+SELECT doc_id, b AS n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard, depth::BIGINT AS depth, 0::BIGINT AS page, bytes::BIGINT AS shard_bytes
+FROM d JOIN leaf ON leaf.prefix = d.h >> (60 - leaf.depth)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_url_filter": op2_url_filter,
+    "op9_tool_calls": op9_tool_calls,
+    "op10_extendible_sharding": op10_extendible_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+    "op9_tool_calls": OP9_SQL,
+    "op10_extendible_sharding": OP10_SQL,
+}
