@@ -118,7 +118,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, cap: f
     pieces = pieces.select("sid", "block", "doc_id", "start", (lo - F.col("start")).alias("word_start"), (hi - lo).alias("n_words"))
 
     slots = _slots(table.where("quota > 0"), dealt, shard_slots, seed)
-    slices = slots.join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "doc_id", "start", "word_start", "n_words")
+    # the slots come from a small plan, so their number would be underestimated and they broadcast
+    slices = slots.hint("merge").join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "doc_id", "start", "word_start", "n_words")
     return Mix(placed, plan, table, slots, slices)
 
 
@@ -145,7 +146,7 @@ def shard_counts(mix: Mix) -> DataFrame:
 def taken_words(mix: Mix) -> DataFrame:
     """Per document: size, its source's size and target, and the words that the mix takes."""
     key = ["doc_id", "sid", "start", "size"]
-    drawn = mix.slices.groupBy("sid", "start").agg(F.sum("n_words").alias("n"))
+    drawn = mix.slices.groupBy("sid", "start").agg(F.sum("n_words").alias("n")).hint("merge")
     # (sid, start) names a row with words; rows without share theirs with others and are never drawn
     worded = mix.docs.where("size > 0").join(drawn, ["sid", "start"], "left").select(*key, F.coalesce("n", F.lit(0)).alias("taken"))
     every = worded.unionByName(mix.docs.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken")))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, url_filter
-from .common import literal_table, load
+from . import chat, media, mixing, sharding, token_store, url_filter
+from .common import literal_table, load, shared_dir
+from .tokens import tokenizer_path
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,17 @@ SELECT p.page_id, p.host, p.path, hit.b.rule AS rule, coalesce(hit.b.v, 'allow')
 FROM p LEFT JOIN hit USING (page_id)
 """
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    store = token_store.write_tokens(docs, f"{shared_dir(spark)}/tokens", tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_store.crc_of_ids(token_store.read_tokens(token_store.lookup(docs, store), store))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return media.digest(media.describe_media(media.mux_texts(docs), "media"))
+
+
 #: The tools whose calls op9 reads from conversations.
 TOOLS = [("reply", "text", "string", True), ("reply", "turn", "integer", True), ("configure", "text", "string", True), ("configure", "turn", "integer", True)]
 
@@ -91,6 +103,8 @@ FROM d JOIN leaf ON leaf.prefix = d.h >> (60 - leaf.depth)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
+    "op3_token_store": op3_token_store,
+    "op7_media_columns": op7_media_columns,
     "op9_tool_calls": op9_tool_calls,
     "op10_extendible_sharding": op10_extendible_sharding,
 }
