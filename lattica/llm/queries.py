@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, sharding, token_store, url_filter
+from . import chat, media, mixing, quality, sharding, token_store, toxicity, url_filter
 from .common import literal_table, load, shared_dir
 from .tokens import tokenizer_path
 
@@ -45,6 +45,21 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.crc_of_ids(token_store.read_tokens(token_store.lookup(docs, store), store))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, learn_from=~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score_texts(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    rules = quality.learn_rules(docs, labels)
+    stats = quality.text_statistics(docs.select("doc_id", "text"), keep_text=False).withColumn("base_failed", quality.base_failed())
+    kept = ~F.col("base_failed") & quality.verdict(rules)
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return media.digest(media.describe_media(media.mux_texts(docs), "media"))
@@ -104,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
     "op3_token_store": op3_token_store,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op7_media_columns": op7_media_columns,
     "op9_tool_calls": op9_tool_calls,
     "op10_extendible_sharding": op10_extendible_sharding,
