@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, quality, sharding, token_store, toxicity, url_filter
+from . import chat, media, mixing, packing, quality, sharding, simhash, token_store, toxicity, url_filter
 from .common import literal_table, load, shared_dir
 from .tokens import tokenizer_path
 
@@ -52,6 +52,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, budget=4)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     rules = quality.learn_rules(docs, labels)
@@ -65,6 +70,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.describe_media(media.mux_texts(docs), "media"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 #: The tools whose calls op9 reads from conversations.
 TOOLS = [("reply", "text", "string", True), ("reply", "turn", "integer", True), ("configure", "text", "string", True), ("configure", "turn", "integer", True)]
 
@@ -120,8 +130,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_store": op3_token_store,
     "op4_toxicity": op4_toxicity,
+    "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_media_columns": op7_media_columns,
+    "op8_packing": op8_packing,
     "op9_tool_calls": op9_tool_calls,
     "op10_extendible_sharding": op10_extendible_sharding,
 }

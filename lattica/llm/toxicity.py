@@ -94,7 +94,7 @@ class Scorer:
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
 
-def fit_nnpu(rows: Sequence[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: Sequence[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias. rows: feature numbers of each document; positive: which are P, the others being U."""
     sizes = np.array([len(r) for r in rows], np.int64)
     at = np.repeat(np.arange(len(rows)), sizes)
