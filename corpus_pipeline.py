@@ -1,17 +1,66 @@
-"""A corpus pipeline out of the training-data operators."""
+"""A corpus pipeline out of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all
+but the last return documents. What a stage learns, it learns from the labels of documents
+that have come to it. Null texts have no words: the quality rules reject them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.llm import mixing, packing, quality, simhash, toxicity
+from lattica.llm.common import load, materialise
+from lattica.llm.tokens import tokenizer_path
+
+#: A document goes if it is toxic with at least this probability.
+TOXIC = 0.7
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned decision list reject."""
+    rules = quality.learn_rules(docs, load(spark, sf_dir, "labels"))
+    kept = quality.text_statistics(docs).where(~quality.base_failed() & quality.verdict(rules))
+    return kept.select(*docs.columns)
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier doesn't take for toxic."""
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"), learn_from=~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score_texts(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest doc_id."""
+    return simhash.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents cut to the slices that it takes, as often as it takes them."""
+    return mixing.mixed_documents(docs, mixing.mix_sources(docs, (1, 2, 3), cap=3.0))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, with their token ids."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mix_sources", mix_sources),
+    ("packing", pack_sequences),
+]
 
+#: Learned rules, a trained classifier and a tokenizer have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
