@@ -118,7 +118,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, cap: f
     pieces = pieces.select("sid", "block", "doc_id", "start", (lo - F.col("start")).alias("word_start"), (hi - lo).alias("n_words"))
 
     slots = _slots(table.where("quota > 0"), dealt, shard_slots, seed)
-    # the slots come from a small plan, so their number would be underestimated and they broadcast
+    # Slots come from a small plan, so their number would be underestimated and they would be
+    # broadcast: both sides must be exchanged, as slots grow with the corpus.
     slices = slots.hint("merge").join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "doc_id", "start", "word_start", "n_words")
     return Mix(placed, plan, table, slots, slices)
 
