@@ -1,0 +1,76 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from lattica.llm import simhash
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(nodes, linked):
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_fingerprint():
+    rng = random.Random(1)
+    texts = ["", None, " \t\n", "A b", "É Ab\x0bc d\x1ce", "one two three four", "x " * 70_000] + [" ".join(rng.choice("abcdefgÄß") for _ in range(rng.randrange(40))) for _ in range(100)]
+    for t in texts:
+        assert simhash.fingerprint((t or "").encode()) == plain_fingerprint(t)
+
+
+@pytest.mark.parametrize("budget", [0, 1, 4, 6])
+def test_links_connect_the_same(spark, budget, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 40)
+    monkeypatch.setattr(simhash, "TASK_ROWS", 200)
+    monkeypatch.setattr(simhash, "LEAF_PAIRS", 16)
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
+    monkeypatch.setattr(simhash, "HOT_VALUES", 100)
+    rng = np.random.default_rng(budget)
+    far = rng.integers(0, 2**64, 300, np.uint64)
+    near = [f ^ sum(np.uint64(1) << np.uint64(b) for b in rng.choice(64, rng.integers(0, 7), False)) for f in np.repeat(far[:20], 12)]
+    crowd = [np.uint64(0xF0F0F0F0F0F0F0F0) ^ sum((np.uint64(1) << np.uint64(b) for b in rng.choice(64, 3, False)), np.uint64(0)) for _ in range(300)]
+    values = np.unique(np.concatenate([far, np.array(near, np.uint64), np.array(crowd, np.uint64), np.array([0, 1, 2**64 - 1], np.uint64)])).view(np.int64)
+    frame = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    got = {r["u"]: r["v"] for r in simhash.components(simhash.links(frame, budget)).collect()}
+    nodes = values.tolist()
+    unsigned = values.view(np.uint64)
+    linked = [(nodes[i], nodes[j]) for i in range(len(nodes)) for j in (np.flatnonzero(np.bitwise_count(unsigned[i + 1 :] ^ unsigned[i]) <= budget) + i + 1)]
+    want = plain_components(nodes, linked)
+    assert {n: got.get(n, n) for n in nodes} == want
+
+
+def test_chain_components(spark):
+    edges = [(i + 1, i) for i in range(200)] + [(1000 + i + 1, 1000) for i in range(100)] + [(5000, 3000)]
+    got = {r["u"]: r["v"] for r in simhash.components(spark.createDataFrame(edges + edges[:5], "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 201)}, **{1001 + i: 1000 for i in range(100)}, 5000: 3000}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_duplicates(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(5, " ".join(words)), (3, " ".join(words).upper()), (9, " ".join([*words, "extra"])), (1, "else"), (7, None), (6, ""), (8, " \n"), (None, "alone"), (None, "ELSE"), (5, " ".join(words))]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, fp string")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([("5", "3"), ("3", "3"), ("9", "3"), ("1", "1"), ("7", "6"), ("6", "6"), ("8", "6"), ("None", "None"), ("None", "1"), ("5", "3")])
+    assert sorted(str(r["doc_id"]) for r in simhash.deduplicate(docs).collect()) == ["1", "3", "6", "None", "None"]
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
