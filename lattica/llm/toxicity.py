@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import materialise
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_CANDIDATES, MAX_FEATURES = 3000, 6000, 60_000, 4096
+MAX_POSITIVE, MAX_UNLABELLED, MAX_CANDIDATES, MAX_FEATURES = 3000, 6000, 40_000, 4096
 MIN_SHARE, MIN_LIFT, MIN_G2 = 0.004, 2.0, 12.0
 PREFIXES = range(3, 9)
 #: Marks aside: they separate words, as blanks do.
@@ -136,44 +136,41 @@ def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column | None = Non
     drawn = F.broadcast(confirmed.unionByName(hidden))  # at most MAX_POSITIVE + MAX_UNLABELLED ids
     sample = materialise(docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "_p").repartition(12), "sample")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got: Counter[str] = Counter()
-            for t in b["text"]:
-                got.update(features_of(words_of(t)))
-            yield pd.DataFrame({"f": list(got), "n": list(got.values())})
+    def count(known: dict[str, int] | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                got: Counter[str] = Counter()
+                for t in b["text"]:
+                    got.update(features_of(words_of(t), known))
+                yield pd.DataFrame({"f": list(got), "n": list(got.values())})
+
+        return run
 
-    n_p = sample.where("_p").count()
+    n_p, n_u = sample.where("_p").count(), sample.where("not _p").count()
     least = max(3, math.ceil(MIN_SHARE * n_p))
-    candidates = sample.where("_p").select("text").mapInPandas(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    names = [r["f"] for r in candidates.orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()]
+    sums = lambda frame, known=None: frame.select("text").mapInPandas(count(known), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    in_p = {r["f"]: r["n"] for r in sums(sample.where("_p")).where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()}
+    in_u = {r["f"]: r["n"] for r in sums(sample.where("not _p"), dict.fromkeys(in_p, 0)).collect()}
+    names = _select(list(in_p), np.array(list(in_p.values()), float), np.array([in_u.get(f, 0) for f in in_p], float), max(1, n_p), max(1, n_u))
     known = {f: i for i, f in enumerate(names)}
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"p": b["_p"], "f": [sorted(known[f] for f in features_of(words_of(t), known)) for t in b["text"]]})
 
-    got = sample.mapInPandas(hits, "p boolean, f array<int>").select("p", F.hash("f").alias("h"), "f").orderBy("p", "h", F.size("f")).drop("h").toArrow()
-    positive = np.array(got["p"].to_pylist(), bool)
-    rows = [np.array(x, np.int64) for x in got["f"].to_pylist()]
-    kept = _select(rows, positive, len(names))
-    place = np.full(len(names) + 1, -1)
-    place[kept] = np.arange(len(kept))
-    rows = [place[r][place[r] >= 0] for r in rows]
-    weights, bias = fit_nnpu(rows, positive, len(kept), prior)
-    return Model({names[k]: float(w) for k, w in zip(kept, weights) if abs(w) > 1e-6}, bias, prior)
-
-
-def _select(rows: list[np.ndarray], positive: np.ndarray, n: int) -> np.ndarray:
-    """Features that are more frequent in P than in U, by the likelihood ratio."""
-    flat = lambda of: np.bincount(np.concatenate([*(r for r, p in zip(rows, positive) if p == of), np.zeros(0, np.int64)]), minlength=n)
-    a, b, n_p, n_u = flat(True), flat(False), max(1, positive.sum()), max(1, (~positive).sum())
+    got = sample.mapInPandas(hits, "p boolean, f array<int>").toPandas()
+    got = got.assign(key=[(not p, *f) for p, f in zip(got["p"], got["f"])]).sort_values("key")  # sums must not depend on the order of rows
+    weights, bias = fit_nnpu([np.array(f, np.int64) for f in got["f"]], got["p"].to_numpy(bool), len(names), prior)
+    return Model({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6}, bias, prior)
+
+
+def _select(names: list[str], a: np.ndarray, b: np.ndarray, n_p: int, n_u: int) -> list[str]:
+    """Names that are more frequent in P (a of n_p) than in U (b of n_u), by the likelihood ratio."""
     expect = (a + b) / (n_p + n_u)
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (np.nan_to_num(a * np.log(a / (expect * n_p))) + np.nan_to_num(b * np.log(b / (expect * n_u))))
-        lift = (a / n_p) / ((b + 0.5) / n_u)
-    good = np.flatnonzero((lift >= MIN_LIFT) & (g2 >= MIN_G2))
-    return good[np.argsort(-g2[good], kind="stable")][:MAX_FEATURES]
+    good = np.flatnonzero((a / n_p >= MIN_LIFT * (b + 0.5) / n_u) & (g2 >= MIN_G2))
+    return [names[i] for i in good[np.argsort(-g2[good], kind="stable")][:MAX_FEATURES]]
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
