@@ -126,6 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column | None = Non
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
     if learn_from is not None:
         usable = usable.where(learn_from)
+    # labels of documents that aren't there would make pi differ from U's share of positives
+    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     n, n_toxic = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not n_toxic:
         return Model({}, -1e9, 0.0)
