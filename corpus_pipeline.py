@@ -32,8 +32,11 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies: that of the smallest doc_id.
+
+    Near copies share at least 0.8 of their five-word shingles (Jaccard).
+    """
+    return simhash.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
