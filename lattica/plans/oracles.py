@@ -169,6 +169,11 @@ SELECT id, round(exp(p - greatest(n, p)) / (exp(n - greatest(n, p)) + exp(p - gr
     "compare_runs": """WITH b AS (SELECT o_orderpriority AS metric, avg(((o_orderkey * 3) % 101) / 100.0) AS x, avg(((o_orderkey * 7) % 101) / 100.0) AS y FROM orders GROUP BY 1)
 SELECT metric, CASE WHEN ok THEN round(x, 6) END AS before, CASE WHEN ok THEN round(y, 6) END AS after, CASE WHEN ok THEN round(y - x, 6) END AS absolute_delta, CASE WHEN ok THEN round(CASE WHEN up THEN (y - x) / (1 - x) ELSE (x - y) / x END, 6) END AS relative_error_reduction,
 CASE WHEN ok THEN CASE WHEN up THEN 'higher' ELSE 'lower' END END AS direction, CASE WHEN ok THEN CASE WHEN up THEN y > x ELSE y < x END END AS improved FROM (SELECT *, metric < '3' AS up, metric <> '5-LOW' AS ok FROM b)""",
+    "mean_logprobs": "SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'yes' ELSE 'no' END AS candidate, round(avg(-l_quantity / 10), 6) AS mean_logprob FROM lineitem GROUP BY 1, 2",
+    "case_histogram": CASES + ' SELECT kind AS "case", n FROM cc',
+    "pool_partition": f"SELECT CASE WHEN {FRACTION.format(key='(o_orderkey % 100)')} < 0.3 THEN 'preference_pool' ELSE 'sft_train' END AS pool, count(*) AS n, count(DISTINCT o_orderkey) AS ids, count(DISTINCT o_orderkey % 100) AS groups FROM orders GROUP BY 1",
+    "comparison_summary": """WITH b AS (SELECT o_custkey % 500 AS m, round(avg(((o_orderkey * 3) % 101) / 100.0), 6) AS x, round(avg(((o_orderkey * 7) % 101) / 100.0), 6) AS y FROM orders GROUP BY 1)
+SELECT count(*) AS compared_count, count(*) FILTER (CASE WHEN m % 2 = 0 THEN y > x ELSE y < x END) AS improved_count FROM b WHERE m <> 7""",
     "summarize_labels": BASE
     + "SELECT coalesce(fake_cls, '*') AS label, coalesce(v, '*') AS verdict, count(*) AS n FROM (SELECT fake_cls, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS v FROM a) GROUP BY GROUPING SETS ((fake_cls), (v), ())",
     "label_auc": """WITH s AS (SELECT (quality = 0 OR toxic = 1)::INT AS label, (n_chars % 101) / 100.0 AS score FROM labels JOIN documents USING (doc_id)),

@@ -13,7 +13,6 @@ from ..functions import geometry, labels, scoring, text
 from ..functions.parse import parse_response
 from ..operators import align, compare, convert, infer, metrics, mining, rewards, sampling
 from ..sources import images, records
-from ..types import TYPE_ORDER
 from .audit import aligned, annotations, keys, responses, table, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,6 +406,24 @@ def candidate_softmax(spark, sf_dir):
     return infer.candidate_scores(item.join(both, "id", "left_semi"), "no", "yes").select("id", r6("score").alias("score"))
 
 
+@query
+def mean_logprobs(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 0, "yes").otherwise("no").alias("candidate"), (-F.col("l_quantity") / 10).alias("logprob"))
+    return infer.mean_logprobs(item).select("id", "candidate", r6("mean_logprob").alias("mean_logprob"))
+
+
+@query
+def case_histogram(spark, sf_dir):
+    return rewards.count_cases(truth(spark, sf_dir))
+
+
+@query
+def pool_partition(spark, sf_dir):
+    """Every row is in exactly one of two pools."""
+    rows = sampling.with_pool(truth(spark, sf_dir).select("id"), F.col("id") % 100, 0.3)
+    return rows.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct(F.col("id") % 100).alias("groups"))
+
+
 @query
 def resume_predictions(spark, sf_dir):
     """A deterministic stand-in for a model, over rows that have no output yet."""
@@ -426,6 +443,14 @@ def compare_runs(spark, sf_dir):
     return done.select("metric", *[r6(c[n]).alias(n) for n in ("before", "after", "absolute_delta", "relative_error_reduction")], c["direction"].alias("direction"), c["improved"].alias("improved"))
 
 
+@query
+def comparison_summary(spark, sf_dir):
+    """How many metrics compare and improve, over pairs of customers' score means."""
+    orders = table(spark, sf_dir, "orders")
+    run = lambda shift: orders.groupBy((F.col("o_custkey") % 500).cast("string").alias("metric"), (F.col("o_custkey") % 2 == 0).alias("higher")).agg(F.round(F.avg(((F.col("o_orderkey") * shift) % 101) / 100.0), 6).alias("value"))
+    return compare.comparison_summary(compare.compare_metrics(run(3), run(7).where("metric <> '7'")))
+
+
 @query
 def summarize_labels(spark, sf_dir):
     rows = truth(spark, sf_dir).select(F.struct(F.col("label").alias("fake_cls"), "target").alias("meta"))
@@ -438,6 +463,3 @@ def label_auc(spark, sf_dir):
     labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     return metrics.auc(labelled.select(bad.alias("label"), ((F.col("n_chars") % 101) / 100.0).alias("score"))).select(r6("auc").alias("auc"))
-
-
-CLASSES = TYPE_ORDER
