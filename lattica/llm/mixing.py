@@ -167,8 +167,9 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     theirs = docs.where(word_count(F.col("text")) > 0).withColumn("_t2", F.xxhash64("text"))
     theirs = theirs.withColumn("_rank2", F.row_number().over(W.partitionBy("doc_id", "source", "_t2").orderBy("_t2")))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_t2") == F.col("_t")) & (F.col("_rank2") == F.col("_rank"))
-    both = theirs.join(mine, on).withColumn("_w", F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)))
-    cut = F.transform("_spans", lambda s: F.array_join(F.slice("_w", (s["word_start"] + 1).cast("int"), s["n_words"].cast("int")), ""))
-    out = both.withColumn("_cut", cut).select(*docs.columns, F.explode("_cut").alias("_text"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    span = lambda w: lambda s: F.array_join(F.slice(w, (s["word_start"] + 1).cast("int"), s["n_words"].cast("int")), "")
+    cut = F.flatten(F.transform(F.array(words), lambda w: F.transform("_spans", span(w))))  # the words as a lambda's variable: a column would be split anew for each span
+    out = theirs.join(mine, on).select(*docs.columns, F.explode(cut).alias("_text"))
     changed = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
     return out.withColumns(changed).select(*docs.columns)
