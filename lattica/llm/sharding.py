@@ -59,9 +59,10 @@ def shard_rows(docs: DataFrame, limit: int, *, key: str = "doc_id", text: str =
     start, open_, done, leaves = 0, base, [], []
     depth = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + STEP)
     while True:
-        found = _leaves(open_, start, depth, limit)
+        found = materialise(_leaves(open_, start, depth, limit), "leaves")
         leaves.append(found)
-        of = _fine_to_leaf(open_, found, start, depth)
+        least = found.agg(F.min("depth")).first()[0]  # above it, all rows would meet in a few nodes
+        of = _fine_to_leaf(open_, found, depth if least is None else least, depth)
         joined = open_.withColumn("_fine", _prefix(F.col("_bits"), F.lit(depth))).join(of, "_fine", "left").drop("_fine")
         joined = materialise(joined, "dealt")
         done.append(joined.where("depth is not null"))
