@@ -274,7 +274,8 @@ def _with_least(base: DataFrame, distinct: DataFrame, stars: DataFrame) -> DataF
     members = members.join(distinct, "fp")
     least = members.groupBy("root").agg(F.min("first").alias("least"))
     linked = members.join(least, "root").select("fp", "least")
-    of = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges, whose hot keys can be split
+    of = materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
     return base.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
