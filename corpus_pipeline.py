@@ -32,11 +32,11 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id.
+    """One row of each group of near copies: one of the smallest doc_id, or of none if no row has one.
 
     Near copies share at least 0.8 of their five-word shingles (Jaccard).
     """
-    return simhash.deduplicate(docs, shingle=5, similarity=0.8)
+    return simhash.deduplicate(docs, shingle=5, similarity=0.8, spare_unnamed=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,15 +13,17 @@ already are dropped too, so a large group of near copies costs links, not pairs;
 returns a spanning forest. A block value that many fingerprints share is split by a hash into
 chunks, and each pair of chunks is a task that joins their two tries.
 
-``similar_groups`` groups by a similarity of shingle sets instead, 0.8 unless told otherwise.
-One fingerprint can't do that: at a Jaccard similarity of 0.8 two texts differ in 10 bits of
-64, and tries don't prune within such a budget. It takes 16 fingerprints of five-word shingles,
-joins the trie of each with a budget of 5 bits, and verifies what these joins link over all
-1024 bits, whose share of different ones tells the angle between the shingle vectors and so
-the similarity, with a standard error of 0.02; nearer the threshold than ``BAND`` the shingle
-sets themselves decide. A pair is found with a chance of 0.67 at a
-similarity of 0.8, 0.93 at 0.85 and 0.99 at 0.9, and then by each of its group's links anew.
-Each task links the closest pairs first, so its forest holds the links that verify.
+``similar_groups`` groups by a similarity of shingle sets instead, 0.8 unless told otherwise,
+and fingerprints have no part in it: at a Jaccard similarity of 0.8 two texts differ in 10 bits
+of 64, and what a fingerprint misses or makes up would be wrong. It is exact but for collisions
+of 64-bit hashes, of shingles and of shingle sets. Distinct sets are its nodes. Shingles are
+ordered by how many nodes have them, so of two sets that are similar enough one of the first
+n - ceil(0.8 n) + 1 shingles of each is common to both. Shingles of one node alone drop out once
+counted. What these prefixes connect meets in one task, which compares whole sets, those of the
+commonest shingles with all others first. Only pairs already connected by links that passed
+are left out, so a large group around one text costs links, not pairs, and no pair that isn't
+similar ever stands in for one that is. Groups of more than ``TASK_ENTRIES`` shingles are
+split into chunks by a hash, and each pair of chunks is a task.
 
 Components of all forests come from star contraction in rounds, each written to the shared
 folder. No links or fingerprints are gathered on the driver.
@@ -34,6 +36,7 @@ Other columns are ignored by ``near_duplicates`` and kept by ``deduplicate``.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -52,8 +55,8 @@ SEED = 42
 TASK_ROWS, HOT_ROWS, HOT_VALUES = 40_000, 20_000, 2000
 #: Node pairs with at most so many leaf pairs are compared leaf by leaf; pairs taken at a time.
 LEAF_PAIRS, FRONTIER = 1024, 50_000
-#: Similarities that the fingerprints leave open: so far above and below the threshold, three standard errors, texts decide.
-BAND = 0.07
+#: Shingles of a task that counts or compares sets, and of a Python worker's buffer.
+TASK_ENTRIES, BUFFER = 1 << 21, 1 << 20
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 16
 
@@ -270,24 +273,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, budget: int = 4) -> Da
 
 def _with_least(base: DataFrame, distinct: DataFrame, stars: DataFrame) -> DataFrame:
     """Rows of (doc_id, fp) with the smallest doc_id of their component; distinct: fp and its smallest doc_id."""
+    return base.join(_least(distinct, stars), "fp").select("doc_id", "fp", "component_id")
+
+
+def _least(distinct: DataFrame, stars: DataFrame) -> DataFrame:
+    """fp and component_id, the least ``first`` of its component."""
     members = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     members = members.join(distinct, "fp")
     least = members.groupBy("root").agg(F.min("first").alias("least"))
     linked = members.join(least, "root").select("fp", "least")
     # written, so that both sides of the last join are plain exchanges, whose hot keys can be split
-    of = materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
-    return base.join(of, "fp").select("doc_id", "fp", "component_id")
+    return materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _salts(prints: int) -> np.ndarray:
-    """What makes further hashes of a shingle out of its first."""
-    return (np.arange(prints, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-
-
 def _windows(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
     """The words with single spaces between them, and where each shingle starts and stops."""
     words = text.lower().split()  # of bytes: ASCII letters and ASCII blanks only
@@ -303,87 +305,202 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
 
 
-def signature(text: bytes, shingle: int, salts: np.ndarray) -> np.ndarray:
-    """A fingerprint for each salt, the first of them being fingerprint()."""
-    joined, starts, stops = _windows(text, shingle)
-    n = len(starts)
-    if not n:
-        return np.zeros(len(salts), np.uint64)
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64 * len(salts), np.int64)
-    for at in range(0, n, 4096):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 4096], stops[at : at + 4096])], np.uint64)
-        with np.errstate(over="ignore"):
-            m = h[:, None] ^ salts[None, :]
-            m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            m ^= m >> np.uint64(31)
-        m[:, 0] = h
-        bits = np.unpackbits(m.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
-        counts += bits.sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * counts > n).view(">u8").astype(np.uint64)
-
-
-def signatures(docs: DataFrame, shingle: int = 5, prints: int = 16) -> DataFrame:
-    """doc_id and sig array<long>."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def _set_id(found: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def shingle_nodes(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """Per row doc_id, text_hash, node, which names its shingle set, and the set's size n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = _salts(prints)
         for b in batches:
-            found = [signature(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, salts) for t in b.column("text")]
-            flat = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
-            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * prints)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "sig"])
+            of = [(_set_id(s), len(s)) for s in (shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column("text"))]
+            node, n = np.array(of, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array(n)], ["doc_id", "text_hash", "node", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sig array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long")
 
 
-def most_bits(similarity: float, prints: int) -> int:
-    """Different bits of texts whose shingle sets have this Jaccard similarity."""
-    return math.floor(64 * prints * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+#: Shingles of many nodes in a row: the nodes, their sets' sizes, how many shingles each has here, and these.
+PACK = {"nodes": np.int64, "sizes": np.int32, "counts": np.int32, "hashes": np.uint64, "ranks": np.uint8}
 
 
-def _exact(docs: DataFrame, distinct: DataFrame, unsure: DataFrame, shingle: int, similarity: float, prints: int) -> DataFrame:
-    """Of links too near the threshold for the fingerprints, those whose shingle sets are as similar.
+def _pack(part: np.ndarray, node: np.ndarray, size: np.ndarray, hashes: np.ndarray, ranks: np.ndarray) -> pd.DataFrame:
+    """A row for each part."""
+    order = np.lexsort((node, part))
+    part, node, size, hashes, ranks = (x[order] for x in (part, node, size, hashes, ranks))
+    runs = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (node[1:] != node[:-1]))[: len(part)])
+    counts = np.diff(np.append(runs, len(part))).astype(np.int32)
+    first = np.flatnonzero(np.append(True, part[runs][1:] != part[runs][:-1])[: len(runs)])
+    ends, rows = np.append(runs, len(part)), []
+    for a, b in zip(first, np.append(first[1:], len(runs))):
+        at, lo, hi = runs[a:b], ends[a], ends[b]
+        rows.append((int(part[lo]), node[at].tobytes(), size[at].tobytes(), counts[a:b].tobytes(), hashes[lo:hi].tobytes(), ranks[lo:hi].tobytes()))
+    return pd.DataFrame(rows, columns=["part", *PACK])
+
+
+def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, size, hash and rank of each shingle."""
+    nodes, sizes, counts, hashes, ranks = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in PACK.items())
+    return np.repeat(nodes, counts), np.repeat(sizes, counts), hashes, ranks
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
 
-    A node's text comes by its smallest doc_id; rows of that doc_id with another text are told
-    apart by their signature. Nodes without a doc_id are judged by the bits.
-    """
-    asked = unsure.select(F.col("u").alias("node")).unionByName(unsure.select(F.col("v").alias("node"))).distinct().join(distinct.select("node", "first"), "node")
-    salts = _salts(prints)
+
+def _shared(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """The shingles of a part that several nodes have, with up to 255 of how many, dealt by node."""
+    node, size, hashes, _ = _unpack(rows)
+    order = np.lexsort((node, hashes))
+    node, size, hashes = node[order], size[order], hashes[order]
+    once = np.append(True, (hashes[1:] != hashes[:-1]) | (node[1:] != node[:-1]))  # rows of one set are one node
+    node, size, hashes = node[once], size[once], hashes[once]
+    n = np.diff(np.append(_starts(hashes), len(hashes)))
+    n = np.repeat(n, n)
+    node, size, hashes, n = (x[n > 1] for x in (node, size, hashes, n))
+    return _pack(_part(node.view(np.uint64), parts), node, size, hashes, np.minimum(n, 255).astype(np.uint8))
+
+
+def _prefixes(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Nodes with enough shared shingles to have a similar one: size, prefix, all shared shingles."""
+    node, size, hashes, ranks = _unpack(rows)
+    order = np.lexsort((hashes, ranks, node))
+    node, size, hashes = node[order], size[order], hashes[order]
+    at = _starts(node)
+    shared = np.diff(np.append(at, len(node)))
+    # rounded so that the product's last bit can't shorten a prefix
+    prefix = shared - np.ceil(similarity * size[at] - 1e-9).astype(np.int64) + 1  # without those of one node alone, which come first
+    found = [(node[i], size[i], hashes[i : i + k].view(np.int64), hashes[i : i + m].tobytes()) for i, k, m in zip(at, prefix, shared) if k > 0]
+    return pd.DataFrame(found, columns=["node", "n", "prefix", "hashes"])
+
+
+def _sets(docs: DataFrame, total: int, shingle: int, similarity: float) -> DataFrame:
+    """node, n, prefix array<long>, hashes binary: what may have a similar node. Intersections need shared shingles only."""
+    parts = max(1, math.ceil(total / TASK_ENTRIES))
+    schema = "part int, " + ", ".join(f"{c} binary" for c in PACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            size = np.array([len(s) for s in found.values()], np.int32)
+            hashes = np.concatenate(list(found.values()))
+            rows = _pack(_part(hashes, parts), np.repeat(np.array(list(found), np.int64), size), np.repeat(size, size), hashes, np.zeros(len(hashes), np.uint8))
+            arrays = [pa.array(rows["part"], pa.int32()), *(pa.array(rows[c].tolist(), pa.binary()) for c in PACK)]
+            return pa.RecordBatch.from_arrays(arrays, ["part", *PACK])
+
+        found, held = {}, 0
         for b in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column("text")]
-            sigs = [signature(t, shingle, salts).view(np.int64).tolist() for t in texts]
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sigs, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "sig", "sets"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").join(asked, "first").select("node", "text")
-    sets = texts.mapInArrow(run, "node long, sig array<long>, sets array<long>").where(F.xxhash64("sig") == F.col("node")).groupBy("node").agg(F.first("sets").alias("sets"))
-    sets = materialise(sets, "sets")
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("sets").alias(f"_{c}"))
-    shared = F.size(F.array_intersect("_u", "_v"))
-    jaccard = shared / (F.size("_u") + F.size("_v") - shared)
-    by_bits = F.col("bits") <= most_bits(similarity, prints)
-    return unsure.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce(jaccard >= similarity, by_bits)).select("u", "v")
-
-
-def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, prints: int = 16, budget: int = 5) -> DataFrame:
+            for t in b.column("text"):
+                s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)
+                if len(s) and (node := _set_id(s)) not in found:
+                    found[node], held = s, held + len(s)
+                if held >= BUFFER:
+                    yield packed()
+                    found, held = {}, 0
+        if found:
+            yield packed()
+
+    counted = docs.select("text").mapInArrow(run, schema).groupBy("part").applyInPandas(lambda t: _shared(t, parts), schema)
+    return counted.groupBy("part").applyInPandas(lambda t: _prefixes(t, similarity), "node long, n int, prefix array<long>, hashes binary")
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, that connect the nodes whose prefixes have a shingle in common."""
+    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bins = max(1, math.ceil(total / TASK_ENTRIES))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        node, h = rows["node"].to_numpy(np.int64), rows["h"].to_numpy(np.int64)
+        order = np.lexsort((node, h))
+        node, at = node[order], _starts(h[order])
+        edges = np.stack([node, np.repeat(node[at], np.diff(np.append(at, len(node))))], axis=1)
+        u, v = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0).T
+        return pd.DataFrame({"u": u, "v": v})
+
+    rows = sets.select("node", F.explode("prefix").alias("h")).withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(bins)))
+    return rows.groupBy("bin").applyInPandas(run, "u long, v long")
+
+
+def _links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sets are similar enough."""
+    lengths = np.array([len(s) for s in sets])
+    starts = np.cumsum(lengths) - lengths
+    _, hashes, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    typical = np.add.reduceat(n[hashes], starts) / sizes
+    of, done, mark, edges = np.arange(len(nodes)), np.zeros(len(nodes), bool), np.zeros(len(n), bool), []
+    outside = True
+    for i in np.argsort(-typical, kind="stable"):
+        if not outside:  # of two apart, one is outside the largest component and has met the other
+            break
+        near = (sizes >= similarity * sizes[i] - 1e-9) & (similarity * sizes - 1e-9 <= sizes[i])
+        others = np.flatnonzero(near & ~done & (of != of[i]))
+        done[i] = True
+        if len(others):
+            mine, width = hashes[starts[i] : starts[i] + lengths[i]], lengths[others]
+            to = np.cumsum(width) - width
+            mark[mine] = True
+            common = np.add.reduceat(mark[hashes[np.arange(width.sum()) + np.repeat(starts[others] - to, width)]], to, dtype=np.int64)
+            mark[mine] = False
+            linked = others[common / (sizes[i] + sizes[others] - common) >= similarity]
+            if len(linked):
+                heads, at = np.unique(of[linked], return_index=True)
+                edges += [(nodes[i], nodes[j]) for j in linked[at]]
+                of[np.isin(of, heads)] = of[i]
+        outside = (~done & (of != np.bincount(of).argmax())).any()
+    return edges
+
+
+def _verified(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    edges = []
+    for _, t in rows.groupby("root", sort=False):
+        edges += _links_of(t["node"].to_numpy(np.int64), t["n"].to_numpy(np.int64), [np.frombuffer(h, np.uint64) for h in t["hashes"]], similarity)
+    edges = np.array(edges, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": edges.max(axis=1, initial=-(2**63)), "v": edges.min(axis=1, initial=2**63 - 1)})
+
+
+def _similar_links(sets: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v), u > v, that connect all similar nodes, and no others; stars: what prefixes connect."""
+    members = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    rows = materialise(sets.drop("prefix").join(members, "node"), "candidates")
+    entries = F.sum(F.octet_length("hashes") / 8).cast("long")
+    total = rows.agg(entries).first()[0] or 0
+    most = max(TASK_ENTRIES, total // HOT_VALUES)
+    hot = [{"root": r["root"], "chunks": math.ceil(r["m"] / most) + 1} for r in rows.groupBy("root").agg(entries.alias("m")).where(F.col("m") > most).collect()]  # at most HOT_VALUES
+    rows = rows.join(F.broadcast(literal_table(rows.sparkSession, hot, "root long, chunks int")), "root", "left")
+    bin_ = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / TASK_ENTRIES))))
+    columns = ["root", "node", "n", "hashes"]
+    cold = rows.where("chunks is null").select(*columns, F.concat_ws(":", F.lit("c"), bin_).alias("task"))
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    split = rows.where("chunks is not null").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("mine <> other")
+    split = split.select(*columns, F.concat_ws(":", F.lit("h"), "root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
+    return cold.unionByName(split).groupBy("task").applyInPandas(lambda t: _verified(t, similarity), "u long, v long")
+
+
+def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), distinct fp with its first row, and the stars of similar ones; fp is a node."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    base = materialise(shingle_nodes(docs, shingle).withColumnRenamed("node", "fp"), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    distinct = base.groupBy("fp").agg(first.alias("first"))
+    sets = materialise(_sets(docs, base.agg(F.sum("n")).first()[0] or 0, shingle, similarity), "sets")
+    return base, distinct, components(_similar_links(sets, components(_candidates(sets)), similarity))
+
+
+def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id: the smallest doc_id that links of at least this similarity reach."""
-    base = materialise(signatures(docs, shingle, prints).withColumn("node", F.xxhash64("sig")), "signatures")
-    distinct = materialise(base.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")), "nodes")
-    blocks = _blocks(budget)
-    rows = distinct.select("node", F.posexplode("sig").alias("print", "fp"))
-    budgets = tuple(range(1, budget, 2)) + (budget,)
-    found = _tasks(rows, distinct.count() * prints, blocks).groupBy("task").applyInPandas(lambda t: _join_task(t, blocks, budgets), "u long, v long")
-    found = materialise(found.distinct(), "found")
-    of = lambda c: distinct.select(F.col("node").alias(c), F.col("sig").alias(f"_{c}"))
-    apart = F.aggregate(F.zip_with("_u", "_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    judged = materialise(found.join(of("u"), "u").join(of("v"), "v").select("u", "v", apart.alias("bits")), "judged")
-    sure, never = (most_bits(min(1.0, max(0.0, similarity + d)), prints) for d in (BAND, -BAND))
-    edges = judged.where(F.col("bits") <= sure).select("u", "v").unionByName(_exact(docs, distinct, judged.where((F.col("bits") > sure) & (F.col("bits") <= never)), shingle, similarity, prints))
-    stars = components(edges)
-    return _with_least(base.select("doc_id", F.col("node").alias("fp")), distinct.select(F.col("node").alias("fp"), "first"), stars).select("doc_id", "component_id")
+    base, distinct, stars = _similar(docs, shingle, similarity)
+    return _with_least(base, distinct, stars).select("doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

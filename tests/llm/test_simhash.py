@@ -107,3 +107,40 @@ def test_similar_groups(spark, monkeypatch):
     assert all(want[i] == want[c] for i, c in got.items())
     assert sum(got[i] != want[i] for i in got) <= 0.05 * len(got)
     assert all(got[i] == got[j] for i, j, s in pairs if s >= 0.9)
+
+
+def edited(base, edits, rng):
+    words = list(base)
+    for at in edits:
+        words[at] = "edited%d" % rng.randrange(10**9)
+    return " ".join(words)
+
+
+def exact_groups(spark, texts, **settings):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, **settings).collect()}
+
+
+@pytest.mark.parametrize("entries", [1 << 21, 40_000])
+def test_large_group_around_one_text(spark, monkeypatch, entries):
+    """Copies are similar to the base, at 0.82 to 0.87, but not to each other."""
+    monkeypatch.setattr(simhash, "TASK_ENTRIES", entries)
+    rng = random.Random(3)
+    base = [f"{rng.randrange(10**6)}" for _ in range(204)]
+    texts = [edited(base, [k + 20 * i for i, k in enumerate(rng.sample(range(4, 16), rng.choice([3, 4])))], rng) for _ in range(1200)]
+    texts.insert(700, " ".join(base))
+    sets = [shingles(t) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(0.8 <= like(s, sets[700]) < 0.9 for i, s in enumerate(sets) if i != 700)
+    assert sum(like(sets[i], sets[i + 1]) < 0.8 for i in range(300)) > 200
+    got = exact_groups(spark, texts)
+    assert len(got) == 1201 and set(got.values()) == {0}
+
+
+def test_a_large_group_apart(spark, monkeypatch):
+    """Without the base, each copy is in a group of its own; no link comes by way of another."""
+    rng = random.Random(4)
+    base = [f"{rng.randrange(10**6)}" for _ in range(204)]
+    texts = [edited(base, range(k % 5 + 2, 200, 33), rng) for k in range(200)]
+    got = exact_groups(spark, texts)
+    assert all(i == c for i, c in got.items())
