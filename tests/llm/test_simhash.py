@@ -144,3 +144,10 @@ def test_a_large_group_apart(spark, monkeypatch):
     texts = [edited(base, range(k % 5 + 2, 200, 33), rng) for k in range(200)]
     got = exact_groups(spark, texts)
     assert all(i == c for i, c in got.items())
+
+
+def test_shared_run_of_one_word(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"{prose(n // 2)} {'. ' * run} {prose(n // 2)}" for n, run in ((500, 60), (500, 200), (10_000, 400)) for _ in range(3)]
+    assert exact_groups(spark, texts) == {i: i for i in range(len(texts))}
