@@ -151,3 +151,23 @@ def test_shared_run_of_one_word(spark):
     prose = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
     texts = [f"{prose(n // 2)} {'. ' * run} {prose(n // 2)}" for n, run in ((500, 60), (500, 200), (10_000, 400)) for _ in range(3)]
     assert exact_groups(spark, texts) == {i: i for i in range(len(texts))}
+
+
+def test_every_pair_near_the_threshold(spark):
+    """Pairs of short and long texts, exactly those of 0.8 or more."""
+    rng = random.Random(6)
+    texts = []
+    for n in [*range(5, 60), 104, 200, 1000]:
+        for edits in (1, 2, 3, n // 12, n // 45, n // 50):
+            base = [f"{rng.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join([*base, *("more%d" % rng.randrange(10**9) for _ in range(edits))])]
+            if n >= 20:
+                texts += [edited(base, rng.sample(range(n), min(n, edits)), rng)]
+    sets, of = [shingles(t) for t in texts], {}
+    for i, s in enumerate(sets):
+        for x in s:
+            of.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in of.values() for a in ids for b in ids if a < b}
+    likes = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
+    assert sum(0.8 <= s < 0.85 for s in likes.values()) > 50 and 0.8 in likes.values()
+    assert exact_groups(spark, texts) == plain_components(range(len(texts)), [p for p, s in likes.items() if s >= 0.8])
