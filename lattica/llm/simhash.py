@@ -503,11 +503,16 @@ def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8
     return _with_least(base, distinct, stars).select("doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Keep of each group the row of the smallest doc_id; rows alike in doc_id are kept once, those without doc_id all."""
-    found = similar_groups(docs, shingle=shingle, similarity=similarity)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("_keep"), "left_semi")
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    first = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return first.unionByName(docs.where("doc_id is null"))
+def deduplicate(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, spare_unnamed: bool = True) -> DataFrame:
+    """Keep one row of each group: of its smallest doc_id, the row of the least text hash, once.
+
+    Rows without doc_id come last; if they are spared, all of them stay and take no other's place.
+    """
+    _, distinct, stars = _similar(docs, shingle, similarity)
+    stay = _least(distinct, stars).select("component_id.*").distinct().select(F.col("doc_id").alias("_keep"), F.col("text_hash").alias("_text"))
+    mine = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = mine.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rank = F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy(F.xxhash64(*plain)))
+    first = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_hash")
+    return first.where("doc_id is not null").unionByName(docs.where("doc_id is null")) if spare_unnamed else first

@@ -171,3 +171,22 @@ def test_every_pair_near_the_threshold(spark):
     likes = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
     assert sum(0.8 <= s < 0.85 for s in likes.values()) > 50 and 0.8 in likes.values()
     assert exact_groups(spark, texts) == plain_components(range(len(texts)), [p for p, s in likes.items() if s >= 0.8])
+
+
+def test_one_row_of_each_group(spark):
+    """Rows, not doc_ids: rows of one doc_id with unlike texts all stay, and copies without doc_id don't."""
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(7, words(k)) for k in range(40)]  # one doc_id, unlike texts
+    rows += [(3, words(0)), (2, words(99)), (2, words(98)), (9, words(98) + " more"), (7, words(5)), (7, words(5).upper())]
+    rows += [(None, words(97)), (None, words(97)), (None, words(97) + " more"), (None, words(99)), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.deduplicate(docs, spare_unnamed=False).collect()
+    sets = [shingles(t) for _, t in rows]
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    groups = plain_components(range(len(rows)), [(i, j) for j in range(len(rows)) for i in range(j) if like(sets[i], sets[j])])
+    left = [next(i for i, r in enumerate(rows) if r == (k["doc_id"], k["text"])) for k in kept]
+    assert len(kept) == len(set(groups.values())) == 44 and len({groups[i] for i in left}) == 44
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    assert all(order(i) == min(order(j) for j in groups if groups[j] == groups[i]) for i in left)
+    spared = simhash.deduplicate(docs).collect()
+    assert sum(r["doc_id"] is None for r in spared) == 5 and sum(r["doc_id"] is not None for r in spared) == 43
