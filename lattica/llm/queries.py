@@ -111,7 +111,9 @@ SHARD_BYTES = 1 << 20
 
 
 def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shard_rows(load(spark, sf_dir, "documents"), SHARD_BYTES).rows
+    docs, path = load(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards"
+    sharding.write_shards(docs, sharding.shard_rows(docs, SHARD_BYTES), path)
+    found = sharding.written_sizes(sharding.read_shards(docs, path))
     return found.select(F.col("key").alias("doc_id"), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "page", "shard_bytes")
 
 

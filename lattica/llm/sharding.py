@@ -11,7 +11,9 @@ A lookup needs a key's hash and the directory alone: ``find`` a leaf whose prefi
 
 Defined cases: null keys hash as a key of their own; null and empty texts count 0 bytes; a
 row over the limit gets a shard to itself; an empty table has an empty directory; repeated
-rows are rows of their own. Only key and text are looked at; ``assign`` keeps no others.
+rows are rows of their own. ``shard_rows`` looks at key and text only. ``write_shards`` writes
+each row once, with all its columns: a row has the shard of its key and text, and of rows alike
+in both, which may lie on several pages, each takes one of their places.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ STEP = 8
 
 @dataclass
 class Sharding:
-    """rows: key, n_bytes, shard, depth, page, shard_bytes; directory: its leaves."""
+    """rows: key, bits, text_hash, n_bytes, shard, depth, page, shard_bytes; directory: its leaves."""
 
     rows: DataFrame
     directory: DataFrame
@@ -44,6 +46,11 @@ def hash_bits(key: Column, text: Column) -> Column:
     return F.conv(hexes, 16, 10).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    """Null and empty texts are alike."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _prefix(bits: Column, depth: Column | int) -> Column:
     """The first bits, as a number."""
     return F.call_function("shiftright", bits, F.lit(BITS) - depth)
@@ -54,7 +61,7 @@ def shard_rows(docs: DataFrame, limit: int, *, key: str = "doc_id", text: str =
     if limit < 1:
         raise ValueError("limit must be positive")
     body = F.coalesce(F.col(text), F.lit(""))
-    base = materialise(docs.select(F.col(key).alias("key"), F.octet_length(body).cast("long").alias("n_bytes"), hash_bits(F.col(key), F.col(text)).alias("_bits")), "keys")
+    base = materialise(docs.select(F.col(key).alias("key"), text_hash(F.col(text)).alias("text_hash"), F.octet_length(body).cast("long").alias("n_bytes"), hash_bits(F.col(key), F.col(text)).alias("_bits")), "keys")
     total = base.agg(F.sum("n_bytes")).first()[0] or 0
     start, open_, done, leaves = 0, base, [], []
     depth = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + STEP)
@@ -66,7 +73,7 @@ def shard_rows(docs: DataFrame, limit: int, *, key: str = "doc_id", text: str =
         joined = open_.withColumn("_fine", _prefix(F.col("_bits"), F.lit(depth))).join(of, "_fine", "left").drop("_fine")
         joined = materialise(joined, "dealt")
         done.append(joined.where("depth is not null"))
-        rest = joined.where("depth is null").select("key", "n_bytes", "_bits")
+        rest = joined.where("depth is null").select("key", "text_hash", "n_bytes", "_bits")
         if depth == BITS or rest.isEmpty():
             break
         open_, start, depth = rest, depth, min(BITS, depth + STEP)
@@ -81,7 +88,7 @@ def shard_rows(docs: DataFrame, limit: int, *, key: str = "doc_id", text: str =
         rows = rows.unionByName(paged)
         directory = directory.unionByName(paged.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows")))
     name = F.concat(F.lpad(F.bin("prefix"), F.col("depth"), "0"), F.when(F.col("page") > 0, F.concat(F.lit("."), F.col("page").cast("string"))).otherwise(""))
-    rows = rows.select("key", "n_bytes", F.when(F.col("depth") == 0, F.lit("")).otherwise(name).alias("shard"), F.col("depth").cast("int"), "page", "shard_bytes")
+    rows = rows.select("key", F.col("_bits").alias("bits"), "text_hash", "n_bytes", F.when(F.col("depth") == 0, F.lit("")).otherwise(name).alias("shard"), F.col("depth").cast("int"), "page", "shard_bytes")
     return Sharding(rows, directory)
 
 
@@ -110,19 +117,50 @@ def _fine_to_leaf(rows: DataFrame, leaves: DataFrame, start: int, depth: int) ->
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
     """Overflow pages for rows alike in key and text: such rows are interchangeable, so any rank does."""
-    rows = rows.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
-    rank = F.row_number().over(W.partitionBy("_bits", "_chunk").orderBy("n_bytes"))
-    rows = rows.withColumn("_rank", rank)
-    before = rows.groupBy("_bits", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_base", F.sum("_n").over(W.partitionBy("_bits").orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    rows = _ranked(rows, ["_bits"], "n_bytes")
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("n_bytes"))))
-    page = F.floor((F.col("_base") + F.col("_rank") - 1) / each)
-    paged = materialise(rows.join(before, ["_bits", "_chunk"]).select("key", "n_bytes", "_bits", page.alias("page")), "pages")
+    page = F.floor(F.col("_rank") / each)
+    paged = materialise(rows.select("key", "text_hash", "n_bytes", "_bits", page.alias("page")), "pages")
     size = paged.groupBy("_bits", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return paged.join(size, ["_bits", "page"]).select("key", "n_bytes", "_bits", F.lit(BITS).alias("depth"), F.col("_bits").alias("prefix"), "shard_bytes", "page")
+    return paged.join(size, ["_bits", "page"]).select("key", "text_hash", "n_bytes", "_bits", F.lit(BITS).alias("depth"), F.col("_bits").alias("prefix"), "shard_bytes", "page")
 
 
-def write_shards(docs: DataFrame, sharding: Sharding, path: str, *, key: str = "doc_id") -> None:
-    """Write the documents, a folder per shard. Rows with equal keys must have equal shards."""
-    of = sharding.rows.select(F.col("key").alias("_key"), "shard").distinct()
-    docs.join(of, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").repartition("shard").write.partitionBy("shard").parquet(path)
+def _ranked(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Number rows of equal keys from 0 in ``_rank``, in chunks that are ordered by themselves."""
+    rows = rows.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    before = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.withColumn("_base", F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(by)))
+    return rows.join(before, [*keys, "_chunk"]).withColumn("_rank", F.col("_base") + F.col("_rank") - 1).drop("_base", "_chunk")
+
+
+def write_shards(docs: DataFrame, sharding: Sharding, path: str, *, key: str = "doc_id", text: str = "text") -> None:
+    """Write each row of documents once, a folder per shard; key and text as ``shard_rows`` had them."""
+    if "shard" in docs.columns:
+        raise ValueError("documents have a column named shard already")
+    ids = ["_bits", "_text"]
+    places = sharding.rows.select(F.col("bits").alias("_bits"), F.col("text_hash").alias("_text"), "shard")
+    places = places.groupBy(*ids, "shard").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*ids).orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
+    places = materialise(places.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n")), "places")
+    mine = docs.withColumns({"_bits": hash_bits(F.col(key), F.col(text)), "_text": text_hash(F.col(text))})
+    several = places.where("_from > 0").select(*ids).distinct()  # rows alike that lie on several pages
+    one = places.join(several, ids, "left_anti").select(*ids, "shard")
+    twins = _ranked(materialise(mine.join(several, ids, "left_semi"), "twins"), ids, "_text")
+    paged = twins.join(places, ids).where("_rank >= _from and _rank < _to")
+    out = mine.join(one, ids).select(*docs.columns, "shard").unionByName(paged.select(*docs.columns, "shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(docs: DataFrame, path: str) -> DataFrame:
+    """The written documents with their shard; docs: what has been written."""
+    rows = docs.sparkSession.read.schema(docs.withColumn("shard", F.lit("")).schema).parquet(path)
+    return rows.withColumn("shard", F.coalesce("shard", F.lit("")))
+
+
+def written_sizes(rows: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes, shard, depth, page, shard_bytes of what has been read from shards."""
+    rows = rows.select(F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), "shard")
+    size = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+    page = F.coalesce(F.try_element_at(F.split("shard", "[.]"), F.lit(2)).cast("long"), F.lit(0))
+    return rows.join(size, "shard").select("key", "n_bytes", "shard", F.length(F.substring_index("shard", ".", 1)).alias("depth"), page.alias("page"), "shard_bytes")

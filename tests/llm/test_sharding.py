@@ -43,3 +43,21 @@ def test_empty_and_write(spark, tmp_path):
     found = sharding.shard_rows(docs, 200)
     sharding.write_shards(docs, found, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 30
+
+
+def test_writes_each_row_once(spark, tmp_path):
+    """A hot key over many shards, and repeated rows on overflow pages."""
+    data = [(5, f"text {i}" * 5, "a") for i in range(60)] + [(6, "same text", str(i)) for i in range(40)] + [(8, "y" * 5000, "b"), (None, "n", "c"), (None, "n", "d"), (None, None, "e"), (6, "", "f"), (6, None, "g")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = sharding.shard_rows(docs, 100)
+    sharding.write_shards(docs, found, str(tmp_path / "s"))
+    read = sharding.read_shards(docs, str(tmp_path / "s"))
+    rows = read.collect()
+    assert sorted(map(str, data)) == sorted(str((r["doc_id"], r["text"], r["lang"])) for r in rows)
+    size, n = defaultdict(int), defaultdict(int)
+    for r in rows:
+        size[r["shard"]] += len((r["text"] or "").encode())
+        n[r["shard"]] += 1
+    assert len(size) > 20 and all(b <= 100 or n[s] == 1 for s, b in size.items())
+    columns = ["key", "n_bytes", "shard", "depth", "page", "shard_bytes"]
+    assert sorted(map(str, found.rows.select(*columns).collect())) == sorted(map(str, sharding.written_sizes(read).select(*columns).collect()))
