@@ -1,20 +1,30 @@
 """Chat formatting: tool-call linking (DataFrame functions only).
 
 Calls and results are hash-joined by (conv_id, call_id). The order of a conversation's calls
-is topological: a call comes after those it depends on. A call's place is the tuple (ready,
-depth, turn, call_id), where ready is the largest turn among the call and all it depends on,
-and depth counts the dependencies that don't come from an earlier turn. So only such edges
-need rounds, one for each link of their longest chain, and no conversation is ever gathered
-in one task. Arguments are checked against the tool's schema and serialised, like the whole
-record, as canonical JSON: sorted keys, no blanks.
+is topological: a call comes after those it depends on. An identifier's place is the pair
+(ready, depth), the largest of (its own turn, 0) and, for all that it depends on,
+(ready, depth + 1): so ready is the largest turn among a call and all it depends on, and
+depth counts the dependencies that don't come from an earlier turn. Calls sorted by (ready,
+depth, turn, call_id) are in topological order.
+
+In a conversation whose dependencies all come from earlier turns, places are (turn, 0). Only
+conversations with another dependency need rounds. A round places what depends on placed
+calls only, and lets a dependency on a call with a single open dependency jump to that one,
+so chains take as many rounds as the logarithm of their length; only calls with several open
+dependencies take a round for each level. Both give the same places, and no conversation is
+ever gathered in one task. Arguments are checked against the tool's schema and serialised,
+like the whole record, as canonical JSON: sorted keys, no blanks.
 
 Defined cases: repeated equal calls are one call with ``n_calls``; calls with one identifier
-but different content are calls of their own; of several results the one of the earliest
-turn (then the least) is linked and ``n_results`` tells how many there are; a result without
-a call is returned with status ``orphan_result``, a call without one as ``no_result``;
-dependencies on unknown calls or itself are ignored; calls on or behind a cycle have a null place and
-status ``cycle``; unparseable arguments are kept null, with error ``not_an_object``; null
-identifiers link to nothing, but are returned. Other columns are not looked at.
+but different content are rows of their own: the dependencies of each hold for all, what
+depends on them waits for the one of the least turn, and none comes before its own turn; a
+null turn comes before all others; of several results the one of the earliest turn (then the
+least) is linked and ``n_results`` tells how many there are; a result without a call is
+returned with status ``orphan_result``, a call without one as ``no_result``; dependencies on
+unknown calls or itself are ignored; calls on or behind a cycle have a null place and status
+``cycle``; unparseable arguments are kept null, with error ``not_an_object``; null
+identifiers link to nothing and depend on nothing, but are returned, with place (turn, 0).
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shared_dir
 
 #: JSON kinds that a schema may ask for, as variant types that satisfy them.
 KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
@@ -78,42 +88,72 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     rows = rows.join(tools.withColumnRenamed("name", "_tool"), F.col("name") == F.col("_tool"), "left").drop("_tool")
     is_call = F.col("n_calls").isNotNull()
     rows = rows.withColumn("errors", F.when(is_call, argument_errors(F.col("arguments"), F.col("_params")))).withColumn("arguments", canonical_json(F.col("arguments")))
-    status = F.when(~is_call, "orphan_result").when(F.col("ready").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("_has").isNull(), "no_result").otherwise("linked")
+    status = F.when(~is_call, "orphan_result").when(~F.col("placed"), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("_has").isNull(), "no_result").otherwise("linked")
     rows = rows.withColumns({"status": status, "n_calls": F.coalesce("n_calls", F.lit(0)), "n_results": F.coalesce("n_results", F.lit(0))})
     rest = F.to_json(F.struct("call_id", "conv_id", "name", "result"), {"ignoreNullFields": "false"})
     record = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(","), F.substr(rest, F.lit(2)))
     return rows.select(*KEY, "turn", "name", "arguments", "result", "result_turn", "n_calls", "n_results", "ready", "depth", "errors", "status", record.alias("record"))
 
 
+#: Steps and depths stop here, which only those around a cycle can reach.
+MOST_STEPS = 1 << 61
+
+
 def _place(calls: DataFrame) -> DataFrame:
-    """Add ready and depth; both stay null for calls on a cycle, or waiting for one in its turn."""
-    ids = calls.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min("turn").alias("turn"))
-    edges = calls.select(*KEY, F.explode("depends_on").alias("before")).where("before <> call_id").distinct()
+    """Add ready, depth and placed, which is false on a cycle or behind one."""
+    named = calls.where("conv_id is not null and call_id is not null")
+    ids = named.groupBy(*KEY).agg(F.min("turn").alias("turn"))
+    edges = named.select(*KEY, F.explode("depends_on").alias("before")).where("before <> call_id").distinct()
     first = ids.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("_t"))
     edges = edges.join(first, ["conv_id", "before"]).join(ids, KEY)
-    if edges.where("_t >= turn").isEmpty():  # all in order by their turns
-        return calls.withColumns({"ready": F.col("turn"), "depth": F.lit(0)})
-
-    edges = materialise(edges.select(*KEY, "before"), "edges")
-    ready = materialise(ids.select(*KEY, F.col("turn").alias("ready")), "ready")
-    while True:  # the largest turn travels along the edges
-        of = ready.select("conv_id", F.col("call_id").alias("before"), F.col("ready").alias("_r"))
-        raised = edges.join(of, ["conv_id", "before"]).groupBy(*KEY).agg(F.max("_r").alias("_r"))
-        step = materialise(ready.join(raised, KEY, "left").select(*KEY, F.greatest("ready", "_r").alias("ready"), (F.col("_r") > F.col("ready")).alias("_up")), "ready")
-        ready = step.drop("_up")
-        if step.where("_up").isEmpty():
-            break
-    of = ready.select("conv_id", F.col("call_id").alias("before"), F.col("ready").alias("_r"))
-    ties = materialise(edges.join(of, ["conv_id", "before"]).join(ready, KEY).where("_r = ready").select(*KEY, "before"), "ties")
-    done = ready.join(ties.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, F.lit(0).alias("depth"))
-    level = 0
-    while True:  # peel calls whose ties are all placed
-        level += 1
-        open_ = ties.join(done.select(*KEY), KEY, "left_anti")
-        of = done.select("conv_id", F.col("call_id").alias("before"), F.lit(True).alias("_ok"))
-        free = open_.join(of, ["conv_id", "before"], "left").groupBy(*KEY).agg(F.min(F.coalesce("_ok", F.lit(False))).alias("_ok")).where("_ok")
-        fresh = materialise(free.select(*KEY, F.lit(level).alias("depth")), "fresh")
-        if fresh.isEmpty():
-            break
-        done = done.unionByName(fresh)
-    return calls.join(ready.join(done, KEY), KEY, "left")
+    back = F.coalesce(F.col("_t") >= F.col("turn"), F.lit(True))  # null turns are left to the rounds
+    edges = materialise(edges.select(*KEY, "before", back.alias("_back")), "edges")
+    winding = edges.where("_back").select("conv_id").distinct()
+    if winding.isEmpty():  # the rounds would change no place
+        return calls.withColumns({"ready": F.col("turn"), "depth": F.lit(0).cast("long"), "placed": F.lit(True)})
+    winding = materialise(winding, "winding")
+    places = _rounds(materialise(ids, "ids").join(winding, "conv_id", "left_semi"), edges.join(winding, "conv_id", "left_semi"))
+    out = calls.join(places.select(*KEY, F.struct("ready", "depth", "placed").alias("_id")), KEY, "left")
+    placed = F.coalesce("_id.placed", F.lit(True))
+    ready = F.when(placed, F.greatest("turn", "_id.ready"))
+    depth = F.when(placed, F.when(F.col("_id").isNotNull() & F.col("_id.ready").eqNullSafe(ready), F.col("_id.depth")).otherwise(F.lit(0).cast("long")))
+    return out.withColumns({"ready": ready, "depth": depth, "placed": placed}).drop("_id")
+
+
+def _rounds(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Places of the identifiers (conv_id, call_id, turn) under the edges (conv_id, call_id, before).
+
+    Terms of an identifier are lower bounds of its place, without ``before``, and paths of
+    ``steps`` to identifiers that are still open. Its place is the largest bound once it has
+    no path left. The rounds' results are read as one table at the end, so the plan stays small.
+    """
+    spark, folder = ids.sparkSession, shared_dir(ids.sparkSession)
+    place = f"struct<ready:{dict(ids.dtypes)['turn']},depth:bigint>"
+    no_call, no_steps, no_bound = F.lit(None).cast("string").alias("before"), F.lit(None).cast("long").alias("steps"), F.lit(None).cast(place).alias("bound")
+    most = lambda n: F.least(n, F.lit(MOST_STEPS))
+    own = F.struct(F.col("turn").alias("ready"), F.lit(0).cast("long").alias("depth")).cast(place)
+    new = F.lit(False).alias("old")
+    terms = ids.select(*KEY, no_call, no_steps, own.alias("bound"), new).unionByName(edges.select(*KEY, "before", F.lit(1).cast("long").alias("steps"), no_bound, new))
+    parts: list[str] = []
+    while True:
+        terms = materialise(terms.groupBy(*KEY, "before").agg(F.max("steps").alias("steps"), F.max("bound").alias("bound"), F.max("old").alias("old")), "terms")
+        path = F.max(F.when(F.col("before").isNotNull(), F.struct("before", "steps"))).alias("path")
+        nodes = materialise(terms.groupBy(*KEY).agg(F.max("bound").alias("bound"), F.count("before").alias("open"), path, F.max("old").alias("old")), "nodes")
+        n_placed, n_open = nodes.agg(F.count_if((F.col("open") == 0) & ~F.col("old")), F.count_if(F.col("open") > 0)).first()
+        rows = nodes.where("open = 0 and not old").select(*KEY, "bound.ready", "bound.depth", F.lit(True).alias("placed"))
+        if not n_placed:  # what is left is on a cycle or behind one
+            rows = nodes.where("open > 0").select(*KEY, F.lit(None).cast(rows.schema["ready"].dataType).alias("ready"), F.lit(None).cast("long").alias("depth"), F.lit(False).alias("placed"))
+        parts.append(f"{folder}/places-{len(parts)}")
+        rows.write.parquet(parts[-1])
+        if not n_placed or not n_open:
+            return spark.read.schema(rows.schema).parquet(*parts)
+        of = nodes.select("conv_id", F.col("call_id").alias("before"), F.col("bound").alias("_bound"), F.col("open").alias("_open"), F.col("path").alias("_path"))
+        paths = terms.where("before is not null").join(of, ["conv_id", "before"])
+        # a call with one open path hands over its bound and that path
+        reached = F.struct(F.col("_bound.ready").alias("ready"), most(F.col("_bound.depth") + F.col("steps")).alias("depth")).cast(place)
+        gained = paths.where("_open < 2").select(*KEY, no_call, no_steps, reached.alias("bound"), new)
+        onward = paths.where("_open = 1").select(*KEY, F.col("_path.before").alias("before"), most(F.col("steps") + F.col("_path.steps")).alias("steps"), no_bound, new)
+        waiting = paths.where("_open > 1").select(*KEY, "before", "steps", no_bound, new)
+        # what has been placed stays: paths may jump to it later
+        kept = nodes.select(*KEY, no_call, no_steps, "bound", (F.col("open") == 0).alias("old"))
+        terms = kept.unionByName(gained).unionByName(onward).unionByName(waiting)

@@ -6,9 +6,11 @@ import json
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: A word is a run of anything but ASCII blanks (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,21 +20,29 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders that materialise() has written in a ``scratch`` block.
+_SCRATCH: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in
-    tests, is a temporary folder of this machine used.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session,
+    as in tests, gets a temporary folder of this machine; a cluster is refused, since its
+    executors would each write to a disk of their own.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
         # getCheckpointDir() is "<folder>/<uuid>" once a folder has been set
-        here = spark.sparkContext._jsc.sc().getCheckpointDir()
+        here = context._jsc.sc().getCheckpointDir()
         if here.isDefined():
             base = here.get()
-        else:
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
             base = "file://" + tempfile.mkdtemp(prefix="lattica-")
-            spark.sparkContext.setCheckpointDir(base)
+            context.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/lattica/{uuid.uuid4().hex}"
 
 
@@ -40,11 +50,43 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a frame to the shared folder and read it again.
 
     It cuts lineage like ``checkpoint()``, but as compressed columns, and a lost executor
-    costs nothing that was written before.
+    costs nothing that was written before. Within ``scratch``, the folder goes at its end.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_dir(df.sparkSession)
+    if _SCRATCH:
+        _SCRATCH[-1].append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store with all that is in it, if it is there."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what ``materialise`` writes in this block once it ends; what leaves it must have been written outside it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCRATCH.pop():
+            delete_folder(spark, folder)
+
+
+def ranked(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Number rows of equal keys from 0 in ``_rank``, in 1024 chunks of each key; rows must have been written, so that they don't change places."""
+    rows = rows.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    before = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.withColumn("_base", F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(by)))
+    same = [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)]
+    before = before.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_bchunk"), "_base")
+    joined = rows.join(before, [*same, F.col("_chunk") == F.col("_bchunk")])
+    return joined.withColumn("_rank", F.col("_base") + F.col("_rank") - 1).drop("_base", "_chunk", "_bchunk", *(f"_b{i}" for i in range(len(keys))))
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -76,35 +76,66 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The tools whose calls op9 reads from conversations.
-TOOLS = [("reply", "text", "string", True), ("reply", "turn", "integer", True), ("configure", "text", "string", True), ("configure", "turn", "integer", True)]
+TOOLS = [("reply", "text", "string", True), ("reply", "turn", "integer", True), ("configure", "text", "string", True), ("configure", "turn", "integer", False)]
 
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as tool calls: a user's turn calls ``reply``, a system's ``configure``; the assistant's next turn is the result; each call needs the one two turns before it."""
+    """Conversations as tool calls.
+
+    A user's turn calls ``reply``, or ``retract``, which no schema knows; a system's calls
+    ``configure``; the assistant's next turn is the result. By conv_id mod 3, a call needs the
+    one two turns before it, or the ones one and two turns after it, or the former with turns
+    2 and 3 needing the latter as well, which makes a cycle. Some calls lack an argument, give
+    a number as text or add an unknown one.
+    """
     turns = load(spark, sf_dir, "conversations")
-    name = F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure")
-    call_id = lambda t: F.concat(F.lit("c"), t.cast("string"))
-    arguments = F.to_json(F.struct("turn", "text"), {"ignoreNullFields": "false"})
-    calls = turns.where(name.isNotNull()).select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), F.array(call_id(F.col("turn") - 2)).alias("depends_on"))
-    results = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    tools = literal_table(spark, [dict(zip(("name", "param", "kind", "required"), t)) for t in TOOLS], "name string, param string, kind string, required boolean")
+    t = F.col("turn")
+    name = F.when(F.col("role") == "user", F.when(t % 8 == 5, "retract").otherwise("reply")).when(F.col("role") == "system", "configure")
+    call_id = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    fields = F.concat_ws(
+        ",",
+        F.when(t % 6 != 4, F.concat(F.lit('"turn" : '), F.when(t % 5 == 3, F.concat(F.lit('"'), t.cast("string"), F.lit('"'))).otherwise(t.cast("string")))),
+        F.when(t % 7 != 2, F.concat(F.lit('"text": '), F.coalesce(F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1), F.lit("null")))),
+        F.when(t % 7 == 6, F.lit('"note":true')),
+    )
+    arguments = F.concat(F.lit("{"), fields, F.lit("}"))
+    before = F.array(call_id(t - 2))
+    depends = F.when(F.col("conv_id") % 3 == 1, F.array(call_id(t + 2), call_id(t + 1))).when((F.col("conv_id") % 3 == 2) & t.isin(2, 3), F.array(call_id(t - 2), call_id(t + 2))).otherwise(before)
+    calls = turns.where(name.isNotNull()).select("conv_id", call_id(t).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), depends.alias("depends_on"))
+    results = turns.where("role = 'assistant'").select("conv_id", call_id(t - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    tools = literal_table(spark, [dict(zip(("name", "param", "kind", "required"), r)) for r in TOOLS], "name string, param string, kind string, required boolean")
     linked = chat.link_calls(calls, results, tools)
-    return linked.select("conv_id", "call_id", "turn", "name", "n_calls", "n_results", "ready", F.col("depth").cast("long").alias("depth"), F.array_join("errors", ",").alias("errors"), "status", "record")
+    return linked.select("conv_id", "call_id", "turn", "name", "n_calls", "n_results", "ready", "depth", F.array_join("errors", ",").alias("errors"), "status", "record")
 
 
+#: A place is the largest (turn, steps) over all paths from a call to what it depends on.
 OP9_SQL = """
-WITH c AS (SELECT conv_id, 'c' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text, count(*) AS n_calls
-           FROM conversations WHERE role IN ('user', 'system') GROUP BY ALL),
+WITH RECURSIVE c AS (
+  SELECT conv_id, 'c' || turn AS call_id, turn, CASE WHEN role = 'system' THEN 'configure' WHEN turn % 8 = 5 THEN 'retract' ELSE 'reply' END AS name, text, count(*) AS n_calls
+  FROM conversations WHERE role IN ('user', 'system') GROUP BY ALL),
+e AS (SELECT DISTINCT a.conv_id, a.turn AS f, b.turn AS t FROM c a JOIN c b ON a.conv_id = b.conv_id AND CASE a.conv_id % 3 WHEN 1 THEN b.turn IN (a.turn + 1, a.turn + 2) WHEN 2 THEN b.turn = a.turn - 2 OR (a.turn IN (2, 3) AND b.turn = a.turn + 2) ELSE b.turn = a.turn - 2 END),
+reach(conv_id, f, t) AS (SELECT * FROM e UNION SELECT r.conv_id, r.f, e.t FROM reach r JOIN e ON e.conv_id = r.conv_id AND e.f = r.t),
+stuck AS (SELECT DISTINCT conv_id, f FROM reach WHERE f = t UNION SELECT r.conv_id, r.f FROM reach r JOIN reach s ON s.conv_id = r.conv_id AND s.f = r.t AND s.t = r.t),
+path(conv_id, f, t, steps) AS (
+  SELECT DISTINCT conv_id, turn, turn, 0::BIGINT FROM c WHERE NOT EXISTS (FROM stuck s WHERE s.conv_id = c.conv_id AND s.f = c.turn)
+  UNION SELECT p.conv_id, p.f, e.t, p.steps + 1 FROM path p JOIN e ON e.conv_id = p.conv_id AND e.f = p.t),
+place AS (SELECT conv_id, f, max(struct_pack(ready := t, depth := steps)) AS p FROM path GROUP BY ALL),
 r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min(struct_pack(turn := turn, text := text)).text AS result, count(*) AS n_results
       FROM conversations WHERE role = 'assistant' GROUP BY ALL),
-j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.text, c.n_calls, r.n_results, r.result, r.call_id IS NOT NULL AS has
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.text, c.n_calls, r.n_results, r.result, r.call_id IS NOT NULL AS has,
+        CASE WHEN name = 'retract' THEN 'no_such_tool' ELSE array_to_string(list_sort(list_filter([
+          CASE WHEN turn % 7 = 2 THEN 'missing:text' WHEN text IS NULL THEN 'kind:text' END,
+          CASE WHEN turn % 6 = 4 THEN CASE WHEN name = 'reply' THEN 'missing:turn' END WHEN turn % 5 = 3 THEN 'kind:turn' END,
+          CASE WHEN turn % 7 = 6 THEN 'unknown:note' END], lambda x: x IS NOT NULL)), ',') END AS errors
       FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
-SELECT conv_id, call_id, turn, name, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, turn AS ready, CASE WHEN name IS NOT NULL THEN 0 END AS depth,
-       CASE WHEN name IS NULL THEN NULL WHEN text IS NULL THEN 'kind:text' ELSE '' END AS errors,
-       CASE WHEN name IS NULL THEN 'orphan_result' WHEN text IS NULL THEN 'invalid' WHEN has THEN 'linked' ELSE 'no_result' END AS status,
-       '{"arguments":' || CASE WHEN name IS NULL THEN 'null' ELSE '{"text":' || coalesce(to_json(text), 'null') || ',"turn":' || turn || '}' END
-       || ',"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id || ',"name":' || coalesce(to_json(name), 'null') || ',"result":' || coalesce(to_json(result), 'null') || '}' AS record
-FROM j
+SELECT j.conv_id, j.call_id, j.turn, j.name, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, place.p.ready AS ready, place.p.depth AS depth,
+       CASE WHEN j.name IS NOT NULL THEN errors END AS errors,
+       CASE WHEN j.name IS NULL THEN 'orphan_result' WHEN place.p IS NULL AND j.conv_id IS NOT NULL THEN 'cycle' WHEN errors <> '' THEN 'invalid' WHEN has THEN 'linked' ELSE 'no_result' END AS status,
+       '{"arguments":' || CASE WHEN j.name IS NULL THEN 'null' ELSE '{' || array_to_string(list_filter([
+          CASE WHEN j.turn % 7 = 6 THEN '"note":true' END, CASE WHEN j.turn % 7 <> 2 THEN '"text":' || coalesce(to_json(text), 'null') END,
+          CASE WHEN j.turn % 6 <> 4 THEN '"turn":' || CASE WHEN j.turn % 5 = 3 THEN '"' || j.turn || '"' ELSE j.turn::VARCHAR END END], lambda x: x IS NOT NULL), ',') || '}' END
+       || ',"call_id":' || to_json(j.call_id) || ',"conv_id":' || j.conv_id || ',"name":' || coalesce(to_json(j.name), 'null') || ',"result":' || coalesce(to_json(result), 'null') || '}' AS record
+FROM j LEFT JOIN place ON place.conv_id = j.conv_id AND place.f = j.turn
 """
 
 SHARD_BYTES = 1 << 20
