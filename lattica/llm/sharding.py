@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import materialise, ranked
 
 KEY_BITS, TEXT_BITS = 40, 20
 BITS = KEY_BITS + TEXT_BITS
@@ -117,7 +117,7 @@ def _fine_to_leaf(rows: DataFrame, leaves: DataFrame, start: int, depth: int) ->
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
     """Overflow pages for rows alike in key and text: such rows are interchangeable, so any rank does."""
-    rows = _ranked(rows, ["_bits"], "n_bytes")
+    rows = ranked(rows, ["_bits"], "n_bytes")
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), F.col("n_bytes"))))
     page = F.floor(F.col("_rank") / each)
     paged = materialise(rows.select("key", "text_hash", "n_bytes", "_bits", page.alias("page")), "pages")
@@ -125,15 +125,6 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return paged.join(size, ["_bits", "page"]).select("key", "text_hash", "n_bytes", "_bits", F.lit(BITS).alias("depth"), F.col("_bits").alias("prefix"), "shard_bytes", "page")
 
 
-def _ranked(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Number rows of equal keys from 0 in ``_rank``, in chunks that are ordered by themselves."""
-    rows = rows.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
-    before = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_base", F.sum("_n").over(W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(by)))
-    return rows.join(before, [*keys, "_chunk"]).withColumn("_rank", F.col("_base") + F.col("_rank") - 1).drop("_base", "_chunk")
-
-
 def write_shards(docs: DataFrame, sharding: Sharding, path: str, *, key: str = "doc_id", text: str = "text") -> None:
     """Write each row of documents once, a folder per shard; key and text as ``shard_rows`` had them."""
     if "shard" in docs.columns:
@@ -146,7 +137,7 @@ def write_shards(docs: DataFrame, sharding: Sharding, path: str, *, key: str = "
     mine = docs.withColumns({"_bits": hash_bits(F.col(key), F.col(text)), "_text": text_hash(F.col(text))})
     several = places.where("_from > 0").select(*ids).distinct()  # rows alike that lie on several pages
     one = places.join(several, ids, "left_anti").select(*ids, "shard")
-    twins = _ranked(materialise(mine.join(several, ids, "left_semi"), "twins"), ids, "_text")
+    twins = ranked(materialise(mine.join(several, ids, "left_semi"), "twins"), ids, "_text")
     paged = twins.join(places, ids).where("_rank >= _from and _rank < _to")
     out = mine.join(one, ids).select(*docs.columns, "shard").unionByName(paged.select(*docs.columns, "shard"))
     out.repartition("shard").write.partitionBy("shard").parquet(path)
