@@ -2,8 +2,9 @@
 
 The directory is indexed by bits of a key's hash. One bucket holds all rows at first; only
 buckets over the byte limit split, on the next bit, until every bucket fits. Byte sums of
-the directory's nodes come from one pre-aggregated pass for ``STEP`` bits at a time; rows
-whose bucket is still too large after these go into another round with further bits. Key
+the directory's nodes are added up from its finest level, ``STEP`` bits below the expected
+one, ``RISE`` levels at a time; rows whose bucket is still too large after these go into
+another round with further bits. Key
 bits are followed by bits of the text's hash, so a key that many rows share splits too; rows
 alike in both split into overflow pages, by rank.
 
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, ranked
+from .common import materialise, ranked, shared_dir
 
 KEY_BITS, TEXT_BITS = 40, 20
 BITS = KEY_BITS + TEXT_BITS
-STEP = 8
+STEP, RISE = 8, 4
 
 
 @dataclass
@@ -69,7 +70,7 @@ def shard_rows(docs: DataFrame, limit: int, *, key: str = "doc_id", text: str =
         found = materialise(_leaves(open_, start, depth, limit), "leaves")
         leaves.append(found)
         least = found.agg(F.min("depth")).first()[0]  # above it, all rows would meet in a few nodes
-        of = _fine_to_leaf(open_, found, depth if least is None else least, depth)
+        of = _fine_to_leaf(open_, found, start if least is None else least, depth)
         joined = open_.withColumn("_fine", _prefix(F.col("_bits"), F.lit(depth))).join(of, "_fine", "left").drop("_fine")
         joined = materialise(joined, "dealt")
         done.append(joined.where("depth is not null"))
@@ -93,10 +94,25 @@ def shard_rows(docs: DataFrame, limit: int, *, key: str = "doc_id", text: str =
 
 
 def _nodes(rows: DataFrame, start: int, depth: int) -> DataFrame:
-    """Nodes of the directory below ``start`` bits: depth, prefix, bytes, rows."""
-    fine = rows.groupBy(_prefix(F.col("_bits"), F.lit(depth)).alias("_fine")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
-    at = fine.select("_fine", "b", "n", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("depth"))
-    return at.groupBy("depth", F.call_function("shiftright", F.col("_fine"), F.lit(depth) - F.col("depth")).alias("prefix")).agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
+    """Nodes of the directory below ``start`` bits: depth, prefix, shard_bytes, shard_rows.
+
+    The finest are summed from the rows, and others from the lowest of ``RISE`` levels at a
+    time, each a 2**RISE-th of the last: all levels cost little more than RISE times the finest.
+    """
+    folder, parts = shared_dir(rows.sparkSession), []
+    fine = rows.groupBy(_prefix(F.col("_bits"), F.lit(depth)).alias("prefix")).agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    top, low = depth, max(start, depth - RISE + 1)
+    while True:
+        at = fine.select("prefix", "shard_bytes", "shard_rows", F.explode(F.sequence(F.lit(low), F.lit(min(depth, top)))).alias("depth"))
+        up = F.call_function("shiftright", F.col("prefix"), F.lit(depth if not parts else top + 1) - F.col("depth"))
+        level = at.groupBy("depth", up.alias("prefix")).agg(F.sum("shard_bytes").alias("shard_bytes"), F.sum("shard_rows").alias("shard_rows"))
+        parts.append(f"{folder}/nodes-{low}")
+        level.write.parquet(parts[-1])
+        read = rows.sparkSession.read.schema(level.schema)
+        if low == start:
+            return read.parquet(*parts)
+        fine = read.parquet(parts[-1]).where(F.col("depth") == low).drop("depth")
+        top, low = low - 1, max(start, low - RISE)
 
 
 def _leaves(rows: DataFrame, start: int, depth: int, limit: int) -> DataFrame:
@@ -108,11 +124,16 @@ def _leaves(rows: DataFrame, start: int, depth: int, limit: int) -> DataFrame:
     return nodes.where(fits).join(large, ["depth", "prefix"], "left_semi").unionByName(root)
 
 
-def _fine_to_leaf(rows: DataFrame, leaves: DataFrame, start: int, depth: int) -> DataFrame:
+def _fine_to_leaf(rows: DataFrame, leaves: DataFrame, least: int, depth: int) -> DataFrame:
+    """The leaf of each finest prefix, by a sweep in order of prefixes below each of ``least`` bits, which no leaf spans."""
     fine = rows.select(_prefix(F.col("_bits"), F.lit(depth)).alias("_fine")).distinct()
-    at = fine.select("_fine", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("depth"))
-    at = at.withColumn("prefix", F.call_function("shiftright", F.col("_fine"), F.lit(depth) - F.col("depth")))
-    return at.join(leaves.select("depth", "prefix", "shard_bytes"), ["depth", "prefix"]).select("_fine", "depth", "prefix", "shard_bytes")
+    leaf = F.struct("depth", "prefix", "shard_bytes")
+    starts = leaves.select(F.call_function("shiftleft", F.col("prefix"), F.lit(depth) - F.col("depth")).alias("_fine"), F.lit(0).alias("_kind"), leaf.alias("_leaf"))
+    events = starts.unionByName(fine.select("_fine", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_leaf"].dataType).alias("_leaf")))
+    sweep = W.partitionBy(F.call_function("shiftright", F.col("_fine"), F.lit(depth - least))).orderBy("_fine", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    found = events.withColumn("_leaf", F.last("_leaf", True).over(sweep)).where("_kind = 1")
+    inside = F.call_function("shiftright", F.col("_fine"), F.lit(depth) - F.col("_leaf.depth")) == F.col("_leaf.prefix")
+    return found.where(inside).select("_fine", "_leaf.*")
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:

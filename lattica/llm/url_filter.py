@@ -9,8 +9,9 @@ in key order can keep the active ones on a stack: the running sum of starts and
 stack's height, and what lies on top for a url is the last rule started at that height.
 
 Sweeps are split by suffix host, and a host with many urls by a hash of the path, to each
-part of which the rules of that host are copied; urls are made distinct first, so a url that
-a third of all rows share is judged once. Of the rules that fit a url at different hosts,
+part of which the rules of that host are copied: parts hold ``SWEEP_URLS`` urls, or as many
+as the host has rules, so that copies of rules never outnumber urls. Urls are made distinct
+first, so a url that a third of all rows share is judged once. Of the rules that fit a url at different hosts,
 the longest (characters of host and path) wins, then the one with the longer host.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, and no rule with
@@ -21,18 +22,14 @@ Columns of the input stay, except where they clash with host, path, rule and ver
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import literal_table, materialise
+from .common import materialise
 
-#: Urls that one sweep gets of one host, unless a thousandth of all is more.
-SWEEP_URLS = 20_000
-#: So many hosts at most can have more than a thousandth of all urls; they are broadcast.
-HOT_HOSTS = 1000
+#: Urls that one sweep gets of one host, unless the host has more rules.
+SWEEP_URLS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,7 +47,6 @@ def _key(host, path):
 
 def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule (its host and path, or null) and verdict."""
-    spark = pages.sparkSession
     labels = F.split("host", r"\.")
     rules = rules.where("verdict is not null and host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.withColumn("_rev", F.array_join(F.reverse(labels), "."))
@@ -61,13 +57,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     urls = materialise(parsed.select("host", "path").distinct(), "urls")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.array_join(F.slice(F.reverse(labels), 1, i), "."))
     at = urls.select("host", "path", F.explode(suffixes).alias("_rev")) if deepest else urls.select("host", "path", F.lit("").alias("_rev")).where("false")
-    at = at.join(rules.select("_rev").distinct(), "_rev", "left_semi")
+    at = materialise(at.join(rules.select("_rev").distinct(), "_rev", "left_semi"), "suffixes")
 
-    load = at.groupBy("_rev").agg(F.count(F.lit(1)).alias("n"))
-    total = load.agg(F.sum("n")).first()[0] or 0
-    most = max(SWEEP_URLS, total // HOT_HOSTS)
-    hot = [{"_rev": r["_rev"], "_parts": math.ceil(r["n"] / most)} for r in load.where(F.col("n") > most).limit(HOT_HOSTS).collect()]
-    parts = F.broadcast(literal_table(spark, hot, "_rev string, _parts int"))
+    load = at.groupBy("_rev").agg(F.count(F.lit(1)).alias("n")).join(rules.groupBy("_rev").agg(F.count(F.lit(1)).alias("m")), "_rev")
+    # a row for each host of a rule, whose size Spark knows once it is written
+    parts = materialise(load.select("_rev", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP_URLS), "m")).cast("int").alias("_parts")), "parts")
     one = F.coalesce("_parts", F.lit(1))
 
     queries = at.join(parts, "_rev", "left").select("_rev", F.pmod(F.xxhash64("path"), one).cast("int").alias("_part"), _key(F.col("_rev"), F.col("path")).alias("_pos"), F.lit(1).alias("_kind"), "host", "path", F.lit(None).cast("struct<host:string,path:string,verdict:string>").alias("_rule"))
