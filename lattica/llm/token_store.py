@@ -4,15 +4,19 @@
 
 - ``shard-NNNNNN.ids``: nothing but token ids, little-endian, of 2 bytes each where the
   vocabulary allows and else 4, documents in ascending order of their key;
-- ``shard-NNNNNN.len``: how many ids each of these documents has, 4 bytes each;
+- ``shard-NNNNNN.off``: where each of these documents starts, and the last one ends, 8 bytes each;
 - ``index-NNNNNN.mph``: of the keys that hash to one bucket, a minimal perfect hash function
   and, at each key's slot, a fingerprint of the key, the shard, row and offset of its first
-  document and the number of its documents;
+  document, the ids this has and the number of the key's documents;
 - ``manifest.json``: ids, documents and first id of each shard.
 
-A lookup hashes the key to its bucket and slot, compares the fingerprint and reads its ids at
-the offset: a constant number of steps. Equal keys lie next to each other, so one entry
-serves all their documents, however many.
+A lookup of one key reads the head of its bucket's index, one line of 64 bytes for each level
+of the function that it looks at (1.6 on average), the slot of 32 bytes, and the ids at the
+offset: as many bytes however large bucket and shard are (``read_document``, tested). Lines
+hold the number of keys settled before them, so no other line is needed for a key's rank.
+Whole tables are looked up bucket by bucket, and read in runs of neighbouring documents.
+Equal keys lie next to each other, so one entry serves all their documents, however many;
+they are read in pieces of ``PIECE`` documents, so no task gets all of a frequent key.
 
 Each task writes under a name of its own attempt and renames at the end; tasks that run again
 write the same bytes. Shards and buckets are sized by the data, up to ``MOST_FILES`` of each.
@@ -43,9 +47,13 @@ from .common import file_system, materialise
 from .tokens import encoder
 
 #: Bytes of text of a shard, and keys of an index bucket, unless MOST_FILES would not do.
-SHARD_TEXT, BUCKET_KEYS, MOST_FILES = 16 << 20, 50_000, 20_000
+SHARD_TEXT, BUCKET_KEYS, MOST_FILES = 16 << 20, 50_000, 200_000
 GAMMA = 2.0
-SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("row", "<u4"), ("copies", "<u4"), ("offset", "<u8")])
+SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("row", "<u4"), ("n_ids", "<u4"), ("offset", "<u8"), ("copies", "<u8")])
+#: Bytes of a line of bits: a count of 8 bytes, then the bits.
+LINE, LINE_BITS = 64, 56 * 8
+#: Documents that are read as a unit, and ids that are held at a time.
+PIECE, HELD_IDS = 4096, 1 << 20
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -94,8 +102,16 @@ class PerfectHash:
         return out
 
     def to_bytes(self) -> bytes:
+        """A head of the level sizes, then each level in lines: the keys settled before, and 448 bits."""
         head = struct.pack("<I", len(self.levels)) + b"".join(struct.pack("<Q", len(b)) for b in self.levels)
-        return head + b"".join(np.packbits(b).tobytes() for b in self.levels)
+        out = [head]
+        for bits, ranks in zip(self.levels, self.ranks):
+            lines = -(-len(bits) // LINE_BITS)
+            made = np.zeros((lines, LINE), np.uint8)
+            made[:, :8] = ranks[::LINE_BITS].astype("<u8").view(np.uint8).reshape(-1, 8)
+            made[:, 8:] = np.packbits(np.append(bits, np.zeros(lines * LINE_BITS - len(bits), np.uint8))).reshape(lines, -1)
+            out.append(made.tobytes())
+        return b"".join(out)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple[PerfectHash, int]:
@@ -103,12 +119,32 @@ class PerfectHash:
         (n,) = struct.unpack_from("<I", data)
         sizes, at, levels = struct.unpack_from(f"<{n}Q", data, 4), 4 + 8 * n, []
         for size in sizes:
-            packed = (size + 7) // 8
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, packed, at), count=size))
-            at += packed
+            lines = -(-size // LINE_BITS)
+            made = np.frombuffer(data, np.uint8, lines * LINE, at).reshape(lines, LINE)
+            levels.append(np.unpackbits(made[:, 8:].ravel(), count=size))
+            at += lines * LINE
         return cls(levels), at
 
 
+def slot_of(key: int, read_at) -> np.void | None:
+    """The slot of one key, by a few reads of an index file; ``read_at(n, offset)`` gives n of its bytes."""
+    raw = np.array([key], np.int64).view(np.uint64)
+    (n,) = struct.unpack("<I", read_at(4, 0))
+    sizes, at = struct.unpack(f"<{n}Q", read_at(8 * n, 4)), 4 + 8 * n
+    end = at + sum(-(-size // LINE_BITS) * LINE for size in sizes)
+    for level, size in enumerate(sizes):
+        bit = int(_mixed(raw, level)[0] % np.uint64(size))
+        line, inside = divmod(bit, LINE_BITS)
+        data = read_at(LINE, at + line * LINE)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, LINE - 8, 8))
+        if bits[inside]:
+            rank = struct.unpack_from("<Q", data)[0] + int(bits[:inside].sum())
+            slot = np.frombuffer(read_at(SLOT.itemsize, end + rank * SLOT.itemsize), SLOT)[0]
+            return slot if slot["fingerprint"] == fingerprints(raw)[0] else None
+        at += -(-size // LINE_BITS) * LINE
+    return None
+
+
 @dataclass
 class TokenStore:
     path: str
@@ -159,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, key
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"width": width, "buckets": buckets, "end_id": end_id, "shards": plan}).encode())
 
-    at = F.min(F.struct("shard", "row", "start")).alias("at")
+    at = F.min(F.struct("shard", "row", "start", "n_ids")).alias("at")
     keyed = entries.groupBy("key").agg(at, F.count(F.lit(1)).alias("copies")).select("key", "at.*", "copies", _bucket(buckets).alias("bucket"))
     built = keyed.groupBy("bucket").applyInPandas(lambda rows: _write_bucket(rows, path), "bucket int, keys long")
     built.agg(F.sum("keys")).collect()
@@ -196,9 +232,9 @@ def _write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, e
     if out is not None:
         out.close()
         fs.move(temp, final)
-        temp, final = _put(fs, root, f"shard-{shard:06d}.len", context.taskAttemptId())
+        temp, final = _put(fs, root, f"shard-{shard:06d}.off", context.taskAttemptId())
         with fs.open_output_stream(temp) as f:
-            f.write(np.concatenate(lengths).tobytes())
+            f.write(np.append(0, np.cumsum(np.concatenate(lengths), dtype=np.int64)).astype("<u8").tobytes())
         fs.move(temp, final)
 
 
@@ -209,7 +245,7 @@ def _write_bucket(rows: pd.DataFrame, path: str) -> pd.DataFrame:
     table = PerfectHash.build(keys)
     slots = np.zeros(len(keys), SLOT)
     at = table.slots(keys)
-    for name, of in (("shard", "shard"), ("row", "row"), ("copies", "copies"), ("offset", "start")):
+    for name, of in (("shard", "shard"), ("row", "row"), ("copies", "copies"), ("offset", "start"), ("n_ids", "n_ids")):
         slots[name][at] = rows[of].to_numpy()
     slots["fingerprint"][at] = fingerprints(keys)
     temp, final = _put(fs, root, f"index-{bucket:06d}.mph", TaskContext.get().taskAttemptId())
@@ -254,64 +290,93 @@ def lookup(keys: DataFrame, store: TokenStore, key: str = "doc_id") -> DataFrame
 def read_tokens(found: DataFrame, store: TokenStore) -> DataFrame:
     """A row per document of what lookup found: key, start among all ids, n_tokens, ids (4 bytes each)."""
     n = max(1, min(len(store.rows), int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
-    placed = found.repartition(n, "shard").sortWithinPartitions("shard", "row")
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / PIECE)))
+    pieces = found.select("key", "shard", "row", "copies", pieces.alias("piece"))
+    placed = pieces.select("key", "shard", "piece", (F.col("row") + F.col("piece") * PIECE).alias("row"), F.least(F.lit(PIECE), F.col("copies") - F.col("piece") * PIECE).alias("n"))
+    placed = placed.repartition(n, "shard", "piece").sortWithinPartitions("shard", "row")
     return placed.mapInArrow(lambda it: _read(it, store), "key long, start long, n_tokens long, ids binary")
 
 
-def _read(batches: Iterator[pa.RecordBatch], store: TokenStore) -> Iterator[pa.RecordBatch]:
-    fs, root = file_system(store.path)
-    opened: tuple = (None, None, None)
-
-    def at(shard: int):
-        nonlocal opened
-        if opened[0] != shard:
-            if opened[1] is not None:
-                opened[1].close()
-            with fs.open_input_stream(f"{root}/shard-{shard:06d}.len") as f:
-                lengths = np.frombuffer(f.read(), "<u4")
-            opened = (shard, fs.open_input_file(f"{root}/shard-{shard:06d}.ids"), lengths)
-        return opened[1:]
-
-    out: list[tuple] = []
-    held, columns = 0, ["key", "start", "n_tokens", "ids"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def batch() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], columns)
-        out.clear()
-        return made
-
+def _runs(batches: Iterator[pa.RecordBatch], store: TokenStore) -> Iterator[tuple[int, int, list]]:
+    """(shard, first row, keys) of documents that lie next to each other, at most PIECE of them."""
+    shard, first, keys = -1, 0, []
     for rows in batches:
         for r in rows.to_pylist():
-            shard, row, offset = r["shard"], r["row"], r["offset"]
-            for _ in range(r["copies"]):
-                while row >= store.rows[shard]:
-                    shard, row, offset = shard + 1, 0, 0
-                ids, lengths = at(shard)
-                n = int(lengths[row])
-                raw = ids.read_at(n * store.width, offset * store.width)
-                wide = raw if store.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
-                out.append((r["key"], store.id_base[shard] + offset, n, wide))
-                held += len(wide)
-                row, offset = row + 1, offset + n
-                if held > 4 << 20:
-                    held = 0
-                    yield batch()
-    if out:
-        yield batch()
-
-
-def read_document(store: TokenStore, key: int | None) -> list[np.ndarray]:
-    """Ids of all documents with a key, by one lookup."""
+            at, row, left = r["shard"], r["row"], r["n"]
+            while left:
+                while row >= store.rows[at]:  # copies of a key go on in the next shard
+                    at, row = at + 1, row - store.rows[at]
+                n = min(left, store.rows[at] - row)
+                if (at, row) != (shard, first + len(keys)) or len(keys) + n > PIECE:
+                    if keys:
+                        yield shard, first, keys
+                    shard, first, keys = at, row, []
+                keys += [r["key"]] * n
+                row, left = row + n, left - n
+    if keys:
+        yield shard, first, keys
+
+
+def _read(batches: Iterator[pa.RecordBatch], store: TokenStore) -> Iterator[pa.RecordBatch]:
+    fs, root = file_system(store.path)
+    names, kinds = ["key", "start", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    opened: dict = {}
+    for shard, first, keys in _runs(batches, store):
+        if opened.get("shard") != shard:
+            for f in opened.get("files", ()):
+                f.close()
+            opened = {"shard": shard, "files": [fs.open_input_file(f"{root}/shard-{shard:06d}.{kind}") for kind in ("off", "ids")]}
+        offsets, ids = opened["files"]
+        edges = np.frombuffer(offsets.read_at(8 * (len(keys) + 1), 8 * first), "<u8").astype(np.int64)
+        at = 0
+        while at < len(keys):  # as many documents as HELD_IDS has room for, one at least
+            upto = max(at + 1, int(np.searchsorted(edges, edges[at] + HELD_IDS, "right")) - 1)
+            raw = ids.read_at(int(edges[upto] - edges[at]) * store.width, int(edges[at]) * store.width)
+            wide = memoryview(raw if store.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
+            cuts = ((edges[at : upto + 1] - edges[at]) * 4).tolist()
+            parts = [wide[a:b] for a, b in zip(cuts, cuts[1:])]
+            columns = (keys[at:upto], store.id_base[shard] + edges[at:upto], np.diff(edges[at : upto + 1]), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            at = upto
+    for f in opened.get("files", ()):
+        f.close()
+
+
+def read_document(store: TokenStore, key: int | None, seen: list[int] | None = None) -> list[np.ndarray]:
+    """Ids of all documents with a key, by one lookup; ``seen`` gets the number of bytes of each read."""
     import xxhash
+    from pyarrow.fs import FileType
 
     bucket = store.buckets
     if key is not None:
         h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
         bucket = (h - (h >> 63 << 64)) % store.buckets
-    slot = _find(store.path, bucket, np.array([key or 0], np.int64).view(np.uint64))[0]
-    row = pa.RecordBatch.from_pylist([{"key": key, **{n: int(slot[n]) for n in ("shard", "row", "offset", "copies")}}])
-    return [np.frombuffer(i.as_py(), "<u4") for b in _read(iter([row]), store) for i in b.column("ids")]
+    fs, root = file_system(store.path)
+
+    def reader(name: str):
+        f = fs.open_input_file(f"{root}/{name}")
+
+        def read_at(n: int, offset: int) -> bytes:
+            if seen is not None:
+                seen.append(n)
+            return f.read_at(n, offset)
+
+        return read_at
+
+    index = f"index-{bucket:06d}.mph"
+    slot = None if fs.get_file_info(f"{root}/{index}").type == FileType.NotFound else slot_of(key or 0, reader(index))
+    if slot is None:
+        return []
+    shard, row, offset, n, copies, out = *(int(slot[k]) for k in ("shard", "row", "offset", "n_ids", "copies")), []
+    while copies:
+        while row >= store.rows[shard]:
+            shard, row, offset, n = shard + 1, 0, 0, None
+        if n is None:  # only the first document's place is in the slot
+            offset, end = np.frombuffer(reader(f"shard-{shard:06d}.off")(16, 8 * row), "<u8").tolist()
+            n = end - offset
+        out.append(np.frombuffer(reader(f"shard-{shard:06d}.ids")(n * store.width, offset * store.width), store.dtype).astype("<u4"))
+        row, copies, n = row + 1, copies - 1, None
+    return out
 
 
 def crc_of_ids(read: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Token ids of whole texts, with the tokenizers library and a cache of words.
-
-The vocabulary's pre-tokenizer never joins characters on two sides of a blank, so a text's
-ids are those of its blank-separated words in a row. Each distinct word is encoded once and
-kept, up to ``CACHE_WORDS`` of them; a text is then a gather over the cached ids. Nothing is
-left out: words that aren't in the cache are encoded, however many there are.
+"""Token ids of whole texts, with the tokenizers library and, where that is sure, a cache of words.
+
+Any file of the library gives the library's ids. For files whose normaliser, pre-tokenizer and
+model are those in ``CACHEABLE``, characters on two sides of a blank are never joined, so a
+text's ids are those of its blank-separated words in a row: each distinct word is encoded
+once and kept, up to ``CACHE_WORDS`` of them, and a text is a gather over the cached ids. The
+settings are compared when a file is loaded, and ``PROBES`` are then encoded both ways; any
+difference leaves the file to the library. Nothing is left out: words that aren't in the
+cache are encoded, however many there are.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -22,6 +26,24 @@ CHUNK = 1 << 20
 #: Letters that are their own NFC form, and which lower case maps one to one; then marks that pre-tokenization keeps together.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{0,64})([.,;:!?#$%&*|+=(){}/-]{0,16})")
 _CUT = re.compile("[ \n]")
+#: Settings under which words can be encoded by themselves: fixed values, as a tokenizer file has them.
+CACHEABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+#: The same of its model.
+CACHEABLE_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: Texts that are encoded both ways when a file is loaded.
+PROBES = ["Hello, world.\nnext  line", " a b  c\t\td ", "Äpfel ÀÖØöøÿ ß é", "it's don't WE'LL", "x.y, z... (q)", "12 3a b4", "日本 語", "e\u0301 İ Σς", "<|endoftext|> x", "word" * 20]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -54,6 +76,12 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.marks: dict[str, tuple[int, ...]] = {"": ()}
         self._clear()
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        known = all(settings.get(k) == v for k, v in CACHEABLE.items()) and all(settings["model"].get(k) == v for k, v in CACHEABLE_MODEL.items())
+        # words are separate only if no added token has a blank in it or takes blanks beside it
+        apart = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in settings.get("added_tokens") or [])
+        self.cached = known and apart and [i.tolist() for i in self._split(PROBES)] == [self._ids(t) for t in PROBES]
 
     @property
     def vocabulary(self) -> int:
@@ -122,6 +150,9 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null is empty."""
+        if not self.cached:
+            yield from (np.array(self._ids(t or ""), np.uint32) for t in texts)
+            return
         group: list[str] = []
         held = 0
         for text in texts:

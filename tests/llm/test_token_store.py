@@ -20,6 +20,8 @@ def build(spark, rows):
 def test_layout_and_read_back(spark, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_TEXT", 2000)
     monkeypatch.setattr(token_store, "BUCKET_KEYS", 20)
+    monkeypatch.setattr(token_store, "PIECE", 64)
+    monkeypatch.setattr(token_store, "HELD_IDS", 500)
     rng = random.Random(4)
     rows = [(i * 7 - 300, "Héllo wörld, " * rng.randrange(12), "clash") for i in range(150)]
     rows += [(None, "null key", ""), (None, "null key", ""), (3, None, ""), (3, "", ""), (3, "again", ""), (-(2**63), "least", ""), (2**63 - 1, "most", ""), (10**9, "long text " * 3000, "")] + [(12, f"copy {i}", "") for i in range(300)]
@@ -60,3 +62,19 @@ def test_perfect_hash():
         assert (again.slots(keys) == table.slots(keys)).all()
         others = rng.integers(0, 2**64, 1000, np.uint64)
         assert again.slots(others).max(initial=-1) < max(len(keys), 1)
+
+
+def test_lookup_reads_as_much_from_large_buckets(spark, monkeypatch):
+    """Bytes read for one key don't grow with its bucket and shard."""
+    most = {}
+    for n in (200, 20_000):
+        monkeypatch.setattr(token_store, "BUCKET_KEYS", n)
+        docs, store = build(spark, [(i, "some words", "") for i in range(n)])
+        assert store.buckets == 1
+        for key in range(0, n, n // 50):
+            seen: list[int] = []
+            assert [len(x) for x in token_store.read_document(store, key, seen)] == [3]
+            levels = sum(s == token_store.LINE for s in seen)
+            assert sum(seen) - levels * token_store.LINE < 400
+            most[n] = max(most.get(n, 0), levels)
+        assert most[n] < 12

@@ -34,3 +34,33 @@ def test_long_text_and_small_cache(both, monkeypatch):
     got = list(enc.encode([text, "ab", text]))
     want = np.array(plain.encode(text, add_special_tokens=False).ids)
     assert (got[0] == want).all() and (got[2] == want).all() and got[1].tolist() == plain.encode("ab", add_special_tokens=False).ids
+
+
+def test_every_file_gives_the_librarys_ids():
+    """Files whose blanks matter aren't cached by word."""
+    import glob
+    import os
+
+    paths = glob.glob(os.path.join(os.path.dirname(tokens.tokenizer_path()), "*.json"))
+    assert len(paths) >= 2
+    rng = random.Random(7)
+    texts = ["", None, " Hello,  World\n\n x", "ÄÖ é É", "<|endoftext|> a", "日本 12 3"] + ["".join(rng.choice("abZ É.,\n  '12") for _ in range(50)) for _ in range(60)]
+    cached = {}
+    for path in paths:
+        enc, plain = tokens.WordEncoder(path), Tokenizer.from_file(path)
+        cached[os.path.basename(path)] = enc.cached
+        assert [i.tolist() for i in enc.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert cached["word_bpe_49k.json"] and not cached["byte_bpe_50k.json"]
+
+
+def test_other_settings_are_left_to_the_library(tmp_path):
+    import json
+
+    with open(tokens.tokenizer_path(), encoding="utf-8") as f:
+        settings = json.load(f)
+    settings["normalizer"]["normalizers"].append({"type": "StripAccents"})
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(settings, f)
+    enc, plain = tokens.WordEncoder(path), Tokenizer.from_file(path)
+    assert not enc.cached and [i.tolist() for i in enc.encode(["é è x"])] == [plain.encode("é è x", add_special_tokens=False).ids]
