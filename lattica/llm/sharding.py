@@ -146,22 +146,41 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return paged.join(size, ["_bits", "page"]).select("key", "text_hash", "n_bytes", "_bits", F.lit(BITS).alias("depth"), F.col("_bits").alias("prefix"), "shard_bytes", "page")
 
 
+#: Leaves of a directory that is sent to all executors, about 10 MB; beyond it rows are joined with their shards.
+SMALL_DIRECTORY = 200_000
+
+
 def write_shards(docs: DataFrame, sharding: Sharding, path: str, *, key: str = "doc_id", text: str = "text") -> None:
-    """Write each row of documents once, a folder per shard; key and text as ``shard_rows`` had them."""
+    """Write each row of documents once, a folder per shard; key and text as ``shard_rows`` had them.
+
+    With a directory of at most ``SMALL_DIRECTORY`` leaves, rows look up their leaf where they
+    are and texts are shuffled once; beyond it, they are joined with their shards first.
+    """
     if "shard" in docs.columns:
         raise ValueError("documents have a column named shard already")
-    ids = ["_bits", "_text"]
-    places = sharding.rows.select(F.col("bits").alias("_bits"), F.col("text_hash").alias("_text"), "shard")
-    places = places.groupBy(*ids, "shard").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy(*ids).orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
-    places = materialise(places.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n")), "places")
-    mine = docs.withColumns({"_bits": hash_bits(F.col(key), F.col(text)), "_text": text_hash(F.col(text))})
-    several = places.where("_from > 0").select(*ids).distinct()  # rows alike that lie on several pages
-    one = places.join(several, ids, "left_anti").select(*ids, "shard")
-    twins = ranked(materialise(mine.join(several, ids, "left_semi"), "twins"), ids, "_text")
-    paged = twins.join(places, ids).where("_rank >= _from and _rank < _to")
-    out = mine.join(one, ids).select(*docs.columns, "shard").unionByName(paged.select(*docs.columns, "shard"))
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    ids, bits = ["_bits", "_text"], F.col("_bits")
+    places = sharding.rows.select(F.col("bits").alias("_bits"), F.col("text_hash").alias("_text"), "shard", "page")
+    mine = docs.select(F.struct(*docs.columns).alias("_row"), hash_bits(F.col(key), F.col(text)).alias("_bits"), text_hash(F.col(text)).alias("_text"))
+    paged = materialise(places.where("page > 0").select("_bits").distinct(), "paged")
+    some_paged = not paged.isEmpty()
+    single = mine.join(paged, "_bits", "left_anti") if some_paged else mine
+    leaves = sharding.directory.select("depth", "prefix")
+    if leaves.limit(SMALL_DIRECTORY + 1).count() <= SMALL_DIRECTORY:
+        depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())  # at most BITS + 1
+        name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), "0")).alias("shard")
+        table = F.broadcast(leaves.select(F.col("depth").alias("_depth"), F.col("prefix").alias("_prefix"), name))
+        each = single.select("*", F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>")).alias("_depth"))
+        each = each.withColumn("_prefix", _prefix(bits, F.col("_depth")))
+        out = each.join(table, ["_depth", "_prefix"]).select("_row", "shard")
+    else:
+        out = single.join(places.join(paged, "_bits", "left_anti").select(*ids, "shard").distinct(), ids).select("_row", "shard")
+    if some_paged:
+        counted = places.join(paged, "_bits", "left_semi").groupBy(*ids, "shard").agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(W.partitionBy(*ids).orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
+        counted = materialise(counted.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n")), "places")
+        twins = ranked(materialise(mine.join(paged, "_bits", "left_semi"), "twins"), ids, "_text")
+        out = out.unionByName(twins.join(counted, ids).where("_rank >= _from and _rank < _to").select("_row", "shard"))
+    out.select("_row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning (nnPU).
 
-A linear numpy classifier learns from confirmed toxic documents (P) and from unlabelled ones
-(U) with the class-prior-corrected risk
+A linear numpy classifier learns from confirmed toxic documents (P) and from unlabelled text
+(U), documents drawn from all there are, whether they have a label or not and without a look
+at it, with the class-prior-corrected risk
 
     pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)),
 
@@ -14,8 +15,10 @@ and of prefixes that at least two different words of the text share. Candidates
 ``MIN_SHARE`` of P; those stay that are significantly more frequent in P than in U. Nothing
 but the text is looked at when scoring.
 
-The classifier is fitted on samples of at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED``
-labelled rows, drawn by a hash of doc_id; every text is scored as a whole.
+The classifier is fitted on samples of at most ``max_positive`` labelled rows and
+``max_unlabelled`` documents, drawn by a hash of doc_id; of their features the ``max_candidates``
+most frequent ones in P are looked at, and the ``max_features`` most telling of these are used.
+Every text is scored as a whole.
 
 Defined cases: null and empty texts, and texts without known features, score as the bias
 says; without a confirmed toxic row every score is 0; labels without a text and null labels
@@ -37,7 +40,6 @@ from pyspark.sql import types as T
 
 from .common import materialise
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_CANDIDATES, MAX_FEATURES = 3000, 6000, 40_000, 4096
 MIN_SHARE, MIN_LIFT, MIN_G2 = 0.004, 2.0, 12.0
 PREFIXES = range(3, 9)
 #: Marks aside: they separate words, as blanks do.

@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pytest
+
 from lattica.llm import sharding
 
 
@@ -45,8 +47,10 @@ def test_empty_and_write(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 30
 
 
-def test_writes_each_row_once(spark, tmp_path):
+@pytest.mark.parametrize("leaves", [200_000, 3])
+def test_writes_each_row_once(spark, tmp_path, monkeypatch, leaves):
     """A hot key over many shards, and repeated rows on overflow pages."""
+    monkeypatch.setattr(sharding, "SMALL_DIRECTORY", leaves)
     data = [(5, f"text {i}" * 5, "a") for i in range(60)] + [(6, "same text", str(i)) for i in range(40)] + [(8, "y" * 5000, "b"), (None, "n", "c"), (None, "n", "d"), (None, None, "e"), (6, "", "f"), (6, None, "g")]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
     found = sharding.shard_rows(docs, 100)
