@@ -1,15 +1,17 @@
 """Media columns: ISO base media containers in binary columns.
 
 ``describe_media`` walks the nested boxes of each container and decodes its sample tables
-(sizes, chunks, chunk offsets, durations, sync samples) into codec, duration and the byte
-ranges of keyframes; sample bytes are neither decoded nor copied. ``mux`` stores any bytes as
+(sizes, also compact ones, chunks, chunk offsets, durations, sync samples) and those of its
+fragments (track runs with their defaults) into codec, duration and the byte ranges of
+keyframes; sample bytes are not decoded. ``mux`` stores any bytes as
 a raw video track of 64-byte frames, and ``stored_payload`` reads a track's bytes back along
 its sample tables.
 
 Defined cases of ``describe_media``: null media give a null description; empty, cut off or
 otherwise damaged containers give one whose ``error`` says what is wrong and whose other
 fields hold what was read before; unknown boxes are skipped; several tracks are described by
-the first that has samples; a track without a sync table has keyframes only. Other columns
+the first that has samples; a track without a sync table has keyframes only; a duration that
+the track's header leaves at 0 is the sum of the samples' durations. Other columns
 are kept as they are, but for one named like the result. Equal media have equal descriptions.
 """
 
@@ -123,20 +125,100 @@ def _table(data: memoryview, at: int, end: int, dtype: str, width: int = 1) -> n
     return np.frombuffer(data, dtype, n * width, at + 8).astype(np.int64).reshape(-1, width)
 
 
+def _compact_sizes(data: memoryview, at: int, end: int) -> np.ndarray:
+    """Sizes of 4, 8 or 16 bits each (stz2)."""
+    bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if bits not in (4, 8, 16):
+        raise Damaged("sizes of an unknown width")
+    if at + 12 + (n * bits + 7) // 8 > end:
+        raise Damaged("a table goes beyond its box")
+    if bits == 4:
+        pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+        return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, np.uint8 if bits == 8 else ">u2", n, at + 12).astype(np.int64)
+
+
+#: A sample that isn't a keyframe, among its flags; then which optional fields tfhd and trun have, in their order.
+NON_SYNC = 0x10000
+TFHD_FIELDS = ((0x1, "base", 8), (0x2, "entry", 4), (0x8, "duration", 4), (0x10, "size", 4), (0x20, "flags", 4))
+TRUN_FIELDS = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift"))
+
+
+def _fragment_head(data: memoryview, at: int, end: int) -> dict:
+    """track, has (which fields), and the fields of a tfhd box."""
+    flags, track = struct.unpack_from(">II", data, at)
+    out, at = {"track": track, "has": flags & 0xFFFFFF}, at + 8
+    for bit, name, width in TFHD_FIELDS:
+        if flags & bit:
+            if at + width > end:
+                raise Damaged("a fragment's head goes beyond its box")
+            out[name] = int.from_bytes(data[at : at + width], "big")
+            at += width
+    return out
+
+
+def _run(data: memoryview, at: int, end: int, default: dict, begin: int) -> dict:
+    """starts, sizes, durations and sync of a trun box's samples; they lie from ``begin`` on if it doesn't say where."""
+    flags, n = struct.unpack_from(">II", data, at)
+    at, first = at + 8, None
+    if flags & 0x1:
+        begin = default["from"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & 0x4:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    fields = [name for bit, name in TRUN_FIELDS if flags & bit]
+    if at + 4 * len(fields) * n > end:
+        raise Damaged("a track run goes beyond its box")
+    if not fields and n > len(data):
+        raise Damaged("more samples than bytes")
+    table = np.frombuffer(data, ">u4", n * len(fields), at).astype(np.int64).reshape(n, -1)
+    value = lambda name: table[:, fields.index(name)] if name in fields else np.full(n, default.get(name, 0), np.int64)
+    sizes, marks = value("size"), value("flags").copy()
+    if first is not None and n:
+        marks[0] = first
+    return {"starts": begin + np.cumsum(sizes) - sizes, "sizes": sizes, "durations": value("duration"), "sync": marks & NON_SYNC == 0, "end": begin + int(sizes.sum())}
+
+
 def tracks(data: memoryview, into: dict) -> list[dict]:
+    """The tables of each track; ``runs_in_fragments`` are those of its movie fragments."""
     found: list[dict] = []
+    defaults: dict[int, dict] = {}
+    movie = head = end_of_last = None
     for kind, _, at, end in walk(data):
         if kind == b"ftyp" and end - at >= 4:
             into["brand"] = bytes(data[at : at + 4]).decode("latin-1")
         elif kind == b"trak":
             found.append({})
+        elif kind == b"trex":
+            track, entry, duration, size, flags = struct.unpack_from(">5I", data, at + 4)
+            defaults[track] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"moof":
+            movie = end_of_last = at - (8 if end - at + 8 < 1 << 32 else 16)
+        elif kind == b"tfhd" and movie is not None:
+            head = _fragment_head(data, at, end)
+            head = defaults.get(head["track"], {}) | head
+            head["from"] = head.get("base", movie if head["has"] & 0x20000 else end_of_last)
+            end_of_last = head["from"]
+        elif kind == b"trun" and head is not None:
+            run = _run(data, at, end, head, end_of_last)
+            end_of_last = run["end"]
+            owner = next((t for t in found if t.get("id") == head["track"]), None)
+            if owner is None:
+                raise Damaged("a fragment of an unknown track")
+            owner.setdefault("runs_in_fragments", []).append(run)
         elif not found:
             continue
+        elif kind == b"tkhd":
+            (found[-1]["id"],) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
         elif kind == b"mdhd":
             fmt, skip = (">IQ", 20) if data[at] == 1 else (">II", 12)
             found[-1]["timescale"], found[-1]["duration"] = struct.unpack_from(fmt, data, at + skip)
         elif kind == b"stsd":
             found[-1]["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1")
+        elif kind == b"stts":
+            times = _table(data, at, end, ">u4", 2)
+            found[-1]["lasting"] = int((times[:, 0] * times[:, 1]).sum())
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, at + 4)
             if not same and at + 12 + 4 * n > end:
@@ -144,6 +226,8 @@ def tracks(data: memoryview, into: dict) -> list[dict]:
             if same and n > len(data):
                 raise Damaged("more samples than bytes")
             found[-1]["sizes"] = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
+        elif kind == b"stz2":
+            found[-1]["sizes"] = _compact_sizes(data, at, end)
         elif kind in (b"stco", b"co64"):
             found[-1]["chunks"] = _table(data, at, end, ">u4" if kind == b"stco" else ">u8")[:, 0]
         elif kind == b"stsc":
@@ -153,6 +237,22 @@ def tracks(data: memoryview, into: dict) -> list[dict]:
     return found
 
 
+def samples_of(track: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of all samples, of the movie and then of its fragments, and the numbers of keyframes from 0."""
+    starts, sizes = sample_ranges(track)
+    keys = track.get("sync", np.arange(1, len(sizes) + 1)) - 1
+    if ((keys < 0) | (keys >= len(sizes))).any():
+        raise Damaged("a keyframe beyond the samples")
+    for run in track.get("runs_in_fragments", []):
+        keys = np.append(keys, len(sizes) + np.flatnonzero(run["sync"]))
+        starts, sizes = np.append(starts, run["starts"]), np.append(sizes, run["sizes"])
+    return starts, sizes, keys
+
+
+def n_samples(track: dict) -> int:
+    return len(track.get("sizes", ())) + sum(len(run["sizes"]) for run in track.get("runs_in_fragments", []))
+
+
 def sample_ranges(track: dict) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of each sample in the container."""
     sizes, chunks, runs = track["sizes"], track["chunks"], track["runs"]
@@ -168,7 +268,7 @@ def sample_ranges(track: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(chunks - np.append(upto, 0)[first], per_chunk) + upto, sizes
 
 
-def describe(media: bytes | None) -> dict | None:
+def describe(media: bytes | pa.Buffer | None) -> dict | None:
     if media is None:
         return None
     data, out = memoryview(media), dict.fromkeys(DESCRIPTION.names)
@@ -176,18 +276,16 @@ def describe(media: bytes | None) -> dict | None:
         found = [t for t in tracks(data, out) if "sizes" in t]
         if not found:
             raise Damaged("no track with samples")
-        track = next((t for t in found if len(t["sizes"])), found[0])
-        out |= {k: track.get(k) for k in ("codec", "timescale", "duration")} | {"samples": len(track["sizes"])}
-        starts, sizes = sample_ranges(track)
-        keys = track.get("sync", np.arange(1, len(sizes) + 1)) - 1
-        if ((keys < 0) | (keys >= len(sizes))).any():
-            raise Damaged("a keyframe beyond the samples")
+        track = next((t for t in found if n_samples(t)), found[0])
+        lasting = track.get("lasting", 0) + sum(int(run["durations"].sum()) for run in track.get("runs_in_fragments", []))
+        out |= {k: track.get(k) for k in ("codec", "timescale")} | {"duration": track.get("duration") or lasting, "samples": n_samples(track)}
+        starts, sizes, keys = samples_of(track)
         if len(starts) and (starts.min() < 0 or (starts + sizes).max() > len(data)):
             raise Damaged("samples beyond the container")
         out["keyframes"] = [{"sample": int(k), "start": int(starts[k]), "length": int(sizes[k])} for k in keys]
     except KeyError as e:
         out["error"] = f"no {e.args[0]} table"
-    except (Damaged, struct.error) as e:
+    except (Damaged, struct.error, IndexError) as e:
         out["error"] = str(e)
     return out
 
@@ -195,8 +293,7 @@ def describe(media: bytes | None) -> dict | None:
 def stored_payload(media: bytes) -> bytes:
     """The samples of the first track that has any, read along its tables."""
     data = memoryview(media)
-    track = next(t for t in tracks(data, {}) if len(t.get("sizes", ())))
-    starts, sizes = sample_ranges(track)
+    starts, sizes, _ = samples_of(next(t for t in tracks(data, {}) if n_samples(t)))
     cuts = np.flatnonzero(starts[1:] != starts[:-1] + sizes[:-1]) + 1  # samples in a row are one range
     lo, hi = starts[np.append(0, cuts)], (starts + sizes)[np.append(cuts - 1, -1)]
     return b"".join(data[a:b] for a, b in zip(lo.tolist(), hi.tolist()))
@@ -210,7 +307,7 @@ def describe_media(df: DataFrame, media: str, into: str = "description") -> Data
 
         kind = to_arrow_type(DESCRIPTION)
         for batch in batches:
-            made = pa.array([describe(v) for v in batch.column(media).to_pylist()], kind)
+            made = pa.array([describe(v.as_buffer() if v.is_valid else None) for v in batch.column(media)], kind)
             kept = [n for n in batch.schema.names if n != into]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), made], [*kept, into])
 

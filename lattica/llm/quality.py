@@ -6,13 +6,15 @@ thresholds, grown on two thirds of what is left by information gain, pruned on t
 kept while it is precise there; what it covers is removed before the next. ``verdict`` emits
 the list as one ordered Spark conditional expression.
 
-Learning takes at most ``MAX_LABELLED`` labelled rows, drawn by a hash of doc_id; the rules
-are applied to all texts.
+Learning takes at most ``max_labelled`` labelled documents, drawn by a hash of doc_id among
+those that are there, and gives at most ``max_rules`` rules of ``max_conditions`` conditions,
+whose thresholds are picked among ``cuts`` quantiles; the rules are applied to all texts.
 
 Defined cases: null and empty texts have all statistics 0; no labels, or none of one class,
 give an empty list, which keeps everything; null labels and labels without text teach
-nothing; repeated rows count as they are; other columns are kept, but for those named like a
-statistic.
+nothing; rows of one doc_id are one document to learn from, that of the least text; other
+columns are kept: statistics get a prefix where they would clash (``prefix``), and else take
+the place of columns named like them.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from pyspark.sql import types as T
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bangs", "n_pipes", "n_same_next", "n_distinct")
 #: name -> (statistic, what it is divided by); what the rules look at.
 RATIOS = {"mean_word": ("word_chars", "n_words"), "symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_words"), "repeat_rate": ("n_repeat_words", "n_words"), "upper_rate": ("n_upper", "n_letters"), "bang_rate": ("n_bangs", "n_words"), "pipe_rate": ("n_pipes", "n_words"), "same_next_rate": ("n_same_next", "n_words"), "distinct_rate": ("n_distinct", "n_words")}
-MAX_LABELLED = 20_000
 #: Bytes that are looked at together; longer texts alone, and beyond LARGE word by word.
 CHUNK, LARGE = 2 << 20, 16 << 20
 WINDOW = 5
@@ -118,9 +119,10 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     return np.stack([np.asarray(out[s], np.int64) for s in STATISTICS], axis=1)
 
 
-def text_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Add the statistics of each whole text."""
-    kept = [f for f in docs.schema if f.name not in STATISTICS and (keep_text or f.name != text)]
+def text_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
+    """Add the statistics of each whole text, their names after ``prefix``."""
+    names = [prefix + s for s in STATISTICS]
+    kept = [f for f in docs.schema if f.name not in names and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +137,9 @@ def text_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True)
             if group:
                 made.append(statistics(group))
             found = np.concatenate([np.zeros((0, len(STATISTICS)), np.int64), *made])
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c) for c in found.T)], [*(f.name for f in kept), *STATISTICS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c) for c in found.T)], [*(f.name for f in kept), *names])
 
-    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(s, T.LongType()) for s in STATISTICS)]))
+    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 @dataclass(frozen=True)
@@ -149,8 +151,8 @@ class Condition:
     def holds(self, values: np.ndarray) -> np.ndarray:
         return values > self.limit if self.above else values <= self.limit
 
-    def column(self) -> Column:
-        top, below = RATIOS[self.name]
+    def column(self, prefix: str = "") -> Column:
+        top, below = (prefix + s for s in RATIOS[self.name])
         ratio = F.when(F.col(below) > 0, F.col(top).cast("double") / F.col(below)).otherwise(F.lit(0.0))
         return ratio > self.limit if self.above else ratio <= self.limit
 
@@ -170,9 +172,9 @@ def _covered(rule: Rule, x: np.ndarray, names: list[str]) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int) -> Rule:
+def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int, most: int) -> Rule:
     rule: Rule = ()
-    while len(rule) < 6:
+    while len(rule) < most:
         inside = _covered(rule, x, names)
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
         if not p0 or not n0:
@@ -194,7 +196,7 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int) -> Rule:
     return rule
 
 
-def fit_rules(x: np.ndarray, bad: np.ndarray, names: list[str], *, max_rules: int = 24, precision: float = 0.97, least: int = 3, cuts: int = 256, seed: int = 42) -> list[Rule]:
+def fit_rules(x: np.ndarray, bad: np.ndarray, names: list[str], *, max_rules: int = 24, max_conditions: int = 6, precision: float = 0.97, least: int = 3, cuts: int = 256, seed: int = 42) -> list[Rule]:
     """Ordered rules, each of which covers rows to reject."""
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
@@ -202,7 +204,7 @@ def fit_rules(x: np.ndarray, bad: np.ndarray, names: list[str], *, max_rules: in
     while len(rules) < max_rules and (left & bad).sum() >= least:
         grow = left & (rng.random(len(x)) < 2 / 3)
         prune = left & ~grow
-        rule = _grow(x[grow], bad[grow], names, cuts)
+        rule = _grow(x[grow], bad[grow], names, cuts, max_conditions)
         if not rule:
             break
 
@@ -223,11 +225,13 @@ def fit_rules(x: np.ndarray, bad: np.ndarray, names: list[str], *, max_rules: in
     return rules
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, *, label: str = "quality", seed: int = 42) -> list[Rule]:
+def learn_rules(docs: DataFrame, labels: DataFrame, *, label: str = "quality", seed: int = 42, max_labelled: int = 20_000) -> list[Rule]:
     """Rules that reject what ``label`` marks with 0."""
-    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_good"))
-    drawn = F.broadcast(usable.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(MAX_LABELLED))
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id")
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("_good"))
+    # drawn among the documents that are there, so that the sample doesn't shrink with them
+    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    drawn = F.broadcast(usable.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id").groupBy("doc_id", "_good").agg(F.min("text").alias("text"))
     rows = text_statistics(sample, keep_text=False).orderBy("doc_id", *STATISTICS, "_good").toArrow()
     if not len(rows):
         return []
@@ -238,17 +242,17 @@ def learn_rules(docs: DataFrame, labels: DataFrame, *, label: str = "quality", s
     return fit_rules(x, ~good, names)
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """True for texts that no rule rejects: the list as an ordered conditional."""
     out = F.when(F.lit(False), F.lit(True))
     for rule in rules:
         every = F.lit(True)
         for c in rule:
-            every = every & c.column()
+            every = every & c.column(prefix)
         out = out.when(every, F.lit(False))
     return out.otherwise(F.lit(True))
 
 
-def base_failed() -> Column:
+def base_failed(prefix: str = "") -> Column:
     """Too short, or too much of it repeats."""
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return (F.col(f"{prefix}n_words") < 10) | (100 * F.col(f"{prefix}n_repeat_words") > 20 * F.col(f"{prefix}n_words"))

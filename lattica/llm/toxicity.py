@@ -22,7 +22,8 @@ Every text is scored as a whole.
 
 Defined cases: null and empty texts, and texts without known features, score as the bias
 says; without a confirmed toxic row every score is 0; labels without a text and null labels
-teach nothing; repeated rows count as they are; other columns are kept, but for ``score``.
+teach nothing; rows of one doc_id are one document to learn from; other columns are kept, but
+for one named like the score's (``score`` unless told otherwise).
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, scratch
 
 MIN_SHARE, MIN_LIFT, MIN_G2 = 0.004, 2.0, 12.0
 PREFIXES = range(3, 9)
@@ -96,7 +97,7 @@ class Scorer:
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
 
-def fit_nnpu(rows: Sequence[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: Sequence[np.ndarray], positive: np.ndarray, n_features: int, prior: float, *, steps: int = 3000, rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias. rows: feature numbers of each document; positive: which are P, the others being U."""
     sizes = np.array([len(r) for r in rows], np.int64)
     at = np.repeat(np.arange(len(rows)), sizes)
@@ -123,22 +124,30 @@ def fit_nnpu(rows: Sequence[np.ndarray], positive: np.ndarray, n_features: int,
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column | None = None, seed: int = 42, label: str = "toxic") -> Model:
-    """Fit on labelled rows for which ``learn_from`` (by doc_id) holds."""
-    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
-    if learn_from is not None:
-        usable = usable.where(learn_from)
+def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column | None = None, seed: int = 42, label: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 6000, max_candidates: int = 40_000, max_features: int = 4096) -> Model:
+    """Fit on labelled rows, and on documents as unlabelled text, for which ``learn_from`` (by doc_id) holds.
+
+    pi is the share of toxic ones among these labelled rows that have a document. Rows of one
+    doc_id count as one document, that of the least text.
+    """
+    allowed = F.lit(True) if learn_from is None else learn_from
+    present = docs.where(F.col("doc_id").isNotNull() & allowed).select("doc_id").distinct()
+    usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).select("doc_id", F.col(label).cast("int").alias("_y"))
     # labels of documents that aren't there would make pi differ from U's share of positives
-    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    usable = usable.join(present, "doc_id", "left_semi")
     n, n_toxic = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not n_toxic:
         return Model({}, -1e9, 0.0)
-    prior = n_toxic / n
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    confirmed = usable.where("_y = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(True).alias("_p"))
-    hidden = usable.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").limit(MAX_UNLABELLED).select("doc_id", F.lit(False).alias("_p"))
-    drawn = F.broadcast(confirmed.unionByName(hidden))  # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    sample = materialise(docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "_p").repartition(12), "sample")
+    with scratch(docs.sparkSession):
+        return _fit(docs, usable.where("_y = 1").select("doc_id").distinct(), present, n_toxic / n, seed, max_positive, max_unlabelled, max_candidates, max_features)
+
+
+def _fit(docs: DataFrame, toxic: DataFrame, present: DataFrame, prior: float, seed: int, max_positive: int, max_unlabelled: int, max_candidates: int, max_features: int) -> Model:
+    draw = lambda ids, salt, n: ids.orderBy(F.xxhash64(F.lit(seed + salt), "doc_id"), "doc_id").limit(n)
+    drawn = draw(toxic, 0, max_positive).select("doc_id", F.lit(True).alias("_p")).unionByName(draw(present, 1, max_unlabelled).select("doc_id", F.lit(False).alias("_p")))
+    drawn = F.broadcast(drawn)  # at most max_positive + max_unlabelled ids
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id").groupBy("doc_id", "_p").agg(F.min("text").alias("text"))
+    sample = materialise(sample.select("text", "_p").repartition(12), "sample")
 
     def count(known: dict[str, int] | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,12 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column | None = Non
 
         return run
 
-    n_p, n_u = sample.where("_p").count(), sample.where("not _p").count()
+    n_p, n_u = sample.agg(F.count_if("_p"), F.count_if(~F.col("_p"))).first()
     least = max(3, math.ceil(MIN_SHARE * n_p))
     sums = lambda frame, known=None: frame.select("text").mapInPandas(count(known), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    in_p = {r["f"]: r["n"] for r in sums(sample.where("_p")).where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()}
+    in_p = {r["f"]: r["n"] for r in sums(sample.where("_p")).where(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(max_candidates).collect()}
     in_u = {r["f"]: r["n"] for r in sums(sample.where("not _p"), dict.fromkeys(in_p, 0)).collect()}
-    names = _select(list(in_p), np.array(list(in_p.values()), float), np.array([in_u.get(f, 0) for f in in_p], float), max(1, n_p), max(1, n_u))
+    names = _select(list(in_p), np.array(list(in_p.values()), float), np.array([in_u.get(f, 0) for f in in_p], float), max(1, n_p), max(1, n_u), max_features)
     known = {f: i for i, f in enumerate(names)}
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,18 +177,18 @@ def train(docs: DataFrame, labels: DataFrame, *, learn_from: Column | None = Non
     return Model({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6}, bias, prior)
 
 
-def _select(names: list[str], a: np.ndarray, b: np.ndarray, n_p: int, n_u: int) -> list[str]:
+def _select(names: list[str], a: np.ndarray, b: np.ndarray, n_p: int, n_u: int, most: int) -> list[str]:
     """Names that are more frequent in P (a of n_p) than in U (b of n_u), by the likelihood ratio."""
     expect = (a + b) / (n_p + n_u)
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (np.nan_to_num(a * np.log(a / (expect * n_p))) + np.nan_to_num(b * np.log(b / (expect * n_u))))
     good = np.flatnonzero((a / n_p >= MIN_LIFT * (b + 0.5) / n_u) & (g2 >= MIN_G2))
-    return [names[i] for i in good[np.argsort(-g2[good], kind="stable")][:MAX_FEATURES]]
+    return [names[i] for i in good[np.argsort(-g2[good], kind="stable")][:most]]
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score``, the probability that a text is toxic."""
-    kept = [f for f in docs.schema if f.name != "score"]
+def score_texts(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """Add a column with the probability that a text is toxic."""
+    kept = [f for f in docs.schema if f.name != into]
 
     def run(batches):
         import pyarrow as pa
@@ -187,9 +196,9 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(model)
         for b in batches:
             scores = pa.array([scorer.score(t.as_py()) for t in b.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), scores], [*(f.name for f in kept), "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), scores], [*(f.name for f in kept), into])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

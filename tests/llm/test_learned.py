@@ -94,7 +94,7 @@ def test_held_out_accuracy(spark):
     got = toxicity.score_texts(test.select("doc_id", "text", "toxic"), model).select("toxic", "score").collect()
     hit = sum(r["toxic"] == 1 and r["score"] >= 0.7 for r in got)
     false = sum(r["toxic"] == 0 and r["score"] >= 0.7 for r in got)
-    assert hit >= 0.85 * sum(r["toxic"] == 1 for r in got) and false <= 0.01 * len(got)
+    assert hit >= 0.9 * sum(r["toxic"] == 1 for r in got) and false <= 0.01 * len(got)
 
 
 def test_scores_of_odd_tables(spark):
@@ -110,3 +110,26 @@ def test_scores_of_odd_tables(spark):
         known = {f: i for i, f in enumerate(model.weights)}
         slow = model.bias + sum(model.weights[f] for f in toxicity.features_of(toxicity.words_of(t), known))
         assert toxicity.Scorer(model).score(t) == pytest.approx(1 / (1 + math.exp(-slow)))
+
+
+def test_unlabelled_text_has_no_labels(spark):
+    """Documents without labels are learnt from as unlabelled text, and labels elsewhere draw nothing away."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join([word() for _ in range(30)] + (["vile"] if i < 60 or 1000 <= i < 1040 else []))) for i in [*range(300), *range(1000, 1400)]]
+    docs = spark.createDataFrame(rows + rows[:3] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(300)] + [(i, 1) for i in range(5000, 9000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_positive=500, max_unlabelled=5000)
+    assert model.prior == pytest.approx(0.2)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, model, into="s").withColumnRenamed("s", "score").collect()}
+    assert all((got[i] >= 0.5) == ("vile" in t) for i, t in rows)
+
+
+def test_draw_is_among_present_documents(spark):
+    """Labels of documents that are gone take no place in the bounded sample."""
+    good, bad = "plain words stand here in a row and then some more of them ", "## $$ ## $$ ## $$ ## $$ ## $$ ## $$ "
+    docs = spark.createDataFrame([(i, (bad if i % 3 == 0 else good) + str(i)) for i in range(150)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)] + [(i, 1) for i in range(1000, 4000)], "doc_id long, quality int")
+    rules = quality.learn_rules(docs, labels, max_labelled=150)
+    kept = quality.text_statistics(docs, prefix="q_").where(quality.verdict(rules, "q_")).select("doc_id").distinct().collect()
+    assert {r[0] for r in kept} == {i for i in range(150) if i % 3}
