@@ -52,11 +52,16 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     It cuts lineage like ``checkpoint()``, but as compressed columns, and a lost executor
     costs nothing that was written before. Within ``scratch``, the folder goes at its end.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """``materialise``, and the folder that can be deleted."""
     folder = shared_dir(df.sparkSession)
     if _SCRATCH:
         _SCRATCH[-1].append(folder)
     df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}"), folder
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -77,6 +82,16 @@ def scratch(spark: SparkSession):
             delete_folder(spark, folder)
 
 
+@contextmanager
+def unscratched():
+    """Within ``scratch``, write for what is around it."""
+    inner = _SCRATCH.pop()
+    try:
+        yield
+    finally:
+        _SCRATCH.append(inner)
+
+
 def ranked(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """Number rows of equal keys from 0 in ``_rank``, in 1024 chunks of each key; rows must have been written, so that they don't change places."""
     rows = rows.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))

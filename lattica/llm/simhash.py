@@ -11,22 +11,25 @@ traversing pairs of nodes together, adding up the bits in which their paths diff
 dropping a pair whose sum exceeds the budget. Pairs whose leaves are all in one component
 already are dropped too, so a large group of near copies costs links, not pairs; a task
 returns a spanning forest. A block value that many fingerprints share is split by a hash into
-chunks, and each pair of chunks is a task that joins their two tries.
-
-``similar_groups`` groups by a similarity of shingle sets instead, 0.8 unless told otherwise,
-and fingerprints have no part in it: at a Jaccard similarity of 0.8 two texts differ in 10 bits
-of 64, and what a fingerprint misses or makes up would be wrong. It is exact but for collisions
-of 64-bit hashes, of shingles and of shingle sets. Distinct sets are its nodes. Shingles are
-ordered by how many nodes have them, so of two sets that are similar enough one of the first
-n - ceil(0.8 n) + 1 shingles of each is common to both. Shingles of one node alone drop out once
-counted. What these prefixes connect meets in one task, which compares whole sets, those of the
-commonest shingles with all others first. Only pairs already connected by links that passed
-are left out, so a large group around one text costs links, not pairs, and no pair that isn't
-similar ever stands in for one that is. Groups of more than ``TASK_ENTRIES`` shingles are
-split into chunks by a hash, and each pair of chunks is a task.
+chunks of ``HOT_ROWS``, and each pair of chunks is a task that joins their two tries.
+
+``similar_groups`` groups by a similarity of shingle sets, 0.8 unless told otherwise. Distinct
+sets are its nodes. The trie join of their fingerprints comes first: it finds copies with small
+edits, whose sets are then compared, so that only true links stay. But at a similarity of 0.8
+two texts differ in 10 bits of 64, where a budget that keeps the tries small finds few. So an
+exact join finds the rest: shingles are ordered by how many nodes have them, so of two sets
+that are similar enough one of the first n - ceil(0.8 n) + 1 shingles of each is common to
+both. Shingles of one node alone drop out once counted, and with them every node that has less
+than 0.8 of its set in common with others. What prefixes connect meets in one task, which
+compares whole sets, those of the commonest shingles with all others first, but no pairs that
+links of the trie join or its own connect already. So a large group around one text costs
+links, not pairs, and no pair that isn't similar ever stands in for one that is. Groups of more
+than ``TASK_ENTRIES`` shingles are split into chunks by a hash, and each pair of chunks is a
+task. The result is exact but for collisions of 64-bit hashes, of shingles and of sets.
 
 Components of all forests come from star contraction in rounds, each written to the shared
-folder. No links or fingerprints are gathered on the driver.
+folder, with every side of a join, so that the links of one large group's centre can be split.
+No links, fingerprints or frequent values are gathered on the driver.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; texts of
 fewer words than a shingle are one shingle; repeated rows and null doc_ids are rows of their
@@ -46,13 +49,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import literal_table, materialise
+from .common import delete_folder, materialise, scratch, unscratched, written
 
 SEED = 42
-#: Rows of a task, of a block value before it is split, and at most so many values are split.
-TASK_ROWS, HOT_ROWS, HOT_VALUES = 40_000, 20_000, 2000
+#: Rows of a task, and of a block value before it is split.
+TASK_ROWS, HOT_ROWS = 40_000, 20_000
 #: Node pairs with at most so many leaf pairs are compared leaf by leaf; pairs taken at a time.
 LEAF_PAIRS, FRONTIER = 1024, 50_000
 #: Shingles of a task that counts or compares sets, and of a Python worker's buffer.
@@ -194,15 +196,12 @@ def _block_value(fp: Column, lo: int, bits: int) -> Column:
 
 def _tasks(rows: DataFrame, total: int, blocks: list[tuple[int, int]]) -> DataFrame:
     """Deal (node, print, fp) to tasks: node, fp, print, block, task, side. Each pair of fp that agree in a block meets in one."""
-    spark = rows.sparkSession
-    most = max(HOT_ROWS, total * len(blocks) // HOT_VALUES)
     by_block = F.array(*[F.struct(F.lit(i).alias("block"), _block_value(F.col("fp"), lo, n).alias("value")) for i, (lo, n) in enumerate(blocks)])
     key = ["print", "block", "value"]
     rows = rows.select("node", "print", "fp", F.inline(by_block))
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()  # at most HOT_VALUES
-    hot = [{k: r[k] for k in key} | {"chunks": math.ceil(r["n"] / most) + 1} for r in counts]
-    table = F.broadcast(literal_table(spark, hot, "print int, block int, value long, chunks int"))
-    rows = rows.join(table, key, "left")
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = materialise(counts.select(*key, (F.ceil(F.col("n") / HOT_ROWS) + 1).cast("int").alias("chunks")), "hot")  # written, so Spark knows its size
+    rows = rows.join(hot, key, "left")
     bins = max(1, math.ceil(total * len(blocks) / TASK_ROWS))
     bin_ = F.pmod(F.xxhash64(*key), F.lit(bins))
     cold = rows.where("chunks is null").select("node", "fp", "print", "block", F.concat_ws(":", F.lit("c"), "print", "block", bin_).alias("task"), F.lit(0).alias("side"))
@@ -246,17 +245,24 @@ def _join_task(rows: pd.DataFrame, blocks: list[tuple[int, int]], budgets: tuple
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v): each node but the least of its component, and that least node. Edges have u > v."""
-    edges = materialise(edges.distinct(), "edges")
+    """(u, v): each node but the least of its component, and that least node. Edges have u > v.
+
+    What is joined on is written first: two plain exchanges, of which a hot side can be split.
+    """
+    spark = edges.sparkSession
+    edges, folder = written(edges.distinct(), "edges")
     sign = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
     before = sign(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        with scratch(spark):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+            large = materialise(both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            stars, new = _outside(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        delete_folder(spark, folder)
+        edges, folder = stars, new
         after = sign(edges)
         if after == before:
             break
@@ -264,6 +270,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _outside(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` for what outlives the innermost ``scratch``."""
+    with unscratched():
+        return written(df, name)
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, budget: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
     base = materialise(fingerprints(docs, shingle), "fingerprints")
@@ -279,8 +291,8 @@ def _with_least(base: DataFrame, distinct: DataFrame, stars: DataFrame) -> DataF
 def _least(distinct: DataFrame, stars: DataFrame) -> DataFrame:
     """fp and component_id, the least ``first`` of its component."""
     members = stars.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-    members = members.join(distinct, "fp")
-    least = members.groupBy("root").agg(F.min("first").alias("least"))
+    members = materialise(members.join(distinct, "fp"), "members")
+    least = materialise(members.groupBy("root").agg(F.min("first").alias("least")), "least")
     linked = members.join(least, "root").select("fp", "least")
     # written, so that both sides of the last join are plain exchanges, whose hot keys can be split
     return materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
@@ -313,17 +325,26 @@ def _set_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def set_print(found: np.ndarray) -> int:
+    """The fingerprint of a shingle set, as a signed number: bits set in over half of its hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), SLICE):
+        counts += np.unpackbits(found[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big", signed=True)
+
+
 def shingle_nodes(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Per row doc_id, text_hash, node, which names its shingle set, and the set's size n."""
+    """Per row doc_id, text_hash, node, which names its shingle set, the set's size n and its fingerprint."""
+    names = ["doc_id", "text_hash", "node", "n", "print"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = [(_set_id(s), len(s)) for s in (shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column("text"))]
-            node, n = np.array(of, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array(n)], ["doc_id", "text_hash", "node", "n"])
+            sets = (shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column("text"))
+            node, n, mark = np.array([(_set_id(s), len(s), set_print(s)) for s in sets], np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array(n), pa.array(mark)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 #: Shingles of many nodes in a row: the nodes, their sets' sizes, how many shingles each has here, and these.
@@ -431,13 +452,14 @@ def _candidates(sets: DataFrame) -> DataFrame:
     return rows.groupBy("bin").applyInPandas(run, "u long, v long")
 
 
-def _links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sets are similar enough."""
+def _links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], known: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs whose sets are similar enough, which connect all such pairs with what is ``known`` to be one component."""
     lengths = np.array([len(s) for s in sets])
     starts = np.cumsum(lengths) - lengths
     _, hashes, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     typical = np.add.reduceat(n[hashes], starts) / sizes
-    of, done, mark, edges = np.arange(len(nodes)), np.zeros(len(nodes), bool), np.zeros(len(n), bool), []
+    of = np.unique(known, return_inverse=True)[1]
+    done, mark, edges = np.zeros(len(nodes), bool), np.zeros(len(n), bool), []
     outside = True
     for i in np.argsort(-typical, kind="stable"):
         if not outside:  # of two apart, one is outside the largest component and has met the other
@@ -463,22 +485,44 @@ def _links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], simi
 def _verified(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     edges = []
     for _, t in rows.groupby("root", sort=False):
-        edges += _links_of(t["node"].to_numpy(np.int64), t["n"].to_numpy(np.int64), [np.frombuffer(h, np.uint64) for h in t["hashes"]], similarity)
+        edges += _links_of(t["node"].to_numpy(np.int64), t["n"].to_numpy(np.int64), [np.frombuffer(h, np.uint64) for h in t["hashes"]], t["known"].to_numpy(np.int64), similarity)
     edges = np.array(edges, np.int64).reshape(-1, 2)
     return pd.DataFrame({"u": edges.max(axis=1, initial=-(2**63)), "v": edges.min(axis=1, initial=2**63 - 1)})
 
 
-def _similar_links(sets: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v), u > v, that connect all similar nodes, and no others; stars: what prefixes connect."""
+def _print_links(distinct: DataFrame, sets: DataFrame, similarity: float, budget: int) -> DataFrame:
+    """Edges (u, v), u > v, of similar nodes that the trie join of their fingerprints finds. distinct: node, print."""
+    heads = materialise(distinct.groupBy("print").agg(F.min("node").alias("head")), "heads")
+    near = links(heads.select(F.col("print").alias("fp")), budget)
+    of = lambda name, end: heads.select(F.col("print").alias(name), F.col("head").alias(end))
+    across = near.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    alike = distinct.join(heads, "print").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = materialise(across.unionByName(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "pairs")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("hashes").alias(f"h_{end}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, g, h in zip(*(b.column(c) for c in ("n_u", "n_v", "h_u", "h_v"))):
+                common = len(np.intersect1d(np.frombuffer(g.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64), assume_unique=True))
+                keep.append(common / (n.as_py() + m.as_py() - common) >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
+
+
+def _similar_links(sets: DataFrame, stars: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v), u > v, that with the stars of ``known`` connect all similar nodes, and no others; stars: what prefixes connect."""
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    rows = materialise(sets.drop("prefix").join(members, "node"), "candidates")
+    rows = sets.drop("prefix").join(members, "node").join(known.select(F.col("u").alias("node"), F.col("v").alias("_known")), "node", "left")
+    rows = materialise(rows.select("root", "node", "n", "hashes", F.coalesce("_known", "node").alias("known")), "candidates")
     entries = F.sum(F.octet_length("hashes") / 8).cast("long")
     total = rows.agg(entries).first()[0] or 0
-    most = max(TASK_ENTRIES, total // HOT_VALUES)
-    hot = [{"root": r["root"], "chunks": math.ceil(r["m"] / most) + 1} for r in rows.groupBy("root").agg(entries.alias("m")).where(F.col("m") > most).collect()]  # at most HOT_VALUES
-    rows = rows.join(F.broadcast(literal_table(rows.sparkSession, hot, "root long, chunks int")), "root", "left")
+    large = rows.groupBy("root").agg(entries.alias("m")).where(F.col("m") > TASK_ENTRIES)
+    hot = materialise(large.select("root", (F.ceil(F.col("m") / TASK_ENTRIES) + 1).cast("int").alias("chunks")), "hot")
+    rows = rows.join(hot, "root", "left")
     bin_ = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / TASK_ENTRIES))))
-    columns = ["root", "node", "n", "hashes"]
+    columns = ["root", "node", "n", "hashes", "known"]
     cold = rows.where("chunks is null").select(*columns, F.concat_ws(":", F.lit("c"), bin_).alias("task"))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     split = rows.where("chunks is not null").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("mine <> other")
@@ -486,7 +530,7 @@ def _similar_links(sets: DataFrame, stars: DataFrame, similarity: float) -> Data
     return cold.unionByName(split).groupBy("task").applyInPandas(lambda t: _verified(t, similarity), "u long, v long")
 
 
-def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, fp), distinct fp with its first row, and the stars of similar ones; fp is a node."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
@@ -494,25 +538,39 @@ def _similar(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     distinct = base.groupBy("fp").agg(first.alias("first"))
     sets = materialise(_sets(docs, base.agg(F.sum("n")).first()[0] or 0, shingle, similarity), "sets")
-    return base, distinct, components(_similar_links(sets, components(_candidates(sets)), similarity))
+    # only what shares enough shingles can be similar to anything
+    able = base.groupBy(F.col("fp").alias("node")).agg(F.min("print").alias("print")).join(sets.select("node"), "node", "left_semi")
+    known = components(_print_links(materialise(able, "prints"), sets, similarity, budget))
+    more = _similar_links(sets, components(_candidates(sets)), known, similarity)
+    return base, distinct, components(known.unionByName(more))
 
 
-def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id: the smallest doc_id that links of at least this similarity reach."""
-    base, distinct, stars = _similar(docs, shingle, similarity)
+def similar_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, budget: int = 4) -> DataFrame:
+    """doc_id and component_id: the smallest doc_id that links of at least this similarity reach. The trie join's budget doesn't change them."""
+    base, distinct, stars = _similar(docs, shingle, similarity, budget)
     return _with_least(base, distinct, stars).select("doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, spare_unnamed: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, budget: int = 4, spare_unnamed: bool = True) -> DataFrame:
     """Keep one row of each group: of its smallest doc_id, the row of the least text hash, once.
 
     Rows without doc_id come last; if they are spared, all of them stay and take no other's place.
+    What stays is decided on ids and hashes; of texts, only those of rows to keep are moved.
     """
-    _, distinct, stars = _similar(docs, shingle, similarity)
-    stay = _least(distinct, stars).select("component_id.*").distinct().select(F.col("doc_id").alias("_keep"), F.col("text_hash").alias("_text"))
-    mine = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = mine.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_text")), "left_semi")
-    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rank = F.row_number().over(W.partitionBy("doc_id", "_hash").orderBy(F.xxhash64(*plain)))
-    first = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_hash")
-    return first.where("doc_id is not null").unionByName(docs.where("doc_id is null")) if spare_unnamed else first
+    base, distinct, stars = _similar(docs, shingle, similarity, budget)
+    stay = _least(distinct, stars).select("component_id.doc_id", "component_id.text_hash").distinct()
+    alike = base.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_copies"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_hash").eqNullSafe(F.col("text_hash"))
+    stay = stay.join(alike.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies"), same).select("_id", "_hash", "_copies")
+    if spare_unnamed:
+        stay = stay.where("_id is not null")
+    stay = materialise(stay, "stay")
+    # the rows as they are, in a struct, so that no column's name can clash
+    mine = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = mine.join(stay.where("_copies = 1"), same, "left_semi").select("_row.*")
+    several = stay.where("_copies > 1")
+    if not several.isEmpty():  # rows alike in both: one of each, picked before they are shuffled
+        plain = [F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        one = mine.join(several, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("_row", F.xxhash64(*plain)).alias("_row"))
+        kept = kept.unionByName(one.select("_row.*"))
+    return kept.unionByName(docs.where("doc_id is null")) if spare_unnamed else kept

@@ -44,7 +44,6 @@ def test_links_connect_the_same(spark, budget, monkeypatch):
     monkeypatch.setattr(simhash, "TASK_ROWS", 200)
     monkeypatch.setattr(simhash, "LEAF_PAIRS", 16)
     monkeypatch.setattr(simhash, "FRONTIER", 64)
-    monkeypatch.setattr(simhash, "HOT_VALUES", 100)
     rng = np.random.default_rng(budget)
     far = rng.integers(0, 2**64, 300, np.uint64)
     near = [f ^ sum(np.uint64(1) << np.uint64(b) for b in rng.choice(64, rng.integers(0, 7), False)) for f in np.repeat(far[:20], 12)]
