@@ -17,6 +17,7 @@ from tests.llm.test_simhash import plain_components, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ["score", "n_words", "size", "_rank", "fp", "shard"]
 
 
 def vocabulary(rng):
@@ -47,7 +48,8 @@ def corpus(spark, tmp_path_factory):
         rows.append((2000 + k, r[1] + " one", "en", r[3], r[4] + 4))
     rows += [(3000, None, "en", "s1", 0), (3001, "", None, None, 0), (3002, prose(6000), "en", None, 0)]
     path = str(tmp_path_factory.mktemp("sf"))
-    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{path}/documents.parquet")
+    clashing = [(*r, *(f"{c} of {r[0]}" for c in CLASH)) for r in rows]
+    spark.createDataFrame(clashing, COLUMNS + "".join(f", {c} string" for c in CLASH)).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path, {r[0]: r for r in rows}, {l[0]: l[1:] for l in labels}
 
@@ -65,7 +67,9 @@ def stages(spark, corpus):
 
 def test_order_and_columns(stages):
     assert [n for n, _ in stages] == ["quality_rules", "toxicity", "simhash_near_dedup", "mix_sources", "packing"]
-    assert all(df.columns == ["doc_id", "text", "lang", "source", "n_chars"] for _, df in stages[:-1])
+    for _, df in stages[:-1]:
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASH]
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in df.collect() for c in CLASH)
 
 
 def test_filters(stages, corpus):
@@ -112,10 +116,12 @@ def test_mix(stages):
             break
         fixed |= over
     for s in order:
-        assert abs(taken[s] - want[s]) <= 128 + 0.02 * want[s]
+        assert abs(taken[s] - want[s]) <= max(1, 0.02 * want[s])
     for i, n_of in words.items():
         have = Counter(WORD.findall(whole[i]))
         assert all(n <= 3 * have[w] for w, n in n_of.items())
+    # whole documents, though the sources are so small that blocks are shorter than a document
+    assert sum(r["text"] == whole[r["doc_id"]] for r in after) > 0.4 * len(after)
 
 
 def test_packing(stages):
@@ -134,6 +140,20 @@ def test_packing(stages):
     assert (ids == 1).sum() >= len(before)
 
 
+def test_null_and_repeated_rows(spark, tmp_path):
+    """Null ids, sources and texts, repeated rows and one long text go through all stages; each group keeps a row."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(n))
+    texts = [prose(60) for _ in range(30)]
+    rows = [(i, t, "en", None if i % 3 else "s", 1) for i, t in enumerate(texts)] * 2 + [(None, texts[0], None, "s", 1), (None, prose(50), None, None, None), (None, None, None, None, None), (7, prose(5000), "en", "s", 1), (7, prose(70), "en", "s", 1)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, None), (3, None, 1), (5, 0, 0), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    deduped = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)).collect()
+    assert len(deduped) == 34 and sum(r["doc_id"] is None for r in deduped) == 2
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
