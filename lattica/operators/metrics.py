@@ -2,7 +2,8 @@
 
 Sums over an order (ROC curves, precision at a rank) never run in one task: rows are summed
 by distinct score first, scores fall into buckets by their quantiles, and bucket totals,
-of which there are at most ``BUCKETS`` for each class, carry the sums over.
+of which there are at most ``BUCKETS`` for each class, carry the sums over. These sums by
+score are written, so rows are computed once, not for quantiles, totals and result again.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from ..functions.geometry import bbox_iou, f1, safe_div, token_counts
 from ..functions.scoring import binary_score, error_tags, hallucinated, type_scores
 from ..functions.text import count_words
+from ..storage import materialise
 from ..types import TYPE_ORDER
 
 BUCKETS = 64
@@ -46,7 +48,7 @@ def running_sums(df: DataFrame, by: list[str], key: str, then: list[str], values
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     one = F.col(label).cast("long")
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
+    return materialise(df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg")), "by_score")
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -78,7 +80,7 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
     """A row per group: mean precision at the ranks of positives, ties in the order of ``order``; NaN without any."""
     by = by or []
     rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("long").alias("hit"), F.col(order).alias("ord"))
-    rows = rows.withColumn("chunk", F.floor(F.col("ord") / TIE_ROWS))
+    rows = materialise(rows.withColumn("chunk", F.floor(F.col("ord") / TIE_ROWS)), "ranked")
     sums = rows.groupBy(*by, "score", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
     sums = running_sums(sums, by, "score", ["chunk"], ["n", "hits"], descending=True)
     base = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("score").alias("_s"), F.col("chunk").alias("_c"), (F.col("n_upto") - F.col("n")).alias("_n"), (F.col("hits_upto") - F.col("hits")).alias("_h"))
@@ -138,9 +140,12 @@ def by_type(df: DataFrame, target: Column, scores: Column, given: Column, parsed
 
 
 def score_rows(aligned: DataFrame, *, bbox_threshold: float = 0.5, text_f1_threshold: float = 1.0, binary_threshold: float = 0.5, type_threshold: float = 0.5) -> DataFrame:
-    """From target, parsed, caption, manipulated_score, type_scores: what the metrics are sums of."""
+    """From target, parsed, caption, manipulated_score, type_scores (a map): what the metrics are sums of.
+
+    ``type_list``, if there is such a column, has the scores of rows that list four of them.
+    """
     target, parsed = F.col("target"), F.col("parsed")
-    df = aligned.withColumns({"_binary": binary_score(F.col("manipulated_score"), parsed), "_types": type_scores(F.col("type_scores"), parsed)})
+    df = aligned.withColumns({"_binary": binary_score(F.col("manipulated_score"), parsed), "_types": type_scores(F.col("type_scores"), parsed, F.col("type_list") if "type_list" in aligned.columns else None)})
     predicted = F.when(F.col("_binary.given"), (F.col("_binary.score") >= binary_threshold).cast("int")).when(parsed["valid"], (parsed["verdict"] == "manipulated").cast("int"))
     words = token_counts(target["text_positions"], F.coalesce(parsed["text_positions"], F.array().cast("array<int>")), count_words(F.col("caption")))
     return df.withColumns({

@@ -2,7 +2,11 @@
 
 An order k of customer c is one annotated sample with one model response. Four bits of k are
 its manipulation types; the response has other types for every fifth customer, a shifted box
-for most orders, and for some orders isn't JSON, is fenced, or has prose around it.
+for most orders, and for some orders isn't JSON, is fenced, has prose around it, has other
+names for its fields and types, corners out of order or a position that is too large.
+
+Records are made once for a session and a folder, spread over tasks, and written; queries
+read them like tables (``truth``, ``responses``).
 """
 
 from __future__ import annotations
@@ -12,9 +16,19 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import build_target, canonical_answer, strings
 from ..functions.parse import parse_response
+from ..storage import materialise
 from ..types import TYPE_ORDER
 
 SIZE = 1000
+_MADE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """What ``make`` gives, written at the first call of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = materialise(make(spark, sf_dir), name)
+    return _MADE[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    """k and c of each order, dealt to as many tasks as a shuffle has: a file may be one split."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")).repartition(tasks)
 
 
 def label_of(bits: Column) -> Column:
@@ -42,7 +58,16 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ord, label, caption and target."""
+    """id, ord, c, label, caption and target."""
+    return once(spark, sf_dir, "truth", _truth)
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, ord, response, manipulated_score and type_scores."""
+    return once(spark, sf_dir, "responses", _responses)
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.lit(SIZE)
     target = build_target(F.col("label"), F.col("box"), F.col("positions"), size, size)
     return annotations(spark, sf_dir).select(F.col("k").alias("id"), F.col("k").alias("ord"), "c", "label", caption(F.col("k")).alias("caption"), target.alias("target"))
@@ -53,14 +78,21 @@ def caption(k: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), (10 + k % 40).cast("int")), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, ord, response, manipulated_score and type_scores."""
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, k, c = F.lit(SIZE), F.col("k"), F.col("c")
     said = build_target(F.col("said_label"), F.col("said_box"), F.col("said_positions"), size, size)
     answer = canonical_answer(said)
-    text = F.when(k % 7 == 0, "not json").when(k % 11 == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(k % 13 == 0, F.concat(F.lit("The answer is "), answer, F.lit(" as asked."))).otherwise(answer)
-    scores = F.map_from_arrays(strings(TYPE_ORDER), F.array(*[((k * (i + 2) + c) % 101) / 100.0 for i in range(4)]))
-    return annotations(spark, sf_dir).select(k.alias("id"), k.alias("ord"), text.alias("response"), (((k * 31 + c) % 101) / 100.0).alias("manipulated_score"), scores.alias("type_scores"))
+    listed = lambda xs: F.concat(F.lit("["), F.array_join(xs.cast("array<string>"), ","), F.lit("]"))
+    renamed = F.concat(
+        F.lit('{"label":"'), F.when(said["verdict"] == "pristine", "real").otherwise("fake"), F.lit('","badcase_types":"'), F.array_join(said["types"], ","),
+        F.lit('","evidence_bbox":'), F.coalesce(listed(said["image_bbox"]), F.lit("null")), F.lit(',"evidence_text_pos":'), listed(said["text_positions"]), F.lit("}"),
+    )
+    text = (
+        F.when(k % 7 == 0, "not json").when(k % 11 == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(k % 13 == 0, F.concat(F.lit("The answer is "), answer, F.lit(" as asked.")))
+        .when(k % 17 == 0, renamed).when(k % 19 == 0, '{"verdict":"fake","types":["fs"],"image_bbox":[9,9,1,1]}').when(k % 23 == 0, '{"verdict":"fake","types":["ts"],"text_positions":[50]}').otherwise(answer)
+    )
+    scores = F.map_from_arrays(strings(TYPE_ORDER), F.array(*[((k * (i + 2) + c) % 10007) / 10007.0 for i in range(4)]))
+    return annotations(spark, sf_dir).select(k.alias("id"), k.alias("ord"), text.alias("response"), (((k * 7919 + c * 31) % 65521) / 65521.0).alias("manipulated_score"), scores.alias("type_scores"))
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:

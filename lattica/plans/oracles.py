@@ -24,13 +24,13 @@ def _json(types: str, box: str, pos: str) -> str:
 #: k, c, bits, types, boxes, positions of target (t…) and response (p…), ok: whether it parses; then what compares them.
 BASE = f"""
 WITH r0 AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
-r1 AS (SELECT k, c, k % 16 AS tb, CASE WHEN c % 5 = 0 THEN (k + 3) % 16 ELSE k % 16 END AS pb, (k % 4) * (c % 30) AS s, c % 500 AS x, (k * 7) % 500 AS y, k % 7 <> 0 AS ok FROM r0),
+r1 AS (SELECT k, c, k % 16 AS tb, CASE WHEN c % 5 = 0 THEN (k + 3) % 16 ELSE k % 16 END AS pb, (k % 4) * (c % 30) AS s, c % 500 AS x, (k * 7) % 500 AS y, NOT (k % 7 = 0 OR (k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 AND (k % 19 = 0 OR k % 23 = 0))) AS ok FROM r0),
 r2 AS (SELECT *, x + 1 + (c % 7) * 50 AS x2, y + 1 + (k % 50) * 8 AS y2 FROM r1),
 a AS (SELECT k AS id, k, c, tb, pb, ok, {_types("tb")} AS tt, {_types("pb")} AS pt, [x, y, x2, y2] AS raw_box,
   CASE WHEN tb & 3 > 0 THEN [x, y, x2, y2] END AS tbox, CASE WHEN pb & 3 > 0 THEN [x + s, y + s, x2 + s, y2 + s] END AS pbox,
   CASE WHEN tb & 12 > 0 THEN list_sort(list_distinct([k % 50, c % 50, (k + c) % 7])) ELSE [] END AS tpos,
   CASE WHEN pb & 12 > 0 THEN list_sort(list_distinct([k % 50, (c + k % 3) % 50, (k + c) % 7])) ELSE [] END AS ppos,
-  ((k * 31 + c) % 101) / 100.0 AS score, (10 + k % 40) AS n_words, (tb > 0)::INT AS label, CASE WHEN tb = 0 THEN 'orig' ELSE array_to_string({_types("tb")}, '&') END AS fake_cls FROM r2),
+  ((k * 7919 + c * 31) % 65521) / 65521.0 AS score, (10 + k % 40) AS n_words, (tb > 0)::INT AS label, CASE WHEN tb = 0 THEN 'orig' ELSE array_to_string({_types("tb")}, '&') END AS fake_cls FROM r2),
 g AS (SELECT *, greatest(0.0, least(tbox[3], pbox[3]) - greatest(tbox[1], pbox[1])) * greatest(0.0, least(tbox[4], pbox[4]) - greatest(tbox[2], pbox[2]))::DOUBLE AS inter,
   ((tbox[3] - tbox[1]) * (tbox[4] - tbox[2]))::DOUBLE AS ta, ((pbox[3] - pbox[1]) * (pbox[4] - pbox[2]))::DOUBLE AS pa, len(list_intersect(tpos, ppos)) AS hits FROM a),
 h AS (SELECT *, CASE WHEN tbox IS NULL AND pbox IS NULL THEN 1.0 WHEN tbox IS NULL OR pbox IS NULL THEN 0.0 ELSE inter / (ta + pa - inter) END::DOUBLE AS iou0,
@@ -42,7 +42,7 @@ e AS (SELECT *, CASE WHEN ok THEN iou0 ELSE 0.0 END AS iou, (score >= 0.5)::INT
 """
 
 #: A row per sample and type: label, score, predicted.
-TYPED = BASE + ", ty AS (" + " UNION ALL ".join(f"SELECT id, '{t}' AS type, (tb & {1 << i} > 0)::INT AS label, ((k * {i + 2} + c) % 101) / 100.0 AS score, (((k * {i + 2} + c) % 101) / 100.0 >= 0.5)::INT AS predicted FROM a" for i, t in enumerate(TYPES)) + ")"
+TYPED = BASE + ", ty AS (" + " UNION ALL ".join(f"SELECT id, '{t}' AS type, (tb & {1 << i} > 0)::INT AS label, ((k * {i + 2} + c) % 10007) / 10007.0 AS score, (((k * {i + 2} + c) % 10007) / 10007.0 >= 0.5)::INT AS predicted FROM a" for i, t in enumerate(TYPES)) + ")"
 CLASSES = TYPED + ", pc AS (SELECT type, sum(label * predicted) AS tp, sum((1 - label) * predicted) AS fp, sum(label * (1 - predicted)) AS fn FROM ty GROUP BY type), pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM pc)"
 AP = TYPED + ", rk AS (SELECT type, label, sum(label) OVER w AS h, row_number() OVER w AS n FROM ty WINDOW w AS (PARTITION BY type ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)), ap AS (SELECT type, avg(CASE WHEN label = 1 THEN h / n END) AS ap FROM rk GROUP BY type)"
 #: Cells of the word-level confusion.
@@ -62,7 +62,8 @@ rw AS (SELECT id, kind, ok, CASE WHEN ok THEN w * (0.5 * v + 0.25 * t + 0.25 * e
 
 
 ANSWER_T, ANSWER_P = _json("tt", "tbox", "tpos"), _json("pt", "pbox", "ppos")
-RESPONSE = f"CASE WHEN k % 7 = 0 THEN 'not json' WHEN k % 11 = 0 THEN '```json' || chr(10) || ({ANSWER_P}) || chr(10) || '```' WHEN k % 13 = 0 THEN 'The answer is ' || ({ANSWER_P}) || ' as asked.' ELSE {ANSWER_P} END"
+RENAMED = f"""'{{"label":"' || CASE WHEN pb = 0 THEN 'real' ELSE 'fake' END || '","badcase_types":"' || coalesce({_csv('pt')}, '') || '","evidence_bbox":' || CASE WHEN pbox IS NULL THEN 'null' ELSE '[' || {_csv('pbox')} || ']' END || ',"evidence_text_pos":[' || coalesce({_csv('ppos')}, '') || ']}}'"""
+RESPONSE = f"CASE WHEN k % 7 = 0 THEN 'not json' WHEN k % 11 = 0 THEN '```json' || chr(10) || ({ANSWER_P}) || chr(10) || '```' WHEN k % 13 = 0 THEN 'The answer is ' || ({ANSWER_P}) || ' as asked.' WHEN k % 17 = 0 THEN {RENAMED} WHEN k % 19 = 0 THEN '{{\"verdict\":\"fake\",\"types\":[\"fs\"],\"image_bbox\":[9,9,1,1]}}' WHEN k % 23 = 0 THEN '{{\"verdict\":\"fake\",\"types\":[\"ts\"],\"text_positions\":[50]}}' ELSE {ANSWER_P} END"
 CAPTION = "array_to_string(list_transform(range(1, n_words + 1), lambda i: 'w' || i), ' ')"
 AUDIT = "Determine whether this image-text pair is pristine or manipulated. Return exactly one JSON object with keys verdict, types, image_bbox, and text_positions. verdict must be pristine or manipulated. types must be selected from [face_swap, face_attribute, text_swap, text_attribute]. image_bbox must be null or [x1,y1,x2,y2] normalized to 0-1000. text_positions must contain zero-based word indices in the normalized News text. Do not include markdown or extra explanation."
 FRACTION = "(('0x' || substr(sha256('42:' || {key}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
@@ -108,13 +109,13 @@ SELECT doc_id, caption, len(list_filter(string_split_regex(caption, '{WS}+'), la
     "response_fields": BASE + f"SELECT id::VARCHAR AS id, {RESPONSE} AS response FROM a",
     "score_vectors": BASE
     + "SELECT id, round(CASE WHEN k % 3 <> 0 THEN least(1.0, greatest(0.0, score * 2 - 0.5)) WHEN NOT ok THEN 0.5 ELSE (pb > 0)::INT END::DOUBLE, 6) AS score, k % 3 <> 0 AS given, "
-    + ", ".join(f"round(CASE WHEN k % 4 <> 0 THEN ((k * {i + 2} + c) % 101) / 100.0 ELSE (ok AND pb & {1 << i} > 0)::INT END::DOUBLE, 6) AS s{i}" for i in range(4))
+    + ", ".join(f"round(CASE WHEN k % 4 <> 0 THEN ((k * {i + 2} + c) % 10007) / 10007.0 ELSE (ok AND pb & {1 << i} > 0)::INT END::DOUBLE, 6) AS s{i}" for i in range(4))
     + ", k % 4 <> 0 AS given_types FROM a",
     "json_path_numbers": "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS value, try_cast(json_extract_string(props, '$.k') AS DOUBLE) * 100 AS percent FROM events",
     "comma_lists": "SELECT o_orderkey AS id, 'a' || o_orderkey || ',b' || CASE WHEN o_orderkey % 2 = 0 THEN ',' || o_custkey ELSE '' END AS items FROM orders",
     "image_dimensions": "SELECT o_orderkey AS id, (o_orderkey % 4000 + 1)::INT AS width, (o_custkey % 3000 + 1)::INT AS height FROM orders",
     "parse_response_rows": BASE
-    + f"SELECT id, ok AS valid, CASE WHEN NOT ok THEN NULL WHEN pb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, CASE WHEN ok THEN coalesce({_csv('pt')}, '') ELSE '' END AS types, CASE WHEN ok THEN {_csv('pbox')} END AS box, CASE WHEN ok THEN coalesce({_csv('ppos')}, '') ELSE '' END AS positions, CASE WHEN NOT ok THEN 'invalid_json' END AS error FROM a",
+    + f"SELECT id, ok AS valid, CASE WHEN NOT ok THEN NULL WHEN pb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, CASE WHEN ok THEN coalesce({_csv('pt')}, '') ELSE '' END AS types, CASE WHEN ok THEN {_csv('pbox')} END AS box, CASE WHEN ok THEN coalesce({_csv('ppos')}, '') ELSE '' END AS positions, CASE WHEN ok THEN NULL WHEN k % 7 = 0 THEN 'invalid_json' ELSE 'invalid_schema' END AS error FROM a",
     "json_lines_round_trip": BASE + f"SELECT id, fake_cls AS label, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, {_csv('tbox')} AS box FROM a",
     "split_union": "SELECT o_orderkey AS id, ['train', 'val', 'test'][o_orderkey % 10 + 1] AS split FROM orders WHERE o_orderkey % 10 < 3",
     "stable_split": f"SELECT doc_id, CASE WHEN {FRACTION.format(key='source')} < 0.2 THEN 'preference_pool' ELSE 'sft_train' END AS pool, round({FRACTION.format(key='source')}, 6) AS fraction FROM documents",
