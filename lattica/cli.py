@@ -1,4 +1,4 @@
-"""Command line: convert, predict-check, mine, evaluate, score, prompts, compare, settings.
+"""Command line: convert, infer, merge, mine, evaluate, score, prompts, compare, settings.
 
     python -m lattica.cli evaluate --ground-truth truth.jsonl --predictions pred.jsonl --output metrics.json
 """
@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from pathlib import Path
 from typing import Any
@@ -13,12 +14,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.labels import canonical_answer  # noqa: F401  (part of the public surface)
 from .functions.parse import parse_response
-from .functions.text import comma_list  # noqa: F401
-from .operators import align, compare, convert, metrics, mining, rewards, sampling
+from .functions.scoring import first_present, given_type_scores, response_text
+from .operators import align, compare, convert, infer, metrics, mining, rewards, sampling
 from .sources import documents, images, records
-from .types import RESPONSE_KEYS, SCORE_KEYS, TARGET
+from .storage import materialise
+from .types import PART_WEIGHTS, RESPONSE_KEYS, SCORE_KEYS, TARGET
 
 META = f"struct<id:string,news_id:string,{{split}}:string,pool:string,fake_cls:string,fake_image_box:array<double>,fake_text_pos:array<int>,normalized_text:string,image_width:int,image_height:int,target:{TARGET.simpleString()}>"
 TALK = "array<struct<`from`:string,value:string>>"
@@ -36,25 +37,15 @@ def read_truth(spark: SparkSession, path: str, split_field: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """ord, id, response, is_object, manipulated_score and type_scores, by the presence of keys in each row."""
-    raw = records.read_records(spark, path)
-    keys = F.json_object_keys("raw")
-    value = lambda k: F.get_json_object("raw", f"$.{k}")
-    has = lambda k: F.array_contains(keys, k)
-
-    def first(names: tuple[str, ...], of) -> Any:
-        out = F.when(F.lit(False), of(names[0]))
-        for k in names:
-            out = out.when(has(k), of(k))
-        return out
-
-    none = F.raise_error(F.lit(f"a prediction has none of {RESPONSE_KEYS}")).cast("string")
-    response = first(RESPONSE_KEYS, lambda k: F.coalesce(value(k), F.lit("None"))).otherwise(none)
-    fields = F.from_json("raw", "map<string,variant>")
-    kind = lambda k: F.coalesce(F.schema_of_variant(fields[k]).startswith("OBJECT"), F.lit(False))
-    return raw.select(
-        "ord", F.coalesce(value("id"), value("meta.id")).alias("id"), response.alias("response"), first(RESPONSE_KEYS, kind).otherwise(F.lit(False)).alias("is_object"),
-        first(SCORE_KEYS, lambda k: value(k).cast("double")).otherwise(F.lit(None)).alias("manipulated_score"), F.from_json(value("type_scores"), "map<string,double>").alias("type_scores"),
+    """ord, id, response, is_object, manipulated_score, type_scores (a map) and type_list, by the presence of keys in each row."""
+    raw = F.col("raw")
+    value = lambda k: F.get_json_object(raw, f"$.{k}")
+    fields = F.from_json(raw, "map<string,variant>")
+    is_object = lambda k: F.coalesce(F.schema_of_variant(fields[k]).startswith("OBJECT"), F.lit(False))
+    named, listed = given_type_scores(raw)
+    return records.read_records(spark, path).select(
+        "ord", F.coalesce(value("id"), value("meta.id")).alias("id"), response_text(raw).alias("response"), F.coalesce(first_present(raw, RESPONSE_KEYS, is_object), F.lit(False)).alias("is_object"),
+        first_present(raw, SCORE_KEYS, lambda k: value(k).cast("double")).alias("manipulated_score"), named.alias("type_scores"), listed.alias("type_list"),
     )
 
 
@@ -64,13 +55,14 @@ def read_aligned(spark: SparkSession, truth: str, predictions: str, args: argpar
 
 
 def run_convert(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
-    listing = images.list_images(spark, args.image_root)
+    listing = materialise(images.list_sizes(spark, args.image_root, verify=not args.skip_image_check), "sizes")
     out, counts = Path(args.output_dir), {}
 
     def one(split: str, pool: Any) -> DataFrame:
         rows = sampling.head(records.read_records(spark, f"{args.metadata_dir}/{split}.json"), args.max_samples_per_split or None)
         found = images.resolve(rows.withColumn("image", F.get_json_object("raw", "$.image")), listing, args.image_root)
-        sized = found.withColumn("_s", images.image_size(F.col("content"), not args.skip_image_check)).select("ord", "raw", "image_path", F.col("_s.width").alias("width"), F.col("_s.height").alias("height"))
+        size = images.checked(F.col("size"))
+        sized = found.select("ord", "raw", "image_path", size["width"].alias("width"), size["height"].alias("height"))
         return convert.convert(sized, split=split, pool=pool, max_words=args.max_words, split_field=args.split_field)
 
     key = convert.group_key(F.col("raw"), F.col("ord"))
@@ -111,7 +103,8 @@ def run_mine(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
 
 def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
     scored = metrics.score_rows(read_aligned(spark, args.ground_truth, args.predictions, args), bbox_threshold=args.bbox_threshold, text_f1_threshold=args.text_f1_threshold, binary_threshold=args.binary_threshold, type_threshold=args.type_threshold).persist()
-    tree = metrics.evaluate(scored, type_threshold=args.type_threshold, binary_threshold=args.binary_threshold)
+    words = None if args.bert_tokenizer is None else metrics.subword_counts(scored, metrics.word_numbers(args.bert_tokenizer), max_length=args.bert_max_length)
+    tree = metrics.evaluate(scored, type_threshold=args.type_threshold, binary_threshold=args.binary_threshold, subwords=words, subword_name=args.bert_tokenizer or "", max_length=args.bert_max_length)
     if args.badcases_output:
         records.write_lines(metrics.bad_cases(scored), args.badcases_output)
     scored.unpersist()
@@ -124,7 +117,10 @@ def run_score(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
     scored = rewards.score_rewards(read_aligned(spark, args.ground_truth, args.responses, args), weights).persist()
     records.write_lines(scored, args.output)
     summary = rewards.reward_summary(scored).first().asDict()
-    table = weights.orderBy("case").collect()
+    table = weights.orderBy("case").collect()  # at most eight
+    if args.manifest_output:
+        made = documents.reward_manifest({"dataset": args.ground_truth, "weights_from": args.weights_from or args.ground_truth}, {r["case"]: r["weight"] for r in table}, {r["case"]: r["n"] for r in table}, summary["count"], PART_WEIGHTS)
+        documents.write_json(args.manifest_output, made)
     cases = {r[0]: r[1] for r in scored.groupBy("breakdown.case").count().orderBy("case").collect()}
     scored.unpersist()
     return summary | {"case_counts": cases, "weight_counts": {r["case"]: r["n"] for r in table}, "case_weights": {r["case"]: r["weight"] for r in table}}
@@ -138,6 +134,26 @@ def run_prompts(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]
     return {"written": n}
 
 
+def run_infer(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
+    """Answers of a model, of the rows of one shard that the output doesn't have yet."""
+    module, _, name = args.model_factory.partition(":")
+    rows = sampling.head(read_truth(spark, args.dataset, args.split_field), args.max_samples)
+    if args.shards > 1:
+        rows = rows.where(sampling.shard_of(F.col("ord"), args.shards) == args.shard)
+    done = records.read_records(spark, args.output).select(F.get_json_object("raw", "$.id").alias("id")) if Path(args.output).exists() else None
+    said = infer.predict(infer.prompts(rows), getattr(importlib.import_module(module), name), batch=args.batch_size, mode=args.mode, model=args.model_factory, done=done)
+    return {"written": records.write_lines(materialise(said, "said"), args.output, append=True)}
+
+
+def run_merge(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
+    """Shards of outputs as one file, once they are as many as the rows and of as many ids."""
+    parts = materialise(records.union([records.read_records(spark, p) for p in args.inputs.split(",")]), "merged")
+    truth = records.read_records(spark, args.ground_truth)
+    n = align.require_valid_outputs(truth, parts.withColumn("id", F.get_json_object("raw", "$.id")))
+    parts.select(F.col("raw").alias("value")).write.mode("overwrite").text(args.output)
+    return {"written": n}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="lattica", description=__doc__.splitlines()[0])
     sub = top.add_subparsers(dest="command", required=True)
@@ -157,8 +173,10 @@ def parser() -> argparse.ArgumentParser:
     tags = {"bbox_threshold": 0.5, "text_f1_threshold": 1.0, "allow_positional": False}
     command("convert", "metadata-dir", "image-root", "output-dir", preference_pool_ratio=0.10, normal_ratio=0.50, max_words=50, seed=42, max_samples_per_split=None, skip_image_check=False, prefix="audit", exact=False)
     command("mine", "pool", "predictions", "output", report=None, max_pairs=5000, seed=42, include_pristine_errors=False, exact=False, **tags)
-    command("evaluate", "ground-truth", "predictions", "output", badcases_output=None, binary_threshold=0.5, type_threshold=0.5, **tags)
-    command("score", "ground-truth", "responses", "output", summary_output=None, weights_from=None, allow_positional=False)
+    command("evaluate", "ground-truth", "predictions", "output", badcases_output=None, binary_threshold=0.5, type_threshold=0.5, bert_tokenizer=None, bert_max_length=128, **tags)
+    command("infer", "dataset", "output", "model-factory", mode="full", batch_size=16, shards=1, shard=0, max_samples=None)
+    command("merge", "ground-truth", "inputs", "output")
+    command("score", "ground-truth", "responses", "output", summary_output=None, manifest_output=None, weights_from=None, allow_positional=False)
     command("prompts", "source", "output", "dataset-info", dataset_name="audit_ppo_train", max_samples=None)
     command("compare", "before", "after", "output", before_name="before", after_name="after", markdown_output=None)
     p = sub.add_parser("settings")
@@ -179,7 +197,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         if args.markdown_output:
             documents.write_text(args.markdown_output, compare.markdown(found))
     else:
-        run = {"convert": run_convert, "mine": run_mine, "evaluate": run_evaluate, "score": run_score, "prompts": run_prompts}[args.command]
+        run = {"convert": run_convert, "mine": run_mine, "evaluate": run_evaluate, "score": run_score, "prompts": run_prompts, "infer": run_infer, "merge": run_merge}[args.command]
         found = run(spark, args)
     target = {"compare": "output", "evaluate": "output", "mine": "report", "score": "summary_output"}.get(args.command)
     if target and getattr(args, target, None):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import IMAGE_TYPES, RESPONSE_KEYS, TEXT_TYPES, TYPE_ORDER, RewardConfig
+from ..types import IMAGE_TYPES, RESPONSE_KEYS, TEXT_TYPES, TYPE_ORDER, RewardRules
 from .geometry import bbox_area_ratio, bbox_iou, clamp, same_set, set_f1
 from .labels import case_name, has_any, strings
 
@@ -52,12 +52,27 @@ def candidate_score(negative: Column, positive: Column) -> Column:
     return F.exp(positive - top) / (F.exp(negative - top) + F.exp(positive - top))
 
 
-def response_text(columns: list[str]) -> Column:
-    """The first response field there is; give presence by the columns of the table."""
-    there = [F.col(k) for k in RESPONSE_KEYS if k in columns]
-    if not there:
-        raise ValueError(f"no response field among {RESPONSE_KEYS}")
-    return F.coalesce(*there)
+def first_present(raw: Column, names: tuple[str, ...], of) -> Column:
+    """``of(name)`` for the first of the names that a JSON object has, be it with a null; null if it has none."""
+    keys, out = F.json_object_keys(raw), None
+    for name in names:
+        has = F.array_contains(keys, name)
+        out = F.when(has, of(name)) if out is None else out.when(has, of(name))
+    return out
+
+
+def response_text(raw: Column) -> Column:
+    """The first response field of a prediction, given as its JSON: a null there is the text ``None``, and no such field an error."""
+    found = first_present(raw, RESPONSE_KEYS, lambda k: F.coalesce(F.get_json_object(raw, f"$.{k}"), F.lit("None")))
+    return F.coalesce(found, F.raise_error(F.lit(f"a prediction has none of {RESPONSE_KEYS}")).cast("string"))
+
+
+def given_type_scores(raw: Column) -> tuple[Column, Column]:
+    """type_scores of a prediction's JSON as a map and as a list; one is null, or both."""
+    text = F.get_json_object(raw, "$.type_scores")
+    value = F.try_parse_json(text)
+    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    return F.when(kind.startswith("OBJECT"), F.from_json(text, "map<string,double>")), F.when(kind.startswith("ARRAY"), F.from_json(text, "array<double>"))
 
 
 def row_id(columns: list[str]) -> Column:
@@ -81,29 +96,31 @@ def evidence_reward(target: Column, parsed: Column) -> Column:
     return F.when(target["verdict"] == "pristine", none.cast("double")).when(image & text, (iou + words) / 2).when(image, iou).when(text, words).otherwise(F.lit(0.0))
 
 
-def hacking_penalty(target: Column, parsed: Column, config: RewardConfig = RewardConfig()) -> Column:
-    fine = lambda cond, cost: F.when(cond, F.lit(cost)).otherwise(F.lit(0.0))
-    total = (
-        fine((target["verdict"] == "pristine") & (parsed["verdict"] == "manipulated"), config.false_alarm)
-        + fine(same_set(parsed["types"], strings(TYPE_ORDER)), config.all_types)
-        + fine(bbox_area_ratio(parsed["image_bbox"]) >= config.full_box_from, config.full_box)
-        + fine(F.size(parsed["text_positions"]) / max(1, config.max_words) >= config.full_text_from, config.full_text)
-    )
-    return F.when(~parsed["valid"], F.lit(config.most_penalty)).otherwise(F.least(F.lit(config.most_penalty), total))
+def hacking_penalty(target: Column, parsed: Column, rules: RewardRules = RewardRules()) -> Column:
+    """Fines for habits that win rewards without an answer, at most ``most_fined``, which an invalid response costs."""
+    share = {"whole_image": bbox_area_ratio(parsed["image_bbox"]), "whole_text": F.size(parsed["text_positions"]) / max(1, rules.max_words)}
+    shown = {"false_alarm": (target["verdict"] == "pristine") & (parsed["verdict"] == "manipulated"), "every_type": same_set(parsed["types"], strings(TYPE_ORDER))}
+    total = F.lit(0.0)
+    for fine in rules.fines:
+        total = total + F.when(shown[fine.habit] if fine.habit in shown else share[fine.habit] >= fine.share, F.lit(fine.cost)).otherwise(F.lit(0.0))
+    return F.when(parsed["valid"], F.least(F.lit(rules.most_fined), total)).otherwise(F.lit(rules.most_fined))
 
 
-def score_response(target: Column, parsed: Column, case_weight: Column, config: RewardConfig = RewardConfig()) -> Column:
+def score_response(target: Column, parsed: Column, case_weight: Column, rules: RewardRules = RewardRules()) -> Column:
     """The reward and its parts."""
-    w, ok = config.weights, parsed["valid"]
-    right = parsed["verdict"] == target["verdict"]
-    verdict = F.when(right, 1.0).when(target["verdict"] == "manipulated", -1.0).otherwise(-0.5)
-    types = F.when((target["verdict"] == "pristine") & (F.size(parsed["types"]) == 0), F.lit(1.0)).otherwise(set_f1(target["types"], parsed["types"]))
-    evidence, penalty = evidence_reward(target, parsed), hacking_penalty(target, parsed, config)
-    task = w.verdict * verdict + w.types * types + w.evidence * evidence
+    ok, pristine = parsed["valid"], target["verdict"] == "pristine"
+    parts = {
+        "verdict": F.when(parsed["verdict"] == target["verdict"], 1.0).when(target["verdict"] == "manipulated", -1.0).otherwise(-0.5),
+        "types": F.when(pristine & (F.size(parsed["types"]) == 0), F.lit(1.0)).otherwise(set_f1(target["types"], parsed["types"])),
+        "evidence": evidence_reward(target, parsed),
+    }
+    penalty, task = hacking_penalty(target, parsed, rules), F.lit(0.0)
+    for name, value in parts.items():
+        task = task + rules.parts[name] * value
     part = lambda c: F.when(ok, c).otherwise(F.lit(0.0))
     return F.struct(
-        F.when(ok, case_weight * task - penalty).otherwise(F.lit(-config.most_penalty)).alias("reward"), case_name(target).alias("case"), case_weight.alias("case_weight"), part(task).alias("task_reward"), part(verdict).alias("verdict_reward"),
-        part(types).alias("type_reward"), part(evidence).alias("evidence_reward"), penalty.alias("penalty"), ok.alias("valid"), parsed["error"].alias("error"),
+        F.when(ok, case_weight * task - penalty).otherwise(F.lit(-rules.most_fined)).alias("reward"), case_name(target).alias("case"), case_weight.alias("case_weight"), part(task).alias("task_reward"), part(parts["verdict"]).alias("verdict_reward"),
+        part(parts["types"]).alias("type_reward"), part(parts["evidence"]).alias("evidence_reward"), penalty.alias("penalty"), ok.alias("valid"), parsed["error"].alias("error"),
     )
 
 

@@ -67,6 +67,14 @@ def validate_outputs(truth: DataFrame, outputs: DataFrame, key: str = "id") -> D
     return both.withColumn("ok", (F.col("rows") == F.col("expected")) & (F.col("unique_ids") == F.col("expected")))
 
 
+def require_valid_outputs(truth: DataFrame, outputs: DataFrame, key: str = "id") -> int:
+    """How many outputs there are; raises unless each row has one, and no id two."""
+    got = validate_outputs(truth, outputs, key).first()
+    if not got["ok"]:
+        raise ValueError(f"outputs don't match: {got['expected']} rows, {got['rows']} outputs of {got['unique_ids']} ids")
+    return got["rows"]
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} is empty")

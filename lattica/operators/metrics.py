@@ -220,6 +220,21 @@ def bad_cases(scored: DataFrame) -> DataFrame:
     return scored.where(F.size("errors") > 0).select("id", "errors", "target", "response", *(["meta"] if "meta" in scored.columns else []))
 
 
+def word_numbers(tokenizer: str):
+    """The word number of each sub-word, by a file of the tokenizers library; made once in each worker."""
+    made: list = []
+
+    def numbers(text: str) -> list[int]:
+        if not made:
+            from tokenizers import Tokenizer
+
+            made.append(Tokenizer.from_file(tokenizer))
+        words = text.split()
+        return [w for w in made[0].encode(words, is_pretokenized=True, add_special_tokens=False).word_ids if w is not None] if words else []
+
+    return numbers
+
+
 def subword_counts(df: DataFrame, tokenize, caption: str = "caption", max_length: int = 128) -> DataFrame:
     """tp, tn, fp, fn of each row at the level of sub-words.
 

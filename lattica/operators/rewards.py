@@ -10,24 +10,30 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import case_name
 from ..functions.scoring import score_response
-from ..types import IMAGE_TYPES, TEXT_TYPES, TYPE_ORDER, RewardConfig
+from ..types import IMAGE_TYPES, TEXT_TYPES, TYPE_ORDER, RewardRules
 
 
 def count_cases(df: DataFrame, target: str = "target") -> DataFrame:
-    if not {target, "meta"} & set(df.columns):
+    """case and n; each row's target, or else its meta's, must be there."""
+    fields = {f.name: f.dataType for f in df.schema}
+    places = [F.col(target)] * (target in fields) + [F.col("meta.target")] * ("target" in getattr(fields.get("meta"), "names", []))
+    if not places:
         raise ValueError("records have neither target nor meta.target")
-    return df.groupBy(case_name(F.col(target if target in df.columns else "meta.target")).alias("case")).agg(F.count(F.lit(1)).alias("n"))
+    there = F.coalesce(*places)
+    missing = F.raise_error(F.lit("a record has neither target nor meta.target")).cast("string")
+    return df.groupBy(F.when(there.isNull(), missing).otherwise(case_name(there)).alias("case")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def case_weights(counts: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
-    """case, n, weight: the root of median over count, clipped. At most eight cases have counts."""
-    some = counts.where("n > 0")
-    middle = some.agg(F.median("n").alias("_m"))
-    weight = F.least(F.lit(config.most_case_weight), F.greatest(F.lit(config.least_case_weight), F.sqrt(F.col("_m") / F.col("n"))))
-    return some.join(F.broadcast(middle), F.lit(True)).select("case", "n", weight.alias("weight"))
+def case_weights(counts: DataFrame, rules: RewardRules = RewardRules()) -> DataFrame:
+    """case, n, weight: the root of median over count, clipped; no counts at all are an error. At most eight cases have any."""
+    least, most = rules.case_weights
+    some = counts.where("n > 0").agg(F.collect_list(F.struct("case", "n")).alias("_all"), F.median("n").alias("_m"))
+    none = F.raise_error(F.lit("no case has a count")).cast(some.schema["_all"].dataType)
+    rows = some.select("_m", F.inline(F.when(F.size("_all") == 0, none).otherwise(F.col("_all"))))
+    return rows.select("case", "n", F.least(F.lit(most), F.greatest(F.lit(least), F.sqrt(F.col("_m") / F.col("n")))).alias("weight"))
 
 
-def score_rewards(aligned: DataFrame, weights: DataFrame | None = None, config: RewardConfig = RewardConfig()) -> DataFrame:
+def score_rewards(aligned: DataFrame, weights: DataFrame | None = None, rules: RewardRules = RewardRules()) -> DataFrame:
     """id, reward, breakdown and target of rows with target and parsed; cases without a weight count 1."""
     df = aligned.withColumn("_case", case_name(F.col("target")))
     if weights is not None:
@@ -35,7 +41,7 @@ def score_rewards(aligned: DataFrame, weights: DataFrame | None = None, config:
         df = df.join(F.broadcast(table), F.col("_case") == F.col("_wc"), "left")  # a row for each of eight cases
     else:
         df = df.withColumn("_w", F.lit(None).cast("double"))
-    breakdown = score_response(F.col("target"), F.col("parsed"), F.coalesce("_w", F.lit(1.0)), config)
+    breakdown = score_response(F.col("target"), F.col("parsed"), F.coalesce("_w", F.lit(1.0)), rules)
     return df.withColumn("breakdown", breakdown).select("id", F.col("breakdown.reward").alias("reward"), "breakdown", "target")
 
 
@@ -90,13 +96,13 @@ def _set_f1(a, b) -> float:
     return 2 * hits / (len(a) + len(b))
 
 
-def reward_of(target: dict[str, Any], response: Any, weights: dict[str, float] | None = None, config: RewardConfig = RewardConfig()) -> float:
+def reward_of(target: dict[str, Any], response: Any, weights: dict[str, float] | None = None, rules: RewardRules = RewardRules()) -> float:
     """Reward of one response; agrees with score_response()."""
     from ..functions.parse import parse_one
 
-    valid, verdict, types, box, words, _ = parse_one(response, config.max_words)
+    valid, verdict, types, box, words, _ = parse_one(response, rules.max_words)
     if not valid:
-        return -config.most_penalty
+        return -rules.most_fined
     wanted, pristine = set(target["types"]), target["verdict"] == "pristine"
     image, text = wanted & set(IMAGE_TYPES), wanted & set(TEXT_TYPES)
     if target["verdict"] != "manipulated" or not wanted:
@@ -105,24 +111,25 @@ def reward_of(target: dict[str, Any], response: Any, weights: dict[str, float] |
         case = "image_text_mixed"
     else:
         case = next(iter(wanted)) if len(wanted) == 1 else "image_mixed" if image else "text_mixed"
-    right = 1.0 if verdict == target["verdict"] else -0.5 if pristine else -1.0
-    kinds = 1.0 if pristine and not types else _set_f1(wanted, types)
-    parts = [_iou(target.get("image_bbox"), box)] * bool(image) + [_set_f1(target.get("text_positions", []), words)] * bool(text)
-    evidence = float(box is None and not words) if pristine else sum(parts) / len(parts) if parts else 0.0
-    share = 0.0 if box is None else max(0.0, box[2] - box[0]) * max(0.0, box[3] - box[1]) / 1e6
-    fines = ((pristine and verdict == "manipulated", config.false_alarm), (set(types) == set(TYPE_ORDER), config.all_types), (share >= config.full_box_from, config.full_box), (bool(words) and len(words) / max(1, config.max_words) >= config.full_text_from, config.full_text))
-    penalty = min(config.most_penalty, sum(cost for hit, cost in fines if hit))
-    task = config.weights.verdict * right + config.weights.types * kinds + config.weights.evidence * evidence
-    return (weights or {}).get(case, 1.0) * task - penalty
-
-
-def make_reward(weights: dict[str, float] | None = None, config: RewardConfig = RewardConfig()) -> Callable[..., list[float]]:
+    found = [_iou(target.get("image_bbox"), box)] * bool(image) + [_set_f1(target.get("text_positions", []), words)] * bool(text)
+    parts = {
+        "verdict": 1.0 if verdict == target["verdict"] else -0.5 if pristine else -1.0,
+        "types": 1.0 if pristine and not types else _set_f1(wanted, types),
+        "evidence": float(box is None and not words) if pristine else sum(found) / len(found) if found else 0.0,
+    }
+    share = {"whole_image": 0.0 if box is None else max(0.0, box[2] - box[0]) * max(0.0, box[3] - box[1]) / 1e6, "whole_text": len(words) / max(1, rules.max_words)}
+    shown = {"false_alarm": pristine and verdict == "manipulated", "every_type": set(types) == set(TYPE_ORDER)}
+    fined = sum(f.cost for f in rules.fines if (shown[f.habit] if f.habit in shown else share[f.habit] >= f.share))
+    return (weights or {}).get(case, 1.0) * sum(rules.parts[k] * v for k, v in parts.items()) - min(rules.most_fined, fined)
+
+
+def make_reward(weights: dict[str, float] | None = None, rules: RewardRules = RewardRules()) -> Callable[..., list[float]]:
     """A trainer's callback: completions, and target or meta, to rewards."""
 
     def reward(completions: list[Any], **columns: Any) -> list[float]:
         targets = columns.get("target")
         if targets is None and columns.get("meta") is not None:
             targets = [m["target"] for m in columns["meta"]]
-        return [reward_of(t, completion_text(c), weights, config) for t, c in zip(spread_targets(targets, len(completions)), completions)]
+        return [reward_of(t, completion_text(c), weights, rules) for t, c in zip(spread_targets(targets, len(completions)), completions)]
 
     return reward

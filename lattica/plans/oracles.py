@@ -106,7 +106,11 @@ SELECT doc_id, caption, len(list_filter(string_split_regex(caption, '{WS}+'), la
     "sample_uid": BASE + f"SELECT id, {UID} AS uid FROM a",
     "convert_records": BASE
     + f"SELECT id, {UID} AS uid, CASE WHEN c % 5 <> 0 THEN 'n' || (c % 50) ELSE '' END AS news_id, CASE WHEN {FRACTION.format(key=GROUP)} < 0.1 THEN 'preference_pool' ELSE 'sft_train' END AS pool, 'a b person says ' || k AS caption, {ANSWER_T} AS answer, '/images/i' || k || '.png' AS image FROM a",
-    "response_fields": BASE + f"SELECT id::VARCHAR AS id, {RESPONSE} AS response FROM a",
+    "response_fields": BASE + f"SELECT id::VARCHAR AS id, CASE WHEN k % 4 IN (1, 2) THEN 'None' ELSE {RESPONSE} END AS response FROM a",
+    "type_score_lists": BASE
+    + "SELECT id, k % 4 < 2 AS has_types, "
+    + ", ".join(f"round(CASE k % 4 WHEN 0 THEN {f'((k * {i + 2} + c) % 10007) / 10007.0' if i == 2 else 0} WHEN 1 THEN least(1.0, greatest(0.0, ((k * {i + 2} + c) % 10007) / 10007.0 * 2 - 0.5)) ELSE (ok AND pb & {1 << i} > 0)::INT END::DOUBLE, 6) AS s{i}" for i in range(4))
+    + " FROM a",
     "score_vectors": BASE
     + "SELECT id, round(CASE WHEN k % 3 <> 0 THEN least(1.0, greatest(0.0, score * 2 - 0.5)) WHEN NOT ok THEN 0.5 ELSE (pb > 0)::INT END::DOUBLE, 6) AS score, k % 3 <> 0 AS given, "
     + ", ".join(f"round(CASE WHEN k % 4 <> 0 THEN ((k * {i + 2} + c) % 10007) / 10007.0 ELSE (ok AND pb & {1 << i} > 0)::INT END::DOUBLE, 6) AS s{i}" for i in range(4))
@@ -117,9 +121,13 @@ SELECT doc_id, caption, len(list_filter(string_split_regex(caption, '{WS}+'), la
     "parse_response_rows": BASE
     + f"SELECT id, ok AS valid, CASE WHEN NOT ok THEN NULL WHEN pb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, CASE WHEN ok THEN coalesce({_csv('pt')}, '') ELSE '' END AS types, CASE WHEN ok THEN {_csv('pbox')} END AS box, CASE WHEN ok THEN coalesce({_csv('ppos')}, '') ELSE '' END AS positions, CASE WHEN ok THEN NULL WHEN k % 7 = 0 THEN 'invalid_json' ELSE 'invalid_schema' END AS error FROM a",
     "json_lines_round_trip": BASE + f"SELECT id, fake_cls AS label, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, {_csv('tbox')} AS box FROM a",
-    "split_union": "SELECT o_orderkey AS id, ['train', 'val', 'test'][o_orderkey % 10 + 1] AS split FROM orders WHERE o_orderkey % 10 < 3",
+    "split_union": BASE + "SELECT ['train', 'val', 'test'][id % 3 + 1] AS split, count(*) AS n, sum(id)::BIGINT AS ids, 0::BIGINT AS \"first\", count(*) - 1 AS \"last\", count(*) AS numbers, sum(length(fake_cls))::BIGINT AS letters FROM a GROUP BY 1",
+    "array_records": "SELECT row_number() OVER (ORDER BY n_nationkey::VARCHAR || ',') - 1 AS ord, n_name AS name, 'none' AS third FROM nation",
+    "append_records": "SELECT count(*) AS n, count(*) AS ids, count(*) AS numbers, count(*) FILTER (o_orderkey % 2 = 0) AS \"first\", count(*) FILTER (o_orderkey % 2 = 1) AS \"second\" FROM orders",
+    "image_paths": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN '/x/i' ELSE '/x/data/i' END || o_orderkey || '.png' AS image_path, o_custkey AS width FROM orders",
+    "trainer_rows": BASE + f"SELECT id, 'user' AS role, {CAPTION} AS content, 'i' || id AS image, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict FROM a",
     "stable_split": f"SELECT doc_id, CASE WHEN {FRACTION.format(key='source')} < 0.2 THEN 'preference_pool' ELSE 'sft_train' END AS pool, round({FRACTION.format(key='source')}, 6) AS fraction FROM documents",
-    "split_leak_check": f"WITH p AS (SELECT source, {FRACTION.format(key='source')} < 0.2 AS pref FROM documents) SELECT source FROM p WHERE pref INTERSECT SELECT source FROM p WHERE NOT pref",
+    "split_leak_check": " UNION ALL ".join(f"(SELECT '{by}' AS split_by, source FROM documents WHERE {FRACTION.format(key=by)} < 0.2 INTERSECT SELECT '{by}', source FROM documents WHERE NOT {FRACTION.format(key=by)} < 0.2)" for by in ("source", "doc_id")),
     "balanced_sample": BASE
     + """, v AS (SELECT id, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, sha256('42|' || id) AS h FROM a), n AS (SELECT count(*) FILTER (verdict = 'pristine') AS p, count(*) FILTER (verdict <> 'pristine') AS m FROM v),
 t AS (SELECT p, m, least(floor(p / 0.4), floor(m / 0.6)) AS total FROM n), q AS (SELECT least(p, round_even(total * 0.4, 0)) AS qp, m, total FROM t), o AS (SELECT id, verdict, row_number() OVER (PARTITION BY verdict ORDER BY h, id) AS r FROM v)
@@ -131,7 +139,7 @@ SELECT id, verdict FROM o, q WHERE r <= CASE WHEN verdict = 'pristine' THEN qp E
     "align_strict": BASE + f"SELECT id, {RESPONSE} AS response, fake_cls AS label FROM a",
     "align_positional": BASE + f"SELECT id, {RESPONSE} AS response FROM a",
     "resume_anti": BASE + "SELECT id, fake_cls AS label FROM a WHERE id % 3 <> 0",
-    "leakage_guard": BASE + "SELECT id, fake_cls AS label FROM a WHERE id % 2 = 0",
+    "leakage_guard": "SELECT o_orderkey AS id, o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AS allowed FROM orders",
     "bbox_iou": BASE + "SELECT id, round(CASE WHEN ok THEN iou0 WHEN tbox IS NULL THEN 1.0 ELSE 0.0 END, 6) AS iou, round(CASE WHEN ok THEN coalesce(pa, 0) ELSE 0 END / 1e6, 6) AS area FROM e",
     "set_f1": BASE + "SELECT id, round(CASE WHEN ok THEN wf1 WHEN len(tpos) = 0 THEN 1.0 ELSE 0.0 END, 6) AS f1 FROM e",
     "error_tags": BASE + f"SELECT id, coalesce({_csv('errors')}, '') AS errors FROM e",
@@ -163,9 +171,9 @@ round(avg((ok AND ((tb & 3 = 0 AND pbox IS NOT NULL) OR (tb & 12 = 0 AND len(ppo
     "reward_callback": _reward("1.0") + " SELECT id, round(reward, 6) AS reward FROM rw",
     "preference_pairs": BASE + f"SELECT id, {ANSWER_T} AS chosen, {RESPONSE} AS rejected, {_csv('errors')} AS tags FROM e WHERE tb > 0 AND len(errors) > 0 ORDER BY sha256('42|' || id), id LIMIT 2000",
     "mining_report": BASE + "SELECT count(*) AS eligible, round(avg(ok::INT), 6) AS valid_prediction_rate, count(*) FILTER (len(errors) > 0) AS badcases FROM e WHERE tb > 0",
-    "policy_prompts": "SELECT conv_id AS id, coalesce(text, '') AS prompt FROM conversations WHERE turn = 0 AND role = 'user'",
+    "policy_prompts": "SELECT conv_id AS id, coalesce(min(struct_pack(n := turn, said := text)).said, '') AS prompt FROM conversations WHERE role = 'user' GROUP BY 1",
     "candidate_softmax": """WITH m AS (SELECT l_orderkey AS id, avg(-l_quantity / 10) FILTER (l_linenumber % 2 = 0) AS p, avg(-l_quantity / 10) FILTER (l_linenumber % 2 = 1) AS n FROM lineitem GROUP BY 1)
-SELECT id, round(exp(p - greatest(n, p)) / (exp(n - greatest(n, p)) + exp(p - greatest(n, p))), 6) AS score FROM m WHERE p IS NOT NULL AND n IS NOT NULL""",
+SELECT id, round(exp(p - greatest(n, p)) / (exp(n - greatest(n, p)) + exp(p - greatest(n, p))), 6) AS score FROM m""",
     "resume_predictions": BASE + "SELECT id::VARCHAR AS id, upper(fake_cls) AS response, 'generated_json_discrete_fallback' AS score_method FROM a WHERE id % 2 <> 0",
     "compare_runs": """WITH b AS (SELECT o_orderpriority AS metric, avg(((o_orderkey * 3) % 101) / 100.0) AS x, avg(((o_orderkey * 7) % 101) / 100.0) AS y FROM orders GROUP BY 1)
 SELECT metric, CASE WHEN ok THEN round(x, 6) END AS before, CASE WHEN ok THEN round(y, 6) END AS after, CASE WHEN ok THEN round(y - x, 6) END AS absolute_delta, CASE WHEN ok THEN round(CASE WHEN up THEN (y - x) / (1 - x) ELSE (x - y) / x END, 6) END AS relative_error_reduction,
@@ -177,10 +185,43 @@ CASE WHEN ok THEN CASE WHEN up THEN 'higher' ELSE 'lower' END END AS direction,
 SELECT count(*) AS compared_count, count(*) FILTER (CASE WHEN m % 2 = 0 THEN y > x ELSE y < x END) AS improved_count FROM b WHERE m <> 7""",
     "summarize_labels": BASE
     + "SELECT coalesce(fake_cls, '*') AS label, coalesce(v, '*') AS verdict, count(*) AS n FROM (SELECT fake_cls, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS v FROM a) GROUP BY GROUPING SETS ((fake_cls), (v), ())",
-    "label_auc": """WITH s AS (SELECT (quality = 0 OR toxic = 1)::INT AS label, (n_chars % 101) / 100.0 AS score FROM labels JOIN documents USING (doc_id)),
+    "label_auc": """WITH s AS (SELECT (quality = 0 OR toxic = 1)::INT AS label, n_chars AS score FROM labels JOIN documents USING (doc_id)),
 rk AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s), n AS (SELECT sum(label) AS p, count(*) - sum(label) AS q FROM s)
 SELECT round((sum(r) FILTER (label = 1) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * any_value(q)), 6) AS auc FROM rk, n""",
 }
 
 ORACLE_SQL["subword_confusion"] = HALVES + "SELECT sum(coalesce(tp, 0))::BIGINT AS tp, sum(n - coalesce(t, 0) - coalesce(p, 0) + coalesce(tp, 0))::BIGINT AS tn, sum(coalesce(p, 0) - coalesce(tp, 0))::BIGINT AS fp, sum(coalesce(t, 0) - coalesce(tp, 0))::BIGINT AS fn FROM hv"
 ORACLE_SQL["official_percent"] = _official()
+
+
+def _softmax(prompt: str, negative: str, positive: str) -> str:
+    """A stand-in's weights of two candidates after a prompt."""
+    weight = lambda c: f"(-((length({prompt}) * {len(c)}) % 7) / 2.0)"
+    return f"round(1 / (1 + exp({weight(negative)} - {weight(positive)})), 6)"
+
+
+JUDGE = "('News text: ' || cap || chr(10) || 'Decide whether the image-text pair is pristine or manipulated. Answer with exactly one word: pristine or manipulated.')"
+ABOUT = "('News text: ' || cap || chr(10) || 'Does this image-text pair contain {}? Answer with exactly one word: yes or no.')"
+ORACLE_SQL["scored_predictions"] = BASE + (
+    f", q AS (SELECT id, {CAPTION} AS cap FROM a) SELECT id, length(cap)::VARCHAR AS response, {_softmax(JUDGE, 'pristine', 'manipulated')} AS score, {_softmax(ABOUT.format('a face identity swap'), 'no', 'yes')} AS \"first\", "
+    f"{_softmax(ABOUT.format('a manipulated textual attribute'), 'no', 'yes')} AS \"last\", 'length_normalized_sequence_likelihood' AS score_method FROM q"
+)
+#: Of the first 38 sub-words, how many are of the word numbered p.
+PIECES = "greatest(0, least(CASE WHEN p < 9 THEN 1 ELSE 2 END, 38 - CASE WHEN p < 9 THEN p ELSE 2 * p - 9 END))"
+ORACLE_SQL["word_pieces"] = WORD_ROWS + (
+    ", hv AS (SELECT least(38, n_words + n_words - least(n_words, 9)) AS n, " + ", ".join(f"coalesce(list_sum(list_transform({xs}, lambda p: {PIECES})), 0) AS {name}" for xs, name in (("list_intersect(tw, pw)", "b"), ("tw", "t"), ("pw", "p"))) + " FROM wd)"
+    ", m AS (SELECT sum(b) AS tp, sum(n - t - p + b) AS tn, sum(p - b) AS fp, sum(t - b) AS fn FROM hv) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c}::DOUBLE AS value FROM m" for c in ("tp", "tn", "fp", "fn")) + " UNION ALL SELECT 'f1_percent', round(100.0 * 2 * tp / (2 * tp + fp + fn), 4)::DOUBLE FROM m"
+)
+BY_PRIORITY = "WITH n AS (SELECT " + ", ".join(f"count(*) FILTER (o_orderpriority[1] = '{i}') AS n{i}" for i in range(1, 6)) + ", count(*) AS n FROM orders)"
+ORACLE_SQL["metric_tree"] = BY_PRIORITY + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, true AS higher, round({v}, 6)::DOUBLE AS value FROM n" for m, v in (("binary_auc", "n1 / n"), ("binary_accuracy", "n2"), ("text_f1/official_bert_token", "n4"), ("json_valid_rate", "n5"), ("face_swap_f1", "0.5")))
+
+
+def _report(name: str, before: str, after: str, gone: str, better: str) -> str:
+    number = lambda v, style: f"format('{{:{style}}}', ({v})::DOUBLE)"
+    cells = [f"'{name}'", number(before, ".6f"), number(after, ".6f"), number(f"{after} - {before}", "+.6f"), f"CASE WHEN {better} THEN 'yes' ELSE 'no' END", number(f"100 * ({gone})", ".2f") + " || '%'"]
+    return "SELECT '| ' || " + " || ' | ' || ".join(cells) + " || ' |' AS line FROM n"
+
+
+ORACLE_SQL["report_rows"] = BY_PRIORITY + " " + _report("binary_auc", "n1 / n", "n3 / n", "(n3 / n - n1 / n) / (1 - n1 / n)", "n3 > n1") + " UNION ALL " + _report("binary_eer", "n2 / n", "n4 / n", "(n2 / n - n4 / n) / (n2 / n)", "n4 < n2")
+ORACLE_SQL["registry_entries"] = "SELECT 'p_' || d AS name, 'p_' || d || '.jsonl' AS file_name, 'sharegpt' AS formatting, d LIKE '%badcase%' AS ranking, CASE WHEN d LIKE '%badcase%' THEN 'chosen,images,messages,rejected' ELSE 'images,messages' END AS columns FROM (VALUES ('sft_train'), ('preference_pool'), ('val'), ('test'), ('badcase_preference'), ('base_badcase_preference')) t(d)"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry, labels, scoring, text
 from ..functions.parse import parse_response
 from ..operators import align, compare, convert, infer, metrics, mining, rewards, sampling
-from ..sources import images, records
+from ..sources import documents, images, records
+from ..storage import materialise, shared_dir
 from .audit import aligned, annotations, keys, responses, table, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,13 +40,6 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.by_type(scored(spark, sf_dir), F.col("target"), F.col("type_vector"), F.col("has_types"), F.col("parsed.types"))
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    import uuid
-
-    return f"{base.rstrip('/')}/lattica-{uuid.uuid4().hex}"
-
-
 # --- row transforms
 
 
@@ -105,9 +98,12 @@ def convert_records(spark, sf_dir):
 
 @query
 def response_fields(spark, sf_dir):
-    """First response field there is, and id or else meta.id."""
-    df = responses(spark, sf_dir).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("id"), F.struct(F.col("id")).alias("meta"), F.col("response").alias("predict"), F.lit("other").alias("output"))
-    return df.select(scoring.row_id(df.columns).alias("id"), scoring.response_text(df.columns).alias("response"))
+    """The first response field that a prediction's JSON has, be it with a null, and id or else meta.id."""
+    k, text = F.col("id"), F.to_json(F.struct(F.col("response").alias("r")))
+    said = F.substr(text, F.lit(6), F.length(text) - 6)
+    raw = F.concat(F.lit('{"output":"other"'), F.when(k % 4 == 1, F.lit(',"prediction":null')).otherwise(F.concat(F.lit(',"predict":'), F.when(k % 4 == 2, "null").otherwise(said))), F.lit("}"))
+    df = responses(spark, sf_dir).select(F.when(k % 3 != 0, k).alias("id"), F.struct("id").alias("meta"), raw.alias("raw"))
+    return df.select(scoring.row_id(df.columns).alias("id"), scoring.response_text(F.col("raw")).alias("response"))
 
 
 @query
@@ -120,11 +116,24 @@ def score_vectors(spark, sf_dir):
     return df.select("id", r6(one["score"]).alias("score"), one["given"].alias("given"), *[r6(F.get(four["scores"], F.lit(i))).alias(f"s{i}") for i in range(4)], four["given"].alias("given_types"))
 
 
+@query
+def type_score_lists(spark, sf_dir):
+    """Type scores as a prediction's JSON gives them: by name, as a list of four, as a list of three, which doesn't count, or not at all."""
+    k, one = F.col("id"), lambda i: F.element_at(F.map_values("type_scores"), i + 1)
+    numbers = lambda n: F.array_join(F.array(*[(one(i) * 2 - 0.5).cast("string") for i in range(n)]), ",")
+    given = F.when(k % 4 == 0, F.concat(F.lit('{"type_scores":{"text_swap":'), one(2).cast("string"), F.lit("}}"))).when(k % 4 == 1, F.concat(F.lit('{"type_scores":['), numbers(4), F.lit("]}"))).when(k % 4 == 2, F.concat(F.lit('{"type_scores":['), numbers(3), F.lit("]}"))).otherwise("{}")
+    named, listed = scoring.given_type_scores(F.col("given"))
+    df = aligned(spark, sf_dir).withColumn("given", given).withColumns({"type_scores": named, "type_list": listed})
+    done = metrics.score_rows(df)
+    return done.select("id", *[r6(F.get("type_vector", F.lit(i))).alias(f"s{i}") for i in range(4)], "has_types")
+
+
 @query
 def json_path_numbers(spark, sf_dir):
-    """A number in a JSON column; anything else is null."""
+    """A finite number in a JSON column; anything else is null."""
     n = F.get_json_object("props", "$.k").try_cast("double")
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.isnan(n), None).otherwise(n).alias("value"), (n * 100.0).alias("percent"))
+    finite = F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    return table(spark, sf_dir, "events").select("event_id", finite.alias("value"), (finite * 100.0).alias("percent"))
 
 
 @query
@@ -155,7 +164,7 @@ def parse_response_rows(spark, sf_dir):
 @query
 def json_lines_round_trip(spark, sf_dir):
     """Compact JSON lines written and read again."""
-    path = scratch(spark) + "/lines"
+    path = shared_dir(spark) + "/lines"
     records.write_lines(truth(spark, sf_dir).select("id", "label", "target").orderBy("id"), path)
     back = records.parse_records(records.read_records(spark, path), "id long, label string, target struct<verdict:string,types:array<string>,image_bbox:array<int>,text_positions:array<int>>")
     return back.select("id", "label", F.col("target.verdict").alias("verdict"), joined(F.col("target.image_bbox")).alias("box"))
@@ -163,9 +172,54 @@ def json_lines_round_trip(spark, sf_dir):
 
 @query
 def split_union(spark, sf_dir):
+    """Split files written and read as one table, with their row numbers; blank lines don't count."""
+    folder = shared_dir(spark) + "/splits"
+    rows = truth(spark, sf_dir)
+    for i, s in enumerate(("train", "val", "test")):
+        part = rows.where(F.col("id") % 3 == i).select(F.to_json(F.struct("id", "label")).alias("value"))
+        part.unionByName(spark.range(3).select(F.lit("  ").alias("value"))).coalesce(1).write.text(f"{folder}/{s}.json")
+    back = records.read_splits(spark, folder)
+    fields = F.from_json("raw", "id long, label string")
+    return back.select(fields["id"].alias("id"), fields["label"].alias("label"), "split", "ord").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.countDistinct("ord").alias("numbers"), F.sum(F.length("label")).alias("letters"))
+
+
+@query
+def array_records(spark, sf_dir):
+    """One JSON array written, and read element by element with row numbers."""
+    path = shared_dir(spark) + "/array"
+    items = table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.to_json(F.struct("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}).alias("j"))
+    items.agg(F.concat(F.lit("[\n"), F.array_join(F.sort_array(F.collect_list("j")), ",\n"), F.lit("\n]")).alias("value")).write.text(path)
+    return records.read_records(spark, path).select("ord", F.get_json_object("raw", "$.n_name").alias("name"), F.json_object_keys("raw")[2].alias("third"))
+
+
+@query
+def append_records(spark, sf_dir):
+    """JSON lines written, and others appended."""
+    path = shared_dir(spark) + "/appended"
+    rows = truth(spark, sf_dir).select("id", "label")
+    first = records.write_lines(rows.where("id % 2 = 0"), path)
+    second = records.write_lines(rows.where("id % 2 = 1"), path, append=True)
+    back = records.parse_records(records.read_records(spark, path), "id long, label string")
+    return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("ord").alias("numbers")).select("*", F.lit(first).cast("long").alias("first"), F.lit(second).cast("long").alias("second"))
+
+
+@query
+def image_paths(spark, sf_dir):
+    """Where images are: below root, below root without a folder of root's name, or beside root."""
+    rows = keys(spark, sf_dir).select(F.col("k").alias("id"), F.concat(F.when(F.col("k") % 3 == 1, "Data/").otherwise(""), F.lit("i"), F.col("k").cast("string"), F.lit(".png")).alias("image"))
+    k = F.col("k").cast("string")
+    listing = keys(spark, sf_dir).select(F.concat(F.when(F.col("k") % 3 == 2, "/x/i").otherwise("/x/data/i"), k, F.lit(".png")).alias("path"), F.col("c").alias("width"))
+    return images.resolve(rows, listing, "/x/data").select("id", "image_path", "width")
+
+
+@query
+def trainer_rows(spark, sf_dir):
+    """Prompt messages, first image and target of records; the prompt is the opening turn without its image mark."""
     rows = truth(spark, sf_dir)
-    parts = [rows.where(F.col("id") % 10 == i).select("id", F.lit(s).alias("split")) for i, s in enumerate(("train", "val", "test"))]
-    return records.union(parts)
+    talk = F.array(F.struct(F.lit("human").alias("from"), F.concat(F.lit("<image>\n"), "caption").alias("value")))
+    rows = rows.select("id", F.array(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit("second")).alias("images"), talk.alias("conversations"), F.struct("target").alias("meta"))
+    done = mining.training_rows(rows)
+    return done.select("id", F.get("prompt", F.lit(0))["role"].alias("role"), F.get("prompt", F.lit(0))["content"].alias("content"), "image", F.col("target.verdict").alias("verdict"))
 
 
 # --- splits, samples, shards
@@ -179,9 +233,13 @@ def stable_split(spark, sf_dir):
 
 @query
 def split_leak_check(spark, sf_dir):
-    """Groups in both pools: none."""
-    rows = sampling.with_pool(table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("source"), 0.2)
-    return align.shared_keys(rows.where("pool = 'preference_pool'"), rows.where("pool = 'sft_train'"), "source")
+    """Sources on both sides: none where they are split by source, some where by document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    found = []
+    for by in ("source", "doc_id"):
+        rows = sampling.with_pool(docs, F.col(by).cast("string"), 0.2)
+        found.append(align.shared_keys(rows.where("pool = 'preference_pool'"), rows.where("pool = 'sft_train'"), "source").select(F.lit(by).alias("split_by"), "source"))
+    return records.union(found)
 
 
 @query
@@ -235,8 +293,11 @@ def resume_anti(spark, sf_dir):
 
 @query
 def leakage_guard(spark, sf_dir):
-    rows = truth(spark, sf_dir).where(F.col("id") % 2 == 0).withColumns({"split": F.lit("train"), "pool": F.lit("preference_pool")})
-    return align.require_train_pool(rows).select("id", "label")
+    """Rows of the train split's preference pool, and which of all rows the guard would refuse."""
+    pool = F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 3 == 0, "sft_train").otherwise("preference_pool")
+    rows = truth(spark, sf_dir).withColumns({"split": F.when(F.col("id") % 7 == 0, "val").otherwise("train"), "pool": pool})
+    good = align.in_train_pool(F.col("split"), F.col("pool"))
+    return align.require_train_pool(rows.where(good)).select("id", F.lit(True).alias("allowed")).unionByName(rows.where(~good).select("id", F.lit(False).alias("allowed")))
 
 
 # --- metrics
@@ -393,17 +454,17 @@ def mining_report(spark, sf_dir):
 
 @query
 def policy_prompts(spark, sf_dir):
-    """Opening turns of conversations that a user opens."""
-    turns = table(spark, sf_dir, "conversations").where("turn = 0 AND role = 'user'")
-    rows = turns.select(F.col("conv_id").alias("id"), F.array(F.struct(F.lit("human").alias("from"), F.col("text").alias("value"))).alias("conversations"))
+    """The opening turn of every conversation: its turns of users in order, the first being a human's."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    said = F.array_sort(F.collect_list(F.struct("turn", "text")))  # as many as a conversation's turns
+    rows = turns.groupBy(F.col("conv_id").alias("id")).agg(F.transform(said, lambda t: F.struct(F.lit("human").alias("from"), t["text"].alias("value"))).alias("conversations"))
     return mining.policy_prompts(rows).select("id", F.get("conversations", F.lit(0))["value"].alias("prompt"))
 
 
 @query
 def candidate_softmax(spark, sf_dir):
     item = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 0, "yes").otherwise("no").alias("candidate"), (-F.col("l_quantity") / 10).alias("logprob"))
-    both = item.groupBy("id").agg(F.countDistinct("candidate").alias("n")).where("n = 2").select("id")
-    return infer.candidate_scores(item.join(both, "id", "left_semi"), "no", "yes").select("id", r6("score").alias("score"))
+    return infer.candidate_scores(item, "no", "yes").select("id", r6("score").alias("score"))
 
 
 @query
@@ -432,6 +493,60 @@ def resume_predictions(spark, sf_dir):
     return infer.predict(rows, lambda: lambda asked: [p.upper() for p in asked], done=done).select("id", "response", "score_method")
 
 
+class _Stub:
+    """A deterministic stand-in for a model: what it thinks of a candidate is made of lengths."""
+
+    def __call__(self, asked: list[str]) -> list[str]:
+        return [f" {len(p)} " for p in asked]
+
+    def mean_logprobs(self, asked: list[str], candidate: str) -> list[float]:
+        return [-((len(p) * len(candidate)) % 7) / 2.0 for p in asked]
+
+
+@query
+def scored_predictions(spark, sf_dir):
+    """Answers with a score of the verdict and of each type."""
+    turn = F.array(F.struct(F.lit("human").alias("from"), F.concat(F.lit("<image>\n"), "caption").alias("value")))
+    rows = truth(spark, sf_dir).select("id", F.array(F.lit("i")).alias("images"), turn.alias("conversations"), F.struct(F.col("caption").alias("normalized_text")).alias("meta"))
+    done = infer.predict(infer.prompts(rows), _Stub, mode="full")
+    return done.select(F.col("id").cast("long").alias("id"), "response", r6("manipulated_score").alias("score"), r6(F.col("type_scores")["face_swap"]).alias("first"), r6(F.col("type_scores")["text_attribute"]).alias("last"), "score_method")
+
+
+@query
+def word_pieces(spark, sf_dir):
+    """Confusion at the level of sub-words, as ``evaluate`` counts them; the tokenizer splits words of more than two characters in pairs."""
+    pairs = lambda text: [i for i, w in enumerate(text.split()) for _ in range((len(w) + 1) // 2)]
+    rows = materialise(metrics.score_rows(aligned(spark, sf_dir)), "scored")
+    tree = metrics.evaluate(rows, subwords=metrics.subword_counts(rows, pairs, max_length=40), subword_name="pairs", max_length=40)
+    found = tree["text_grounding"]["official_bert_token_level"]
+    return spark.createDataFrame([(k, float(found[k])) for k in ("tp", "tn", "fp", "fn")] + [("f1_percent", round(tree["official_metrics_percent"]["F1_tok"], 4))], "metric string, value double")
+
+
+@query
+def metric_tree(spark, sf_dir):
+    """A comparison's metrics out of a document of nested objects; text at the best level, numbers as text count, infinite ones don't."""
+    priority = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).orderBy("o_orderpriority").collect()  # five
+    n = [r["n"] for r in priority]
+    tree = {"binary_classification": {"auc": n[0] / sum(n), "eer": "inf", "accuracy": str(n[1])}, "text_grounding": {"word_level": {"f1": n[2]}, "official_bert_token_level": {"f1": n[3]}}, "json_valid_rate": n[4], "multilabel_classification": {"per_class_f1": {"face_swap": 0.5, "text_swap": None}}}
+    return compare.metric_table(spark, tree).where("value is not null").select("metric", "higher", r6("value").alias("value"))
+
+
+@query
+def report_rows(spark, sf_dir):
+    """A comparison written as a table of text: six decimals, signed differences, percent of errors that went."""
+    n = {r["o_orderpriority"][0]: r["n"] for r in table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).collect()}  # five
+    tree = lambda a, b: {"binary_classification": {"auc": n[a] / sum(n.values()), "eer": n[b] / sum(n.values())}}
+    lines = compare.markdown(compare.compare_runs(spark, tree("1", "2"), tree("3", "4"))).splitlines()
+    return spark.createDataFrame([(line,) for line in lines if line.startswith("| binary")], "line string")
+
+
+@query
+def registry_entries(spark, sf_dir):
+    """How a trainer reads each data set: file, format, columns."""
+    found = documents.registry("p")
+    return spark.createDataFrame([(k, v["file_name"], v["formatting"], bool(v.get("ranking")), ",".join(sorted(v["columns"]))) for k, v in found.items()], "name string, file_name string, formatting string, ranking boolean, columns string")
+
+
 @query
 def compare_runs(spark, sf_dir):
     """Mean scores by priority of two runs; the second has lower errors for some."""
@@ -462,4 +577,4 @@ def label_auc(spark, sf_dir):
     """Flagship: area under the curve of document length as a score of quality or toxicity labels."""
     labelled = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
-    return metrics.auc(labelled.select(bad.alias("label"), ((F.col("n_chars") % 101) / 100.0).alias("score"))).select(r6("auc").alias("auc"))
+    return metrics.auc(labelled.select(bad.alias("label"), F.col("n_chars").cast("double").alias("score"))).select(r6("auc").alias("auc"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 from typing import Any
 
@@ -51,8 +52,10 @@ def run_manifest(settings: dict[str, Any], sources: dict[str, str], outputs: dic
     return settings | {"source": {k: str(Path(v).resolve()) for k, v in sources.items()}, "outputs": outputs, "leakage_guard": guard}
 
 
-def reward_manifest(weights: dict[str, float], counts: dict[str, int], formula: str = "weight * (0.5 verdict + 0.25 types + 0.25 evidence) - penalty") -> dict[str, Any]:
-    return {"case_weights": dict(sorted(weights.items())), "case_counts": dict(sorted(counts.items())), "formula": formula}
+def reward_manifest(sources: dict[str, str], weights: dict[str, float], counts: dict[str, int], samples: int, parts: dict[str, float]) -> dict[str, Any]:
+    """What a reward was made of: where its data came from, cases, their weights and the formula."""
+    formula = " + ".join(f"{share} {name}" for name, share in parts.items())
+    return sources | {"case_counts": dict(sorted(counts.items())), "case_weights": dict(sorted(weights.items())), "num_samples": samples, "reward": f"weight * ({formula}) - penalty"}
 
 
 def overrides(items: list[str]) -> dict[str, str]:
@@ -68,14 +71,15 @@ def overrides(items: list[str]) -> dict[str, str]:
 
 def patch_settings(text: str, changes: dict[str, str]) -> str:
     """Replace top-level keys of a YAML text, each once; keys it lacks are added under a comment."""
-    left, out = dict(changes), []
-    for line in text.splitlines():
-        key = line.partition(":")[0].strip()
-        top = ":" in line and line[:1] not in (" ", "\t", "#")
-        out.append(f"{key}: {left.pop(key)}" if top and key in left else line)
-    if left:
-        out += ["", "### runtime overrides", *(f"{k}: {v}" for k, v in left.items())]
-    return "\n".join(out) + "\n"
+    missing = dict(changes)
+
+    def renew(m: re.Match) -> str:
+        key = m[1].strip()
+        return f"{key}: {missing.pop(key)}" if key in missing else m[0]
+
+    body = re.sub(r"^(?![ \t#])([^:\n]*):.*$", renew, "\n".join(text.splitlines()), flags=re.MULTILINE)
+    added = "".join(f"\n{k}: {v}" for k, v in missing.items())
+    return body + (f"\n\n### runtime overrides{added}" if added else "") + "\n"
 
 
 def report_targets(text: str) -> str | list[str]:

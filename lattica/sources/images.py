@@ -25,22 +25,33 @@ def list_images(spark: SparkSession, *folders: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
 
 
+def list_sizes(spark: SparkSession, *folders: str, verify: bool = True) -> DataFrame:
+    """path and size of all files below the folders. Sizes are read where the files are, so no content is ever shuffled.
+
+    A file that is no image, or damaged, has the reason in ``size.error``; it matters only where it is used.
+    """
+    return list_images(spark, *folders).select("path", _read_sizes(verify)(F.col("content")).alias("size"))
+
+
 def resolve(df: DataFrame, images: DataFrame, root: str, column: str = "image") -> DataFrame:
-    """Add image_path, the first candidate that exists, and its content; raises where none does.
+    """Add image_path, the first candidate that exists, and the listing's other columns; raises where there is none.
 
-    One equi-join of candidates with the listing, so no task asks a file system about files.
+    Candidates of distinct names meet the listing's paths in an equi-join, so no task asks a
+    file system about files, and paths alone decide; other columns are joined to what was chosen.
     """
     base, name = root.rstrip("/"), PurePosixPath(root).name.lower()
-    rel = F.col(column)
-    first = F.lower(F.substring_index(rel, "/", 1))
-    rest = F.expr(f"substring({column}, instr({column}, '/') + 1)")
+    rel = F.col("_rel")
+    first, rest = F.lower(F.substring_index(rel, "/", 1)), F.expr("substring(_rel, instr(_rel, '/') + 1)")
     tries = F.array(F.concat(F.lit(base + "/"), rel), F.when((first == name) & rel.contains("/"), F.concat(F.lit(base + "/"), rest)), F.concat(F.lit(str(PurePosixPath(base).parent).rstrip("/") + "/"), rel))
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).persist()
-    tried = rows.select("_row", F.posexplode(tries).alias("_rank", "_path")).where("_path is not null").join(images, F.col("_path") == images["path"])
-    best = tried.groupBy("_row").agg(F.min_by(F.struct(F.col("_path").alias("image_path"), "content"), "_rank").alias("_b"))
-    joined = rows.join(best, "_row", "left")
-    path = F.when(F.col("_b").isNull(), F.raise_error(F.concat(F.lit("no such image: "), rel)).cast("string")).otherwise(F.col("_b.image_path"))
-    return joined.select(*df.columns, path.alias("image_path"), F.col("_b.content").alias("content"))
+    names = df.select(F.col(column).alias("_rel")).where("_rel is not null").distinct()
+    tried = names.select("_rel", F.posexplode(tries).alias("_rank", "_path")).where("_path is not null").join(images.select(F.col("path").alias("_path")), "_path")
+    best = tried.groupBy("_rel").agg(F.min_by("_path", "_rank").alias("_found"))
+    joined = df.join(best, df[column] == best["_rel"], "left")
+    missing = F.raise_error(F.concat(F.lit("no such image: "), F.coalesce(df[column], F.lit("null")))).cast("string")
+    joined = joined.select(*[df[c] for c in df.columns], F.coalesce("_found", missing).alias("image_path"))
+    if others := [c for c in images.columns if c != "path"]:
+        joined = joined.join(images, joined["image_path"] == images["path"]).select(*joined.columns, *others)
+    return joined
 
 
 def header_size(data: bytes) -> tuple[int, int]:
@@ -89,18 +100,30 @@ def whole(data: bytes) -> bool:
     return True
 
 
-def image_size(content: Column, verify: bool = True) -> Column:
-    """struct<width, height>; raises for damaged files and sizes that aren't positive."""
-
-    @F.pandas_udf("width int, height int")
+def _read_sizes(verify: bool):
+    @F.pandas_udf("width int, height int, error string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for files in batches:
-            sizes = []
+            sizes: list[tuple] = []
             for data in files:
-                width, height = header_size(bytes(data))
-                if width <= 0 or height <= 0 or (verify and not whole(bytes(data))):
-                    raise ValueError(f"damaged image of {width}x{height}")
-                sizes.append((width, height))
-            yield pd.DataFrame(sizes, columns=["width", "height"])
+                try:
+                    width, height = header_size(bytes(data))
+                    if width <= 0 or height <= 0 or (verify and not whole(bytes(data))):
+                        raise ValueError(f"damaged image of {width}x{height}")
+                    sizes.append((width, height, None))
+                except (ValueError, struct.error) as e:
+                    sizes.append((None, None, str(e)))
+            yield pd.DataFrame(sizes, columns=["width", "height", "error"])
 
-    return read(content)
+    return read
+
+
+def checked(size: Column) -> Column:
+    """struct<width, height> of a size; raises where it couldn't be read."""
+    width = F.when(size["error"].isNotNull(), F.raise_error(size["error"]).cast("int")).otherwise(size["width"])
+    return F.struct(width.alias("width"), size["height"].alias("height"))
+
+
+def image_size(content: Column, verify: bool = True) -> Column:
+    """struct<width, height>; raises for damaged files and sizes that aren't positive."""
+    return checked(_read_sizes(verify)(content))
