@@ -40,8 +40,8 @@ CACHEABLE = {
     "truncation": None,
     "padding": None,
 }
-#: The same of its model.
-CACHEABLE_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: The same of its model, which must be a BPE.
+CACHEABLE_MODEL = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: Texts that are encoded both ways when a file is loaded.
 PROBES = ["Hello, world.\nnext  line", " a b  c\t\td ", "Äpfel ÀÖØöøÿ ß é", "it's don't WE'LL", "x.y, z... (q)", "12 3a b4", "日本 語", "e\u0301 İ Σς", "<|endoftext|> x", "word" * 20]
 
@@ -76,11 +76,13 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.marks: dict[str, tuple[int, ...]] = {"": ()}
         self._clear()
-        with open(path, encoding="utf-8") as f:
-            settings = json.load(f)
-        known = all(settings.get(k) == v for k, v in CACHEABLE.items()) and all(settings["model"].get(k) == v for k, v in CACHEABLE_MODEL.items())
+        # settings by themselves: a file as a whole has the vocabulary in it, which would be held twice
+        parts = {name: getattr(self.tokenizer, name) for name in CACHEABLE}
+        state = {name: json.loads(part.__getstate__()) if name in ("normalizer", "pre_tokenizer") and part is not None else part for name, part in parts.items()}
+        known = state == CACHEABLE and type(self.model).__name__ == "BPE" and all(getattr(self.model, k) == v for k, v in CACHEABLE_MODEL.items())
         # words are separate only if no added token has a blank in it or takes blanks beside it
-        apart = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in settings.get("added_tokens") or [])
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized or any(c.isspace() for c in t.content) for t in added)
         self.cached = known and apart and [i.tolist() for i in self._split(PROBES)] == [self._ids(t) for t in PROBES]
 
     @property
