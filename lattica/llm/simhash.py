@@ -58,7 +58,7 @@ TASK_ROWS, HOT_ROWS = 40_000, 20_000
 #: Node pairs with at most so many leaf pairs are compared leaf by leaf; pairs taken at a time.
 LEAF_PAIRS, FRONTIER = 1024, 50_000
 #: Shingles of a task that counts or compares sets, and of a Python worker's buffer.
-TASK_ENTRIES, BUFFER = 1 << 21, 1 << 20
+TASK_ENTRIES, BUFFER = 1 << 20, 1 << 19
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 16
 
