@@ -1,17 +1,19 @@
 """Helpers that several training-data operators share."""
 
+# shared_dir is the library's: a folder that driver and executors share, or an error
+
 from __future__ import annotations
 
 import json
 import os
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import shared_dir
+
 #: A word is a run of anything but ASCII blanks (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,28 +26,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _SCRATCH: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session,
-    as in tests, gets a temporary folder of this machine; a cluster is refused, since its
-    executors would each write to a disk of their own.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        # getCheckpointDir() is "<folder>/<uuid>" once a folder has been set
-        here = context._jsc.sc().getCheckpointDir()
-        if here.isDefined():
-            base = here.get()
-        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
-            base = "file://" + tempfile.mkdtemp(prefix="lattica-")
-            context.setCheckpointDir(base)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/lattica/{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a frame to the shared folder and read it again.
 

@@ -5,8 +5,8 @@ longest tier are cut off first, and what is left goes to the smallest tier that
 window opens with a document of its own tier; its gap is filled from shorter tiers, with the
 largest piece that fits as long as one does, then with a cut piece, so that windows are full.
 What can't be filled within a pool of documents goes on into the next one; at the end of a
-task the rest is laid out in full windows of ever smaller tiers, and only what is smaller
-than the smallest tier is padded. Step groups get equal numbers of tokens: full windows, the
+task the rest is laid out in full windows of ever smaller tiers, and what is smaller than the
+smallest tier in ever smaller powers of two, so nothing is padded. Step groups get equal numbers of tokens: full windows, the
 longest first, go to the open group that has the fewest.
 
 Each task packs its own rows, without a shuffle, in memory bounded by the pool and the longest
@@ -136,6 +136,24 @@ class Groups:
         return number
 
 
+def powers_of_two(seq: list[Piece]) -> Iterator[list[Piece]]:
+    """A sequence as sequences of ever smaller powers of two, cutting pieces where they end."""
+    left = sum(p[0] for p in seq)
+    pieces = list(reversed(seq))
+    while left:
+        size = gap = 1 << left.bit_length() - 1
+        part = []
+        while gap:
+            n, serial, doc, start, ids = pieces.pop()
+            take = min(n, gap)
+            part.append((take, serial, doc, start, ids[:take]))
+            if take < n:
+                pieces.append((n - take, serial, doc, start + take, ids[take:]))
+            gap -= take
+        yield part
+        left -= size
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, tiers: tuple[int, ...] = TIERS, with_ids: bool = True) -> DataFrame:
     """A row per piece: where it comes from, its sequence, tier and step group, and its ids (4 bytes each, if asked for)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -153,7 +171,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers:
     def write(seq: list[Piece]) -> None:
         nonlocal serial, held
         size = sum(p[0] for p in seq)
-        tier = next(t for t in packer.tiers if t >= size)
+        tier = next((t for t in packer.tiers if t == size), size)
         group, offset = base + groups.place(tier), 0
         for n, _, (doc_id, doc_tokens), start, ids in seq:
             raw = ids.astype("<u4").tobytes()
@@ -177,6 +195,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers:
             if held >= POOL:
                 yield batch()
     for seq in packer.pack(last=True):
-        write(seq)
+        for part in [seq] if sum(p[0] for p in seq) in packer.tiers else powers_of_two(seq):
+            write(part)
     if out:
         yield batch()

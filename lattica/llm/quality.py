@@ -196,17 +196,19 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: list[str], cuts: int, most: int
     return rule
 
 
-def fit_rules(x: np.ndarray, bad: np.ndarray, names: list[str], *, max_rules: int = 24, max_conditions: int = 6, precision: float = 0.97, least: int = 3, cuts: int = 256, seed: int = 42) -> list[Rule]:
-    """Ordered rules, each of which covers rows to reject."""
+def fit_rules(x: np.ndarray, bad: np.ndarray, names: list[str], *, max_rules: int = 24, max_conditions: int = 6, precision: float = 0.97, least: int = 3, cuts: int = 256, tries: int = 5, seed: int = 42) -> list[Rule]:
+    """Ordered rules, each of which covers rows to reject. A rule that doesn't hold is grown anew on another draw, ``tries`` times in a row."""
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     rng = np.random.default_rng(seed)
-    while len(rules) < max_rules and (left & bad).sum() >= least:
+    failed = 0
+    while len(rules) < max_rules and failed < tries and (left & bad).sum() >= least:
         grow = left & (rng.random(len(x)) < 2 / 3)
         prune = left & ~grow
         rule = _grow(x[grow], bad[grow], names, cuts, max_conditions)
         if not rule:
-            break
+            failed += 1
+            continue
 
         def worth(r: Rule) -> tuple[float, int]:
             c = _covered(r, x[prune], names)
@@ -219,7 +221,9 @@ def fit_rules(x: np.ndarray, bad: np.ndarray, names: list[str], *, max_rules: in
         p, n = (inside & bad).sum(), (inside & ~bad).sum()
         score, seen = worth(rule)
         if p < least or p < precision * (p + n) or (seen and (score + 1) / 2 < precision - 0.05):
-            break
+            failed += 1
+            continue
+        failed = 0
         rules.append(rule)
         left &= ~inside
     return rules
