@@ -75,7 +75,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     stack = W.partitionBy("_rev", "_part", "_height").orderBy("_pos", "_kind").rowsBetween(W.unboundedPreceding, 0)
     fits = events.where("_kind < 2 and _height > 0").withColumn("_top", F.last("_rule", True).over(stack)).where("_kind = 1")
     length = F.struct(F.length("_top.host") + F.length("_top.path"), F.length("_top.host"))
-    best = fits.groupBy("host", "path").agg(F.max_by("_top", length).alias("_best"))
+    # written, so that the last join has two plain exchanges, and urls that many rows share can be split
+    best = materialise(fits.groupBy("host", "path").agg(F.max_by("_top", length).alias("_best")), "best")
     verdict = F.coalesce("_best.verdict", F.lit(default))
     judged = parsed.join(best, ["host", "path"], "left")
     return judged.select(*keep, "host", "path", F.concat("_best.host", "_best.path").alias("rule"), verdict.alias("verdict"))
