@@ -79,10 +79,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     results = results.groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("_r"), F.count(F.lit(1)).alias("n_results"))
     results = results.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.col("_r.content").alias("result"), F.col("_r.turn").alias("result_turn"), "n_results", F.lit(True).alias("_has"))
     same = (F.col("conv_id") == F.col("_conv")) & (F.col("call_id") == F.col("_call"))
-    placed = _place(calls).hint("shuffle_hash")
-    linked = placed.join(results.hint("shuffle_hash"), same, "left")
-    orphans = results.join(calls.select(*KEY).distinct(), same, "left_anti").select(F.col("_conv").alias("conv_id"), F.col("_call").alias("call_id"), "result", "result_turn", "n_results", F.lit(True).alias("_has"))
-    rows = linked.drop("_conv", "_call").unionByName(orphans, allowMissingColumns=True)
+    # calls without an identifier link to nothing, and would all meet in one task
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    unnamed = _at_their_turns(calls.where(~named))
+    linked = _place(calls.where(named)).hint("shuffle_hash").join(results.hint("shuffle_hash"), same, "left")
+    orphans = results.join(calls.where(named).select(*KEY).distinct(), same, "left_anti").select(F.col("_conv").alias("conv_id"), F.col("_call").alias("call_id"), "result", "result_turn", "n_results", F.lit(True).alias("_has"))
+    rows = linked.drop("_conv", "_call").unionByName(unnamed, allowMissingColumns=True).unionByName(orphans, allowMissingColumns=True)
 
     tools = schemas.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("param", "kind", "required"))).alias("_params"))  # as many as a tool's parameters
     rows = rows.join(tools.withColumnRenamed("name", "_tool"), F.col("name") == F.col("_tool"), "left").drop("_tool")
@@ -99,18 +101,21 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
 MOST_STEPS = 1 << 61
 
 
+def _at_their_turns(calls: DataFrame) -> DataFrame:
+    return calls.withColumns({"ready": F.col("turn"), "depth": F.lit(0).cast("long"), "placed": F.lit(True)})
+
+
 def _place(calls: DataFrame) -> DataFrame:
-    """Add ready, depth and placed, which is false on a cycle or behind one."""
-    named = calls.where("conv_id is not null and call_id is not null")
-    ids = named.groupBy(*KEY).agg(F.min("turn").alias("turn"))
-    edges = named.select(*KEY, F.explode("depends_on").alias("before")).where("before <> call_id").distinct()
+    """Add ready, depth and placed, which is false on a cycle or behind one, to calls with identifiers."""
+    ids = calls.groupBy(*KEY).agg(F.min("turn").alias("turn"))
+    edges = calls.select(*KEY, F.explode("depends_on").alias("before")).where("before <> call_id").distinct()
     first = ids.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("_t"))
     edges = edges.join(first, ["conv_id", "before"]).join(ids, KEY)
     back = F.coalesce(F.col("_t") >= F.col("turn"), F.lit(True))  # null turns are left to the rounds
     edges = materialise(edges.select(*KEY, "before", back.alias("_back")), "edges")
     winding = edges.where("_back").select("conv_id").distinct()
     if winding.isEmpty():  # the rounds would change no place
-        return calls.withColumns({"ready": F.col("turn"), "depth": F.lit(0).cast("long"), "placed": F.lit(True)})
+        return _at_their_turns(calls)
     winding = materialise(winding, "winding")
     places = _rounds(materialise(ids, "ids").join(winding, "conv_id", "left_semi"), edges.join(winding, "conv_id", "left_semi"))
     out = calls.join(places.select(*KEY, F.struct("ready", "depth", "placed").alias("_id")), KEY, "left")
