@@ -178,8 +178,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, key
     width = 2 if max(WordEncoder(tokenizer).vocabulary - 1, end_id) < 1 << 16 else 4
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     shards = max(1, math.ceil(size / max(SHARD_TEXT, size / MOST_FILES)))
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("_t"))
-    ordered = ordered.repartitionByRange(shards, "key", "_t").sortWithinPartitions("key", "_t").select("key", "text")
+    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("_t"), F.monotonically_increasing_id().alias("_r"))
+    # rows alike in key and text give the same bytes in any order, and can be split by their place
+    ordered = ordered.repartitionByRange(shards, "key", "_t", "_r").sortWithinPartitions("key", "_t").select("key", "text")
     entries = ordered.mapInArrow(lambda it: _write_shard(it, path, tokenizer, end_id, width), "key long, shard int, row int, start long, n_ids int")
     entries = materialise(entries, "entries")
 
