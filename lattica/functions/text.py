@@ -33,12 +33,18 @@ def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
+#: Characters that a caption has as spaces, and then those that it loses.
+SPACED, DROPPED = "-/", """,.'!?"()*#:;~"""
+
+
 def normalize_caption(text: Column, max_words: int = MAX_WORDS) -> Column:
-    """Lower case without punctuation, dashes and slashes as spaces, runs of blanks as one, at most max_words words."""
-    plain = F.regexp_replace(F.lower(text), r"""[,.'!?"()*#:;~]""", "")
-    plain = F.replace(F.translate(plain, "-/", "  "), F.lit("<person>"), F.lit("person"))
-    plain = strip_blanks(F.regexp_replace(plain, f"{BLANK}{{2,}}", " "))
-    return F.array_join(F.slice(F.split(plain, " ", -1), 1, max_words), " ")
+    """Lower case without punctuation, dashes and slashes as spaces, runs of blanks as one, at most max_words words.
+
+    Once runs are one space, a cut before a space has no blank at its end, so only what is left needs the end stripped.
+    """
+    plain = F.replace(F.translate(F.lower(text), SPACED + DROPPED, " " * len(SPACED)), F.lit("<person>"), F.lit("person"))
+    plain = F.regexp_replace(F.regexp_replace(plain, f"{BLANK}{{2,}}", " "), f"^{BLANK}", "")
+    return F.regexp_replace(F.substring_index(plain, " ", max_words), f"{BLANK}+$", "")
 
 
 def count_words(text: Column) -> Column:
