@@ -1,7 +1,5 @@
 """Helpers that several training-data operators share."""
 
-# shared_dir is the library's: a folder that driver and executors share, or an error
-
 from __future__ import annotations
 
 import json
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..storage import shared_dir
+from ..storage import shared_dir  # the operators take it from here
 
 #: A word is a run of anything but ASCII blanks (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
