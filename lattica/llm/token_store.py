@@ -320,7 +320,7 @@ def _runs(batches: Iterator[pa.RecordBatch], store: TokenStore) -> Iterator[tupl
 
 def _read(batches: Iterator[pa.RecordBatch], store: TokenStore) -> Iterator[pa.RecordBatch]:
     fs, root = file_system(store.path)
-    names, kinds = ["key", "start", "n_tokens", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["key", "start", "n_tokens", "ids"]
     opened: dict = {}
     for shard, first, keys in _runs(batches, store):
         if opened.get("shard") != shard:
@@ -333,11 +333,11 @@ def _read(batches: Iterator[pa.RecordBatch], store: TokenStore) -> Iterator[pa.R
         while at < len(keys):  # as many documents as HELD_IDS has room for, one at least
             upto = max(at + 1, int(np.searchsorted(edges, edges[at] + HELD_IDS, "right")) - 1)
             raw = ids.read_at(int(edges[upto] - edges[at]) * store.width, int(edges[at]) * store.width)
-            wide = memoryview(raw if store.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
-            cuts = ((edges[at : upto + 1] - edges[at]) * 4).tolist()
-            parts = [wide[a:b] for a, b in zip(cuts, cuts[1:])]
-            columns = (keys[at:upto], store.id_base[shard] + edges[at:upto], np.diff(edges[at : upto + 1]), parts)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            wide = raw if store.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+            cuts = ((edges[at : upto + 1] - edges[at]) * 4).astype(np.int32)
+            # the ids as they lie, cut at these places: no object for each document
+            parts = pa.Array.from_buffers(pa.binary(), upto - at, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(wide)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at:upto], pa.int64()), pa.array(store.id_base[shard] + edges[at:upto]), pa.array(np.diff(edges[at : upto + 1])), parts], names)
             at = upto
     for f in opened.get("files", ()):
         f.close()
