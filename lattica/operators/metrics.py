@@ -1,9 +1,8 @@
 """Classification and grounding metrics.
 
 Sums over an order (ROC curves, precision at a rank) never run in one task: rows are summed
-by distinct score first, scores fall into buckets by their quantiles, and bucket totals,
-of which there are at most ``BUCKETS`` for each class, carry the sums over. These sums by
-score are written, so rows are computed once, not for quantiles, totals and result again.
+by distinct score first, and ``scan.running_sums`` deals these sums to ranges of scores, whose
+number follows the data. The sums by score are written, so rows are computed once.
 """
 
 from __future__ import annotations
@@ -20,32 +19,12 @@ from ..functions.scoring import binary_score, error_tags, hallucinated, type_sco
 from ..functions.text import count_words
 from ..storage import materialise
 from ..types import TYPE_ORDER
+from .scan import running_sums
 
-BUCKETS = 64
 #: Rows of one tied score whose order is looked at together.
 TIE_ROWS = 1 << 20
 
 
-def running_sums(df: DataFrame, by: list[str], key: str, then: list[str], values: list[str], *, descending: bool) -> DataFrame:
-    """Add ``<value>_upto``: sums over the rows of a group up to each, by ``key`` and then ``then``."""
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = df.agg(F.percentile_approx(key, shares, 2000)).first()[0] or []
-    edges = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-    sign = -1 if descending else 1
-    df = df.withColumn("_bucket", sign * F.size(F.filter(edges, lambda e: e < F.col(key))))
-    order = [F.col(key).desc() if descending else F.col(key), *then]
-    near = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = df.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
-    local = df.withColumns({f"{v}_upto": F.sum(v).over(near) for v in values})
-    on = (F.col("_bucket") == F.col("_b")) & F.lit(True)
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    joined = local.join(F.broadcast(totals), on)  # at most BUCKETS rows a group
-    return joined.withColumns({f"{v}_upto": F.col(f"{v}_upto") + F.col(f"_{v}") for v in values}).select(*df.columns[:-1], *[f"{v}_upto" for v in values])
-
-
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     one = F.col(label).cast("long")
     return materialise(df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg")), "by_score")
@@ -53,7 +32,7 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row: area under the ROC curve, ties counting half; NaN without both classes."""
-    rows = running_sums(_by_score(df, label, score), [], "score", [], ["neg"], descending=False)
+    rows = running_sums(_by_score(df, label, score), [], [F.col("score")], ["neg"])
     below = F.col("neg_upto") - F.col("neg")
     wins = F.sum(F.col("pos") * (below + F.col("neg") / 2.0))
     area = F.sum("pos").cast("double") * F.sum("neg")
@@ -67,7 +46,7 @@ def eer(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     p, n = total["p"] or 0, total["n"] or 0
     if not p or not n:
         return df.sparkSession.range(1).select(F.lit(float("nan")).alias("eer"))
-    rows = running_sums(by, [], "score", [], ["pos", "neg"], descending=True)
+    rows = running_sums(by, [], [F.col("score").desc()], ["pos", "neg"])
     fpr, tpr = F.col("neg_upto") / n, F.col("pos_upto") / p
     fpr0, tpr0 = (F.col("neg_upto") - F.col("neg")) / n, (F.col("pos_upto") - F.col("pos")) / p
     a, b = (1.0 - tpr0) - fpr0, (1.0 - tpr) - fpr
@@ -81,8 +60,8 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
     by = by or []
     rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("long").alias("hit"), F.col(order).alias("ord"))
     rows = materialise(rows.withColumn("chunk", F.floor(F.col("ord") / TIE_ROWS)), "ranked")
-    sums = rows.groupBy(*by, "score", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
-    sums = running_sums(sums, by, "score", ["chunk"], ["n", "hits"], descending=True)
+    sums = materialise(rows.groupBy(*by, "score", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits")), "sums")
+    sums = running_sums(sums, by, [F.col("score").desc(), F.col("chunk")], ["n", "hits"])
     base = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("score").alias("_s"), F.col("chunk").alias("_c"), (F.col("n_upto") - F.col("n")).alias("_n"), (F.col("hits_upto") - F.col("hits")).alias("_h"))
     w = W.partitionBy(*by, "score", "chunk").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumns({"r": F.count(F.lit(1)).over(w), "h": F.sum("hit").over(w)})
