@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import os
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..storage import shared_dir  # the operators take it from here
+from ..storage import delete_folder, materialise, scratch, shared_dir, unscratched, written  # the operators take them from here
 
 #: A word is a run of anything but ASCII blanks (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,56 +19,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Folders that materialise() has written in a ``scratch`` block.
-_SCRATCH: list[list[str]] = []
-
-
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a frame to the shared folder and read it again.
-
-    It cuts lineage like ``checkpoint()``, but as compressed columns, and a lost executor
-    costs nothing that was written before. Within ``scratch``, the folder goes at its end.
-    """
-    return written(df, name)[0]
-
-
-def written(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
-    """``materialise``, and the folder that can be deleted."""
-    folder = shared_dir(df.sparkSession)
-    if _SCRATCH:
-        _SCRATCH[-1].append(folder)
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}"), folder
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store with all that is in it, if it is there."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Delete what ``materialise`` writes in this block once it ends; what leaves it must have been written outside it."""
-    _SCRATCH.append([])
-    try:
-        yield
-    finally:
-        for folder in _SCRATCH.pop():
-            delete_folder(spark, folder)
-
-
-@contextmanager
-def unscratched():
-    """Within ``scratch``, write for what is around it."""
-    inner = _SCRATCH.pop()
-    try:
-        yield
-    finally:
-        _SCRATCH.append(inner)
-
-
 def ranked(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """Number rows of equal keys from 0 in ``_rank``, in 1024 chunks of each key; rows must have been written, so that they don't change places."""
     rows = rows.withColumn("_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
