@@ -2,8 +2,8 @@
 
 Features are runs of 1 to ``longest`` consecutive words, and a feature's bucket is a hash of it.
 ``write_counts`` persists the document-by-bucket counts as a table of CSR blocks: each row of it
-is a block of documents, with row pointers, column indices and counts as arrays. All else reads
-that table: a column sum of the source's blocks and one of the target's give the two feature
+is a block of documents, with row pointers, column indices and counts as little-endian arrays
+(``blocks_of`` reads them). All else reads that table: a column sum of the source's blocks and one of the target's give the two feature
 distributions, their smoothed log ratio is a bucket's gain, and the product of each block with
 the gains, which is sparse matrix times vector, gives the weights. Texts are read once.
 
@@ -42,7 +42,7 @@ BLOCK_ROWS, BLOCK_ENTRIES = 256, 1 << 15
 SLICE = 1 << 16
 #: A-Z lower-cased; what is neither an ASCII letter nor digit nor beyond ASCII separates words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-BLOCK = "doc_ids array<long>, n_words array<long>, indptr array<int>, indices array<int>, counts array<int>"
+BLOCK = "doc_ids array<long>, n_words binary, indptr binary, indices binary, counts binary"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -70,14 +70,14 @@ def bucket_counts(words: list[bytes], longest: int, buckets: int) -> tuple[np.nd
 
 def write_counts(docs: DataFrame, *, key: str = "doc_id", longest: int = 2, buckets: int = BUCKETS) -> DataFrame:
     """The count matrix of ``key`` (a long) and ``text``, written as CSR blocks."""
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("indptr", pa.list_(pa.int32())), ("indices", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    width = _column_type(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n_words, ends, indices, counts = [], [], [0], [], []
 
         def block() -> pa.RecordBatch:
-            columns = (keys, n_words, ends, np.concatenate([*indices, np.empty(0)]), np.concatenate([*counts, np.empty(0)]))
-            return pa.RecordBatch.from_arrays([pa.array([np.asarray(c, f.type.value_type.to_pandas_dtype()) if c is not keys else c], f.type) for c, f in zip(columns, schema)], schema=schema)
+            parts = (np.array(n_words, "<i8"), np.array(ends, "<i4"), np.concatenate([*indices, np.empty(0)]).astype(width), np.concatenate([*counts, np.empty(0)]).astype("<i4"))
+            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["doc_ids", "n_words", "indptr", "indices", "counts"])
 
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -97,14 +97,28 @@ def write_counts(docs: DataFrame, *, key: str = "doc_id", longest: int = 2, buck
     return materialise(docs.select(F.col(key).cast("long"), "text").mapInArrow(run, BLOCK), "counts")
 
 
+def _column_type(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<i4"
+
+
+def blocks_of(batch: pa.RecordBatch, width: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, n_words, indptr, indices and counts of each block."""
+    types = ("<i8", "<i4", width, "<i4")
+    for row in range(batch.num_rows):
+        parts = [np.frombuffer(batch.column(i + 1)[row].as_buffer(), t) for i, t in enumerate(types)]
+        yield batch.column(0)[row].values, *parts
+
+
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """How many features each bucket has in all documents."""
+    width = _column_type(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            at, n = (b.column(c).flatten().to_numpy() for c in (0, 1))
-            np.add.at(total, at, n)
+            for at, n in zip(b.column(0), b.column(1)):
+                # sums of less than 2**53 in doubles, so exact
+                total += np.bincount(np.frombuffer(at.as_buffer(), width), np.frombuffer(n.as_buffer(), "<i4"), buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
@@ -124,17 +138,15 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features and weight, the floored mean of gains over a document's features."""
 
+    width = _column_type(len(gain))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = b.column(4).flatten().to_numpy().astype(np.int64)
-            ends = np.concatenate([x.values.to_numpy()[1:] for x in b.column(2)])  # counted from each block's first entry
-            rows = np.diff(b.column(0).offsets.to_numpy())
-            entries = np.concatenate([[0], np.cumsum([x.values.to_numpy()[-1] for x in b.column(2)])])[:-1]
-            ends = np.append(0, ends + np.repeat(entries, rows))
-            mean = np.stack([counts, counts * gain[b.column(3).flatten().to_numpy()]])
-            n, total = np.diff(np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(mean, axis=1)], axis=1)[:, ends])
-            weight = np.where(n > 0, total // np.maximum(n, 1), 0)
-            yield pa.RecordBatch.from_arrays([b.column(0).flatten(), b.column(1).flatten(), pa.array(n), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
+            for keys, n_words, ends, indices, counts in blocks_of(b, width):
+                both = np.stack([counts.astype(np.int64), counts * gain[indices]])
+                n, total = np.diff(np.pad(np.cumsum(both, axis=1), ((0, 0), (1, 0)))[:, ends])
+                weight = np.where(n > 0, total // np.maximum(n, 1), 0)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n_words), pa.array(n), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
     return matrix.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 

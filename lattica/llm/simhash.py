@@ -17,15 +17,25 @@ chunks of ``HOT_ROWS``, and each pair of chunks is a task that joins their two t
 sets are its nodes. The trie join of their fingerprints comes first: it finds copies with small
 edits, whose sets are then compared, so that only true links stay. But at a similarity of 0.8
 two texts differ in 10 bits of 64, where a budget that keeps the tries small finds few. So an
-exact join finds the rest: shingles are ordered by how many nodes have them, so of two sets
-that are similar enough one of the first n - ceil(0.8 n) + 1 shingles of each is common to
-both. Shingles of one node alone drop out once counted, and with them every node that has less
-than 0.8 of its set in common with others. What prefixes connect meets in one task, which
-compares whole sets, those of the commonest shingles with all others first, but no pairs that
-links of the trie join or its own connect already. So a large group around one text costs
-links, not pairs, and no pair that isn't similar ever stands in for one that is. Groups of more
-than ``TASK_ENTRIES`` shingles are split into chunks by a hash, and each pair of chunks is a
-task. The result is exact but for collisions of 64-bit hashes, of shingles and of sets.
+exact join finds the rest: shingles are ordered by how many nodes have them, those of one node
+alone first. If a shingle is at place p of n of a node, and none before it is shared, at most
+n - p are; so it can only be the first shared one with a node of at most
+(n - p) (1 + t) / t - n shingles, t being the similarity. Of two similar nodes the smaller one
+has its first shared shingle at a place that leaves room for a node of its own size. A shingle
+connects what may be similar by these bounds and by sizes (``candidates``, counts and joins of
+Spark that a frequent shingle can't unbalance); pages of one template that have too much of
+their own get no candidate at all. What is connected meets in a task, which orders shingles by
+how many of the task's nodes have them, looks up partners by the same bounds, and compares whole
+sets, those of the commonest shingles with all others first, but no pairs that links connect
+already. So a large group around one text costs links, not pairs, and no pair that isn't similar
+ever stands in for one that is. Groups of more than ``TASK_ENTRIES`` shingles are split into
+chunks by a hash: each chunk is a task, and each pair of chunks is one that compares across. Texts
+that are a little under the similarity to each other, by edits to one base that is missing, still
+cost pairs. The result is exact but for collisions of 64-bit hashes, of shingles and of sets.
+
+Shingles are counted in packed rows, dealt to parts of about ``TASK_ENTRIES`` by their hashes.
+A part that a frequent shingle makes too large is dealt again by node: its chunks are counted
+apart, the counts are summed and come back to each chunk.
 
 Components of all forests come from star contraction in rounds, each written to the shared
 folder, with every side of a join, so that the links of one large group's centre can be split.
@@ -41,7 +51,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,6 +71,8 @@ LEAF_PAIRS, FRONTIER = 1024, 50_000
 TASK_ENTRIES, BUFFER = 1 << 20, 1 << 19
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 16
+#: Nodes that a task remembers to have given.
+GIVEN = 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -333,18 +345,39 @@ def set_print(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big", signed=True)
 
 
-def shingle_nodes(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Per row doc_id, text_hash, node, which names its shingle set, the set's size n and its fingerprint."""
-    names = ["doc_id", "text_hash", "node", "n", "print"]
+def shingle_table(docs: DataFrame, shingle: int = 5, sign: Callable[[np.ndarray], list[int]] | None = None) -> DataFrame:
+    """Per row doc_id, text_hash, node, which names its shingle set, the set's size n and its fingerprint.
+
+    ``hashes``, the set, and ``signs``, what ``sign`` makes of it, are null in rows whose node the
+    task has given before, so that copies don't carry sets of their own.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("hashes", pa.binary()), ("signs", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, given = [], 0, set()
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for b in batches:
-            sets = (shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column("text"))
-            node, n, mark = np.array([(_set_id(s), len(s), set_print(s)) for s in sets], np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array(n), pa.array(mark)], names)
+            for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text")):
+                found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)
+                node = _set_id(found)
+                new = len(found) and node not in given
+                if len(given) > GIVEN:
+                    given.clear()
+                given.add(node)
+                rows.append((i, h, node, len(found), set_print(found), found.tobytes() if new else None, sign(found) if new and sign else None))
+                held += len(found)
+                if held >= BUFFER:
+                    yield batch()
+                    rows, held = [], 0
+            if rows:
+                yield batch()
+                rows, held = [], 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long, print long, hashes binary, signs array<long>")
 
 
 #: Shingles of many nodes in a row: the nodes, their sets' sizes, how many shingles each has here, and these.
@@ -380,17 +413,46 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
 
 
-def _shared(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """The shingles of a part that several nodes have, with up to 255 of how many, dealt by node."""
+def _distinct(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, size and hash of each shingle, by hash and node, each once."""
     node, size, hashes, _ = _unpack(rows)
     order = np.lexsort((node, hashes))
     node, size, hashes = node[order], size[order], hashes[order]
-    once = np.append(True, (hashes[1:] != hashes[:-1]) | (node[1:] != node[:-1]))  # rows of one set are one node
-    node, size, hashes = node[once], size[once], hashes[once]
-    n = np.diff(np.append(_starts(hashes), len(hashes)))
-    n = np.repeat(n, n)
+    once = np.append(True, (hashes[1:] != hashes[:-1]) | (node[1:] != node[:-1]))[: len(node)]  # rows of one set are one node
+    return node[once], size[once], hashes[once]
+
+
+def _rank(n: np.ndarray) -> np.ndarray:
+    """How frequent, in a byte: an eighth of a power of two."""
+    return np.minimum(np.rint(8 * np.log2(n)), 255).astype(np.uint8)
+
+
+def _shared(rows: pd.DataFrame, parts: int, counts: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The shingles of a part that several nodes have, with their ranks, dealt by node; counts: of the whole part, if rows are a chunk of it."""
+    node, size, hashes = _distinct(rows)
+    if counts is None:
+        n = np.diff(np.append(_starts(hashes), len(hashes)))
+        n = np.repeat(n, n)
+    else:
+        known, total = (np.frombuffer(counts[c].iloc[0], t) for c, t in (("hashes", np.uint64), ("ns", np.int64)))
+        n = total[np.searchsorted(known, hashes)]
     node, size, hashes, n = (x[n > 1] for x in (node, size, hashes, n))
-    return _pack(_part(node.view(np.uint64), parts), node, size, hashes, np.minimum(n, 255).astype(np.uint8))
+    return _pack(_part(node.view(np.uint64), parts), node, size, hashes, _rank(n))
+
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's shingles and how many nodes of it have them."""
+    _, _, hashes = _distinct(rows)
+    at = _starts(hashes)
+    return pd.DataFrame({"part": rows["part"].iloc[:1].to_numpy(), "hashes": [hashes[at].tobytes()], "ns": [np.diff(np.append(at, len(hashes))).astype(np.int64).tobytes()]})
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    hashes, ns = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("hashes", np.uint64), ("ns", np.int64)))
+    hashes, of = np.unique(hashes, return_inverse=True)
+    total = np.zeros(len(hashes), np.int64)
+    np.add.at(total, of, ns)
+    return pd.DataFrame({"part": rows["part"].iloc[:1].to_numpy(), "hashes": [hashes.tobytes()], "ns": [total.tobytes()]})
 
 
 def _prefixes(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -406,10 +468,11 @@ def _prefixes(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["node", "n", "prefix", "hashes"])
 
 
-def _sets(docs: DataFrame, total: int, shingle: int, similarity: float) -> DataFrame:
-    """node, n, prefix array<long>, hashes binary: what may have a similar node. Intersections need shared shingles only."""
-    parts = max(1, math.ceil(total / TASK_ENTRIES))
-    schema = "part int, " + ", ".join(f"{c} binary" for c in PACK)
+PACKED = ", ".join(f"{c} binary" for c in PACK)
+
+
+def packed_shingles(sets: DataFrame, parts: int) -> DataFrame:
+    """part, chunk and packed shingles; chunk is null but in parts that are too large, which are dealt again by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
@@ -421,83 +484,142 @@ def _sets(docs: DataFrame, total: int, shingle: int, similarity: float) -> DataF
 
         found, held = {}, 0
         for b in batches:
-            for t in b.column("text"):
-                s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)
-                if len(s) and (node := _set_id(s)) not in found:
-                    found[node], held = s, held + len(s)
+            for node, s in zip(b.column("node").to_pylist(), b.column("hashes")):
+                if node not in found:
+                    found[node] = np.frombuffer(s.as_buffer(), np.uint64)
+                    held += len(found[node])
                 if held >= BUFFER:
                     yield packed()
                     found, held = {}, 0
-        if found:
-            yield packed()
+            if found:  # its arrays are the batch's
+                yield packed()
+                found, held = {}, 0
 
-    counted = docs.select("text").mapInArrow(run, schema).groupBy("part").applyInPandas(lambda t: _shared(t, parts), schema)
-    return counted.groupBy("part").applyInPandas(lambda t: _prefixes(t, similarity), "node long, n int, prefix array<long>, hashes binary")
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.zeros(parts, np.int64)
+            for s in b.column("hashes"):
+                n += np.bincount(_part(np.frombuffer(s.as_buffer(), np.uint64), parts), minlength=parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], ["part", "m"])
 
+    packed = sets.select("node", "hashes").mapInArrow(run, f"part int, {PACKED}")
+    loads = sets.select("hashes").mapInArrow(load, "part int, m long").groupBy("part").agg(F.sum("m").alias("m")).where(F.col("m") > 2 * TASK_ENTRIES)
+    hot = materialise(loads.select("part", F.ceil(F.col("m") / TASK_ENTRIES).cast("int").alias("chunks")), "hot")
+    none = F.lit(None).cast("int").alias("chunk")
+    if hot.isEmpty():
+        return packed.select("part", none, *PACK)
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Edges (u, v), u > v, that connect the nodes whose prefixes have a shingle in common."""
-    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    bins = max(1, math.ceil(total / TASK_ENTRIES))
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in frames:
+            for part, chunks, *row in t[["part", "chunks", *PACK]].itertuples(index=False):
+                node, size, hashes, ranks = _unpack(pd.DataFrame([row], columns=list(PACK)))
+                made = _pack((node.view(np.uint64) % np.uint64(chunks)).astype(np.int32), node, size, hashes, ranks)
+                yield made.rename(columns={"part": "chunk"}).assign(part=np.int32(part))[["part", "chunk", *PACK]]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        node, h = rows["node"].to_numpy(np.int64), rows["h"].to_numpy(np.int64)
-        order = np.lexsort((node, h))
-        node, at = node[order], _starts(h[order])
-        edges = np.stack([node, np.repeat(node[at], np.diff(np.append(at, len(node))))], axis=1)
-        u, v = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0).T
-        return pd.DataFrame({"u": u, "v": v})
+    split = packed.join(hot, "part").mapInPandas(deal, f"part int, chunk int, {PACKED}")
+    return packed.join(hot, "part", "left_anti").select("part", none, *PACK).unionByName(split)
 
-    rows = sets.select("node", F.explode("prefix").alias("h")).withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(bins)))
-    return rows.groupBy("bin").applyInPandas(run, "u long, v long")
 
+def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, n, prefix array<long>, hashes binary: what may have a similar node. Intersections need shared shingles only.
 
-def _links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], known: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs whose sets are similar enough, which connect all such pairs with what is ``known`` to be one component."""
+    sets: node, n and hashes, written; rows of one node may be several.
+    """
+    parts = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / TASK_ENTRIES))
+    packed = packed_shingles(sets, parts)
+    dealt = packed.where("chunk is null").groupBy("part").applyInPandas(lambda t: _shared(t, parts), f"part int, {PACKED}")
+    split = materialise(packed.where("chunk is not null"), "split")
+    if not split.isEmpty():
+        key, schema = ["part", "chunk"], "part int, hashes binary, ns binary"
+        counts = split.groupBy(*key).applyInPandas(_counted, schema).groupBy("part").applyInPandas(_summed, schema)
+        counts = split.select(*key).distinct().join(counts, "part")
+        attach = lambda t, n: _shared(t, parts, n)
+        dealt = dealt.unionByName(split.groupBy(*key).cogroup(counts.groupBy(*key)).applyInPandas(attach, f"part int, {PACKED}"))
+    return dealt.groupBy("part").applyInPandas(lambda t: _prefixes(t, similarity), "node long, n int, prefix array<long>, hashes binary")
+
+
+def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v), u > v, that connect all nodes that can be similar by a shingle of their prefixes.
+
+    Sizes fall into classes of a factor 1 / similarity. Among nodes that have a shingle in their
+    prefix and are of one class, those with room for a node of their own size give the least node
+    as anchor, the least size and the largest size that one of them has room for.
+    """
+    place = F.col("n") - F.octet_length("hashes") / 8 + F.col("k")  # shingles of the node alone come first
+    most = F.floor((F.col("n") - place) * ((1 + similarity) / similarity) - F.col("n") + 1e-6).cast("int")
+    size_class = F.floor(F.log("n") / math.log(1 / min(similarity, 0.99))).cast("int")
+    rows = sets.select("node", "n", "hashes", F.posexplode("prefix").alias("k", "h")).select("h", size_class.alias("class"), "node", "n", most.alias("most"))
+    anchors = rows.where("most >= n").groupBy("h", "class").agg(F.min("node").alias("anchor"), F.min("n").alias("least"), F.max("most").alias("room"), F.count(F.lit(1)).alias("m"))
+    probes = rows.select("h", "node", "n", "most", F.explode(F.array("class", F.col("class") - 1)).alias("class"))
+    met = probes.join(anchors, ["h", "class"]).where("node <> anchor and most >= least and room >= n")
+    return met.select(F.greatest("node", "anchor").alias("u"), F.least("node", "anchor").alias("v")).distinct()
+
+
+def _links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], known: np.ndarray, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs whose sets are similar enough, which connect all such pairs with what is ``known`` to be one component; only across sides, if given."""
+    of = np.unique(known, return_inverse=True)[1]
+    if not len(of) or (of == of[0]).all():
+        return []
     lengths = np.array([len(s) for s in sets])
     starts = np.cumsum(lengths) - lengths
     _, hashes, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     typical = np.add.reduceat(n[hashes], starts) / sizes
-    of = np.unique(known, return_inverse=True)[1]
+    # shingles in order of how many nodes here have them; most: the largest partner with which a shingle can be the first shared one
+    owner = np.repeat(np.arange(len(nodes)), lengths)
+    hashes = hashes[np.lexsort((hashes, n[hashes], owner))]
+    place = np.arange(len(hashes)) + np.repeat(sizes - lengths - starts, lengths)
+    most = (sizes[owner] - place) * ((1 + similarity) / similarity) - sizes[owner] + 1e-6
+    able = np.flatnonzero((most >= similarity * sizes[owner] - 1e-6) & (n[hashes] > 1))
+    first, last = np.searchsorted(owner[able], np.arange(len(nodes))), np.searchsorted(owner[able], np.arange(len(nodes)), "right")
+    posted = able[np.argsort(hashes[able], kind="stable")]
+    ends = np.append(0, np.cumsum(np.bincount(hashes[able], minlength=len(n))))
     done, mark, edges = np.zeros(len(nodes), bool), np.zeros(len(n), bool), []
-    outside = True
+    largest = np.bincount(of).argmax()
+    left = (of != largest).sum()  # to do and outside the largest component
     for i in np.argsort(-typical, kind="stable"):
-        if not outside:  # of two apart, one is outside the largest component and has met the other
+        if not left:  # of two apart, one was outside and has met the other
             break
-        near = (sizes >= similarity * sizes[i] - 1e-9) & (similarity * sizes - 1e-9 <= sizes[i])
-        others = np.flatnonzero(near & ~done & (of != of[i]))
         done[i] = True
-        if len(others):
-            mine, width = hashes[starts[i] : starts[i] + lengths[i]], lengths[others]
-            to = np.cumsum(width) - width
-            mark[mine] = True
-            common = np.add.reduceat(mark[hashes[np.arange(width.sum()) + np.repeat(starts[others] - to, width)]], to, dtype=np.int64)
-            mark[mine] = False
-            linked = others[common / (sizes[i] + sizes[others] - common) >= similarity]
-            if len(linked):
-                heads, at = np.unique(of[linked], return_index=True)
-                edges += [(nodes[i], nodes[j]) for j in linked[at]]
-                of[np.isin(of, heads)] = of[i]
-        outside = (~done & (of != np.bincount(of).argmax())).any()
+        left -= of[i] != largest
+        at = able[first[i] : last[i]]
+        if not len(at):
+            continue
+        lo, width = ends[hashes[at]], ends[hashes[at] + 1] - ends[hashes[at]]
+        to = np.cumsum(width) - width
+        found = posted[np.arange(width.sum()) + np.repeat(lo - to, width)]
+        fits = (sizes[owner[found]] <= np.repeat(most[at], width)) & (most[found] >= sizes[i])
+        others = np.unique(owner[found[fits]])
+        others = others[~done[others] & (of[others] != of[i])]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        if not len(others):
+            continue
+        mine, width = hashes[starts[i] : starts[i] + lengths[i]], lengths[others]
+        to = np.cumsum(width) - width
+        mark[mine] = True
+        common = np.add.reduceat(mark[hashes[np.arange(width.sum()) + np.repeat(starts[others] - to, width)]], to, dtype=np.int64)
+        mark[mine] = False
+        linked = others[common / (sizes[i] + sizes[others] - common) >= similarity]
+        if len(linked):
+            heads, at = np.unique(of[linked], return_index=True)
+            edges += [(nodes[i], nodes[j]) for j in linked[at]]
+            of[np.isin(of, heads)] = of[i]
+            largest = np.bincount(of).argmax()
+            left = (~done & (of != largest)).sum()
     return edges
 
 
 def _verified(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     edges = []
     for _, t in rows.groupby("root", sort=False):
-        edges += _links_of(t["node"].to_numpy(np.int64), t["n"].to_numpy(np.int64), [np.frombuffer(h, np.uint64) for h in t["hashes"]], t["known"].to_numpy(np.int64), similarity)
+        side = t["side"].to_numpy(np.int64)
+        edges += _links_of(t["node"].to_numpy(np.int64), t["n"].to_numpy(np.int64), [np.frombuffer(h, np.uint64) for h in t["hashes"]], t["known"].to_numpy(np.int64), similarity, side if (side != side[0]).any() else None)
     edges = np.array(edges, np.int64).reshape(-1, 2)
     return pd.DataFrame({"u": edges.max(axis=1, initial=-(2**63)), "v": edges.min(axis=1, initial=2**63 - 1)})
 
 
-def _print_links(distinct: DataFrame, sets: DataFrame, similarity: float, budget: int) -> DataFrame:
-    """Edges (u, v), u > v, of similar nodes that the trie join of their fingerprints finds. distinct: node, print."""
-    heads = materialise(distinct.groupBy("print").agg(F.min("node").alias("head")), "heads")
-    near = links(heads.select(F.col("print").alias("fp")), budget)
-    of = lambda name, end: heads.select(F.col("print").alias(name), F.col("head").alias(end))
-    across = near.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
-    alike = distinct.join(heads, "print").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    pairs = materialise(across.unionByName(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "pairs")
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (u, v), those whose sets are similar enough."""
     side = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("hashes").alias(f"h_{end}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,8 +633,19 @@ def _print_links(distinct: DataFrame, sets: DataFrame, similarity: float, budget
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
 
 
-def _similar_links(sets: DataFrame, stars: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v), u > v, that with the stars of ``known`` connect all similar nodes, and no others; stars: what prefixes connect."""
+def _print_links(distinct: DataFrame, sets: DataFrame, similarity: float, budget: int) -> DataFrame:
+    """Edges (u, v), u > v, of similar nodes that the trie join of their fingerprints finds. distinct: node, print."""
+    heads = materialise(distinct.groupBy("print").agg(F.min("node").alias("head")), "heads")
+    near = links(heads.select(F.col("print").alias("fp")), budget)
+    of = lambda name, end: heads.select(F.col("print").alias(name), F.col("head").alias(end))
+    across = near.join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    alike = distinct.join(heads, "print").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    pairs = materialise(across.unionByName(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "pairs")
+    return similar_pairs(pairs, sets, similarity)
+
+
+def similar_links(sets: DataFrame, stars: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v), u > v, that with the stars of ``known`` connect all similar nodes, and no others; stars: what may be similar."""
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     rows = sets.drop("prefix").join(members, "node").join(known.select(F.col("u").alias("node"), F.col("v").alias("_known")), "node", "left")
     rows = materialise(rows.select("root", "node", "n", "hashes", F.coalesce("_known", "node").alias("known")), "candidates")
@@ -523,10 +656,11 @@ def _similar_links(sets: DataFrame, stars: DataFrame, known: DataFrame, similari
     rows = rows.join(hot, "root", "left")
     bin_ = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / TASK_ENTRIES))))
     columns = ["root", "node", "n", "hashes", "known"]
-    cold = rows.where("chunks is null").select(*columns, F.concat_ws(":", F.lit("c"), bin_).alias("task"))
+    cold = rows.where("chunks is null").select(*columns, F.lit(0).alias("side"), F.concat_ws(":", F.lit("c"), bin_).alias("task"))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    split = rows.where("chunks is not null").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("mine <> other")
-    split = split.select(*columns, F.concat_ws(":", F.lit("h"), "root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
+    split = rows.where("chunks is not null").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    task = F.concat_ws(":", F.lit("h"), "root", F.least("mine", "other"), F.greatest("mine", "other"))  # a chunk with itself, or two across
+    split = split.select(*columns, F.col("mine").alias("side"), task.alias("task"))
     return cold.unionByName(split).groupBy("task").applyInPandas(lambda t: _verified(t, similarity), "u long, v long")
 
 
@@ -534,14 +668,15 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int) -> t
     """Rows (doc_id, text_hash, fp), distinct fp with its first row, and the stars of similar ones; fp is a node."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    base = materialise(shingle_nodes(docs, shingle).withColumnRenamed("node", "fp"), "nodes")
+    table = materialise(shingle_table(docs, shingle), "nodes")
+    base = table.select("doc_id", "text_hash", F.col("node").alias("fp"), "print")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     distinct = base.groupBy("fp").agg(first.alias("first"))
-    sets = materialise(_sets(docs, base.agg(F.sum("n")).first()[0] or 0, shingle, similarity), "sets")
+    sets = materialise(shared_sets(table.where("hashes is not null").select("node", "n", "hashes"), similarity), "sets")
     # only what shares enough shingles can be similar to anything
     able = base.groupBy(F.col("fp").alias("node")).agg(F.min("print").alias("print")).join(sets.select("node"), "node", "left_semi")
     known = components(_print_links(materialise(able, "prints"), sets, similarity, budget))
-    more = _similar_links(sets, components(_candidates(sets)), known, similarity)
+    more = similar_links(sets, components(candidates(sets, similarity)), known, similarity)
     return base, distinct, components(known.unionByName(more))
 
 
