@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, quality, resampling, sharding, simhash, spelling, token_store, toxicity, url_filter
+from . import chat, media, minhash, mixing, packing, quality, resampling, sharding, simhash, spelling, token_store, toxicity, url_filter
 from .common import literal_table, load, shared_dir
 from .tokens import tokenizer_path
 
@@ -158,6 +158,10 @@ SELECT doc_id, b AS n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix),
 FROM d JOIN leaf ON leaf.prefix = d.h >> (60 - leaf.depth)
 """
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, similarity=0.8)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), share=0.25, least_words=20, seed=7)
 
@@ -177,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_tool_calls": op9_tool_calls,
     "op10_extendible_sharding": op10_extendible_sharding,
+    "op11_circulant_minhash": op11_circulant_minhash,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_spelling_variants": op13_spelling_variants,
 }
