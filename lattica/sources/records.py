@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .arrays import read_array
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord and raw of each line that isn't blank, numbered in file order.
@@ -25,15 +27,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return local.join(base, on).select((F.col("_base") + F.col("_r")).alias("ord"), "raw")
 
 
-def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """ord and raw of each element of one JSON array; a file like that is read by one task, as the format demands."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<variant>")).alias("ord", "v"))
-    return whole.select(F.col("ord").cast("long").alias("ord"), F.to_json("v").alias("raw"))
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """By the first character: ``[`` is an array, anything else JSON lines. Records that are no objects raise when read."""
-    first = spark.read.text(path).select(F.substring("value", 1, 1)).limit(1).collect()
+    # what comes before the first quote: an array may be one line of any length
+    first = spark.read.option("lineSep", '"').text(path).select(F.substring(F.trim(F.regexp_replace("value", r"\s", "")), 1, 1)).limit(1).collect()
     rows = read_array(spark, path) if first and first[0][0] == "[" else read_lines(spark, path)
     bad = F.coalesce(F.json_object_keys("raw").isNull(), F.lit(True))
     return rows.withColumn("raw", F.when(bad, F.raise_error(F.lit("a record is no JSON object")).cast("string")).otherwise(F.col("raw")))
