@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import file_system
+
 
 def candidates(root: str, relative: str) -> list[str]:
     """Where an image may be, best first: below root, below root without a first folder of root's name, beside root."""
@@ -28,9 +32,26 @@ def list_images(spark: SparkSession, *folders: str) -> DataFrame:
 def list_sizes(spark: SparkSession, *folders: str, verify: bool = True) -> DataFrame:
     """path and size of all files below the folders. Sizes are read where the files are, so no content is ever shuffled.
 
-    A file that is no image, or damaged, has the reason in ``size.error``; it matters only where it is used.
+    Whole files are read only to verify them. Else a task reads their first ``HEAD`` bytes, and of
+    a JPEG whose frame comes later, one such range at each segment that lies beyond what it has
+    read; stores that the workers can't open by ranges are read as a whole. A file that is no
+    image, or damaged, has the reason in ``size.error``; it matters only where it is used.
     """
-    return list_images(spark, *folders).select("path", _read_sizes(verify)(F.col("content")).alias("size"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
+    path = F.regexp_replace("path", "^file:/*", "/").alias("path")
+    if verify or not all(re.match(RANGED, f) or "://" not in f and not re.match(r"\w+:", f) for f in folders):
+        return found.select(path, _read_sizes(verify)(F.col("content")).alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = []
+            for name in b.column(1).to_pylist():
+                fs, at = file_system(name)
+                with fs.open_input_file(at) as file:
+                    sizes.append(_size_or_error(lambda lo, n: file.read_at(n, lo)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("error", pa.string())]))], ["path", "size"])
+
+    return found.select(path, F.col("path").alias("_whole")).mapInArrow(run, "path string, size struct<width:int,height:int,error:string>")
 
 
 def resolve(df: DataFrame, images: DataFrame, root: str, column: str = "image") -> DataFrame:
@@ -54,8 +75,14 @@ def resolve(df: DataFrame, images: DataFrame, root: str, column: str = "image")
     return joined
 
 
-def header_size(data: bytes) -> tuple[int, int]:
-    """Width and height of a PNG, GIF, BMP or JPEG from its header."""
+#: Bytes of a range, and stores whose files workers open by ranges.
+HEAD, RANGED = 1024, r"(file|hdfs|s3|s3a|gs):"
+
+
+def header_size(source: bytes | Callable[[int, int], bytes]) -> tuple[int, int]:
+    """Width and height of a PNG, GIF, BMP or JPEG from its header; source: the file, or what reads n bytes of it from an offset."""
+    read = source if callable(source) else lambda at, n: source[at : at + n]
+    data = read(0, HEAD)
     if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
         return struct.unpack(">II", data[16:24])
     if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
@@ -63,24 +90,37 @@ def header_size(data: bytes) -> tuple[int, int]:
     if data[:2] == b"BM" and len(data) >= 26:
         width, height = struct.unpack("<ii", data[18:26])
         return width, abs(height)
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data):
-            if data[at] != 0xFF:
+    first, at = 0, 2  # where data starts in the file, and the next segment
+    while data[:2] == b"\xff\xd8" or first:
+        if at + 9 > first + len(data):
+            first, data = at, read(at, HEAD)
+            if len(data) < 9:
                 break
-            kind = data[at + 1]
-            if kind == 0xFF:
-                at += 1
-            elif kind in range(0xC0, 0xD0) and kind not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                return width, height
-            elif kind == 0x01 or kind in range(0xD0, 0xD9):
-                at += 2
-            else:
-                at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+        marker, kind = data[at - first : at - first + 2]
+        if marker != 0xFF:
+            break
+        if kind == 0xFF:
+            at += 1
+        elif kind in range(0xC0, 0xD0) and kind not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", data[at - first + 5 : at - first + 9])
+            return width, height
+        elif kind == 0x01 or kind in range(0xD0, 0xD9):
+            at += 2
+        else:
+            at += 2 + struct.unpack(">H", data[at - first + 2 : at - first + 4])[0]
     raise ValueError("no image header that is known here")
 
 
+def _size_or_error(source: bytes | Callable[[int, int], bytes], verify: bool = False) -> dict:
+    try:
+        width, height = header_size(source)
+        if width <= 0 or height <= 0 or (verify and not whole(source)):
+            raise ValueError(f"damaged image of {width}x{height}")
+        return {"width": width, "height": height, "error": None}
+    except (ValueError, struct.error) as e:
+        return {"width": None, "height": None, "error": str(e)}
+
+
 def whole(data: bytes) -> bool:
     """Whether a file ends as its format says."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
@@ -104,16 +144,7 @@ def _read_sizes(verify: bool):
     @F.pandas_udf("width int, height int, error string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for files in batches:
-            sizes: list[tuple] = []
-            for data in files:
-                try:
-                    width, height = header_size(bytes(data))
-                    if width <= 0 or height <= 0 or (verify and not whole(bytes(data))):
-                        raise ValueError(f"damaged image of {width}x{height}")
-                    sizes.append((width, height, None))
-                except (ValueError, struct.error) as e:
-                    sizes.append((None, None, str(e)))
-            yield pd.DataFrame(sizes, columns=["width", "height", "error"])
+            yield pd.DataFrame([_size_or_error(bytes(data), verify) for data in files], columns=["width", "height", "error"])
 
     return read
 

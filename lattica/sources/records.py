@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .arrays import read_array
+from .commits import folders, is_log
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """ord and raw of each line that isn't blank, numbered in file order.
 
     Numbers come from counts by input block, so no task sees the whole file.
@@ -28,10 +29,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """By the first character: ``[`` is an array, anything else JSON lines. Records that are no objects raise when read."""
+    """By the first character: ``[`` is an array, anything else JSON lines. Of a path with a commit log, the committed lines.
+
+    Records that are no objects raise when read.
+    """
+    if is_log(spark, path):
+        return _objects(read_lines(spark, folders(spark, path)))
     # what comes before the first quote: an array may be one line of any length
     first = spark.read.option("lineSep", '"').text(path).select(F.substring(F.trim(F.regexp_replace("value", r"\s", "")), 1, 1)).limit(1).collect()
     rows = read_array(spark, path) if first and first[0][0] == "[" else read_lines(spark, path)
+    return _objects(rows)
+
+
+def _objects(rows: DataFrame) -> DataFrame:
     bad = F.coalesce(F.json_object_keys("raw").isNull(), F.lit(True))
     return rows.withColumn("raw", F.when(bad, F.raise_error(F.lit("a record is no JSON object")).cast("string")).otherwise(F.col("raw")))
 
