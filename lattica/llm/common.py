@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..storage import delete_folder, materialise, scratch, shared_dir, unscratched, written  # the operators take them from here
+from ..storage import delete_folder, file_system, materialise, scratch, shared_dir, unscratched, written  # the operators take them from here
 
 #: A word is a run of anything but ASCII blanks (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,12 +38,3 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def file_system(uri: str):
-    """pyarrow file system and path of a folder in the shared store."""
-    from pyarrow import fs
-
-    if "://" not in uri and uri.startswith("file:"):
-        uri = "file://" + uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))

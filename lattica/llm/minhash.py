@@ -4,9 +4,10 @@ Two permutations of the 64-bit hashes give all coordinates of a signature: the f
 text's shingles, the second is shifted circularly by one more for each coordinate, and the
 coordinate is the least of the shifted images. A band is a run of ``rows`` coordinates, and
 texts that agree in a band meet in its bucket. Two sets of similarity s share one of ``bands``
-buckets but with a chance of (1 - s**rows)**bands: 1.2e-7 at 0.8 with 40 bands of 5, less above.
+buckets but with a chance of (1 - s**rows)**bands: 1.4e-7 at 0.8 with 30 bands of 4, less above.
 
-Distinct shingle sets are the nodes, so what copies share is hashed and bucketed once. What
+Distinct shingle sets are the nodes, so what copies share is hashed and bucketed once. Sets are
+made again for the texts that share a bucket, a part of all, so that the others' never move. What
 buckets bring together is verified on whole sets, in two steps. In buckets of more than
 ``CROWD`` nodes each node is first compared with the head of the most crowded bucket that it is
 in, one pair for each node, which makes one component of most of a large group of near copies. Then buckets
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .simhash import components, shingle_table, similar_links, similar_pairs
+from .simhash import components, shingle_table, similar_links, similar_pairs, with_hash
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 30, 4
 #: Nodes of a bucket before its head is compared first.
 CROWD = 64
 #: Images that are computed at a time: they fit a processor's cache.
@@ -82,16 +83,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, similarity: float = 0.
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (doc_id is that)."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    table = materialise(shingle_table(docs, shingle, lambda found: band_keys(found, bands, rows)), "nodes")
-    given = table.where("hashes is not null")
-    entries = given.select("node", "n", F.explode("signs").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("other"), F.count(F.lit(1)).alias("m"))
-    buckets = materialise(buckets.where("head <> other").select("key", "head", "m"), "buckets")
-    met = materialise(entries.join(buckets, "key"), "met")
-    sets = given.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets.select("node", F.col("n").cast("int").alias("n"), "hashes"), "sets")
-
-    crowded = met.where((F.col("m") > CROWD) & (F.col("node") != F.col("head")))
+    table = materialise(shingle_table(docs, shingle, lambda found: band_keys(found, bands, rows)).drop("print", "hashes"), "nodes")
+    entries = table.where("signs is not null").select("node", F.explode("signs").alias("key"))
+    buckets = entries.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("other")).where("head <> other")
+    met = materialise(entries.join(materialise(buckets.select("key", "head"), "buckets"), "key"), "met")
+    named = table.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first"))
+    wanted = materialise(named.join(met.select("node").distinct(), "node", "left_semi").select("text_hash"), "wanted")
+    sets = materialise(shingle_table(with_hash(docs).join(wanted, "text_hash"), shingle).where("hashes is not null").select("node", F.col("n").cast("int").alias("n"), "hashes"), "sets")
+
+    crowds = materialise(met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD), "crowds")
+    crowded = met.join(crowds, "key").where("node <> head")
     first = crowded.groupBy("node").agg(F.max(F.struct("m", "head")).alias("top")).select("node", F.col("top.head").alias("head"))
     pairs = materialise(first.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct(), "pairs")
     known = components(similar_pairs(pairs, sets, similarity))
@@ -103,8 +104,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, similarity: float = 0.
     groups = components(edges.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")))
     links = known.unionByName(similar_links(sets, groups, known, similarity))
 
-    named = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    found = _least(named, components(links))
+    found = _least(named.select("node", "first"), components(links))
     # what is joined on is written, so that copies of one text can be split
     joined = table.select("doc_id", "node", "n").join(found, "node", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))

@@ -348,8 +348,8 @@ def set_print(found: np.ndarray) -> int:
 def shingle_table(docs: DataFrame, shingle: int = 5, sign: Callable[[np.ndarray], list[int]] | None = None) -> DataFrame:
     """Per row doc_id, text_hash, node, which names its shingle set, the set's size n and its fingerprint.
 
-    ``hashes``, the set, and ``signs``, what ``sign`` makes of it, are null in rows whose node the
-    task has given before, so that copies don't carry sets of their own.
+    ``hashes``, the set, or if ``sign`` is given ``signs``, what it makes of the set, are null in rows
+    whose node the task has given before, so that copies don't carry sets of their own.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("hashes", pa.binary()), ("signs", pa.list_(pa.int64()))])
 
@@ -367,7 +367,7 @@ def shingle_table(docs: DataFrame, shingle: int = 5, sign: Callable[[np.ndarray]
                 if len(given) > GIVEN:
                     given.clear()
                 given.add(node)
-                rows.append((i, h, node, len(found), set_print(found), found.tobytes() if new else None, sign(found) if new and sign else None))
+                rows.append((i, h, node, len(found), set_print(found), found.tobytes() if new and not sign else None, sign(found) if new and sign else None))
                 held += len(found)
                 if held >= BUFFER:
                     yield batch()
@@ -376,8 +376,11 @@ def shingle_table(docs: DataFrame, shingle: int = 5, sign: Callable[[np.ndarray]
                 yield batch()
                 rows, held = [], 0
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n long, print long, hashes binary, signs array<long>")
+    return with_hash(docs).mapInArrow(run, "doc_id long, text_hash long, node long, n long, print long, hashes binary, signs array<long>")
+
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 #: Shingles of many nodes in a row: the nodes, their sets' sizes, how many shingles each has here, and these.
