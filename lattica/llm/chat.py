@@ -10,9 +10,11 @@ depth, turn, call_id) are in topological order.
 In a conversation whose dependencies all come from earlier turns, places are (turn, 0). Only
 conversations with another dependency need rounds. A round places what depends on placed
 calls only, and lets a dependency on a call with a single open dependency jump to that one,
-so chains take as many rounds as the logarithm of their length; only calls with several open
-dependencies take a round for each level. Both give the same places, and no conversation is
-ever gathered in one task. Arguments are checked against the tool's schema and serialised,
+so chains take as many rounds as the logarithm of their length. Before the rounds, a dependency
+of a on c goes if a also depends on some b that depends on c: the way over b is longer, so no
+place needs the short one. Calls that each depend on the next few are a chain then. Only calls
+that still have several open dependencies take a round for each level. All ways give the same
+places, and no conversation is ever gathered in one task. Arguments are checked against the tool's schema and serialised,
 like the whole record, as canonical JSON: sorted keys, no blanks.
 
 Defined cases: repeated equal calls are one call with ``n_calls``; calls with one identifier
@@ -112,12 +114,15 @@ def _place(calls: DataFrame) -> DataFrame:
     first = ids.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("_t"))
     edges = edges.join(first, ["conv_id", "before"]).join(ids, KEY)
     back = F.coalesce(F.col("_t") >= F.col("turn"), F.lit(True))  # null turns are left to the rounds
-    edges = materialise(edges.select(*KEY, "before", back.alias("_back")), "edges")
+    edges = materialise(edges.select(*KEY, "before", "_t", back.alias("_back")), "edges")
     winding = edges.where("_back").select("conv_id").distinct()
     if winding.isEmpty():  # the rounds would change no place
         return _at_their_turns(calls)
     winding = materialise(winding, "winding")
-    places = _rounds(materialise(ids, "ids").join(winding, "conv_id", "left_semi"), edges.join(winding, "conv_id", "left_semi"))
+    edges = edges.drop("_back").join(winding, "conv_id", "left_semi")
+    for forward in (True, False):
+        edges = _without_shortcuts(edges, forward)
+    places = _rounds(materialise(ids, "ids").join(winding, "conv_id", "left_semi"), edges.drop("_t"))
     out = calls.join(places.select(*KEY, F.struct("ready", "depth", "placed").alias("_id")), KEY, "left")
     placed = F.coalesce("_id.placed", F.lit(True))
     ready = F.when(placed, F.greatest("turn", "_id.ready"))
@@ -125,6 +130,25 @@ def _place(calls: DataFrame) -> DataFrame:
     return out.withColumns({"ready": ready, "depth": depth, "placed": placed}).drop("_id")
 
 
+#: Dependencies of a call that ways over it are looked for.
+FEW = 16
+
+
+def _without_shortcuts(edges: DataFrame, forward: bool) -> DataFrame:
+    """Drop a's dependency on c if a depends on b and b on c, b's (turn, identifier) being smaller than c's, or larger.
+
+    Longest paths have no such edge, so they stay. Of what leads a to a cycle, the edge to the
+    call that is last in that order can't be dropped, since b would lead there as well and come
+    later; so calls on and behind cycles keep a way there.
+    """
+    short = edges.join(edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= FEW).select(*KEY), KEY, "left_semi")
+    second = short.select("conv_id", F.col("call_id").alias("_b"), F.col("before").alias("_c"), F.struct(F.col("_t"), F.col("before")).alias("_place_c"))
+    first = edges.select(*KEY, F.col("before").alias("_b"), F.struct(F.col("_t"), F.col("before")).alias("_place_b"))
+    later = F.col("_place_b") < F.col("_place_c") if forward else F.col("_place_b") > F.col("_place_c")
+    dropped = first.join(second, ["conv_id", "_b"]).where(later).select(*KEY, F.col("_c").alias("before")).distinct()
+    return materialise(edges.join(dropped, [*KEY, "before"], "left_anti"), "edges")
+
+
 def _rounds(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """Places of the identifiers (conv_id, call_id, turn) under the edges (conv_id, call_id, before).
 
@@ -139,7 +163,7 @@ def _rounds(ids: DataFrame, edges: DataFrame) -> DataFrame:
     own = F.struct(F.col("turn").alias("ready"), F.lit(0).cast("long").alias("depth")).cast(place)
     new = F.lit(False).alias("old")
     terms = ids.select(*KEY, no_call, no_steps, own.alias("bound"), new).unionByName(edges.select(*KEY, "before", F.lit(1).cast("long").alias("steps"), no_bound, new))
-    parts: list[str] = []
+    parts: list[str] = []  # one for each round
     while True:
         terms = materialise(terms.groupBy(*KEY, "before").agg(F.max("steps").alias("steps"), F.max("bound").alias("bound"), F.max("old").alias("old")), "terms")
         path = F.max(F.when(F.col("before").isNotNull(), F.struct("before", "steps"))).alias("path")

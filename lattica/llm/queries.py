@@ -84,7 +84,7 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A user's turn calls ``reply``, or ``retract``, which no schema knows; a system's calls
     ``configure``; the assistant's next turn is the result. By conv_id mod 3, a call needs the
-    one two turns before it, or the ones one and two turns after it, or the former with turns
+    one two turns before it, or the ones one, two and four turns after it, or the former with turns
     2 and 3 needing the latter as well, which makes a cycle. Some calls lack an argument, give
     a number as text or add an unknown one.
     """
@@ -100,7 +100,7 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     arguments = F.concat(F.lit("{"), fields, F.lit("}"))
     before = F.array(call_id(t - 2))
-    depends = F.when(F.col("conv_id") % 3 == 1, F.array(call_id(t + 2), call_id(t + 1))).when((F.col("conv_id") % 3 == 2) & t.isin(2, 3), F.array(call_id(t - 2), call_id(t + 2))).otherwise(before)
+    depends = F.when(F.col("conv_id") % 3 == 1, F.array(call_id(t + 4), call_id(t + 2), call_id(t + 1))).when((F.col("conv_id") % 3 == 2) & t.isin(2, 3), F.array(call_id(t - 2), call_id(t + 2))).otherwise(before)
     calls = turns.where(name.isNotNull()).select("conv_id", call_id(t).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), depends.alias("depends_on"))
     results = turns.where("role = 'assistant'").select("conv_id", call_id(t - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     tools = literal_table(spark, [dict(zip(("name", "param", "kind", "required"), r)) for r in TOOLS], "name string, param string, kind string, required boolean")
@@ -113,7 +113,7 @@ OP9_SQL = """
 WITH RECURSIVE c AS (
   SELECT conv_id, 'c' || turn AS call_id, turn, CASE WHEN role = 'system' THEN 'configure' WHEN turn % 8 = 5 THEN 'retract' ELSE 'reply' END AS name, text, count(*) AS n_calls
   FROM conversations WHERE role IN ('user', 'system') GROUP BY ALL),
-e AS (SELECT DISTINCT a.conv_id, a.turn AS f, b.turn AS t FROM c a JOIN c b ON a.conv_id = b.conv_id AND CASE a.conv_id % 3 WHEN 1 THEN b.turn IN (a.turn + 1, a.turn + 2) WHEN 2 THEN b.turn = a.turn - 2 OR (a.turn IN (2, 3) AND b.turn = a.turn + 2) ELSE b.turn = a.turn - 2 END),
+e AS (SELECT DISTINCT a.conv_id, a.turn AS f, b.turn AS t FROM c a JOIN c b ON a.conv_id = b.conv_id AND CASE a.conv_id % 3 WHEN 1 THEN b.turn IN (a.turn + 1, a.turn + 2, a.turn + 4) WHEN 2 THEN b.turn = a.turn - 2 OR (a.turn IN (2, 3) AND b.turn = a.turn + 2) ELSE b.turn = a.turn - 2 END),
 reach(conv_id, f, t) AS (SELECT * FROM e UNION SELECT r.conv_id, r.f, e.t FROM reach r JOIN e ON e.conv_id = r.conv_id AND e.f = r.t),
 stuck AS (SELECT DISTINCT conv_id, f FROM reach WHERE f = t UNION SELECT r.conv_id, r.f FROM reach r JOIN reach s ON s.conv_id = r.conv_id AND s.f = r.t AND s.t = r.t),
 path(conv_id, f, t, steps) AS (

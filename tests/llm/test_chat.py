@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -106,3 +107,26 @@ def test_null_turns(spark):
 def test_empty(spark):
     assert link(spark, [], []).count() == 0
     assert link(spark, [], [(1, "a", 1, "r")]).count() == 1
+
+
+@pytest.mark.parametrize("n", [12, 100, 1000])
+@pytest.mark.parametrize("step", [1, -1])
+def test_rounds_are_logarithmic(spark, n, step, monkeypatch):
+    """Calls that each depend on the next two (or the two before, against their turns)."""
+    rounds = []
+    read = chat._rounds
+    monkeypatch.setattr(chat, "_rounds", lambda *a: rounds.append(found := read(*a)) or found)
+    calls = [(1, f"k{i}", i * step, "f", "{}", [f"k{i + 1}", f"k{i + 2}"]) for i in range(n)] + [(1, "end", 5, "f", "{}", ["k0"]), (1, "k0", 99_999, "f", "{}", []), (1, "x", 0, "f", "{}", ["y"]), (1, "y", 9, "f", "{}", [])]
+    check_places(spark, calls)
+    (places,) = rounds
+    parts = {f.rsplit("/", 2)[-2] for f in places.inputFiles()}
+    assert 0 < len(parts) <= 2 * math.log2(n) + 4
+
+
+def test_shortcuts_around_cycles(spark):
+    rng, calls = random.Random(5), []
+    for conv in range(30):
+        n = rng.randrange(3, 8)
+        for k in range(n):  # dense: most have shortcuts, many have cycles
+            calls.append((conv, f"c{k}", rng.randrange(4), "f", "{}", [f"c{i}" for i in range(n) if rng.random() < (0.5 if conv % 2 else 0.8) and (conv % 3 or i > k)]))
+    check_places(spark, calls)
