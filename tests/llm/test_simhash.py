@@ -189,3 +189,38 @@ def test_one_row_of_each_group(spark):
     assert all(order(i) == min(order(j) for j in groups if groups[j] == groups[i]) for i in left)
     spared = simhash.deduplicate(docs).collect()
     assert sum(r["doc_id"] is None for r in spared) == 5 and sum(r["doc_id"] is not None for r in spared) == 43
+
+
+def template_pages(n, rng, common=170):
+    base = [f"t{k}" for k in range(common)]
+    return [" ".join(base + [f"own{i}x{k}" for k in range(28 + rng.randrange(12))]) for i in range(n)]
+
+
+def test_pages_of_one_template_have_no_candidates(spark):
+    """85 % of each page is common, no pair is similar: nothing is compared, however many they are."""
+    texts = template_pages(300, random.Random(9))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = simhash.shingle_table(docs, 5).where("hashes is not null").select("node", "n", "hashes")
+    sets = simhash.shared_sets(table, 0.8)
+    assert sets.count() > 250  # enough is shared
+    assert simhash.candidates(sets, 0.8).isEmpty()
+    assert exact_groups(spark, texts) == {i: i for i in range(300)}
+
+
+def test_a_shingle_of_most_texts_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK_ENTRIES", 1000)
+    rng = random.Random(10)
+    texts = ["this line is everywhere " * 2 + " ".join(f"{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 14))) for _ in range(4000)]
+    texts += [t + " more" for t in texts[:50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    table = simhash.materialise(simhash.shingle_table(docs, 5).where("hashes is not null").select("node", "n", "hashes"))
+    total = table.agg({"n": "sum"}).first()[0]
+    loads = {}
+    for r in simhash.packed_shingles(table, total // 1000 + 1).collect():
+        loads[r["part"], r["chunk"]] = loads.get((r["part"], r["chunk"]), 0) + len(r["hashes"]) // 8
+    hot = {p for p, c in loads if c is not None}
+    assert hot and len([1 for p, c in loads if p in hot]) >= 4 * len(hot)
+    assert max(loads.values()) <= 2000 + 100  # twice a task's share, whatever is frequent
+    sets, of = [shingles(t) for t in texts], exact_groups(spark, texts)
+    want = plain_components(range(len(texts)), [(i, i - 4000) for i in range(4000, 4050) if len(sets[i] & sets[i - 4000]) >= 0.8 * len(sets[i] | sets[i - 4000])])
+    assert of == want and len(set(of.values())) < 4050
