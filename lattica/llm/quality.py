@@ -120,9 +120,10 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 
 
 def text_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
-    """Add the statistics of each whole text, their names after ``prefix``."""
+    """Add the statistics of each whole text, their names after ``prefix``; they replace columns of these names in any case."""
     names = [prefix + s for s in STATISTICS]
-    kept = [f for f in docs.schema if f.name not in names and (keep_text or f.name != text)]
+    taken = {n.lower() for n in names}
+    kept = [f for f in docs.schema if f.name.lower() not in taken and (keep_text or f.name.lower() != text.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -154,10 +154,9 @@ def write_shards(docs: DataFrame, sharding: Sharding, path: str, *, key: str = "
     """Write each row of documents once, a folder per shard; key and text as ``shard_rows`` had them.
 
     With a directory of at most ``SMALL_DIRECTORY`` leaves, rows look up their leaf where they
-    are and texts are shuffled once; beyond it, they are joined with their shards first.
+    are and texts are shuffled once; beyond it, they are joined with their shards first. The folders'
+    column is ``shard``, with underscores after it if documents have a column of that name.
     """
-    if "shard" in docs.columns:
-        raise ValueError("documents have a column named shard already")
     ids, bits = ["_bits", "_text"], F.col("_bits")
     places = sharding.rows.select(F.col("bits").alias("_bits"), F.col("text_hash").alias("_text"), "shard", "page")
     mine = docs.select(F.struct(*docs.columns).alias("_row"), hash_bits(F.col(key), F.col(text)).alias("_bits"), text_hash(F.col(text)).alias("_text"))
@@ -180,18 +179,27 @@ def write_shards(docs: DataFrame, sharding: Sharding, path: str, *, key: str = "
         counted = materialise(counted.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n")), "places")
         twins = ranked(materialise(mine.join(paged, "_bits", "left_semi"), "twins"), ids, "_text")
         out = out.unionByName(twins.join(counted, ids).where("_rank >= _from and _rank < _to").select("_row", "shard"))
-    out.select("_row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    folder = shard_column(docs)
+    out.select("_row.*", F.col("shard").alias(folder)).repartition(folder).write.partitionBy(folder).parquet(path)
+
+
+def shard_column(docs: DataFrame) -> str:
+    name, taken = "shard", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:
-    """The written documents with their shard; docs: what has been written."""
-    rows = docs.sparkSession.read.schema(docs.withColumn("shard", F.lit("")).schema).parquet(path)
-    return rows.withColumn("shard", F.coalesce("shard", F.lit("")))
+    """The written documents with their shard, as the last column; docs: what has been written."""
+    name = shard_column(docs)
+    rows = docs.sparkSession.read.schema(docs.withColumn(name, F.lit("")).schema).parquet(path)
+    return rows.withColumn(name, F.coalesce(name, F.lit("")))
 
 
 def written_sizes(rows: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, shard, depth, page, shard_bytes of what has been read from shards."""
-    rows = rows.select(F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), "shard")
+    rows = rows.select(F.col(key).alias("key"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.col(rows.columns[-1]).alias("shard"))
     size = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
     page = F.coalesce(F.try_element_at(F.split("shard", "[.]"), F.lit(2)).cast("long"), F.lit(0))
     return rows.join(size, "shard").select("key", "n_bytes", "shard", F.length(F.substring_index("shard", ".", 1)).alias("depth"), page.alias("page"), "shard_bytes")

@@ -187,8 +187,8 @@ def _select(names: list[str], a: np.ndarray, b: np.ndarray, n_p: int, n_u: int,
 
 
 def score_texts(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    """Add a column with the probability that a text is toxic."""
-    kept = [f for f in docs.schema if f.name != into]
+    """Add a column with the probability that a text is toxic; it replaces one of that name in any case."""
+    kept = [f for f in docs.schema if f.name.lower() != into.lower()]
 
     def run(batches):
         import pyarrow as pa

@@ -4,7 +4,9 @@ A rule (verdict, host, path) fits its host and all subdomains if the url's path
 the rule's. In the canonical key, reversed host labels + NUL + path in UTF-8, the urls that
 a rule fits at its own host are the interval [key, key + 0xFF). A url enters the join once
 for each suffix of its host that is as short as a rule's host can be, so subdomains fall
-into that interval as well. Intervals of prefixes are nested or disjoint, therefore a sweep
+into that interval as well. (One entry isn't enough: with path rules on all subdomains, what a
+rule fits is no interval of any order of hosts and paths, since the path counts after any label
+that a subdomain has. Entries are kept only where a host of a rule is met.) Intervals of prefixes are nested or disjoint, therefore a sweep
 in key order can keep the active ones on a stack: the running sum of starts and ends is the
 stack's height, and what lies on top for a url is the last rule started at that height.
 
@@ -53,7 +55,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     deepest = rules.agg(F.max(F.size(labels))).first()[0] or 0
 
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    parsed = url_parts(pages.select(*keep, *([F.col(url).alias("_url")] if url not in keep else [])), url if url in keep else "_url").drop("_url")
+    # rows in a struct, so that no column's name can clash with those of the sweep
+    row = F.struct(*keep) if keep else F.struct(F.lit(0))
+    parsed = url_parts(pages.select(row.alias("_row"), F.col(url).alias("_url")), "_url").select("_row", "host", "path")
     urls = materialise(parsed.select("host", "path").distinct(), "urls")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.array_join(F.slice(F.reverse(labels), 1, i), "."))
     at = urls.select("host", "path", F.explode(suffixes).alias("_rev")) if deepest else urls.select("host", "path", F.lit("").alias("_rev")).where("false")
@@ -79,4 +83,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     best = materialise(fits.groupBy("host", "path").agg(F.max_by("_top", length).alias("_best")), "best")
     verdict = F.coalesce("_best.verdict", F.lit(default))
     judged = parsed.join(best, ["host", "path"], "left")
-    return judged.select(*keep, "host", "path", F.concat("_best.host", "_best.path").alias("rule"), verdict.alias("verdict"))
+    return judged.select(*[F.col("_row")[c].alias(c) for c in keep], "host", "path", F.concat("_best.host", "_best.path").alias("rule"), verdict.alias("verdict"))
