@@ -7,6 +7,7 @@ number follows the data. The sums by score are written, so rows are computed onc
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -39,6 +40,35 @@ def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     return rows.agg(F.when(area > 0, wins / area).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
+def score_sketch(df: DataFrame, label: str = "label", score: str = "score", bins: int = 1024) -> DataFrame:
+    """bin, pos, neg: counts by class over equal parts of [0, 1], for tables and streams alike.
+
+    Sketches merge by adding counts, in any order (``merge_sketches``); a stream keeps one as its
+    state. Scores below 0 and above 1 fall into the outer bins, null and NaN ones and null labels nowhere.
+    """
+    s, one = F.col(score).cast("double"), F.col(label).cast("long")
+    place = F.least(F.greatest(F.floor(s * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    rows = df.where(s.isNotNull() & ~F.isnan(s) & one.isNotNull())
+    return rows.groupBy(place.alias("bin")).agg(F.sum(one).alias("pos"), F.sum(1 - one).alias("neg"))
+
+
+def merge_sketches(*sketches: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, sketches).groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def sketch_auc(sketch: DataFrame) -> DataFrame:
+    """One row: auc, and the largest error it can have against that of the scores; NaN without both classes.
+
+    Pairs of different bins are ordered as their scores are. A pair of one bin counts a half, and
+    may count anything from 0 to 1, so the error is at most half of such pairs' share.
+    """
+    below = F.coalesce(F.sum("neg").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # of the bins
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    wins, within = F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)), F.sum(F.col("pos") * F.col("neg")) / 2.0
+    share = lambda c: F.when(pairs > 0, c / pairs).otherwise(F.lit(float("nan")))
+    return sketch.withColumn("_below", below).agg(share(wins).alias("auc"), share(within).alias("error"))
+
+
 def eer(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row: rate at which false acceptance and rejection meet, interpolated; NaN without both classes."""
     by = _by_score(df, label, score)

@@ -5,8 +5,8 @@ its manipulation types; the response has other types for every fifth customer, a
 for most orders, and for some orders isn't JSON, is fenced, has prose around it, has other
 names for its fields and types, corners out of order or a position that is too large.
 
-Records are made once for a session and a folder, spread over tasks, and written; queries
-read them like tables (``truth``, ``responses``).
+Records are made once for a session and a state of the order table's files, spread over tasks,
+and written; queries read them like tables (``truth``, ``responses``).
 """
 
 from __future__ import annotations
@@ -20,15 +20,25 @@ from ..storage import materialise
 from ..types import TYPE_ORDER
 
 SIZE = 1000
-_MADE: dict[tuple[str, str, str], DataFrame] = {}
+_MADE: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """What ``make`` gives, written at the first call of a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _MADE:
-        _MADE[key] = materialise(make(spark, sf_dir), name)
-    return _MADE[key]
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of each file of a table."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = [], target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(target, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make, source: str = "orders") -> DataFrame:
+    """What ``make`` gives, written at the first call of a session and again whenever the source's files have changed."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), _files(spark, f"{sf_dir}/{source}.parquet")
+    if key not in _MADE or _MADE[key][0] != state:
+        _MADE[key] = state, materialise(make(spark, sf_dir), name)
+    return _MADE[key][1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -122,8 +122,8 @@ SELECT doc_id, caption, len(list_filter(string_split_regex(caption, '{WS}+'), la
     + f"SELECT id, ok AS valid, CASE WHEN NOT ok THEN NULL WHEN pb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, CASE WHEN ok THEN coalesce({_csv('pt')}, '') ELSE '' END AS types, CASE WHEN ok THEN {_csv('pbox')} END AS box, CASE WHEN ok THEN coalesce({_csv('ppos')}, '') ELSE '' END AS positions, CASE WHEN ok THEN NULL WHEN k % 7 = 0 THEN 'invalid_json' ELSE 'invalid_schema' END AS error FROM a",
     "json_lines_round_trip": BASE + f"SELECT id, fake_cls AS label, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict, {_csv('tbox')} AS box FROM a",
     "split_union": BASE + "SELECT ['train', 'val', 'test'][id % 3 + 1] AS split, count(*) AS n, sum(id)::BIGINT AS ids, 0::BIGINT AS \"first\", count(*) - 1 AS \"last\", count(*) AS numbers, sum(length(fake_cls))::BIGINT AS letters FROM a GROUP BY 1",
-    "array_records": "SELECT row_number() OVER (ORDER BY n_nationkey::VARCHAR || ',') - 1 AS ord, n_name AS name, 'none' AS third FROM nation",
-    "append_records": "SELECT count(*) AS n, count(*) AS ids, count(*) AS numbers, count(*) FILTER (o_orderkey % 2 = 0) AS \"first\", count(*) FILTER (o_orderkey % 2 = 1) AS \"second\" FROM orders",
+    "array_records": BASE + "SELECT row_number() OVER (ORDER BY id) - 1 AS ord, id, fake_cls || '\"}],[{\\' AS label, 'none' AS third FROM a",
+    "append_records": "SELECT count(*) AS n, count(*) AS ids, count(*) AS numbers, count(*) FILTER (o_orderkey % 2 = 0) AS \"first\", count(*) FILTER (o_orderkey % 2 = 0) AS first_again, count(*) FILTER (o_orderkey % 2 = 1) AS \"second\", count(*) FILTER (o_orderkey % 2 = 1) AS second_again FROM orders",
     "image_paths": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN '/x/i' ELSE '/x/data/i' END || o_orderkey || '.png' AS image_path, o_custkey AS width FROM orders",
     "trainer_rows": BASE + f"SELECT id, 'user' AS role, {CAPTION} AS content, 'i' || id AS image, CASE WHEN tb = 0 THEN 'pristine' ELSE 'manipulated' END AS verdict FROM a",
     "stable_split": f"SELECT doc_id, CASE WHEN {FRACTION.format(key='source')} < 0.2 THEN 'preference_pool' ELSE 'sft_train' END AS pool, round({FRACTION.format(key='source')}, 6) AS fraction FROM documents",
@@ -213,15 +213,25 @@ ORACLE_SQL["word_pieces"] = WORD_ROWS + (
     ", m AS (SELECT sum(b) AS tp, sum(n - t - p + b) AS tn, sum(p - b) AS fp, sum(t - b) AS fn FROM hv) "
     + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c}::DOUBLE AS value FROM m" for c in ("tp", "tn", "fp", "fn")) + " UNION ALL SELECT 'f1_percent', round(100.0 * 2 * tp / (2 * tp + fp + fn), 4)::DOUBLE FROM m"
 )
-BY_PRIORITY = "WITH n AS (SELECT " + ", ".join(f"count(*) FILTER (o_orderpriority[1] = '{i}') AS n{i}" for i in range(1, 6)) + ", count(*) AS n FROM orders)"
-ORACLE_SQL["metric_tree"] = BY_PRIORITY + " " + " UNION ALL ".join(f"SELECT '{m}' AS metric, true AS higher, round({v}, 6)::DOUBLE AS value FROM n" for m, v in (("binary_auc", "n1 / n"), ("binary_accuracy", "n2"), ("text_f1/official_bert_token", "n4"), ("json_valid_rate", "n5"), ("face_swap_f1", "0.5")))
+#: A customer's even (0) or odd (1) orders as a run.
+RUNS = "WITH r AS (SELECT o_custkey AS run, o_orderkey % 2 AS odd, count(*) AS n, count(*) FILTER (o_totalprice > 150000) AS high, count(*) FILTER (o_orderpriority < '2') AS low FROM orders GROUP BY ALL) "
+ORACLE_SQL["metric_tree"] = RUNS + " UNION ALL ".join(
+    f"SELECT run, {m} AS metric, true AS higher, round({v}, 6)::DOUBLE AS value FROM r WHERE odd = 0 AND {w}"
+    for m, v, w in (("'binary_auc'", "high / n", "true"), ("'binary_accuracy'", "n", "true"), ("'text_f1/official_bert_token'", "high", "run % 3 <> 0"), ("'text_f1/word_level_fallback'", "low", "run % 3 = 0"), ("'json_valid_rate'", "low / 10", "low > 0"), ("'face_swap_f1'", "0.5", "true"))
+) + " UNION ALL SELECT run, 'binary_eer', false, round(low / n, 6)::DOUBLE FROM r WHERE odd = 0"
 
 
-def _report(name: str, before: str, after: str, gone: str, better: str) -> str:
+def _report(name: str, value: str, best: str, better: str) -> str:
+    a, b = value.format(r="a"), value.format(r="b")
     number = lambda v, style: f"format('{{:{style}}}', ({v})::DOUBLE)"
-    cells = [f"'{name}'", number(before, ".6f"), number(after, ".6f"), number(f"{after} - {before}", "+.6f"), f"CASE WHEN {better} THEN 'yes' ELSE 'no' END", number(f"100 * ({gone})", ".2f") + " || '%'"]
-    return "SELECT '| ' || " + " || ' | ' || ".join(cells) + " || ' |' AS line FROM n"
+    gone = f"CASE WHEN {a} = {best} THEN 'N/A' ELSE " + number(f"100 * (({b} - {a}) / ({best} - {a}))", ".2f") + " || '%' END"
+    cells = [f"'{name}'", number(a, ".6f"), number(b, ".6f"), number(f"{b} - {a}", "+.6f"), f"CASE WHEN {b} {better} {a} THEN 'yes' ELSE 'no' END", gone]
+    return "SELECT a.run, '| ' || " + " || ' | ' || ".join(cells) + " || ' |' AS line FROM r a JOIN r b ON a.run = b.run AND a.odd = 0 AND b.odd = 1"
 
 
-ORACLE_SQL["report_rows"] = BY_PRIORITY + " " + _report("binary_auc", "n1 / n", "n3 / n", "(n3 / n - n1 / n) / (1 - n1 / n)", "n3 > n1") + " UNION ALL " + _report("binary_eer", "n2 / n", "n4 / n", "(n2 / n - n4 / n) / (n2 / n)", "n4 < n2")
-ORACLE_SQL["registry_entries"] = "SELECT 'p_' || d AS name, 'p_' || d || '.jsonl' AS file_name, 'sharegpt' AS formatting, d LIKE '%badcase%' AS ranking, CASE WHEN d LIKE '%badcase%' THEN 'chosen,images,messages,rejected' ELSE 'images,messages' END AS columns FROM (VALUES ('sft_train'), ('preference_pool'), ('val'), ('test'), ('badcase_preference'), ('base_badcase_preference')) t(d)"
+ORACLE_SQL["report_rows"] = RUNS + _report("binary_auc", "{r}.high / {r}.n", "1", ">") + " UNION ALL " + _report("binary_eer", "{r}.low / {r}.n", "0", "<")
+ORACLE_SQL["registry_entries"] = "SELECT 'p_' || d AS name, 'p_' || d || '.jsonl' AS file_name, 'sharegpt' AS formatting, d LIKE '%badcase%' AS ranking, CASE WHEN d LIKE '%badcase%' THEN 'chosen,images,messages,rejected' ELSE 'images,messages' END AS columns, n FROM (VALUES (0, 'sft_train'), (1, 'preference_pool'), (2, 'val'), (3, 'test'), (4, 'badcase_preference'), (5, 'base_badcase_preference')) t(i, d) JOIN (SELECT o_orderkey % 6 AS i, count(*) AS n FROM orders GROUP BY 1) USING (i)"
+ORACLE_SQL["auc_sketch"] = BASE + (
+    ", sk AS (SELECT least(floor(score * 256), 255) AS b, count(*) FILTER (tb > 0) AS p, count(*) FILTER (tb = 0) AS n FROM a GROUP BY 1), sb AS (SELECT *, sum(n) OVER (ORDER BY b) - n AS below FROM sk)"
+    " SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6)::DOUBLE AS auc, round(sum(p * n) / 2 / (sum(p) * sum(n)), 6)::DOUBLE AS error, true AS within FROM sb"
+)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, labels, scoring, text
 from ..functions.parse import parse_response
 from ..operators import align, compare, convert, infer, metrics, mining, rewards, sampling
-from ..sources import documents, images, records
+from ..sources import commits, documents, images, records
 from ..storage import materialise, shared_dir
 from .audit import aligned, annotations, keys, responses, table, truth
 
@@ -185,22 +185,26 @@ def split_union(spark, sf_dir):
 
 @query
 def array_records(spark, sf_dir):
-    """One JSON array written, and read element by element with row numbers."""
+    """All records as one JSON array in one file, read by its blocks, element by element with row numbers."""
     path = shared_dir(spark) + "/array"
-    items = table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.to_json(F.struct("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"}).alias("j"))
-    items.agg(F.concat(F.lit("[\n"), F.array_join(F.sort_array(F.collect_list("j")), ",\n"), F.lit("\n]")).alias("value")).write.text(path)
-    return records.read_records(spark, path).select("ord", F.get_json_object("raw", "$.n_name").alias("name"), F.json_object_keys("raw")[2].alias("third"))
+    least = truth(spark, sf_dir).agg(F.min("id")).first()[0]
+    rows = truth(spark, sf_dir).select("id", F.concat(F.when(F.col("id") == least, "[").otherwise(","), F.to_json(F.struct("id", F.concat("label", F.lit('"}],[{\\')).alias("label"), F.lit(None).cast("string").alias("none")), {"ignoreNullFields": "false"})).alias("value"))
+    ends = spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit("]").alias("value"))
+    rows.unionByName(ends).orderBy(F.col("id").asc_nulls_last()).coalesce(1).select("value").write.text(path)
+    back = records.read_records(spark, path)
+    return back.select("ord", F.get_json_object("raw", "$.id").cast("long").alias("id"), F.get_json_object("raw", "$.label").alias("label"), F.json_object_keys("raw")[2].alias("third"))
 
 
 @query
 def append_records(spark, sf_dir):
-    """JSON lines written, and others appended."""
+    """JSON lines written in batches, each of them twice, and one that was cut off before its commit: all count once."""
     path = shared_dir(spark) + "/appended"
     rows = truth(spark, sf_dir).select("id", "label")
-    first = records.write_lines(rows.where("id % 2 = 0"), path)
-    second = records.write_lines(rows.where("id % 2 = 1"), path, append=True)
+    even, odd = ([commits.append_batch(rows.where(F.col("id") % 2 == i), path, f"batch-{i}") for _ in range(2)] for i in range(2))
+    records.write_lines(rows.where("id % 2 = 0"), f"{path}/batch-2-attempt")  # no commit names it
     back = records.parse_records(records.read_records(spark, path), "id long, label string")
-    return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("ord").alias("numbers")).select("*", F.lit(first).cast("long").alias("first"), F.lit(second).cast("long").alias("second"))
+    sums = back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("ord").alias("numbers"))
+    return sums.select("*", *[F.lit(n).cast("long").alias(c) for c, n in zip(("first", "first_again", "second", "second_again"), (*even, *odd))])
 
 
 @query
@@ -522,29 +526,62 @@ def word_pieces(spark, sf_dir):
     return spark.createDataFrame([(k, float(found[k])) for k in ("tp", "tn", "fp", "fn")] + [("f1_percent", round(tree["official_metrics_percent"]["F1_tok"], 4))], "metric string, value double")
 
 
+@query
+def tokenizer_pieces(spark, sf_dir):
+    """Confusion at the level of sub-words of a public tokenizer's file, with as many sub-words as its library makes of all captions."""
+    import public_tokenizers
+
+    numbers = metrics.word_numbers(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = metrics.subword_counts(aligned(spark, sf_dir), numbers, max_length=40)
+    return counts.agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "tn", "fp", "fn")])
+
+
+def run_documents(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
+    """run and document: what a run with a customer's even or odd orders has as its metrics."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == odd)
+    n, high, low = F.count(F.lit(1)), F.count_if(F.col("o_totalprice") > 150_000), F.count_if(F.col("o_orderpriority") < "2")
+    f1 = lambda c: F.struct(c.alias("f1"))
+    document = F.struct(
+        F.struct((high / n).alias("auc"), (low / n).alias("eer"), n.cast("string").alias("accuracy")).alias("binary_classification"),
+        F.struct(F.when(F.col("run") % 3 != 0, f1(high + 0)).alias("official_bert_token_level"), f1(low + 0).alias("word_level")).alias("text_grounding"),
+        F.when(low == 0, "inf").otherwise(F.concat(F.lit(" "), low.cast("string"), F.lit("e-1"))).alias("json_valid_rate"),
+        F.struct(F.struct(F.lit(0.5).alias("face_swap"), F.lit(None).cast("double").alias("text_swap")).alias("per_class_f1")).alias("multilabel_classification"),
+    )
+    return orders.groupBy(F.col("o_custkey").alias("run")).agg(F.to_json(document).alias("document"))
+
+
 @query
 def metric_tree(spark, sf_dir):
-    """A comparison's metrics out of a document of nested objects; text at the best level, numbers as text count, infinite ones don't."""
-    priority = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).orderBy("o_orderpriority").collect()  # five
-    n = [r["n"] for r in priority]
-    tree = {"binary_classification": {"auc": n[0] / sum(n), "eer": "inf", "accuracy": str(n[1])}, "text_grounding": {"word_level": {"f1": n[2]}, "official_bert_token_level": {"f1": n[3]}}, "json_valid_rate": n[4], "multilabel_classification": {"per_class_f1": {"face_swap": 0.5, "text_swap": None}}}
-    return compare.metric_table(spark, tree).where("value is not null").select("metric", "higher", r6("value").alias("value"))
+    """Comparable metrics out of each run's document of nested objects; text at the best level, numbers as text count, infinite ones don't."""
+    return compare.metric_rows(run_documents(spark, sf_dir, 0)).where("value is not null").select("run", "metric", "higher", r6("value").alias("value"))
 
 
 @query
 def report_rows(spark, sf_dir):
-    """A comparison written as a table of text: six decimals, signed differences, percent of errors that went."""
-    n = {r["o_orderpriority"][0]: r["n"] for r in table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).collect()}  # five
-    tree = lambda a, b: {"binary_classification": {"auc": n[a] / sum(n.values()), "eer": n[b] / sum(n.values())}}
-    lines = compare.markdown(compare.compare_runs(spark, tree("1", "2"), tree("3", "4"))).splitlines()
-    return spark.createDataFrame([(line,) for line in lines if line.startswith("| binary")], "line string")
+    """Comparisons of two runs each, as lines of text: six decimals, signed differences, percent of errors that went."""
+    before, after = (compare.metric_rows(run_documents(spark, sf_dir, odd)) for odd in (0, 1))
+    done = compare.compare_metrics(before, after, by=("run",)).where("comparison is not null and metric in ('binary_auc', 'binary_eer')")
+    return done.select("run", compare.report_line(F.col("metric"), F.col("comparison")).alias("line"))
 
 
 @query
 def registry_entries(spark, sf_dir):
-    """How a trainer reads each data set: file, format, columns."""
+    """How a trainer reads each data set that the records are dealt to: file, format, columns, and the records in it."""
     found = documents.registry("p")
-    return spark.createDataFrame([(k, v["file_name"], v["formatting"], bool(v.get("ranking")), ",".join(sorted(v["columns"]))) for k, v in found.items()], "name string, file_name string, formatting string, ranking boolean, columns string")
+    names = F.array(*map(F.lit, found))
+    dealt = truth(spark, sf_dir).groupBy(names[(F.col("id") % len(found)).cast("int")].alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    entries = spark.createDataFrame([(k, v["file_name"], v["formatting"], bool(v.get("ranking")), ",".join(sorted(v["columns"]))) for k, v in found.items()], "name string, file_name string, formatting string, ranking boolean, columns string")
+    return dealt.join(F.broadcast(entries), "name")  # six entries
+
+
+@query
+def auc_sketch(spark, sf_dir):
+    """The area under the curve from a mergeable sketch of each class's scores, with its error's bound; merged from two halves."""
+    rows = aligned(spark, sf_dir).select("id", F.col("manipulated_score").alias("score"), (F.col("target.verdict") == "manipulated").cast("int").alias("label"))
+    halves = [metrics.score_sketch(rows.where(F.col("id") % 2 == i), bins=256) for i in (0, 1)]
+    exact = metrics.auc(rows)
+    both = metrics.sketch_auc(metrics.merge_sketches(*halves)).crossJoin(exact.select(F.col("auc").alias("exact")))  # a row each
+    return both.select(r6("auc").alias("auc"), r6("error").alias("error"), (F.abs(F.col("auc") - F.col("exact")) <= F.col("error")).alias("within"))
 
 
 @query
