@@ -671,11 +671,12 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int) -> t
     """Rows (doc_id, text_hash, fp), distinct fp with its first row, and the stars of similar ones; fp is a node."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    table = materialise(shingle_table(docs, shingle), "nodes")
-    base = table.select("doc_id", "text_hash", F.col("node").alias("fp"), "print")
+    table, folder = written(shingle_table(docs, shingle), "shingles")
+    base = materialise(table.select("doc_id", "text_hash", F.col("node").alias("fp"), "print"), "nodes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     distinct = base.groupBy("fp").agg(first.alias("first"))
     sets = materialise(shared_sets(table.where("hashes is not null").select("node", "n", "hashes"), similarity), "sets")
+    delete_folder(docs.sparkSession, folder)  # whole sets, which nothing reads any more
     # only what shares enough shingles can be similar to anything
     able = base.groupBy(F.col("fp").alias("node")).agg(F.min("print").alias("print")).join(sets.select("node"), "node", "left_semi")
     known = components(_print_links(materialise(able, "prints"), sets, similarity, budget))
