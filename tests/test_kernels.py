@@ -131,3 +131,34 @@ def test_case_weights(spark):
     counts = spark.createDataFrame([("normal", 100), ("face_swap", 25), ("image_text_mixed", 4), ("x", 9), ("none", 0)], "case string, n long")
     got = {r["case"]: r["weight"] for r in rewards.case_weights(counts).collect()}
     assert got == {"normal": 0.6, "face_swap": 1.0 if math.sqrt(17 / 25) > 1 else pytest.approx(math.sqrt(17 / 25)), "image_text_mixed": 2.0, "x": pytest.approx(math.sqrt(17 / 9))}
+
+
+def test_recognised_answers(spark):
+    """What column functions decide is what the parser says, on answers near the canonical form."""
+    rng = random.Random(2)
+    verdicts, names = ["manipulated", "pristine", "fake", "real", "unknown", "Fake"], [*parse.TYPE_ALIASES, "other"]
+    blank = lambda: "\u00a0" if rng.random() < 0.003 else rng.choice(["", "", "", " ", "\n\t "])
+    number = lambda: rng.choice(["0", "1", "7.5", "-3", "999", "1000", "1200.25", "-0", "0.5", "00", "1e3", "1.", "123456789012345678", "NaN", '"5"', "-0.0"])
+    texts = ["", None, "{}", '{"verdict":"pristine"}']
+    for _ in range(4000):
+        good = rng.random() < 0.6
+        v = rng.choice(verdicts[:4] if good else verdicts)
+        types = [] if v in ("pristine", "real") and good else rng.choices(names[:-1] if good else names, k=rng.randrange(0 if not good else 1, 4))
+        if good and types and rng.random() < 0.7:
+            types += ["fs", "text_swap"]
+        box = "null" if rng.random() < 0.3 else "[" + f",{blank()}".join(rng.choice((["0", "10"], ["20.5", "900"])[k > 1]) if good else number() for k in range(4 if rng.random() < 0.95 else rng.randrange(6))) + "]"
+        words = [str(rng.randrange(50)) if good else rng.choice(["0", "49", "50", "3.7", "-1", "07"]) for _ in range(rng.randrange(3))]
+        fields = [f'"{rng.choice(k)}"{blank()}:{blank()}{x}' for k, x in zip([n for _, n in parse.FIELDS], (f'"{v}"', "[" + f"{blank()},".join(f'"{t}"' for t in types) + "]", box, "[" + ",".join(words) + "]"))]
+        if rng.random() < 0.1:
+            rng.shuffle(fields)
+        if rng.random() < 0.05:
+            fields.append(rng.choice(fields))
+        texts.append(blank() + "{" + f"{blank()},{blank()}".join(fields) + "}" + blank() + rng.choice(["", "", "", "x", "}"]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: (r["p"], r["native"]) for r in df.select("i", parse.parse_response(F.col("t")).alias("p"), parse.recognised(F.col("t")).alias("native")).collect()}
+    for i, t in enumerate(texts):
+        want = parse.parse_one(t)
+        assert tuple(got[i][0]) == want, t
+        assert got[i][1] is None or tuple(got[i][1]) == want
+    valid = [i for i, t in enumerate(texts) if parse.parse_one(t)[0]]
+    assert len(valid) > 500 and sum(got[i][1] is not None for i in valid) > 0.5 * len(valid)
