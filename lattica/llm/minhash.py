@@ -89,7 +89,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, similarity: float = 0.
     met = materialise(entries.join(materialise(buckets.select("key", "head"), "buckets"), "key"), "met")
     named = table.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first"))
     wanted = materialise(named.join(met.select("node").distinct(), "node", "left_semi").select("text_hash"), "wanted")
-    sets = materialise(shingle_table(with_hash(docs).join(wanted, "text_hash"), shingle).where("hashes is not null").select("node", F.col("n").cast("int").alias("n"), "hashes"), "sets")
+    # joined by exchange at any size: a frequent text can be split then, and texts move once at most
+    texts = with_hash(docs).join(wanted.hint("merge"), "text_hash", "left_semi")
+    sets = materialise(shingle_table(texts, shingle).where("hashes is not null").select("node", F.col("n").cast("int").alias("n"), "hashes"), "sets")
 
     crowds = materialise(met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD), "crowds")
     crowded = met.join(crowds, "key").where("node <> head")
