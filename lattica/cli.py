@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions.parse import parse_response
 from .functions.scoring import first_present, given_type_scores, response_text
 from .operators import align, compare, convert, infer, metrics, mining, rewards, sampling
-from .sources import documents, images, records
+from .sources import commits, documents, images, records
 from .storage import materialise
 from .types import PART_WEIGHTS, RESPONSE_KEYS, SCORE_KEYS, TARGET
 
@@ -135,14 +135,17 @@ def run_prompts(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]
 
 
 def run_infer(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
-    """Answers of a model, of the rows of one shard that the output doesn't have yet."""
+    """Answers of a model, of the rows of one shard that the output doesn't have yet; ``--committed`` appends them as a batch that counts as a whole or not at all."""
     module, _, name = args.model_factory.partition(":")
     rows = sampling.head(read_truth(spark, args.dataset, args.split_field), args.max_samples)
     if args.shards > 1:
         rows = rows.where(sampling.shard_of(F.col("ord"), args.shards) == args.shard)
     done = records.read_records(spark, args.output).select(F.get_json_object("raw", "$.id").alias("id")) if Path(args.output).exists() else None
     said = infer.predict(infer.prompts(rows), getattr(importlib.import_module(module), name), batch=args.batch_size, mode=args.mode, model=args.model_factory, done=done)
-    return {"written": records.write_lines(materialise(said, "said"), args.output, append=True)}
+    said = materialise(said, "said")
+    if args.committed:
+        return {"written": commits.append_batch(said, args.output, commits.next_batch(spark, args.output))}
+    return {"written": records.write_lines(said, args.output, append=True)}
 
 
 def run_merge(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
@@ -174,7 +177,7 @@ def parser() -> argparse.ArgumentParser:
     command("convert", "metadata-dir", "image-root", "output-dir", preference_pool_ratio=0.10, normal_ratio=0.50, max_words=50, seed=42, max_samples_per_split=None, skip_image_check=False, prefix="audit", exact=False)
     command("mine", "pool", "predictions", "output", report=None, max_pairs=5000, seed=42, include_pristine_errors=False, exact=False, **tags)
     command("evaluate", "ground-truth", "predictions", "output", badcases_output=None, binary_threshold=0.5, type_threshold=0.5, bert_tokenizer=None, bert_max_length=128, **tags)
-    command("infer", "dataset", "output", "model-factory", mode="full", batch_size=16, shards=1, shard=0, max_samples=None)
+    command("infer", "dataset", "output", "model-factory", mode="full", batch_size=16, shards=1, shard=0, max_samples=None, committed=False)
     command("merge", "ground-truth", "inputs", "output")
     command("score", "ground-truth", "responses", "output", summary_output=None, manifest_output=None, weights_from=None, allow_positional=False)
     command("prompts", "source", "output", "dataset-info", dataset_name="audit_ppo_train", max_samples=None)

@@ -23,25 +23,25 @@ from pyspark.sql import DataFrame, SparkSession
 LOG = "_commits"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system_of(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def commits(spark: SparkSession, path: str) -> dict[str, dict]:
     """folder and rows of each committed batch, in the order of names."""
-    fs, log = _file_system(spark, f"{path}/{LOG}")
+    fs, log = file_system_of(spark, f"{path}/{LOG}")
     if not fs.exists(log):
         return {}
     found = {}
     for status in fs.listStatus(log):
         name = status.getPath().getName()
         if not name.startswith("."):
-            found[name] = json.loads(_read(fs, status.getPath()))
+            found[name] = json.loads(read_small(fs, status.getPath()))
     return dict(sorted(found.items()))
 
 
-def _read(fs, path) -> str:
+def read_small(fs, path) -> str:
     stream = fs.open(path)
     try:
         return bytes(stream.readAllBytes()).decode()
@@ -51,7 +51,7 @@ def _read(fs, path) -> str:
 
 def is_log(spark: SparkSession, path: str) -> bool:
     """Whether batches have been committed to the path."""
-    fs, log = _file_system(spark, f"{path}/{LOG}")
+    fs, log = file_system_of(spark, f"{path}/{LOG}")
     return fs.exists(log)
 
 
@@ -78,7 +78,7 @@ def append_batch(df: DataFrame, path: str, batch: str) -> int:
 def commit(spark: SparkSession, path: str, batch: str, folder: str, rows: int) -> int:
     """Make a written folder the batch, unless another one is; the rows of the one that counts."""
     jvm = spark.sparkContext._jvm
-    fs, log = _file_system(spark, f"{path}/{LOG}")
+    fs, log = file_system_of(spark, f"{path}/{LOG}")
     fs.mkdirs(log)
     draft, name = jvm.org.apache.hadoop.fs.Path(log, f".{folder}"), jvm.org.apache.hadoop.fs.Path(log, batch)
     stream = fs.create(draft, True)
@@ -86,7 +86,7 @@ def commit(spark: SparkSession, path: str, batch: str, folder: str, rows: int) -
     stream.close()
     if fs.exists(name) or not fs.rename(draft, name):
         fs.delete(draft, False)
-    return json.loads(_read(fs, name))["rows"]
+    return json.loads(read_small(fs, name))["rows"]
 
 
 def next_batch(spark: SparkSession, path: str) -> str:

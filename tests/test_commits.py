@@ -51,6 +51,21 @@ def test_of_two_writers_one_counts(spark, tmp_path):
     assert ids(spark, path) == [0, 1, 2, 3]
 
 
+def test_infer_appends_committed_batches(spark, tmp_path):
+    from lattica import cli
+
+    target = {"verdict": "pristine", "types": [], "image_bbox": None, "text_positions": []}
+    rows = [{"id": f"r{i}", "images": ["i.png"], "conversations": [{"from": "human", "value": "<image>\nask"}], "meta": {"id": f"r{i}", "normalized_text": "a b", "target": target}} for i in range(5)]
+    truth, out = tmp_path / "truth.jsonl", str(tmp_path / "out")
+    flags = ["infer", "--dataset", str(truth), "--output", out, "--model-factory", "tests.stub_model:Weighing", "--committed"]
+    for n, written in ((3, 3), (3, 0), (5, 2)):
+        truth.write_text("\n".join(map(json.dumps, rows[:n])))
+        assert cli.main(flags, spark) == {"written": written}
+        records.write_lines(spark.range(4).selectExpr("'r4' AS id"), f"{out}/left-behind-{n}")  # of a run that was cut off
+    assert ids(spark, out) == [f"r{i}" for i in range(5)]
+    assert cli.main(["merge", "--ground-truth", str(truth), "--inputs", out, "--output", str(tmp_path / "merged")], spark) == {"written": 5}
+
+
 def jpeg(width, height, before):
     segment = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
     frame = segment(0xC2, struct.pack(">BHHB", 8, height, width, 3) + bytes(9))
