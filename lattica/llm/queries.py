@@ -170,6 +170,55 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(load(spark, sf_dir, "documents"), least=7, occurrences=2, every=31), ratio=10)
 
 
+UPPER_TO_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: doc_ids are distinct here.
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({UPPER_TO_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE len(w) WHEN 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - 2)), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM d),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+pairs AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c, min(a.n) AS an, min(b.n) AS bn FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT i, j FROM pairs WHERE 100 * c >= 80 * (an + bn - c)),
+both_ways AS (FROM e UNION ALL SELECT j, i FROM e),
+reach(i, j) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.i, b.j FROM reach r JOIN both_ways b ON b.i = r.j)
+SELECT doc_id, len(sh) AS n_shingles, min(j) AS component_id, doc_id = min(j) AS kept FROM s JOIN reach ON i = doc_id GROUP BY doc_id, sh
+"""
+
+#: crc(w) of texts: the table of a byte's remainders, then a step for each byte of the text in UTF-8.
+CRC_TABLE = "tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({w}))), lambda k: ('0x' || substr(hex(encode({w})), 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP12_SQL = rf"""
+WITH {CRC_TABLE},
+texts AS (SELECT 0 AS own, doc_id AS id, {UPPER_TO_LOWER} AS text FROM documents UNION ALL SELECT 1, item_id, {UPPER_TO_LOWER} FROM benchmark),
+w AS (SELECT own, id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS (SELECT own, id, len(w) AS n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+b AS (SELECT f, {CRC.format(w="f")} % 10000 AS b FROM (SELECT DISTINCT f FROM f), tab),
+c AS (SELECT own, id, b, count(*) AS c FROM f JOIN b USING (f) GROUP BY ALL),
+sums AS (SELECT b, coalesce(sum(c) FILTER (own = 0), 0) AS s, coalesce(sum(c) FILTER (own = 1), 0) AS t FROM c GROUP BY b),
+every AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+gain AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS g FROM sums, every),
+m AS (SELECT id, sum(c)::BIGINT AS n, floor(sum(c * g) / sum(c))::BIGINT AS weight FROM c JOIN gain USING (b) WHERE own = 0 GROUP BY id),
+scored AS (SELECT w.id, len(w) AS words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN m USING (id) WHERE own = 0),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r, count(*) OVER () AS n FROM scored WHERE words >= 20)
+SELECT id AS doc_id, scored.n AS n_features, weight, score, CASE WHEN r <= 25 * r.n // 100 THEN r END AS rank FROM scored LEFT JOIN r USING (id)
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+occ AS (SELECT doc_id, unnest(regexp_extract_all({UPPER_TO_LOWER}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+o AS (SELECT doc_id, w, count(*) AS n FROM occ WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, {CRC.format(w="(doc_id || ':' || w)")} AS h FROM o, tab),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h),
+c AS (SELECT w, sum(n)::BIGINT AS n FROM x WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+cut AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS r FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM c)),
+pairs AS (SELECT a.w AS v, b.w AS w FROM cut a JOIN cut b ON a.r = b.r AND a.i = b.i AND a.w <> b.w UNION SELECT cut.w, c.w FROM cut JOIN c ON c.w = cut.r UNION SELECT c.w, cut.w FROM cut JOIN c ON c.w = cut.r),
+near AS (SELECT v AS w, count(*) AS n_near, min(struct_pack(m := -c.n, w := c.w)) AS best FROM pairs JOIN c ON c.w = pairs.w GROUP BY v),
+formed AS (SELECT c.w, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * c.n THEN best.w END AS form, CASE WHEN -best.m >= 10 * c.n THEN -best.m END AS form_n FROM c LEFT JOIN near ON near.w = c.w),
+up(w, head) AS (SELECT w, w FROM formed UNION SELECT up.w, f.form FROM up JOIN formed f ON f.w = up.head WHERE f.form IS NOT NULL)
+SELECT formed.w AS word, formed.form AS form, head AS root, formed.n AS n, formed.n_near AS n_near, formed.form_n AS form_n FROM formed JOIN up ON up.w = formed.w JOIN formed top ON top.w = up.head AND top.form IS NULL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_url_filter": op2_url_filter,
@@ -190,4 +239,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
     "op9_tool_calls": OP9_SQL,
     "op10_extendible_sharding": OP10_SQL,
+    "op11_circulant_minhash": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
