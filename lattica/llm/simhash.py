@@ -51,6 +51,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,6 +70,8 @@ TASK_ROWS, HOT_ROWS = 40_000, 20_000
 LEAF_PAIRS, FRONTIER = 1024, 50_000
 #: Shingles of a task that counts or compares sets, and of a Python worker's buffer.
 TASK_ENTRIES, BUFFER = 1 << 20, 1 << 19
+#: Share of these that a task compares.
+COMPARED = 0.5
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 16
 #: Nodes that a task remembers to have given.
@@ -383,7 +386,8 @@ def with_hash(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
-#: Shingles of many nodes in a row: the nodes, their sets' sizes, how many shingles each has here, and these.
+#: Shingles of many nodes in a row: the nodes, their sets' sizes, how many shingles each has here, and these. Small numbers are compressed.
+DEFLATED = ("sizes", "counts", "ranks")
 PACK = {"nodes": np.int64, "sizes": np.int32, "counts": np.int32, "hashes": np.uint64, "ranks": np.uint8}
 
 
@@ -397,13 +401,15 @@ def _pack(part: np.ndarray, node: np.ndarray, size: np.ndarray, hashes: np.ndarr
     ends, rows = np.append(runs, len(part)), []
     for a, b in zip(first, np.append(first[1:], len(runs))):
         at, lo, hi = runs[a:b], ends[a], ends[b]
-        rows.append((int(part[lo]), node[at].tobytes(), size[at].tobytes(), counts[a:b].tobytes(), hashes[lo:hi].tobytes(), ranks[lo:hi].tobytes()))
+        small = (zlib.compress(x.tobytes(), 1) for x in (size[at], counts[a:b], ranks[lo:hi]))
+        rows.append((int(part[lo]), node[at].tobytes(), next(small), next(small), hashes[lo:hi].tobytes(), next(small)))
     return pd.DataFrame(rows, columns=["part", *PACK])
 
 
 def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """node, size, hash and rank of each shingle."""
-    nodes, sizes, counts, hashes, ranks = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in PACK.items())
+    column = lambda c, t: np.concatenate([np.frombuffer(zlib.decompress(x) if c in DEFLATED else x, t) for x in rows[c]])
+    nodes, sizes, counts, hashes, ranks = (column(c, t) for c, t in PACK.items())
     return np.repeat(nodes, counts), np.repeat(sizes, counts), hashes, ranks
 
 
@@ -535,7 +541,7 @@ def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
     if not split.isEmpty():
         key, schema = ["part", "chunk"], "part int, hashes binary, ns binary"
         counts = split.groupBy(*key).applyInPandas(_counted, schema).groupBy("part").applyInPandas(_summed, schema)
-        counts = split.select(*key).distinct().join(counts, "part")
+        counts = materialise(split.select(*key).distinct().join(counts, "part"), "counts")  # written, so that the cogroup's sides are two tables
         attach = lambda t, n: _shared(t, parts, n)
         dealt = dealt.unionByName(split.groupBy(*key).cogroup(counts.groupBy(*key)).applyInPandas(attach, f"part int, {PACKED}"))
     return dealt.groupBy("part").applyInPandas(lambda t: _prefixes(t, similarity), "node long, n int, prefix array<long>, hashes binary")
@@ -566,12 +572,13 @@ def _links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], know
     lengths = np.array([len(s) for s in sets])
     starts = np.cumsum(lengths) - lengths
     _, hashes, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    typical = np.add.reduceat(n[hashes], starts) / sizes
+    hashes, n = hashes.astype(np.int32), n.astype(np.int32)
+    typical = np.add.reduceat(n[hashes], starts, dtype=np.int64) / sizes
     # shingles in order of how many nodes here have them; most: the largest partner with which a shingle can be the first shared one
-    owner = np.repeat(np.arange(len(nodes)), lengths)
+    owner = np.repeat(np.arange(len(nodes), dtype=np.int32), lengths)
     hashes = hashes[np.lexsort((hashes, n[hashes], owner))]
-    place = np.arange(len(hashes)) + np.repeat(sizes - lengths - starts, lengths)
-    most = (sizes[owner] - place) * ((1 + similarity) / similarity) - sizes[owner] + 1e-6
+    most = np.repeat(lengths + starts, lengths) - np.arange(len(hashes))  # shingles from here on
+    most = (most * ((1 + similarity) / similarity) - sizes[owner] + 1e-6).astype(np.int32)
     able = np.flatnonzero((most >= similarity * sizes[owner] - 1e-6) & (n[hashes] > 1))
     first, last = np.searchsorted(owner[able], np.arange(len(nodes))), np.searchsorted(owner[able], np.arange(len(nodes)), "right")
     posted = able[np.argsort(hashes[able], kind="stable")]
@@ -653,11 +660,11 @@ def similar_links(sets: DataFrame, stars: DataFrame, known: DataFrame, similarit
     rows = sets.drop("prefix").join(members, "node").join(known.select(F.col("u").alias("node"), F.col("v").alias("_known")), "node", "left")
     rows = materialise(rows.select("root", "node", "n", "hashes", F.coalesce("_known", "node").alias("known")), "candidates")
     entries = F.sum(F.octet_length("hashes") / 8).cast("long")
-    total = rows.agg(entries).first()[0] or 0
-    large = rows.groupBy("root").agg(entries.alias("m")).where(F.col("m") > TASK_ENTRIES)
-    hot = materialise(large.select("root", (F.ceil(F.col("m") / TASK_ENTRIES) + 1).cast("int").alias("chunks")), "hot")
+    total, share = rows.agg(entries).first()[0] or 0, max(1, int(COMPARED * TASK_ENTRIES))
+    large = rows.groupBy("root").agg(entries.alias("m")).where(F.col("m") > share)
+    hot = materialise(large.select("root", (F.ceil(F.col("m") / share) + 1).cast("int").alias("chunks")), "hot")
     rows = rows.join(hot, "root", "left")
-    bin_ = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / TASK_ENTRIES))))
+    bin_ = F.pmod(F.xxhash64("root"), F.lit(max(1, math.ceil(total / share))))
     columns = ["root", "node", "n", "hashes", "known"]
     cold = rows.where("chunks is null").select(*columns, F.lit(0).alias("side"), F.concat_ws(":", F.lit("c"), bin_).alias("task"))
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
