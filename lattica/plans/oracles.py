@@ -213,6 +213,12 @@ ORACLE_SQL["word_pieces"] = WORD_ROWS + (
     ", m AS (SELECT sum(b) AS tp, sum(n - t - p + b) AS tn, sum(p - b) AS fp, sum(t - b) AS fn FROM hv) "
     + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c}::DOUBLE AS value FROM m" for c in ("tp", "tn", "fp", "fn")) + " UNION ALL SELECT 'f1_percent', round(100.0 * 2 * tp / (2 * tp + fp + fn), 4)::DOUBLE FROM m"
 )
+#: The tokenizer's file makes two sub-words of w1 to w9, the first nine words, and three of w10 and on.
+TOKENS = "greatest(0, least(CASE WHEN p < 9 THEN 2 ELSE 3 END, 38 - CASE WHEN p < 9 THEN 2 * p ELSE 3 * p - 9 END))"
+ORACLE_SQL["tokenizer_pieces"] = WORD_ROWS + (
+    ", hv AS (SELECT least(38, 3 * n_words - least(n_words, 9)) AS n, " + ", ".join(f"coalesce(list_sum(list_transform({xs}, lambda p: {TOKENS})), 0) AS {name}" for xs, name in (("list_intersect(tw, pw)", "b"), ("tw", "t"), ("pw", "p"))) + " FROM wd)"
+    " SELECT sum(b)::BIGINT AS tp, sum(n - t - p + b)::BIGINT AS tn, sum(p - b)::BIGINT AS fp, sum(t - b)::BIGINT AS fn FROM hv"
+)
 #: A customer's even (0) or odd (1) orders as a run.
 RUNS = "WITH r AS (SELECT o_custkey AS run, o_orderkey % 2 AS odd, count(*) AS n, count(*) FILTER (o_totalprice > 150000) AS high, count(*) FILTER (o_orderpriority < '2') AS low FROM orders GROUP BY ALL) "
 ORACLE_SQL["metric_tree"] = RUNS + " UNION ALL ".join(
