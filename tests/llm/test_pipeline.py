@@ -159,6 +159,7 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, run in queries.QUERIES.items():
         assert run(spark, str(tmp_path)).count() == 0, name
@@ -166,7 +167,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 def test_sql(spark):
@@ -174,7 +175,7 @@ def test_sql(spark):
 
     con = duckdb.connect()
     sf = "/root/testdata/sf0.01"
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         cell = lambda r: tuple(None if v is None or v != v else str(v) for v in r)
