@@ -188,7 +188,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers:
         return made
 
     for b in batches:
-        for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+        for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
             ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
             for seq in packer.add((doc_id, len(ids)), ids):
                 write(seq)

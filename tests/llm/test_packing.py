@@ -64,3 +64,23 @@ def test_windows_are_full():
     for (_, n), parts in seen.items():
         parts.sort()
         assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(parts[-1]) == n
+
+
+def test_batches_are_not_held_as_objects(monkeypatch):
+    """A task's memory besides the batch is bounded, however large Arrow's batches are."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [f"some words of text {i} " * 100 for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    size = batch.column("text").nbytes
+    del texts
+    packing.encoder(tokenizer_path())
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in packing._pack(iter([batch]), tokenizer_path(), 1, packing.TIERS, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= batch.num_rows and peak < size

@@ -64,3 +64,17 @@ def test_other_settings_are_left_to_the_library(tmp_path):
         json.dump(settings, f)
     enc, plain = tokens.WordEncoder(path), Tokenizer.from_file(path)
     assert not enc.cached and [i.tolist() for i in enc.encode(["é è x"])] == [plain.encode("é è x", add_special_tokens=False).ids]
+
+
+def test_frequent_words_stay_in_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    monkeypatch.setattr(tokens, "CHUNK", 100)
+    enc, plain = tokens.WordEncoder(tokens.tokenizer_path()), Tokenizer.from_file(tokens.tokenizer_path())
+    letters = "abcdefghij"
+    rare = ["".join(letters[int(d)] for d in str(1000 + i)) for i in range(400)]
+    learnt, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    texts = [f"often {w}, Often." for w in rare]
+    got = [i.tolist() for i in enc.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learnt.count("often") == learnt.count("Often.") == 1 and len(enc.place) < 100
