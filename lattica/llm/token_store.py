@@ -220,7 +220,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, e
             temp, final = _put(fs, root, f"shard-{shard:06d}.ids", context.taskAttemptId())
             out = fs.open_output_stream(temp)
         sizes = np.empty(len(batch), np.int64)
-        for i, ids in enumerate(enc.encode(batch.column("text").to_pylist())):
+        for i, ids in enumerate(enc.encode(batch.column("text"))):
             sizes[i] = len(ids) + 1
             out.write(np.append(ids, end_id).astype(dtype).tobytes())
         before = sum(map(len, lengths))
