@@ -33,9 +33,11 @@ chunks by a hash: each chunk is a task, and each pair of chunks is one that comp
 that are a little under the similarity to each other, by edits to one base that is missing, still
 cost pairs. The result is exact but for collisions of 64-bit hashes, of shingles and of sets.
 
-Shingles are counted in packed rows, dealt to parts of about ``TASK_ENTRIES`` by their hashes.
+Shingles are counted in packed rows, dealt to parts of up to about ``TASK_ENTRIES`` by their hashes.
 A part that a frequent shingle makes too large is dealt again by node: its chunks are counted
-apart, the counts are summed and come back to each chunk.
+apart, the counts are summed and come back to each chunk. Whole sets are never written: texts are
+read twice, first for the nodes and how many shingles fall into each of ``CELLS`` ranges of hashes,
+then for the sets, which are packed in the task that makes them.
 
 Components of all forests come from star contraction in rounds, each written to the shared
 folder, with every side of a join, so that the links of one large group's centre can be split.
@@ -61,7 +63,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_folder, materialise, scratch, unscratched, written
+from .common import delete_folder, materialise, scratch, shuffles_removed, unscratched, written
 
 SEED = 42
 #: Rows of a task, and of a block value before it is split.
@@ -72,6 +74,8 @@ LEAF_PAIRS, FRONTIER = 1024, 50_000
 TASK_ENTRIES, BUFFER = 1 << 20, 1 << 19
 #: Share of these that a task compares.
 COMPARED = 0.5
+#: Ranges of hashes whose shingles are counted when texts are read first; a power of two.
+CELLS = 1 << 16
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 16
 #: Nodes that a task remembers to have given.
@@ -348,38 +352,60 @@ def set_print(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big", signed=True)
 
 
+SHINGLED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("hashes", pa.binary()), ("signs", pa.list_(pa.int64()))])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], shingle: int, sign: Callable[[np.ndarray], list[int]] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``shingle_table``, in batches of about ``BUFFER`` shingles."""
+    rows, held, given = [], 0, set()
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SHINGLED)], schema=SHINGLED)
+
+    for b in batches:
+        for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text")):
+            found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)
+            node = _set_id(found)
+            new = len(found) and node not in given
+            if len(given) > GIVEN:
+                given.clear()
+            given.add(node)
+            rows.append((i, h, node, len(found), set_print(found), found.tobytes() if new and not sign else None, sign(found) if new and sign else None))
+            held += len(found)
+            if held >= BUFFER:
+                yield batch()
+                rows, held = [], 0
+        if rows:
+            yield batch()
+            rows, held = [], 0
+
+
 def shingle_table(docs: DataFrame, shingle: int = 5, sign: Callable[[np.ndarray], list[int]] | None = None) -> DataFrame:
     """Per row doc_id, text_hash, node, which names its shingle set, the set's size n and its fingerprint.
 
     ``hashes``, the set, or if ``sign`` is given ``signs``, what it makes of the set, are null in rows
     whose node the task has given before, so that copies don't carry sets of their own.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("hashes", pa.binary()), ("signs", pa.list_(pa.int64()))])
+    schema = "doc_id long, text_hash long, node long, n long, print long, hashes binary, signs array<long>"
+    return with_hash(docs).mapInArrow(lambda batches: _shingled(batches, shingle, sign), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, given = [], 0, set()
 
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+def node_table(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``shingle_table`` without the sets.
 
-        for b in batches:
-            for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text")):
-                found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle)
-                node = _set_id(found)
-                new = len(found) and node not in given
-                if len(given) > GIVEN:
-                    given.clear()
-                given.add(node)
-                rows.append((i, h, node, len(found), set_print(found), found.tobytes() if new and not sign else None, sign(found) if new and sign else None))
-                held += len(found)
-                if held >= BUFFER:
-                    yield batch()
-                    rows, held = [], 0
-            if rows:
-                yield batch()
-                rows, held = [], 0
+    In one row of a batch, ``entries`` is the number of shingles of the sets that the batch would
+    give, and ``cells`` how many of them are in each of ``CELLS`` ranges of hashes; else null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _shingled(batches, shingle):
+            hashes = np.frombuffer(b"".join(b.column("hashes").drop_null().to_pylist()), np.uint64)
+            cells = zlib.compress(np.bincount(_part(hashes, CELLS), minlength=CELLS).astype(np.uint32).tobytes(), 1)
+            once = lambda x, kind: pa.array([x] + [None] * (b.num_rows - 1), kind)
+            arrays = [*(b.column(c) for c in ("doc_id", "text_hash", "node", "print")), once(len(hashes), pa.int64()), once(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "node", "print", "entries", "cells"])
 
-    return with_hash(docs).mapInArrow(run, "doc_id long, text_hash long, node long, n long, print long, hashes binary, signs array<long>")
+    return with_hash(docs).mapInArrow(run, "doc_id long, text_hash long, node long, print long, entries long, cells binary")
 
 
 def with_hash(docs: DataFrame) -> DataFrame:
@@ -482,6 +508,31 @@ PACKED = ", ".join(f"{c} binary" for c in PACK)
 
 def packed_shingles(sets: DataFrame, parts: int) -> DataFrame:
     """part, chunk and packed shingles; chunk is null but in parts that are too large, which are dealt again by node."""
+    whole, split = _packed(sets, parts)
+    return whole if split is None else whole.unionByName(split)
+
+
+def _loads(nodes: DataFrame, parts: int) -> DataFrame:
+    """part and m, the shingles in it, of a ``node_table``; parts: a power of two, at most ``CELLS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for c in b.column("cells"):
+                n += np.frombuffer(zlib.decompress(c.as_buffer()), np.uint32)
+        n = n.reshape(parts, -1).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], ["part", "m"])
+
+    return nodes.where("cells is not null").select("cells").mapInArrow(run, "part int, m long")
+
+
+def _packed(sets: DataFrame, parts: int, shingle: int | None = None, loads: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``packed_shingles`` that are not split, and those that are, if any.
+
+    If ``shingle`` is given, sets are those of texts, rows of ``with_hash``, and made in the task
+    that packs them. loads: part and m, counts that add up to its shingles; else they are counted here.
+    """
+    made = (lambda batches: batches) if shingle is None else (lambda batches: _shingled(batches, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
@@ -492,9 +543,9 @@ def packed_shingles(sets: DataFrame, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, ["part", *PACK])
 
         found, held = {}, 0
-        for b in batches:
+        for b in made(batches):
             for node, s in zip(b.column("node").to_pylist(), b.column("hashes")):
-                if node not in found:
+                if s.is_valid and node not in found:
                     found[node] = np.frombuffer(s.as_buffer(), np.uint64)
                     held += len(found[node])
                 if held >= BUFFER:
@@ -505,18 +556,21 @@ def packed_shingles(sets: DataFrame, parts: int) -> DataFrame:
                 found, held = {}, 0
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in made(batches):
             n = np.zeros(parts, np.int64)
-            for s in b.column("hashes"):
+            for s in b.column("hashes").drop_null():
                 n += np.bincount(_part(np.frombuffer(s.as_buffer(), np.uint64), parts), minlength=parts)
             yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], ["part", "m"])
 
-    packed = sets.select("node", "hashes").mapInArrow(run, f"part int, {PACKED}")
-    loads = sets.select("hashes").mapInArrow(load, "part int, m long").groupBy("part").agg(F.sum("m").alias("m")).where(F.col("m") > 2 * TASK_ENTRIES)
-    hot = materialise(loads.select("part", F.ceil(F.col("m") / TASK_ENTRIES).cast("int").alias("chunks")), "hot")
+    rows = sets.select("node", "hashes") if shingle is None else sets
+    packed = rows.mapInArrow(run, f"part int, {PACKED}")
+    if loads is None:
+        loads = rows.mapInArrow(load, "part int, m long")
+    large = loads.groupBy("part").agg(F.sum("m").alias("m")).where(F.col("m") > 2 * TASK_ENTRIES)
+    hot = materialise(large.select("part", F.ceil(F.col("m") / TASK_ENTRIES).cast("int").alias("chunks")), "hot")
     none = F.lit(None).cast("int").alias("chunk")
     if hot.isEmpty():
-        return packed.select("part", none, *PACK)
+        return packed.select("part", none, *PACK), None
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in frames:
@@ -526,7 +580,7 @@ def packed_shingles(sets: DataFrame, parts: int) -> DataFrame:
                 yield made.rename(columns={"part": "chunk"}).assign(part=np.int32(part))[["part", "chunk", *PACK]]
 
     split = packed.join(hot, "part").mapInPandas(deal, f"part int, chunk int, {PACKED}")
-    return packed.join(hot, "part", "left_anti").select("part", none, *PACK).unionByName(split)
+    return packed.join(hot, "part", "left_anti").select("part", none, *PACK), split
 
 
 def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
@@ -535,10 +589,21 @@ def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
     sets: node, n and hashes, written; rows of one node may be several.
     """
     parts = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / TASK_ENTRIES))
-    packed = packed_shingles(sets, parts)
-    dealt = packed.where("chunk is null").groupBy("part").applyInPandas(lambda t: _shared(t, parts), f"part int, {PACKED}")
-    split = materialise(packed.where("chunk is not null"), "split")
-    if not split.isEmpty():
+    return _shared_sets(*_packed(sets, parts), parts, similarity)
+
+
+def shared_sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``shared_sets`` of documents, whose sets are made again and not written; nodes: their ``node_table``, written."""
+    tasks = math.ceil((nodes.agg(F.sum("entries")).first()[0] or 0) / TASK_ENTRIES)
+    parts = 1 << max(0, tasks - 1).bit_length()
+    loads = _loads(nodes, parts) if parts <= CELLS else None
+    return _shared_sets(*_packed(with_hash(docs), parts, shingle, loads), parts, similarity)
+
+
+def _shared_sets(whole: DataFrame, split: DataFrame | None, parts: int, similarity: float) -> DataFrame:
+    dealt = whole.groupBy("part").applyInPandas(lambda t: _shared(t, parts), f"part int, {PACKED}")
+    if split is not None:
+        split = materialise(split, "split")
         key, schema = ["part", "chunk"], "part int, hashes binary, ns binary"
         counts = split.groupBy(*key).applyInPandas(_counted, schema).groupBy("part").applyInPandas(_summed, schema)
         counts = materialise(split.select(*key).distinct().join(counts, "part"), "counts")  # written, so that the cogroup's sides are two tables
@@ -678,12 +743,12 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, budget: int) -> t
     """Rows (doc_id, text_hash, fp), distinct fp with its first row, and the stars of similar ones; fp is a node."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    table, folder = written(shingle_table(docs, shingle), "shingles")
-    base = materialise(table.select("doc_id", "text_hash", F.col("node").alias("fp"), "print"), "nodes")
+    nodes = materialise(node_table(docs, shingle), "nodes")
+    base = nodes.select("doc_id", "text_hash", F.col("node").alias("fp"), "print")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     distinct = base.groupBy("fp").agg(first.alias("first"))
-    sets = materialise(shared_sets(table.where("hashes is not null").select("node", "n", "hashes"), similarity), "sets")
-    delete_folder(docs.sparkSession, folder)  # whole sets, which nothing reads any more
+    with shuffles_removed(docs.sparkSession):  # packed shingles are most of the stage's disk
+        sets = materialise(shared_sets_of(docs, nodes, shingle, similarity), "sets")
     # only what shares enough shingles can be similar to anything
     able = base.groupBy(F.col("fp").alias("node")).agg(F.min("print").alias("print")).join(sets.select("node"), "node", "left_semi")
     known = components(_print_links(materialise(able, "prints"), sets, similarity, budget))

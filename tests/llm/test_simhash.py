@@ -1,10 +1,13 @@
+import pathlib
 import random
 import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from lattica import storage
 from lattica.llm import simhash
 
 
@@ -224,3 +227,70 @@ def test_a_shingle_of_most_texts_is_dealt_to_many_tasks(spark, monkeypatch):
     sets, of = [shingles(t) for t in texts], exact_groups(spark, texts)
     want = plain_components(range(len(texts)), [(i, i - 4000) for i in range(4000, 4050) if len(sets[i] & sets[i - 4000]) >= 0.8 * len(sets[i] | sets[i - 4000])])
     assert of == want and len(set(of.values())) < 4050
+
+
+def plain_rows(n, rng):
+    return [" ".join(f"{rng.randrange(10**6)}" for _ in range(rng.randrange(200, 400))) for _ in range(n)]
+
+
+def test_whole_sets_are_not_written(spark, monkeypatch):
+    """What the stage writes on its way is far less than 8 bytes for each shingle."""
+    rng, written, sizes = random.Random(11), storage.written, {}
+
+    def weighed(df, name="step"):
+        made, folder = written(df, name)
+        sizes[name] = sizes.get(name, 0) + sum(p.stat().st_size for p in pathlib.Path(folder.removeprefix("file:")).rglob("*.parquet"))
+        return made, folder
+
+    for module in (storage, simhash):
+        monkeypatch.setattr(module, "written", weighed)
+    texts = plain_rows(3000, rng)
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == list(range(3000))
+    assert "nodes" in sizes and sum(sizes.values()) < 8 * sum(len(t.split()) - 4 for t in texts) / 4
+
+
+def test_loads_of_parts(spark):
+    """Counts of cells add up to the parts' shingles, also with copies, empty texts and batches without a set."""
+    texts = plain_rows(40, random.Random(12))
+    rows = list(enumerate(texts + texts[:30] + ["", None, "one", *texts[:5]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        nodes = simhash.materialise(simhash.node_table(docs, 5))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert nodes.count() == len(rows) and nodes.where("cells is not null").count() > 5
+    want = np.unique(np.concatenate([simhash.shingle_set((t or "").encode(), 5) for t in [*texts, "one"]]))
+    for parts in (1, 2, 64, simhash.CELLS):
+        got = {}
+        for r in simhash._loads(nodes, parts).collect():
+            got[r["part"]] = got.get(r["part"], 0) + r["m"]
+        at, m = np.unique(simhash._part(want, parts), return_counts=True)
+        assert got == dict(zip(at.tolist(), m.tolist()))
+    assert nodes.agg({"entries": "sum"}).first()[0] == len(want)
+
+
+@pytest.mark.parametrize("cells", [simhash.CELLS, 4])
+def test_sets_made_again_are_those_written(spark, monkeypatch, cells):
+    """Shared sets of texts against those of a written table, with split parts, and with more parts than counted cells."""
+    monkeypatch.setattr(simhash, "TASK_ENTRIES", 1000)
+    monkeypatch.setattr(simhash, "CELLS", cells)
+    rng = random.Random(13)
+    texts = ["this line is everywhere " * 2 + " ".join(f"{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 14))) for _ in range(3000)]
+    texts += [t + " more" for t in texts[:50]] + texts[:50] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    table = simhash.materialise(simhash.shingle_table(docs, 5).where("hashes is not null").select("node", "n", "hashes"))
+    found = lambda df: {r["node"]: (r["n"], sorted(np.frombuffer(r["hashes"], np.uint64).tolist())) for r in df.collect()}
+    nodes = simhash.materialise(simhash.node_table(docs, 5))
+    want = found(simhash.shared_sets(table, 0.5))
+    assert len(want) > 50 and found(simhash.shared_sets_of(docs, nodes, 5, 0.5)) == want
+
+
+def test_shuffles_go_with_the_query(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    with storage.shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+        made = simhash.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get(key) == before and made.count() == 7
