@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import IMAGE_TYPES, MAX_WORDS, TEXT_TYPES, TYPE_ALIASES, TYPE_ORDER
+from .bind import bind
 from .text import strip_blanks
 
 
@@ -20,8 +21,8 @@ def in_type_order(names: Column) -> Column:
 def label_to_types(label: Column) -> Column:
     """Types of a label such as ``fs&text_swap``, in order; ``orig`` has none; unknown names raise."""
     known = F.create_map(*[F.lit(x) for kv in TYPE_ALIASES.items() for x in kv])
-    of = lambda raw: F.coalesce(F.try_element_at(known, F.lower(strip_blanks(raw))), F.raise_error(F.concat(F.lit("unknown manipulation label: "), raw)).cast("string"))
-    return F.when(label == "orig", strings([])).otherwise(in_type_order(F.transform(F.split(label, "&", -1), of)))
+    of = lambda raw: F.coalesce(F.try_element_at(known, raw), F.try_element_at(known, F.lower(strip_blanks(raw))), F.raise_error(F.concat(F.lit("unknown manipulation label: "), raw)).cast("string"))
+    return F.when(label == "orig", strings([])).otherwise(F.coalesce(F.array_intersect(strings(TYPE_ORDER), F.transform(F.split(label, "&", -1), of)), strings([])))
 
 
 def has_any(types: Column, of) -> Column:
@@ -38,15 +39,18 @@ def normalize_bbox(bbox: Column, width: Column, height: Column, scale: int = 100
 
 def build_target(label: Column, bbox: Column, positions: Column, width: Column, height: Column, max_words: int = MAX_WORDS) -> Column:
     """struct<verdict, types, image_bbox, text_positions>: evidence only where a type asks for it."""
-    types = label_to_types(label)
-    words = F.array_sort(F.array_distinct(F.filter(positions.cast("array<int>"), lambda p: (p >= 0) & (p < max_words))))
+    words = F.sort_array(F.array_distinct(F.filter(positions.cast("array<int>"), lambda p: (p >= 0) & (p < max_words))))
     box = normalize_bbox(bbox, width, height)
-    return F.struct(
-        F.when(F.size(types) == 0, "pristine").otherwise("manipulated").alias("verdict"),
-        types.alias("types"),
-        F.when(has_any(types, IMAGE_TYPES), box).alias("image_bbox"),
-        F.when(has_any(types, TEXT_TYPES), F.coalesce(words, F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")).alias("text_positions"),
-    )
+
+    def of(types: Column) -> Column:
+        return F.struct(
+            F.when(F.size(types) == 0, "pristine").otherwise("manipulated").alias("verdict"),
+            types.alias("types"),
+            F.when(has_any(types, IMAGE_TYPES), box).alias("image_bbox"),
+            F.when(has_any(types, TEXT_TYPES), F.coalesce(words, F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")).alias("text_positions"),
+        )
+
+    return bind(label_to_types(label), of)
 
 
 def canonical_answer(target: Column) -> Column:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bind import bind
 from ..functions.labels import build_target, canonical_answer, strings
 from ..functions.parse import parse_response
 from ..storage import materialise
@@ -90,17 +91,24 @@ def caption(k: Column) -> Column:
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, k, c = F.lit(SIZE), F.col("k"), F.col("c")
-    said = build_target(F.col("said_label"), F.col("said_box"), F.col("said_positions"), size, size)
-    answer = canonical_answer(said)
     listed = lambda xs: F.concat(F.lit("["), F.array_join(xs.cast("array<string>"), ","), F.lit("]"))
-    renamed = F.concat(
-        F.lit('{"label":"'), F.when(said["verdict"] == "pristine", "real").otherwise("fake"), F.lit('","badcase_types":"'), F.array_join(said["types"], ","),
-        F.lit('","evidence_bbox":'), F.coalesce(listed(said["image_bbox"]), F.lit("null")), F.lit(',"evidence_text_pos":'), listed(said["text_positions"]), F.lit("}"),
-    )
-    text = (
-        F.when(k % 7 == 0, "not json").when(k % 11 == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(k % 13 == 0, F.concat(F.lit("The answer is "), answer, F.lit(" as asked.")))
-        .when(k % 17 == 0, renamed).when(k % 19 == 0, '{"verdict":"fake","types":["fs"],"image_bbox":[9,9,1,1]}').when(k % 23 == 0, '{"verdict":"fake","types":["ts"],"text_positions":[50]}').otherwise(answer)
+
+    def renamed(said: Column) -> Column:
+        return F.concat(
+            F.lit('{"label":"'), F.when(said["verdict"] == "pristine", "real").otherwise("fake"), F.lit('","badcase_types":"'), F.array_join(said["types"], ","),
+            F.lit('","evidence_bbox":'), F.coalesce(listed(said["image_bbox"]), F.lit("null")), F.lit(',"evidence_text_pos":'), listed(said["text_positions"]), F.lit("}"),
+        )
+
+    def written(said: Column) -> Column:
+        before = F.when(k % 11 == 0, "```json\n").when(k % 13 == 0, "The answer is ").otherwise("")
+        after = F.when(k % 11 == 0, "\n```").when(k % 13 == 0, " as asked.").otherwise("")
+        return F.when((k % 17 == 0) & (before == ""), renamed(said)).otherwise(F.concat(before, canonical_answer(said), after))
+
+    odd = (
+        F.when(k % 7 == 0, "not json").when((k % 11 == 0) | (k % 13 == 0) | (k % 17 == 0), F.lit(None))
+        .when(k % 19 == 0, '{"verdict":"fake","types":["fs"],"image_bbox":[9,9,1,1]}').when(k % 23 == 0, '{"verdict":"fake","types":["ts"],"text_positions":[50]}')
     )
+    text = F.coalesce(odd, bind(build_target(F.col("said_label"), F.col("said_box"), F.col("said_positions"), size, size), written))
     scores = F.map_from_arrays(strings(TYPE_ORDER), F.array(*[((k * (i + 2) + c) % 10007) / 10007.0 for i in range(4)]))
     return annotations(spark, sf_dir).select(k.alias("id"), k.alias("ord"), text.alias("response"), (((k * 7919 + c * 31) % 65521) / 65521.0).alias("manipulated_score"), scores.alias("type_scores"))
 
