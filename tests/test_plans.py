@@ -17,3 +17,7 @@ def matches(df):
 
 def test_bad_cases_parse_once(spark):
     assert matches(metrics.bad_cases(queries.scored(spark, SF))) == 1
+
+
+def test_error_tag_histogram_parses_once(spark):
+    assert matches(metrics.tag_counts(queries.scored(spark, SF))) == 1
