@@ -21,3 +21,7 @@ def test_bad_cases_parse_once(spark):
 
 def test_error_tag_histogram_parses_once(spark):
     assert matches(metrics.tag_counts(queries.scored(spark, SF))) == 1
+
+
+def test_preference_pairs_parse_once(spark):
+    assert matches(mining.mark_errors(audit.aligned(spark, SF)).where(F.size("error_tags") > 0)) == 1
