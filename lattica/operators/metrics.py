@@ -7,15 +7,16 @@ number follows the data. The sums by score are written, so rows are computed onc
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.geometry import bbox_iou, f1, safe_div, token_counts
+from ..functions.geometry import bbox_iou, f1, safe_div, same_set, token_counts
 from ..functions.scoring import binary_score, error_tags, hallucinated, type_scores
 from ..functions.text import count_words
 from ..storage import materialise
@@ -24,6 +25,8 @@ from .scan import running_sums
 
 #: Rows of one tied score whose order is looked at together.
 TIE_ROWS = 1 << 20
+#: Words whose sub-words a worker counts once.
+KNOWN_WORDS = 200_000
 
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -172,7 +175,7 @@ def grounding(scored: DataFrame) -> DataFrame:
     """One row of all metrics that are plain sums over rows."""
     rate = lambda c, name: F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(name)
     target, parsed, iou = F.col("target"), F.col("parsed"), F.col("iou")
-    exact = F.array_sort(F.array_distinct(parsed["types"])) == F.array_sort(F.array_distinct(target["types"]))
+    exact = same_set(parsed["types"], target["types"])
     return scored.agg(
         F.count(F.lit(1)).alias("num_samples"), rate(parsed["valid"], "json_valid_rate"), rate(parsed["valid"] & (parsed["verdict"] == target["verdict"]), "verdict_accuracy"), rate(parsed["valid"] & exact, "types_exact_match"),
         rate(iou, "mean_iou"), rate(iou > 0.5, "iou_at_50"), rate(iou > 0.75, "iou_at_75"), rate(iou > 0.95, "iou_at_95"),
@@ -230,16 +233,32 @@ def bad_cases(scored: DataFrame) -> DataFrame:
 
 
 def word_numbers(tokenizer: str):
-    """The word number of each sub-word, by a file of the tokenizers library; made once in each worker."""
+    """The word number of each sub-word, by a file of the tokenizers library; made once in each worker.
+
+    The library encodes words that are given as a list one by one, so how many sub-words a word has
+    is remembered, unless the file cuts or pads texts or leaves out merges by chance.
+    """
     made: list = []
 
+    def by_library(words: list[str]) -> list[int]:
+        return [w for w in made[0].encode(words, is_pretokenized=True, add_special_tokens=False).word_ids if w is not None]
+
     def numbers(text: str) -> list[int]:
         if not made:
             from tokenizers import Tokenizer
 
             made.append(Tokenizer.from_file(tokenizer))
-        words = text.split()
-        return [w for w in made[0].encode(words, is_pretokenized=True, add_special_tokens=False).word_ids if w is not None] if words else []
+            made.append({} if made[0].truncation is made[0].padding is getattr(made[0].model, "dropout", None) is None else None)
+        words, sizes = text.split(), made[1]
+        if not words or sizes is None:
+            return by_library(words) if words else []
+        if unknown := [w for w in dict.fromkeys(words) if w not in sizes]:
+            if len(sizes) > KNOWN_WORDS:
+                sizes.clear()
+                unknown = list(dict.fromkeys(words))
+            counts = Counter(by_library(unknown))
+            sizes.update((w, counts[i]) for i, w in enumerate(unknown))
+        return [i for i, w in enumerate(words) for _ in range(sizes[w])]
 
     return numbers
 
@@ -249,11 +268,21 @@ def subword_counts(df: DataFrame, tokenize, caption: str = "caption", max_length
 
     ``tokenize(text)`` gives the word number of each sub-word; the first max_length - 2 count.
     """
-    @F.pandas_udf("array<int>")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(tokenize(t or ""))[: max_length - 2])
-
-    empty = F.array().cast("array<int>")
-    df = df.withColumn("_w", words(F.col(caption)))
-    spread = lambda xs: F.filter(F.transform("_w", lambda w, i: F.when(F.array_contains(F.coalesce(xs, empty), w), i)), lambda x: x.isNotNull())
-    return df.select(F.inline(F.array(token_counts(spread(F.col("target.text_positions")), spread(F.col("parsed.text_positions")), F.size("_w")))))
+    @F.arrow_udf("n int, of array<int>")
+    def words(texts: pa.Array) -> pa.Array:
+        sizes, ns = [], []
+        for text in texts.to_pylist():
+            found = list(tokenize(text or ""))[: max_length - 2]
+            of = [0] * (max(found, default=-1) + 1)
+            for w in found:
+                of[w] += 1
+            sizes.append(of)
+            ns.append(len(found))
+        return pa.StructArray.from_arrays([pa.array(ns, pa.int32()), pa.array(sizes, pa.list_(pa.int32()))], ["n", "of"])
+
+    # sub-words of a word are all in a set of words or none is, so sums over words in the sets are what counts
+    within = lambda xs: F.aggregate(xs, F.lit(0), lambda n, w: n + F.coalesce(F.get("_w.of", w), F.lit(0)))
+    a, b = (F.coalesce(F.col(f"{side}.text_positions"), F.array().cast("array<int>")) for side in ("target", "parsed"))
+    sums = {"both": within(F.array_intersect(a, b)), "a": within(F.array_distinct(a)), "b": within(F.array_distinct(b))}
+    rows = df.withColumn("_w", words(F.col(caption))).select("_w.n", *[c.alias(n) for n, c in sums.items()])
+    return rows.select(F.col("both").alias("tp"), (F.col("n") - F.col("a") - F.col("b") + F.col("both")).alias("tn"), (F.col("b") - F.col("both")).alias("fp"), (F.col("a") - F.col("both")).alias("fn"))

@@ -25,3 +25,46 @@ def test_error_tag_histogram_parses_once(spark):
 
 def test_preference_pairs_parse_once(spark):
     assert matches(mining.mark_errors(audit.aligned(spark, SF)).where(F.size("error_tags") > 0)) == 1
+
+
+def test_tokenizer_pieces_count_a_word_once(spark, monkeypatch):
+    """The library sees each word once, and gives what it gives for whole texts."""
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    real, asked = tokenizers.Tokenizer.from_file(path), []
+
+    class Counting:
+        truncation = padding = None
+        model = real.model
+
+        @staticmethod
+        def from_file(_):
+            return Counting()
+
+        def encode(self, words, **settings):
+            asked.extend(words)
+            return real.encode(words, **settings)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    numbers, texts = metrics.word_numbers(path), ["Unbelievable w1 don't w1", "w1 x.y,z... unbelievable 12345 日本語", "", "  é W1 don't Unbelievable"]
+    for text in texts:
+        want = [w for w in real.encode(text.split(), is_pretokenized=True, add_special_tokens=False).word_ids if w is not None] if text.split() else []
+        assert numbers(text) == want
+    assert len(asked) == len(set(asked)) > 5
+
+
+@pytest.mark.parametrize("length", [3, 6, 40])
+def test_subwords_by_words(spark, length):
+    """Cells from sub-words of each word are those from sets of sub-words; positions repeat and lie beyond the words."""
+    rows = [(i, " ".join("w" * (k % 5 + 1) for k in range(n)), [0, 2, 2, n, -1], [2, 3, 3, 70][: i + 1]) for i, n in enumerate((0, 1, 5, 12))]
+    df = spark.createDataFrame([(i, c, (t,), (p,)) for i, c, t, p in rows], "id int, caption string, target struct<text_positions:array<int>>, parsed struct<text_positions:array<int>>")
+    pieces = lambda text: [i for i, w in enumerate(text.split()) for _ in w]
+    got = [tuple(r) for r in metrics.subword_counts(df, pieces, max_length=length).select("tp", "tn", "fp", "fn").collect()]
+    want = []
+    for _, c, t, p in rows:
+        w = pieces(c)[: length - 2]
+        a, b = ({k for k, x in enumerate(w) if x in xs} for xs in (t, p))
+        want.append((len(a & b), len(w) - len(a | b), len(b - a), len(a - b)))
+    assert sorted(got) == sorted(want)
