@@ -68,3 +68,7 @@ def test_subwords_by_words(spark, length):
         a, b = ({k for k, x in enumerate(w) if x in xs} for xs in (t, p))
         want.append((len(a & b), len(w) - len(a | b), len(b - a), len(a - b)))
     assert sorted(got) == sorted(want)
+
+
+def test_types_of_average_precision_parse_once(spark):
+    assert matches(queries.typed(spark, SF)) == 1
