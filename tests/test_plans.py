@@ -72,3 +72,12 @@ def test_subwords_by_words(spark, length):
 
 def test_types_of_average_precision_parse_once(spark):
     assert matches(queries.typed(spark, SF)) == 1
+
+
+#: Queries whose plan is lazy as a whole.
+LAZY = ["score_vectors"]
+
+
+@pytest.mark.parametrize("name", LAZY)
+def test_queries_parse_once(spark, name):
+    assert matches(queries.QUERIES[name](spark, SF)) == 1
