@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def _first_ids(df: DataFrame, key: str, n: int = 3) -> list[str]:
@@ -15,26 +16,27 @@ def align(truth: DataFrame, predictions: DataFrame, *, key: str = "id", order: s
 
     Duplicate prediction ids and truth without a prediction raise; more predictions are
     ignored. Where a prediction has no id, rows meet by ``order`` if that is allowed and both
-    sides have as many. Keys are compared as text. One aggregate of both sides' keys checks
+    sides have as many. Keys are compared as text, or as numbers where both are whole ones. One aggregate of both sides' keys checks
     all that; the join itself is left to the optimiser.
     """
     clash = set(truth.columns) & set(predictions.columns)
     pred = predictions.select(*[F.col(c).alias(f"pred_{c}" if c in clash else c) for c in predictions.columns])
     pkey, pord = (f"pred_{c}" if c in clash else c for c in (key, order))
-    sides = truth.select(F.col(key).cast("string").alias("k"), F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(predictions.select(F.col(key).cast("string").alias("k"), F.lit(0).alias("t"), F.lit(1).alias("p")))
+    kind = "long" if all(isinstance(df.schema[key].dataType, IntegralType) for df in (truth, predictions)) else "string"
+    sides = truth.select(F.col(key).cast(kind).alias("k"), F.lit(1).alias("t"), F.lit(0).alias("p")).unionByName(predictions.select(F.col(key).cast(kind).alias("k"), F.lit(0).alias("t"), F.lit(1).alias("p")))
     by_key = sides.groupBy("k").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
     named = F.col("k").isNotNull()
     alone = (F.col("t") > 0) & ((F.col("p") == 0) | ~named)
     n = by_key.agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("truth"), F.coalesce(F.sum("p"), F.lit(0)).alias("predictions"), F.coalesce(F.sum(F.when(~named, F.col("p"))), F.lit(0)).alias("unnamed"),
-        F.count_if(named & (F.col("p") > 1)).alias("repeated"), F.coalesce(F.sum(F.when(alone, F.col("t"))), F.lit(0)).alias("lost"), F.min(F.when(alone, F.coalesce("k", F.lit("None")))).alias("first"),
+        F.count_if(named & (F.col("p") > 1)).alias("repeated"), F.coalesce(F.sum(F.when(alone, F.col("t"))), F.lit(0)).alias("lost"), F.min(F.when(alone, F.coalesce(F.col("k").cast("string"), F.lit("None")))).alias("first"),
     ).first()
     if not n["unnamed"]:
         if n["repeated"]:
             raise ValueError("prediction ids are not unique")
         if n["lost"]:
             raise ValueError(f"{n['lost']} ids have no prediction, the first of them {n['first']}")
-        return truth.join(pred, truth[key].cast("string") == pred[pkey].cast("string"))
+        return truth.join(pred, truth[key].cast(kind) == pred[pkey].cast(kind))
     if not allow_positional:
         raise ValueError("predictions lack ids")
     if n["truth"] != n["predictions"]:

@@ -81,3 +81,9 @@ LAZY = ["score_vectors"]
 @pytest.mark.parametrize("name", LAZY)
 def test_queries_parse_once(spark, name):
     assert matches(queries.QUERIES[name](spark, SF)) == 1
+
+
+def test_scores_of_eer_parse_once_and_meet_by_number(spark):
+    plan = queries.scored(spark, SF).select("label", "score")
+    assert matches(plan) == 1
+    assert "cast(id" not in plan._jdf.queryExecution().optimizedPlan().toString()  # the join of whole numbers doesn't make texts of them
