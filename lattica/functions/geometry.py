@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind_all
+
 
 def safe_div(top: Column, below: Column) -> Column:
     return F.when(below != 0, top / below).otherwise(F.lit(0.0))
@@ -20,29 +22,35 @@ def _side(lo: Column, hi: Column) -> Column:
 
 def bbox_iou(a: Column, b: Column) -> Column:
     """Two missing boxes agree, one doesn't; boxes without area between them agree."""
-    a, b = a.cast("array<double>"), b.cast("array<double>")
-    ax, ay, aw, ah = (F.get(a, F.lit(i)) for i in range(4))
-    bx, by, bw, bh = (F.get(b, F.lit(i)) for i in range(4))
+    ax, ay, aw, ah = (F.get(a, F.lit(i)).cast("double") for i in range(4))
+    bx, by, bw, bh = (F.get(b, F.lit(i)).cast("double") for i in range(4))
     common = _side(F.greatest(ax, bx), F.least(aw, bw)) * _side(F.greatest(ay, by), F.least(ah, bh))
-    union = _side(ax, aw) * _side(ay, ah) + _side(bx, bw) * _side(by, bh) - common
-    both = F.when(union <= 0, F.lit(1.0)).otherwise(common / union)
+    areas = _side(ax, aw) * _side(ay, ah) + _side(bx, bw) * _side(by, bh)
+
+    def share(s: Column) -> Column:
+        union = s["areas"] - s["common"]
+        return F.when(union <= 0, F.lit(1.0)).otherwise(s["common"] / union)
+
+    both = bind_all({"common": common, "areas": areas}, share)
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(both)
 
 
 def set_f1(expected: Column, predicted: Column) -> Column:
+    def of(s: Column) -> Column:
+        both = bind_all({"precision": safe_div(s["hits"], s["b"]), "recall": safe_div(s["hits"], s["a"])}, lambda r: f1(r["precision"], r["recall"]))
+        return F.when((s["a"] == 0) & (s["b"] == 0), F.lit(1.0)).otherwise(both)
+
     a, b = F.array_distinct(expected), F.array_distinct(predicted)
-    hits = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(f1(safe_div(hits, F.size(b)), safe_div(hits, F.size(a))))
+    return bind_all({"a": F.size(a), "b": F.size(b), "hits": F.size(F.array_intersect(expected, predicted))}, of)
 
 
 def bbox_area_ratio(bbox: Column, scale: float = 1000.0) -> Column:
-    box = bbox.cast("array<double>")
-    x1, y1, x2, y2 = (F.get(box, F.lit(i)) for i in range(4))
-    return F.when(box.isNull(), F.lit(0.0)).otherwise(_side(x1, x2) * _side(y1, y2) / (scale * scale))
+    x1, y1, x2, y2 = (F.get(bbox, F.lit(i)).cast("double") for i in range(4))
+    return F.when(bbox.isNull(), F.lit(0.0)).otherwise(_side(x1, x2) * _side(y1, y2) / (scale * scale))
 
 
 def same_set(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+    return F.sort_array(F.array_distinct(a)) == F.sort_array(F.array_distinct(b))
 
 
 def clamp(value: Column) -> Column:
@@ -52,7 +60,15 @@ def clamp(value: Column) -> Column:
 
 def token_counts(expected: Column, predicted: Column, n: Column) -> Column:
     """struct<tp, tn, fp, fn> of two position sets among n tokens."""
-    inside = lambda xs: F.array_distinct(F.filter(xs, lambda x: (x >= 0) & (x < n)))
-    a, b = inside(expected), inside(predicted)
-    tp, fp, fn = F.size(F.array_intersect(a, b)), F.size(F.array_except(b, a)), F.size(F.array_except(a, b))
-    return F.struct(tp.alias("tp"), (n - tp - fp - fn).alias("tn"), fp.alias("fp"), fn.alias("fn"))
+    def cells(s: Column) -> Column:
+        tp, fp, fn = s["both"], s["b"] - s["both"], s["a"] - s["both"]
+        return F.struct(tp.alias("tp"), (s["n"] - tp - fp - fn).alias("tn"), fp.alias("fp"), fn.alias("fn"))
+
+    def sizes(s: Column) -> Column:
+        return bind_all({"n": s["n"], "both": F.size(F.array_intersect(s["a"], s["b"])), "a": F.size(s["a"]), "b": F.size(s["b"])}, cells)
+
+    def within(s: Column) -> Column:
+        inside = lambda xs: F.array_distinct(F.filter(xs, lambda x: (x >= 0) & (x < s["n"])))
+        return bind_all({"n": s["n"], "a": inside(expected), "b": inside(predicted)}, sizes)
+
+    return bind_all({"n": n}, within)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import IMAGE_TYPES, RESPONSE_KEYS, TEXT_TYPES, TYPE_ORDER, RewardRules
+from .bind import bind, bind_all
 from .geometry import bbox_area_ratio, bbox_iou, clamp, same_set, set_f1
 from .labels import case_name, has_any, strings
 
@@ -21,7 +22,7 @@ def error_tags(target: Column, parsed: Column, bbox_threshold: float = 0.5, text
         tag(target["image_bbox"].isNull() & parsed["image_bbox"].isNotNull(), "hallucinated_image_evidence"),
         tag((F.size(target["text_positions"]) == 0) & (F.size(parsed["text_positions"]) > 0), "hallucinated_text_evidence"),
     )
-    return F.when(~parsed["valid"], strings(["invalid_json_or_schema"])).otherwise(F.array_sort(F.array_compact(found)))
+    return F.when(~parsed["valid"], strings(["invalid_json_or_schema"])).otherwise(F.sort_array(F.array_compact(found)))
 
 
 def hallucinated(target: Column, parsed: Column) -> Column:
@@ -70,9 +71,8 @@ def response_text(raw: Column) -> Column:
 def given_type_scores(raw: Column) -> tuple[Column, Column]:
     """type_scores of a prediction's JSON as a map and as a list; one is null, or both."""
     text = F.get_json_object(raw, "$.type_scores")
-    value = F.try_parse_json(text)
-    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
-    return F.when(kind.startswith("OBJECT"), F.from_json(text, "map<string,double>")), F.when(kind.startswith("ARRAY"), F.from_json(text, "array<double>"))
+    of = lambda kind, schema: bind(text, lambda t: F.when(F.schema_of_variant(F.try_parse_json(t)).startswith(kind), F.from_json(t, schema)))
+    return of("OBJECT", "map<string,double>"), of("ARRAY", "array<double>")
 
 
 def row_id(columns: list[str]) -> Column:
@@ -91,9 +91,12 @@ def rejected_text(response: Column) -> Column:
 
 def evidence_reward(target: Column, parsed: Column) -> Column:
     image, text = has_any(target["types"], IMAGE_TYPES), has_any(target["types"], TEXT_TYPES)
-    iou, words = bbox_iou(target["image_bbox"], parsed["image_bbox"]), set_f1(target["text_positions"], parsed["text_positions"])
     none = parsed["image_bbox"].isNull() & (F.size(parsed["text_positions"]) == 0)
-    return F.when(target["verdict"] == "pristine", none.cast("double")).when(image & text, (iou + words) / 2).when(image, iou).when(text, words).otherwise(F.lit(0.0))
+
+    def of(s: Column) -> Column:
+        return F.when(target["verdict"] == "pristine", none.cast("double")).when(image & text, (s["iou"] + s["words"]) / 2).when(image, s["iou"]).when(text, s["words"]).otherwise(F.lit(0.0))
+
+    return bind_all({"iou": bbox_iou(target["image_bbox"], parsed["image_bbox"]), "words": set_f1(target["text_positions"], parsed["text_positions"])}, of)
 
 
 def hacking_penalty(target: Column, parsed: Column, rules: RewardRules = RewardRules()) -> Column:
@@ -114,14 +117,18 @@ def score_response(target: Column, parsed: Column, case_weight: Column, rules: R
         "types": F.when(pristine & (F.size(parsed["types"]) == 0), F.lit(1.0)).otherwise(set_f1(target["types"], parsed["types"])),
         "evidence": evidence_reward(target, parsed),
     }
-    penalty, task = hacking_penalty(target, parsed, rules), F.lit(0.0)
-    for name, value in parts.items():
-        task = task + rules.parts[name] * value
-    part = lambda c: F.when(ok, c).otherwise(F.lit(0.0))
-    return F.struct(
-        F.when(ok, case_weight * task - penalty).otherwise(F.lit(-rules.most_fined)).alias("reward"), case_name(target).alias("case"), case_weight.alias("case_weight"), part(task).alias("task_reward"), part(parts["verdict"]).alias("verdict_reward"),
-        part(parts["types"]).alias("type_reward"), part(parts["evidence"]).alias("evidence_reward"), penalty.alias("penalty"), ok.alias("valid"), parsed["error"].alias("error"),
-    )
+
+    def of(s: Column) -> Column:
+        task = F.lit(0.0)
+        for name in parts:
+            task = task + rules.parts[name] * s[name]
+        part = lambda c: F.when(ok, c).otherwise(F.lit(0.0))
+        return F.struct(
+            F.when(ok, case_weight * task - s["penalty"]).otherwise(F.lit(-rules.most_fined)).alias("reward"), case_name(target).alias("case"), case_weight.alias("case_weight"), part(task).alias("task_reward"), part(s["verdict"]).alias("verdict_reward"),
+            part(s["types"]).alias("type_reward"), part(s["evidence"]).alias("evidence_reward"), s["penalty"].alias("penalty"), ok.alias("valid"), parsed["error"].alias("error"),
+        )
+
+    return bind_all(parts | {"penalty": hacking_penalty(target, parsed, rules)}, of)
 
 
 def compare_values(before: Column, after: Column, higher: Column) -> Column:

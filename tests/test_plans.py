@@ -75,7 +75,7 @@ def test_types_of_average_precision_parse_once(spark):
 
 
 #: Queries whose plan is lazy as a whole.
-LAZY = ["score_vectors"]
+LAZY = ["score_vectors", "reward_summary"]
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -87,3 +87,12 @@ def test_scores_of_eer_parse_once_and_meet_by_number(spark):
     plan = queries.scored(spark, SF).select("label", "score")
     assert matches(plan) == 1
     assert "cast(id" not in plan._jdf.queryExecution().optimizedPlan().toString()  # the join of whole numbers doesn't make texts of them
+
+
+def count(df, what):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_rewards_compare_sets_once(spark):
+    """One comparison of types, one of positions, and the parser's own."""
+    assert count(queries._rewarded(spark, SF), "array_intersect") == 3
