@@ -75,7 +75,7 @@ def test_types_of_average_precision_parse_once(spark):
 
 
 #: Queries whose plan is lazy as a whole.
-LAZY = ["score_vectors", "reward_summary"]
+LAZY = ["score_vectors", "reward_summary", "generated_confusion"]
 
 
 @pytest.mark.parametrize("name", LAZY)
