@@ -48,7 +48,9 @@ def normalize_caption(text: Column, max_words: int = MAX_WORDS) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, f"{BLANK}+", -1), lambda w: w != ""))
+    """Runs without a blank; printable ASCII has one kind of blank, which needs no regular expression."""
+    plain = F.size(F.array_remove(F.split(text, " ", -1), ""))
+    return F.when(text.rlike("[^ -~]"), F.size(F.filter(F.split(text, f"{BLANK}+", -1), lambda w: w != ""))).otherwise(plain)
 
 
 def audit_prompt(caption: Column) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import parse
+from lattica.functions import parse, text
 from lattica.operators import metrics, mining
 from lattica.plans import audit, queries
 
@@ -75,7 +75,7 @@ def test_types_of_average_precision_parse_once(spark):
 
 
 #: Queries whose plan is lazy as a whole.
-LAZY = ["score_vectors", "reward_summary", "generated_confusion"]
+LAZY = ["score_vectors", "reward_summary", "generated_confusion", "grounding_summary"]
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -96,3 +96,14 @@ def count(df, what):
 def test_rewards_compare_sets_once(spark):
     """One comparison of types, one of positions, and the parser's own."""
     assert count(queries._rewarded(spark, SF), "array_intersect") == 3
+
+
+def test_captions_are_split_once(spark):
+    """Once where they are plain and once where they aren't, not for each position."""
+    assert count(queries.QUERIES["grounding_summary"](spark, SF), "split(caption") == 2
+
+
+def test_words_of_any_blanks(spark):
+    texts = ["", " ", "a", " a  b ", "a\tb\n", "\u3000a\u00a0b", "é è", "a\x1cb", "a\x7fb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string").select("i", text.count_words(F.col("t")).alias("n"))
+    assert {r["i"]: r["n"] for r in df.collect()} == {i: len(t.split()) for i, t in enumerate(texts)} | {99: None}
