@@ -75,7 +75,7 @@ def test_types_of_average_precision_parse_once(spark):
 
 
 #: Queries whose plan is lazy as a whole.
-LAZY = ["score_vectors", "reward_summary", "generated_confusion", "grounding_summary", "set_f1"]
+LAZY = ["score_vectors", "reward_summary", "generated_confusion", "grounding_summary", "set_f1", "type_score_lists"]
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -107,3 +107,7 @@ def test_words_of_any_blanks(spark):
     texts = ["", " ", "a", " a  b ", "a\tb\n", "\u3000a\u00a0b", "é è", "a\x1cb", "a\x7fb"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string").select("i", text.count_words(F.col("t")).alias("n"))
     assert {r["i"]: r["n"] for r in df.collect()} == {i: len(t.split()) for i, t in enumerate(texts)} | {99: None}
+
+
+def test_type_scores_are_read_once_each_way(spark):
+    assert count(queries.QUERIES["type_score_lists"](spark, SF), "get_json_object") == 2
