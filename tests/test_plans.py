@@ -75,7 +75,7 @@ def test_types_of_average_precision_parse_once(spark):
 
 
 #: Queries whose plan is lazy as a whole.
-LAZY = ["score_vectors", "reward_summary", "generated_confusion", "grounding_summary", "set_f1", "type_score_lists", "binary_confusion"]
+LAZY = ["score_vectors", "reward_summary", "generated_confusion", "grounding_summary", "set_f1", "type_score_lists", "binary_confusion", "bbox_iou"]
 
 
 @pytest.mark.parametrize("name", LAZY)
@@ -111,3 +111,7 @@ def test_words_of_any_blanks(spark):
 
 def test_type_scores_are_read_once_each_way(spark):
     assert count(queries.QUERIES["type_score_lists"](spark, SF), "get_json_object") == 2
+
+
+def test_overlap_is_computed_once(spark):
+    assert count(queries.QUERIES["bbox_iou"](spark, SF), "greatest") <= 11  # 23 with the overlap in two places
